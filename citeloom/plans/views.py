@@ -134,9 +134,30 @@ SELECT CONCAT('o', CAST(o_orderkey AS VARCHAR(20))) AS id, CAST(o_custkey AS BIG
 FROM orders""")
 view("task_deps", """
 SELECT CONCAT('o', CAST(o_orderkey AS VARCHAR(20))) AS id,
-  CONCAT('o', CAST(LAG(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS VARCHAR(20))) AS dep
+  CONCAT('o', CAST(o_orderkey - o_custkey % 7 AS VARCHAR(20))) AS dep
 FROM orders""")
 
+view("suggestions", """
+SELECT repo_id, language AS spec, LOWER(MIN(pattern)) AS category FROM profiles GROUP BY repo_id, language""")
+
+view("final_metrics_sql", """
+SELECT user_id AS run_id, event_type AS metric_name, MAX(NAMED_STRUCT('d', EXTRACT(DAY FROM ts), 's', event_id, 'v', value)).v AS value
+FROM events GROUP BY user_id, event_type""", """
+SELECT user_id AS run_id, event_type AS metric_name, MAX({'d': EXTRACT(DAY FROM ts), 's': event_id, 'v': value}).v AS value
+FROM events GROUP BY user_id, event_type""")
+
+view("credentials", """
+SELECT c_custkey AS key_id, c_nationkey AS owner_id, c_acctbal > 1000 AS is_active, CAST(30 + c_custkey % 90 AS INT) AS rotation_days,
+  CAST(5 + c_custkey % 20 AS INT) AS rotate_before_days,
+  TIMESTAMP_NTZ '2024-01-31 00:00:00' - make_dt_interval(CAST(c_custkey % 400 AS INT)) AS created_at,
+  CASE WHEN c_custkey % 4 = 0 THEN NULL ELSE TIMESTAMP_NTZ '2024-01-31 00:00:00' + make_dt_interval(CAST(c_custkey % 120 AS INT) - 40) END AS expires_at
+FROM customer""", """
+SELECT c_custkey AS key_id, c_nationkey AS owner_id, c_acctbal > 1000 AS is_active, CAST(30 + c_custkey % 90 AS INT) AS rotation_days,
+  CAST(5 + c_custkey % 20 AS INT) AS rotate_before_days,
+  TIMESTAMP '2024-01-31 00:00:00' - to_days(CAST(c_custkey % 400 AS INT)) AS created_at,
+  CASE WHEN c_custkey % 4 = 0 THEN NULL ELSE TIMESTAMP '2024-01-31 00:00:00' + to_days(CAST(c_custkey % 120 AS INT) - 40) END AS expires_at
+FROM customer""")
+
 view("versions", """
 SELECT a.doc_id AS pair_id, a.source, CONCAT(a.source, '/f', CAST(a.doc_id AS VARCHAR(20)), '.py') AS path,
   a.text AS original, b.text AS modified
@@ -167,3 +188,6 @@ SELECT l_orderkey * 10 + l_linenumber AS row_id, CONCAT('f', CAST(l_orderkey AS
     WHEN 3 THEN CONCAT('class LayerNorm', CAST(l_partkey AS VARCHAR(20)), ':')
     ELSE CONCAT('    return cache_', l_returnflag, '(x1, 42)  # note') END AS content
 FROM lineitem""")
+
+view("part_suppliers", """
+SELECT DISTINCT l_partkey AS src, l_suppkey AS dst FROM lineitem""")
