@@ -370,7 +370,7 @@ def failing_modules(logs: DataFrame, modules: DataFrame) -> DataFrame:
     table = modules.select("module_id", F.explode(keys).alias("k")).filter("k.key IS NOT NULL").groupBy(
         "k.prio", "k.key").agg(F.max("module_id").alias("module_id"))
     c = F.col("candidate")
-    clean = F.regexp_replace(F.trim(F.lit("/"), c), r"^(workspace/|\./)", "")
+    clean = F.regexp_replace(F.trim(c, F.lit("/")), r"^(workspace/|\./)", "")
     suffixes = F.transform(
         F.sequence(F.lit(1), F.size(F.split(clean, "/"))),
         lambda i: F.array_join(F.slice(F.split(clean, "/"), i, F.size(F.split(clean, "/"))), "/"))
