@@ -55,10 +55,11 @@ def identity_keys(papers: DataFrame, pos: str) -> DataFrame:
     """(pos, kind, value) identity keys; titles count from 20 normalised characters."""
     title = X.normalize_title(F.col("title"))
     low = lambda c: F.lower(F.trim(F.coalesce(F.col(c), F.lit(""))))
+    key = lambda kind, value: F.struct(F.lit(kind).alias("kind"), value.alias("value"))
     keys = F.array(
-        F.struct(F.lit("doi").alias("kind"), X.normalize_doi(F.coalesce("doi", F.lit(""))).alias("value")),
-        F.struct(F.lit("arxiv"), low("arxiv_id")), F.struct(F.lit("pubmed"), low("pubmed_id")), F.struct(F.lit("ieee"), low("ieee_id")),
-        F.struct(F.lit("title"), F.when(F.length(title) >= MIN_TITLE_KEY, title).otherwise("")))
+        key("doi", X.normalize_doi(F.coalesce("doi", F.lit("")))),
+        key("arxiv", low("arxiv_id")), key("pubmed", low("pubmed_id")), key("ieee", low("ieee_id")),
+        key("title", F.when(F.length(title) >= MIN_TITLE_KEY, title).otherwise("")))
     return papers.select(pos, F.explode(keys).alias("k")).select(pos, "k.kind", "k.value").filter("value <> ''")
 
 
