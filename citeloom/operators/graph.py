@@ -1,5 +1,36 @@
-"""placeholder"""
-from pyspark.sql import DataFrame, functions as F
+"""Graph analytics on edge tables ``(src, dst)``: src references / depends on dst.
+
+Loops carry their state through reliable checkpoints and ask the driver only for
+a stop test of one row.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, functions as F
+
+from citeloom.functions import scoring as S
+from citeloom.session import cut_lineage
+
+
+def _any(df: DataFrame) -> bool:
+    return df.limit(1).count() > 0
+
+
+# Structure ------------------------------------------------------------------
+
+def build_edges(raw: DataFrame) -> DataFrame:
+    """Distinct edges; the reverse adjacency is the same table read backwards."""
+    return raw.select("src", "dst").filter("src IS NOT NULL AND dst IS NOT NULL").distinct()
+
+
+def reverse(edges: DataFrame) -> DataFrame:
+    return edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
+
+
+def ghost_nodes(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """Endpoints missing from the node table, with title '' and year 0."""
+    ends = edges.select(F.explode(F.array("src", "dst")).alias("id")).distinct()
+    return ends.join(nodes, "id", "left_anti").select("id", F.lit("").alias("title"), F.lit(0).alias("year"))
 
 
 def degrees(edges: DataFrame) -> DataFrame:
@@ -9,3 +40,261 @@ def degrees(edges: DataFrame) -> DataFrame:
         F.struct(F.col("dst").alias("id"), F.lit(0).alias("o"), F.lit(1).alias("i")),
     )).alias("e")).select("e.*")
     return ends.groupBy("id").agg(F.sum("i").alias("in_degree"), F.sum("o").alias("out_degree"))
+
+
+def leaf_and_entry(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """Nodes without outgoing edges (leaf) and without incoming edges (entry)."""
+    ids = nodes.select("id")
+    leaf = ids.join(edges.select(F.col("src").alias("id")), "id", "left_anti").select("id", F.lit("leaf").alias("role"))
+    entry = ids.join(edges.select(F.col("dst").alias("id")), "id", "left_anti").select("id", F.lit("entry").alias("role"))
+    return leaf.unionAll(entry)
+
+
+# PageRank -------------------------------------------------------------------
+
+def pagerank(
+    nodes: DataFrame, edges: DataFrame, damping: float = 0.85, iterations: int = 100, tolerance: float = 0.0, every: int = 3
+) -> DataFrame:
+    """r = (1-d)/n + d M r over distinct references; dangling mass is not spread.
+
+    Every few rounds the ranks are checkpointed and compared with those of the
+    round before. Once no rank moves by more than ``tolerance`` further rounds
+    change nothing, so with 0 the result equals the full number of iterations.
+    """
+    ids = nodes.select("id")
+    links = edges.select("src", "dst").distinct().join(ids.withColumnRenamed("id", "dst"), "dst", "left_semi")
+    out = edges.select("src", "dst").distinct().groupBy("src").agg((1.0 / F.count("*")).alias("share"))
+    links = cut_lineage(links.join(out, "src").select("src", "dst", "share"))
+    n = ids.count()
+    if n == 0:
+        return ids.withColumn("rank", F.lit(0.0))
+    teleport = (1.0 - damping) / n
+    ranks = cut_lineage(ids.withColumn("rank", F.lit(1.0 / n)))
+    done = 0
+    while done < iterations:
+        for _ in range(min(every, iterations - done)):
+            previous = ranks
+            sums = links.join(ranks, links["src"] == ranks["id"]).groupBy("dst").agg(F.sum(F.col("rank") * F.col("share")).alias("s"))
+            ranks = ids.join(sums, ids["id"] == sums["dst"], "left").select(
+                "id", (F.lit(teleport) + F.lit(damping) * F.coalesce("s", F.lit(0.0))).alias("rank"))
+            done += 1
+        ranks = cut_lineage(ranks.join(previous.withColumnRenamed("rank", "prev"), "id"))
+        moved = ranks.filter(F.abs(F.col("rank") - F.col("prev")) > tolerance)
+        ranks_only = ranks.select("id", "rank")
+        if not _any(moved):
+            return ranks_only
+        ranks = ranks_only
+    return ranks
+
+
+# Paths ----------------------------------------------------------------------
+
+def shortest_path(edges: DataFrame, source, target, max_depth: int = 5) -> DataFrame:
+    """One shortest path of at most ``max_depth`` edges; ties take the smallest path."""
+    e = edges.select("src", "dst")
+    spark, kind = edges.sparkSession, edges.schema["src"].dataType
+    start = spark.range(1).select(F.lit(source).cast(kind).alias("id"), F.array(F.lit(source).cast(kind)).alias("path"))
+    if source == target:
+        return start.select("path", F.lit(0).alias("length"))
+    frontier, visited = start, start.select("id")
+    for _ in range(max_depth):
+        step = frontier.join(e, frontier["id"] == e["src"]).select(F.col("dst").alias("id"), F.concat("path", F.array("dst")).alias("path"))
+        frontier = cut_lineage(step.groupBy("id").agg(F.min("path").alias("path")).join(visited, "id", "left_anti"))
+        hit = frontier.filter(F.col("id") == F.lit(target).cast(kind))
+        if _any(hit):
+            return hit.select("path", (F.size("path") - 1).alias("length"))
+        if not _any(frontier):
+            break
+        visited = cut_lineage(visited.unionAll(frontier.select("id")))
+    return start.filter("false").select("path", F.lit(0).alias("length"))
+
+
+def _within(edges: DataFrame, target: Column, hops: int) -> DataFrame:
+    """Nodes that reach the target in at most ``hops`` edges, with that distance."""
+    near = edges.sparkSession.range(1).select(target.alias("id"), F.lit(0).alias("dist"))
+    frontier = near
+    for d in range(1, hops + 1):
+        step = edges.join(frontier, edges["dst"] == frontier["id"]).select(edges["src"].alias("id")).distinct()
+        frontier = cut_lineage(step.join(near, "id", "left_anti").withColumn("dist", F.lit(d)))
+        near = near.unionAll(frontier)
+    return near
+
+
+def all_simple_paths(edges: DataFrame, source, target, max_depth: int = 4) -> DataFrame:
+    """Simple paths of at most ``max_depth`` nodes.
+
+    Partial paths that cannot reach the target in the steps left are dropped, so
+    only paths between the two ends are ever expanded.
+    """
+    kind = edges.schema["src"].dataType
+    e = edges.select("src", "dst").distinct()
+    goal = F.lit(target).cast(kind)
+    reach = cut_lineage(_within(e, goal, max_depth - 1))
+    paths = e.sparkSession.range(1).select(F.lit(source).cast(kind).alias("id"), F.array(F.lit(source).cast(kind)).alias("path"))
+    found = paths.filter("false")
+    for used in range(1, max_depth):
+        step = paths.join(e, paths["id"] == e["src"]).select(F.col("dst").alias("id"), "path").filter(~F.array_contains("path", F.col("id")))
+        step = step.join(reach, "id").filter(F.col("dist") <= max_depth - 1 - used).select("id", F.concat("path", F.array("id")).alias("path"))
+        step = cut_lineage(step)
+        found = found.unionAll(step.filter(F.col("id") == goal))
+        paths = step.filter(F.col("id") != goal)
+    return found.select("path", (F.size("path") - 1).alias("length"))
+
+
+def closure(edges: DataFrame, seeds: DataFrame | None = None, max_rounds: int = 10_000) -> DataFrame:
+    """(seed, id, depth): everything reachable from each seed and the first level it is met.
+
+    Semi-naive: only newly found pairs are extended. A node on a cycle is in its
+    own closure. Without seeds every source starts; give seeds on large graphs.
+    """
+    e = cut_lineage(edges.select("src", "dst").distinct())
+    starts = e.select(F.col("src").alias("seed")).distinct() if seeds is None else seeds.select(F.col("id").alias("seed")).distinct()
+    delta = cut_lineage(starts.join(e, F.col("seed") == F.col("src")).select("seed", F.col("dst").alias("id"), F.lit(1).alias("depth")))
+    found = delta
+    for level in range(2, max_rounds):
+        step = delta.join(e, F.col("id") == F.col("src")).select("seed", F.col("dst").alias("id")).distinct()
+        delta = cut_lineage(step.join(found, ["seed", "id"], "left_anti").withColumn("depth", F.lit(level)))
+        if not _any(delta):
+            break
+        found = cut_lineage(found.unionAll(delta))
+    return found
+
+
+def closure_sizes(edges: DataFrame, seeds: DataFrame | None = None) -> DataFrame:
+    return closure(edges, seeds).groupBy(F.col("seed").alias("id")).agg(F.count("*").alias("reachable"), F.max("depth").alias("depth"))
+
+
+def graph_depth(edges: DataFrame, seeds: DataFrame) -> DataFrame:
+    """Breadth-first eccentricity per seed: the order-independent form of call depth."""
+    deep = closure_sizes(edges, seeds).select("id", "depth")
+    return seeds.select("id").distinct().join(deep, "id", "left").select("id", F.coalesce("depth", F.lit(0)).alias("depth"))
+
+
+def find_cycles(edges: DataFrame, max_length: int = 4) -> DataFrame:
+    """Simple cycles up to ``max_length`` edges, each once, starting at its smallest node."""
+    e = cut_lineage(edges.select("src", "dst").distinct())
+    loops = e.filter("src = dst").select(F.array("src").alias("cycle"))
+    paths = e.filter("src < dst").select(F.col("src").alias("start"), F.col("dst").alias("id"), F.array("src", "dst").alias("path"))
+    found = loops
+    for _ in range(max_length - 1):
+        step = cut_lineage(paths.join(e, F.col("id") == F.col("src")).filter(
+            (F.col("dst") == F.col("start")) | ((F.col("dst") > F.col("start")) & ~F.array_contains("path", F.col("dst")))
+        ).select("start", F.col("dst").alias("id"), "path"))
+        found = found.unionAll(step.filter("id = start").select(F.col("path").alias("cycle")))
+        paths = step.filter("id <> start").select("start", "id", F.concat("path", F.array("id")).alias("path"))
+    return found
+
+
+# Layers ---------------------------------------------------------------------
+
+def topological_layers(nodes: DataFrame, edges: DataFrame, max_rounds: int = 100_000) -> DataFrame:
+    """layer = 1 + highest layer of a node's dependencies; nodes on or above a cycle get NULL."""
+    ids = nodes.select("id")
+    left = cut_lineage(edges.select("src", "dst").distinct())
+    open_nodes = cut_lineage(ids)
+    parts = None
+    for layer in range(max_rounds):
+        blocked = left.select(F.col("src").alias("id")).distinct()
+        ready = cut_lineage(open_nodes.join(blocked, "id", "left_anti"))
+        if not _any(ready):
+            break
+        part = ready.withColumn("layer", F.lit(layer))
+        parts = part if parts is None else cut_lineage(parts.unionAll(part))
+        open_nodes = cut_lineage(open_nodes.join(ready, "id", "left_anti"))
+        left = cut_lineage(left.join(ready.withColumnRenamed("id", "dst"), "dst", "left_anti"))
+    stuck = open_nodes.withColumn("layer", F.lit(None).cast("int"))
+    return stuck if parts is None else parts.unionAll(stuck)
+
+
+def longest_path(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(step, id) of a longest dependency path; empty when the graph has a cycle.
+
+    Layers give the length; the path walks down one layer per step, smallest id first.
+    """
+    e = edges.filter("src <> dst").select("src", "dst").distinct()
+    layers = cut_lineage(topological_layers(nodes, e))
+    if _any(layers.filter("layer IS NULL")):
+        return layers.select(F.col("layer").alias("step"), "id").filter("false")
+    top = layers.agg(F.max(F.struct("layer", "id"))["layer"].alias("m")).first()["m"] or 0
+    current = layers.filter(F.col("layer") == top).agg(F.min("id").alias("id"))
+    walk = current.select(F.lit(0).alias("step"), "id")
+    for layer in range(top - 1, -1, -1):
+        below = current.join(e, F.col("id") == F.col("src")).select(F.col("dst").alias("id"))
+        current = cut_lineage(below.join(layers.filter(F.col("layer") == layer), "id").agg(F.min("id").alias("id")))
+        walk = walk.unionAll(current.select(F.lit(top - layer).alias("step"), "id"))
+    return walk
+
+
+def density(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    n = nodes.agg(F.count("*").alias("n")).withColumn("_one", F.lit(1))
+    m = edges.agg(F.count("*").alias("m")).withColumn("_one", F.lit(1))
+    value = F.when(F.col("n") > 1, F.col("m") / (F.col("n") * (F.col("n") - 1))).otherwise(0.0)
+    return n.join(m, "_one").select("n", "m", value.alias("density"))
+
+
+def key_hubs(edges: DataFrame, k: int = 5) -> DataFrame:
+    return edges.groupBy(F.col("dst").alias("id")).agg(F.count("*").alias("in_degree")).orderBy(F.desc("in_degree"), "id").limit(k)
+
+
+# Node reports ---------------------------------------------------------------
+
+def impact_scores(edges: DataFrame, seeds: DataFrame | None = None, critical: float = 5.0) -> DataFrame:
+    """Direct dependents plus half of all transitive dependents."""
+    back = reverse(edges)
+    direct = edges.select("src", "dst").distinct().groupBy(F.col("dst").alias("id")).agg(F.count("*").alias("direct"))
+    total = closure_sizes(back, seeds).select("id", F.col("reachable").alias("transitive"))
+    joined = total.join(direct, "id")
+    score = F.col("direct") + F.col("transitive") * 0.5
+    return joined.select("id", "direct", "transitive", score.alias("impact"), (score >= critical).alias("critical"))
+
+
+def node_profile(nodes: DataFrame, edges: DataFrame, as_of_year: int | None = None) -> DataFrame:
+    """Degrees, closure sizes, depth, impact, external calls, rank and influence per node."""
+    e = cut_lineage(edges.select("src", "dst").distinct())
+    named = nodes.select("id", "file", *(["year"] if "year" in nodes.columns else []))
+    deg = degrees(e)
+    down = closure_sizes(e).select("id", F.col("reachable").alias("dependencies"), "depth")
+    up = closure_sizes(reverse(e)).select("id", F.col("reachable").alias("dependents"))
+    files = nodes.select("id", "file")
+    ext = e.join(files.withColumnsRenamed({"id": "src", "file": "f1"}), "src").join(
+        files.withColumnsRenamed({"id": "dst", "file": "f2"}), "dst").filter("f2 <> '' AND f1 <> f2").groupBy(
+        F.col("src").alias("id")).agg(F.count("*").alias("external_calls"))
+    out = named
+    for part in (deg, down, up, ext, pagerank(nodes, e)):
+        out = out.join(part, "id", "left")
+    out = out.fillna(0, ["in_degree", "out_degree", "dependencies", "depth", "dependents", "external_calls"])
+    out = out.withColumn("impact", F.col("in_degree") + F.col("dependents") * 0.5)
+    if as_of_year is not None:
+        out = out.withColumn("influence", S.influence_score(F.col("in_degree"), F.col("out_degree"), F.col("year"), as_of_year))
+    return out
+
+
+def compare_nodes(nodes: DataFrame, edges: DataFrame, a, b, max_depth: int = 5) -> DataFrame:
+    """Degrees of two nodes, their common neighbours and the path between them, as one row."""
+    from .joins import common_neighbours
+
+    one = F.lit(1).alias("_one")
+    refs = common_neighbours(edges, a, b).agg(F.count("*").alias("common_references")).select("common_references", one)
+    cits = common_neighbours(edges, a, b, "citations").agg(F.count("*").alias("common_citations")).select("common_citations", one)
+    path = shortest_path(edges, a, b, max_depth).agg(F.coalesce(F.max("length"), F.lit(-1)).alias("path_length")).select("path_length", one)
+    deg = degrees(edges.filter(F.col("src").isin(a, b) | F.col("dst").isin(a, b)))
+    pick = lambda c, node: F.coalesce(F.max(F.when(F.col("id") == node, F.col(c))), F.lit(0))
+    pair = deg.agg(
+        pick("in_degree", a).alias("a_citations"), pick("out_degree", a).alias("a_references"),
+        pick("in_degree", b).alias("b_citations"), pick("out_degree", b).alias("b_references")).withColumn("_one", F.lit(1))
+    return pair.join(refs, "_one").join(cits, "_one").join(path, "_one").drop("_one")
+
+
+def refactor_flags(profile: DataFrame, cycles: DataFrame | None = None) -> DataFrame:
+    """Threshold rules on degree, closure, depth and cycle membership."""
+    calls, called, deps, depth = (F.col(c) for c in ("out_degree", "in_degree", "dependencies", "depth"))
+    tests = [
+        F.when(calls > 15, "calls_many"), F.when(called > 10, "wide_impact"), F.when(deps > 30, "many_transitive_callees"),
+        F.when(depth > 10, "deep_call_chain"), F.when(calls > 10, "split_module"), F.when(deps > 20, "many_transitive_dependencies"),
+        F.when(calls > 5, "extract_logic"), F.when(depth > 5, "break_up_function"), F.when(deps > 10, "split_focused_modules")]
+    out = profile
+    if cycles is not None:
+        members = cycles.select(F.explode("cycle").alias("id")).distinct().withColumn("_cyclic", F.lit(True))
+        out = out.join(members, "id", "left")
+        tests.append(F.when(F.col("_cyclic"), "circular_dependency"))
+    return out.select("id", F.explode(F.array_compact(F.array(*tests))).alias("flag"))
