@@ -53,13 +53,13 @@ def leaf_and_entry(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 # PageRank -------------------------------------------------------------------
 
 def pagerank(
-    nodes: DataFrame, edges: DataFrame, damping: float = 0.85, iterations: int = 100, tolerance: float = 0.0, every: int = 3
+    nodes: DataFrame, edges: DataFrame, damping: float = 0.85, iterations: int = 100, tolerance: float = 1e-14, every: int = 3
 ) -> DataFrame:
     """r = (1-d)/n + d M r over distinct references; dangling mass is not spread.
 
     Every few rounds the ranks are checkpointed and compared with those of the
-    round before. Once no rank moves by more than ``tolerance`` further rounds
-    change nothing, so with 0 the result equals the full number of iterations.
+    round before. Once no rank moves by more than ``tolerance`` (rounding noise by
+    default) the remaining rounds would change nothing visible and are skipped.
     """
     ids = nodes.select("id")
     links = edges.select("src", "dst").distinct().join(ids.withColumnRenamed("id", "dst"), "dst", "left_semi")
