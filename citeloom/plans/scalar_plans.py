@@ -485,8 +485,8 @@ def clean_embedded_json(t):
 SELECT conv_id, md5(substring(coalesce(string_agg(CASE WHEN role IN ('user', 'assistant') THEN text END, chr(10) || chr(10) ORDER BY turn), ''), 1, 2000)) AS prompt_md5
 FROM conversations GROUP BY conv_id""")
 def truncate_context(t):
-    turns = t("conversations").select(
-        "conv_id", F.struct("turn", F.col("role").alias("kind"), F.col("text").alias("content")).alias("s"))
-    packed = turns.groupBy("conv_id").agg(F.array_sort(F.collect_list("s")).alias("sections"))
-    return packed.select(
-        "conv_id", F.md5(X.truncate_sections(F.col("sections"), ["user", "assistant"], 2000)).alias("prompt_md5"))
+    from citeloom.operators.documents import truncate_context as truncate
+
+    prompt = truncate(t("conversations"), "conv_id", "turn", "role", "text", ["user", "assistant"], 2000)
+    every = t("conversations").select("conv_id").distinct().join(prompt, "conv_id", "left")
+    return every.select("conv_id", F.md5(F.coalesce("prompt", F.lit(""))).alias("prompt_md5"))
