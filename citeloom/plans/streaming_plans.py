@@ -148,7 +148,7 @@ def circuit_breaker_stream(t):
 
 @query("ttl_state", f"WITH RECURSIVE {_ADMIT} SELECT key_id AS user_id, event_id, allowed FROM f")
 def ttl_state(t):
-    out = run_append(L.run_machine(_events(t), steps.admission(1, 1, 2), "allowed boolean, reason string", ttl=True))
+    out = run_append(L.run_machine(_events(t), steps.admission(1, 1, 2), "allowed boolean, reason string", ttl=True), once=True)
     return out.select("user_id", "event_id", "allowed")
 
 
@@ -157,7 +157,7 @@ def bounded_buffer(t):
     return run_append(L.bounded_buffer(_events(t), 5))
 
 
-@query("heartbeat_liveness", "SELECT user_id, epoch_ms(MAX(ts)) AS last_ms FROM events GROUP BY user_id HAVING MAX(ts) + INTERVAL 1 HOUR < (SELECT MAX(ts) FROM events) - INTERVAL 1 MINUTE")
+@query("heartbeat_liveness", "SELECT user_id, epoch_us(MAX(ts)) // 1000 AS last_ms FROM events GROUP BY user_id HAVING MAX(ts) + INTERVAL 1 HOUR < (SELECT MAX(ts) FROM events) - INTERVAL 1 MINUTE")
 def heartbeat_liveness(t):
     return run_append(L.heartbeat_liveness(_events(t), 3600, "1 minute"))
 

@@ -14,12 +14,16 @@ def scratch_dir(spark: SparkSession) -> str:
     return f"{(shared or tempfile.mkdtemp(prefix='citeloom-')).rstrip('/')}/run-{uuid.uuid4().hex}"
 
 
-def run_append(stream: DataFrame) -> DataFrame:
-    """Append-mode run into a parquet table with exactly-once files."""
+def run_append(stream: DataFrame, once: bool = False) -> DataFrame:
+    """Append-mode run into a parquet table with exactly-once files.
+
+    State with a lifetime in processing time never runs out of work to do, so
+    such streams take one batch (``once``).
+    """
     spark = stream.sparkSession
     root = scratch_dir(spark)
     query = (stream.writeStream.format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/state")
-             .outputMode("append").trigger(availableNow=True).start())
+             .outputMode("append").trigger(**({"once": True} if once else {"availableNow": True})).start())
     query.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{root}/out")
 
