@@ -73,7 +73,7 @@ FEED_ENTRY = "id string, title string, summary string, published string, author
 
 def read_feed_xml(spark: SparkSession, path: str) -> DataFrame:
     """Atom entries as paper rows; an unreadable date counts as January 2024."""
-    e = spark.read.format("xml").schema(FEED_ENTRY).option("rowTag", "entry").load(path)
+    e = spark.read.format("xml").schema(FEED_ENTRY).option("rowTag", "entry").option("multiLine", False).load(path)
     pdf = F.filter(F.coalesce("link", F.array().cast("array<struct<_href:string,_title:string>>")), lambda l: l["_title"] == "pdf")
     return e.select(
         F.regexp_extract("id", r"(\d+\.\d+)", 1).alias("paper_id"), X.squeeze(F.col("title")).alias("title"), X.squeeze(F.col("summary")).alias("abstract"),
@@ -90,7 +90,7 @@ MONTHS = "Jan Feb Mar Apr May Jun Jul Aug Sep Oct Nov Dec".split()
 
 
 def read_article_xml(spark: SparkSession, path: str) -> DataFrame:
-    a = spark.read.format("xml").schema(ARTICLE).option("rowTag", "PubmedArticle").load(path)
+    a = spark.read.format("xml").schema(ARTICLE).option("rowTag", "PubmedArticle").option("multiLine", False).load(path)
     art, date = "MedlineCitation.Article", "MedlineCitation.Article.Journal.JournalIssue.PubDate"
     doi = F.filter("PubmedData.ArticleIdList.ArticleId", lambda i: i["_IdType"] == "doi")
     month = F.array_position(F.array(*[F.lit(m) for m in MONTHS]), F.substring(f"{date}.Month", 1, 3)).cast("int")
