@@ -22,7 +22,13 @@ def pagerank(t):
     return G.pagerank(t("dep_nodes"), t("dep_edges")).select("id", S.rounded(F.col("rank") * 1_000_000, 6).alias("rank_ppm"))
 
 
-@query("pagerank_citations")
+_PC = ["r0 AS (SELECT id, 1e0 / (SELECT COUNT(*) FROM cite_nodes) AS r FROM cite_nodes)"]
+for _i in range(1, 13):
+    _PC.append(f"""r{_i} AS (SELECT n.id, 0.15e0 / (SELECT COUNT(*) FROM cite_nodes) + 0.85e0 * coalesce(SUM(r.r * o.share), 0) AS r
+  FROM cite_nodes n LEFT JOIN cites e ON e.dst = n.id LEFT JOIN r{_i - 1} r ON r.id = e.src LEFT JOIN o ON o.src = e.src GROUP BY n.id)""")
+
+
+@query("pagerank_citations", f"WITH o AS (SELECT src, 1e0 / COUNT(*) AS share FROM cites GROUP BY src), {', '.join(_PC)} SELECT id, round(r * 1000000, 6) AS rank_ppm FROM r12")
 def pagerank_citations(t):
     return G.pagerank(t("cite_nodes"), t("cites"), iterations=12).select("id", S.rounded(F.col("rank") * 1_000_000, 6).alias("rank_ppm"))
 

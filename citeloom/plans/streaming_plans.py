@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from citeloom.functions import scoring as S
+from citeloom.functions import constants as K, scoring as S
 from citeloom.operators.aggregates import with_cost
 from citeloom.streaming import operators as L, replay as P, steps
 from citeloom.streaming.run import late_rows, run_append, run_update
@@ -38,7 +38,17 @@ def token_bucket_replay(t):
     return P.replay(t("usage"), steps.token_bucket(_RATE, 3), "allowed boolean, retry_after double").select("key_id", "event_id", "allowed")
 
 
-@query("circuit_breaker_replay")
+_BREAKER = f"""{_ORDERED.replace('status,', "status <> 'error' AS ok,")},
+b AS (SELECT key_id, 0::BIGINT AS n, 0::BIGINT AS event_id, 'closed' AS state, 0 AS fails, 0 AS succ, 0 AS trials, 0::BIGINT AS opened, false AS allowed FROM o WHERE n = 1
+  UNION ALL SELECT key_id, n, event_id, CASE WHEN rej THEN s0 WHEN ok AND s0 = 'half_open' AND succ + 1 >= 3 THEN 'closed' WHEN NOT ok AND (s0 = 'half_open' OR fails + 1 >= 5) THEN 'open' ELSE s0 END,
+    CASE WHEN rej THEN fails WHEN ok AND s0 = 'half_open' AND succ + 1 >= 3 THEN 0 WHEN ok THEN fails ELSE fails + 1 END, CASE WHEN rej THEN succ WHEN ok AND s0 = 'half_open' AND succ + 1 >= 3 THEN 0 WHEN ok THEN succ + 1 ELSE succ END,
+    CASE WHEN NOT rej AND s0 = 'half_open' THEN t0 + 1 ELSE t0 END, CASE WHEN NOT rej AND NOT ok AND (s0 = 'half_open' OR fails + 1 >= 5) THEN us ELSE opened END, NOT rej
+  FROM (SELECT *, s0 = 'open' OR (s0 = 'half_open' AND t0 >= 3) AS rej FROM (
+    SELECT o.key_id, o.n, o.event_id, o.ok, o.us, b.fails, b.succ, b.opened, CASE WHEN b.state = 'open' AND o.us - b.opened >= 86400000000 THEN 'half_open' ELSE b.state END AS s0,
+      CASE WHEN b.state = 'open' AND o.us - b.opened >= 86400000000 THEN 0 ELSE b.trials END AS t0 FROM b JOIN o ON o.key_id = b.key_id AND o.n = b.n + 1)))"""
+
+
+@query("circuit_breaker_replay", f"WITH RECURSIVE {_BREAKER} SELECT key_id, event_id, allowed, state FROM b WHERE n > 0")
 def circuit_breaker_replay(t):
     usage = t("usage").withColumn("ok", F.col("status") != "error")
     return P.replay(usage, steps.circuit_breaker(recovery=86400), "allowed boolean, state string", ok="ok")
@@ -94,7 +104,16 @@ def sliding_error_rate(t):
     return out.select(F.unix_seconds("start").alias("start"), "n", "error_rate", "firing")
 
 
-@query("sliding_p95")
+_BOUNDS = [0.0, *K.HISTOGRAM_BOUNDS]
+_P95 = "CASE " + " ".join(
+    f"WHEN b{i} >= n * 0.95 THEN {lo} + {hi - lo!r} * (n * 0.95 - {f'b{i - 1}' if i > 1 else '0'}) / (b{i} - {f'b{i - 1}' if i > 1 else '0'})"
+    for i, (lo, hi) in enumerate(zip(_BOUNDS, _BOUNDS[1:]), 1)) + f" ELSE {_BOUNDS[-1]} END"
+_BUCKETS = ", ".join(f"COUNT(*) FILTER (value / 100 <= {hi}) AS b{i}" for i, hi in enumerate(K.HISTOGRAM_BOUNDS, 1))
+
+
+@query("sliding_p95", f"""
+WITH {_slides(3600, 600)}, h AS (SELECT start, COUNT(*) AS n, {_BUCKETS} FROM b WHERE {_KEPT} GROUP BY start)
+SELECT start, n, round({_P95}, 6) AS p95, round({_P95}, 6) > 2 AS firing FROM h""")
 def sliding_p95(t):
     stream = _events(t).withColumn("latency", F.col("value") / 100)
     out = run_append(L.sliding_p95(stream, "latency", "1 hour", "10 minutes", "1 hour"))
@@ -141,7 +160,7 @@ def combined_rate_limiter(t):
     return run_append(L.run_machine(_events(t), steps.combined_limiter(1, 1, 2), "allowed boolean, reason string"))
 
 
-@query("circuit_breaker_stream")
+@query("circuit_breaker_stream", f"WITH RECURSIVE {_BREAKER} SELECT key_id AS user_id, event_id, allowed, state FROM b WHERE n > 0")
 def circuit_breaker_stream(t):
     return run_append(L.run_machine(_events(t), steps.circuit_breaker(recovery=86400), "allowed boolean, state string", ok=F.col("event_type") != "error"))
 
