@@ -7,6 +7,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from citeloom.session import spread
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 VIEWS: dict[str, tuple[str, str]] = {}
@@ -16,6 +18,9 @@ BASE_TABLES = (
     "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations",
 )
 
+# Tables whose rows carry whole texts or vectors.
+HEAVY_ROWS = ("documents", "pages", "embeddings", "benchmark")
+
 
 def view(name: str, sql: str, duck: str | None = None) -> None:
     """Register a derived table; ``duck`` overrides the text where dialects differ."""
@@ -36,7 +41,8 @@ class Tables:
 
     def __call__(self, name: str) -> DataFrame:
         if name in BASE_TABLES:
-            return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+            scan = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+            return spread(scan) if name in HEAVY_ROWS else scan
         sql = VIEWS[name][0]
         inputs: dict[str, DataFrame] = {}
         words = set(re.findall(r"[A-Za-z_][A-Za-z_0-9]*", sql))

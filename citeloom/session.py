@@ -57,3 +57,13 @@ def fits_broadcast(df: DataFrame, row_limit: int = BROADCAST_ROW_LIMIT) -> bool:
     Reads at most ``row_limit + 1`` rows, so the check itself is bounded.
     """
     return df.limit(row_limit + 1).count() <= row_limit
+
+
+def spread(scan: DataFrame) -> DataFrame:
+    """Spread a plain table scan of fewer splits than cores before text or vector work.
+
+    A table of few large rows may come as one split. Large tables have more splits
+    than cores and are returned as they are, without a shuffle.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan if scan.rdd.getNumPartitions() >= cores else scan.repartition(cores)
