@@ -1,6 +1,6 @@
 """Graph analytics on edge tables ``(src, dst)``: src references / depends on dst.
 
-Loops carry their state through reliable checkpoints and ask the driver only for
+Loops carry their state through tables written to the shared folder and ask the driver only for
 a stop test of one row.
 """
 
@@ -57,7 +57,7 @@ def pagerank(
 ) -> DataFrame:
     """r = (1-d)/n + d M r over distinct references; dangling mass is not spread.
 
-    Every few rounds the ranks are checkpointed and compared with those of the
+    Every few rounds the ranks are written out and compared with those of the
     round before. Once no rank moves by more than ``tolerance`` (rounding noise by
     default) the remaining rounds would change nothing visible and are skipped.
     """

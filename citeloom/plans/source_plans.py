@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from citeloom.operators import rules as R
 from citeloom.sources import readers, sinks, tables
-from citeloom.streaming.run import scratch_dir
+from citeloom.session import scratch_dir
 
 from .registry import query
 from .views import AS_OF

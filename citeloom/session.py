@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -28,23 +29,33 @@ def build_session(app: str = "citeloom", master: str | None = None, **conf: str)
     return builder.getOrCreate()
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the cluster's shared checkpoint folder; fall back to a temporary one.
+_TEMPORARY: dict[str, str] = {}
 
-    A cluster names its shared folder in ``spark.checkpoint.dir``. Only a session
-    without that setting (local tests) gets a fresh temporary folder.
+
+def scratch_dir(spark: SparkSession) -> str:
+    """A fresh folder below the cluster's shared ``spark.checkpoint.dir``.
+
+    Only a session without that setting (local tests) gets a temporary folder.
     """
-    sc = spark.sparkContext
-    if sc.getCheckpointDir():
-        return
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="citeloom-ckpt-"))
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not shared:
+        app = spark.sparkContext.applicationId
+        if app not in _TEMPORARY:
+            _TEMPORARY[app] = tempfile.mkdtemp(prefix="citeloom-")
+        shared = _TEMPORARY[app]
+    return f"{shared.rstrip('/')}/run-{uuid.uuid4().hex}"
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint: the result survives the loss of any executor."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write a loop's state as a table in the shared folder and read it back.
+
+    The table survives the loss of any executor, is computed once, and gives the
+    next round true sizes: a checkpointed plan keeps the estimates of the plan it
+    replaced, which joins multiply round after round.
+    """
+    path = scratch_dir(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 # Rows a broadcast side may hold; larger sides go through a shuffle join.

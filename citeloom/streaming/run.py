@@ -2,16 +2,9 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+from pyspark.sql import DataFrame, functions as F
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
-
-
-def scratch_dir(spark: SparkSession) -> str:
-    """A fresh folder below the cluster's shared checkpoint folder (a temporary one where none is set)."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    return f"{(shared or tempfile.mkdtemp(prefix='citeloom-')).rstrip('/')}/run-{uuid.uuid4().hex}"
+from citeloom.session import scratch_dir
 
 
 def run_append(stream: DataFrame, once: bool = False) -> DataFrame:
