@@ -250,7 +250,7 @@ def histogram_quantile(buckets: DataFrame, keys: Sequence[str], q: float) -> Dat
     inside = F.col("prev_le") + (F.col("le") - F.col("prev_le")) * share
     reached = steps.filter((F.col("cumulative") >= rank) & (F.col("n") > 0)).withColumn(
         "v", F.when(F.col("le").isNull(), F.col("prev_le")).otherwise(inside))
-    return reached.groupBy(*keys).agg(S.rounded(F.min_by("v", "cumulative"), 6).alias("quantile"))
+    return reached.groupBy(*keys).agg(S.rounded(F.min_by("v", F.coalesce("le", F.lit(float("inf")))), 6).alias("quantile"))
 
 
 def error_ratio(df: DataFrame, keys: Sequence[str]) -> DataFrame:

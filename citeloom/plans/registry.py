@@ -38,6 +38,8 @@ class Tables:
     def __init__(self, spark: SparkSession, sf_dir: str) -> None:
         self.spark = spark
         self.sf_dir = sf_dir
+        # The tables hold zone-free UTC times.
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
 
     def __call__(self, name: str) -> DataFrame:
         if name in BASE_TABLES:
