@@ -160,7 +160,7 @@ def usage(spark, n=300):
     return data, df.withColumn("ts", F.timestamp_seconds("sec"))
 
 
-@pytest.mark.parametrize("machine", [steps.admission(2, 3, 5), steps.token_bucket(0.01, 2), steps.circuit_breaker(2, 60, 2)])
+@pytest.mark.parametrize("machine", [steps.admission(2, 3, 5), steps.token_bucket(0.01, 2), steps.circuit_breaker(2, 60, 2), steps.combined_limiter(2, 3, 2)])
 def test_replay_equals_sequential_fold(spark, machine):
     data, df = usage(spark)
     states, want = {}, {}
