@@ -55,3 +55,22 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir, "doc_id", "text")
     index = build_index(docs, scratch_dir(spark))
     return drop_repeated_lines(docs, index).select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query("op5_simhash_near_dedup")
+def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from citeloom.llm.simhash import near_duplicates
+
+    found = near_duplicates(documents(spark, sf_dir, "doc_id", "text"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+@query("op7_quality_classifier")
+def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from citeloom.llm.quality_fm import fit_quality, score_quality
+
+    docs = documents(spark, sf_dir, "doc_id", "text")
+    model = fit_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
+    return score_quality(docs, model).select(
+        "doc_id", held_out.alias("held_out"), "score", F.when(F.col("score") >= 0.3, 1).otherwise(0).alias("predicted"))
