@@ -74,3 +74,30 @@ def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
     return score_quality(docs, model).select(
         "doc_id", held_out.alias("held_out"), "score", F.when(F.col("score") >= 0.3, 1).otherwise(0).alias("predicted"))
+
+
+@query("op10_quality_rules", r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, coalesce(source, '') AS host FROM documents),
+w AS (SELECT doc_id, text, host, list_filter(regexp_split_to_array(text, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words,
+        list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM d),
+win AS (SELECT doc_id, unnest(list_transform(generate_series(1, len(words) - 2), lambda i: {'i': i, 'k': words[i] || ' ' || words[i + 1] || ' ' || words[i + 2]})) AS x FROM w WHERE len(words) >= 3),
+twice AS (SELECT doc_id, x.k AS k FROM win GROUP BY ALL HAVING count(*) > 1),
+covered AS (SELECT DISTINCT win.doc_id, unnest([x.i, x.i + 1, x.i + 2]) AS i FROM win JOIN twice ON win.doc_id = twice.doc_id AND win.x.k = twice.k),
+rep AS (SELECT doc_id, count(*) AS n_repeat_words FROM covered GROUP BY doc_id),
+l AS (SELECT doc_id, host, text, unnest(lines) AS line FROM w),
+nl AS (SELECT doc_id, host, text, line, regexp_replace(lower(trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))), '[0-9]+', '0', 'g') AS key FROM l),
+freq AS (SELECT host, key, count(DISTINCT text) AS n FROM nl GROUP BY ALL HAVING count(DISTINCT text) >= 10),
+hosts AS (SELECT host, count(DISTINCT text) AS n_host FROM d GROUP BY host),
+common AS (SELECT host, key FROM freq JOIN hosts USING (host) WHERE n >= 0.02 * n_host),
+lost AS (SELECT doc_id, sum(len(list_filter(regexp_split_to_array(line, '[\x20\x09-\x0D]+'), lambda x: x <> ''))) AS n_lost FROM nl JOIN common USING (host, key) GROUP BY doc_id),
+base AS (SELECT doc_id, len(words) AS n_words, length(array_to_string(words, '')) AS word_chars, length(regexp_replace(text, '[^#*$%&|<>]+', '', 'g')) AS n_symbols,
+        len(lines) - len(list_distinct(lines)) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words, coalesce(n_lost, 0)::BIGINT AS n_boilerplate_words
+    FROM w LEFT JOIN rep USING (doc_id) LEFT JOIN lost USING (doc_id)),
+f AS (SELECT *, (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AS base_failed FROM base)
+SELECT *, (NOT base_failed AND n_boilerplate_words <= 0.5 * n_words) AS kept FROM f
+""")
+def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from citeloom.llm.quality_rules import apply_quality_rules
+
+    docs = documents(spark, sf_dir, "doc_id", "text", "source")
+    return apply_quality_rules(docs).drop("clean_text")
