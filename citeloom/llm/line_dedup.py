@@ -18,7 +18,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from citeloom.llm.common import ASCII_SPACE
+from citeloom.llm.common import ASCII_SPACE, stored
 from citeloom.session import scratch_dir
 
 RUN_SCHEMA = "high long, low long, n_docs long, last_doc long"
@@ -141,7 +141,8 @@ def drop_repeated_lines(docs: DataFrame, index: LineIndex, min_docs: int = 5, mi
     A null or empty text is one empty line. Each row counts as a document. A row with a null doc_id
     counts and loses its repeated lines; a line that only such rows hold stays. Other columns are ignored.
     """
-    often = index.totals().where(F.col("n_docs") >= min_docs).where(F.col("last_doc").isNotNull()).select("high", "low", "last_doc")
+    # Stored, so that both sides of the join below are plain exchanges, which AQE can split.
+    often = stored(index.totals().where(F.col("n_docs") >= min_docs).where(F.col("last_doc").isNotNull()).select("high", "low", "last_doc"))
     # A hot line meets one row of `often`; AQE splits its partition and only (doc, line) pairs move on.
     hits = (
         line_hashes(docs, min_chars, distinct=False).join(often, ["high", "low"])

@@ -10,29 +10,38 @@ a metadata-only read touches only the pages it needs.
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 #: Bytes of a row group and of a page, and rows of a page.
 ROW_GROUP_BYTES = 64 << 20
 PAGE_BYTES = 256 << 10
 PAGE_ROWS = 2_000
-#: Distinct chunks a task keeps encoded; beyond it the memory starts anew, results stay the same.
-CACHED_CHUNKS = 600_000
+#: Distinct chunks (and twice as many words) a worker keeps encoded; beyond it the memory starts anew, results stay the same.
+CACHED_CHUNKS = 350_000
 
 TOKEN_SCHEMA = "doc_id long, part int, local_start long, n_tokens long, tokens array<int>"
 
 
+#: A word of Latin letters with at most one comma or full stop behind it.
+_PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([,.]?)")
+_MARK = "\x01"
+
+
 class ChunkEncoder:
     """Encodes texts chunk by chunk and keeps the ids of the chunks seen.
 
     A vocabulary whose pre-tokenizer never joins text across blanks gives a text the ids
     of its blank-separated chunks, one after the other. Only the blank and the line feed
     are cut at; any other white space stays inside a chunk for the tokenizer to treat.
+    A vocabulary that also ignores case and cuts punctuation off (``folds``, found out by
+    trying it) shares the ids of a plain word between its spellings.
     """
 
     def __init__(self, vocabulary: str, cached_chunks: int = CACHED_CHUNKS) -> None:
@@ -41,43 +50,68 @@ class ChunkEncoder:
 
         self.tokenizer = Tokenizer.from_file(vocabulary)
         self.cached_chunks = cached_chunks
-        self._reset()
-
-    def _reset(self) -> None:
-        self.code: dict[str, int] = {}
-        self.pool = np.empty(1 << 16, np.int32)
-        self.first = np.zeros(1, np.int64)  # where the ids of code i start in the pool
+        self.chunks: dict[str, bytes] = {}
+        self.words: dict[str, bytes] = {}
+        ids = lambda text: self.tokenizer.encode(text, add_special_tokens=False).ids
+        self.mark = ids(_MARK)[0] if len(ids(_MARK)) == 1 else None
+        self.tail = {c: np.array(ids(c), "<i4").tobytes() for c in ("", ",", ".")}
+        self.folds = ids("Éa, b.") == ids("éa") + ids(",") + ids("b") + ids(".")
+
+    def _encode(self, parts: list[str]) -> list[bytes]:
+        """Ids of each part: many parts in one text, told apart by a mark that none of them holds."""
+        out: dict[str, bytes] = {}
+        alone = [p for p in parts if self.mark is None or _MARK in p or " " in p or not p]
+        for p, e in zip(alone, self.tokenizer.encode_batch_fast(alone, add_special_tokens=False)):
+            out[p] = np.array(e.ids, "<i4").tobytes()
+        plain = [p for p in parts if p not in out]
+        blocks = [plain[i:i + 500] for i in range(0, len(plain), 500)]
+        for block, e in zip(blocks, self.tokenizer.encode_batch_fast([f" {_MARK} ".join([*block, ""]) for block in blocks], add_special_tokens=False)):
+            ids = np.array(e.ids, "<i4")
+            start = 0
+            for p, end in zip(block, np.flatnonzero(ids == self.mark).tolist()):
+                out[p] = ids[start:end].tobytes()
+                start = end + 1
+        return [out[p] for p in parts]
 
     def _learn(self, chunks: list[str]) -> None:
-        ids = [e.ids for e in self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)]
-        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-        start, total = self.first[-1], self.first[-1] + sizes.sum()
-        if total > len(self.pool):
-            self.pool = np.concatenate([self.pool, np.empty(max(total - len(self.pool), len(self.pool)), np.int32)])
-        self.pool[start:total] = np.fromiter((i for x in ids for i in x), np.int32, total - start)
-        self.first = np.concatenate([self.first, start + np.cumsum(sizes)])
-        self.code.update(zip(chunks, range(len(self.code), len(self.code) + len(chunks))))
-
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """All ids of ``texts`` in a row, and how many each text has."""
+        plain, rest = [], []
+        for chunk in chunks:
+            if self.folds and (found := _PLAIN.fullmatch(chunk)):
+                plain.append((chunk, found[1].lower(), found[2]))
+            else:
+                rest.append(chunk)
+        if len(self.words) > 2 * self.cached_chunks:
+            self.words = {}
+        words, tail = self.words, self.tail
+        new = list({word for _, word, _ in plain}.difference(words))
+        words.update(zip(new, self._encode(new)))
+        self.chunks.update((chunk, words[word] + tail[end] if end else words[word]) for chunk, word, end in plain)
+        self.chunks.update(zip(rest, self._encode(rest)))
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text as little-endian 32-bit integers."""
+        if self.folds:  # fewer spellings to keep; a special token's string is left as it is
+            texts = [t.lower() if t.isascii() and "<|" not in t else t for t in texts]
         parts = [text.replace("\n", " ").split(" ") for text in texts]
-        chunks = [chunk for part in parts for chunk in part]
-        if len(self.code) > self.cached_chunks:
-            self._reset()
-        if new := list(set(chunks).difference(self.code)):
+        if len(self.chunks) > self.cached_chunks:
+            self.chunks = {}
+        if new := list(set().union(*parts).difference(self.chunks)):
             self._learn(new)
-        codes = np.fromiter(map(self.code.__getitem__, chunks), np.int64, len(chunks))
-        sizes = self.first[codes + 1] - self.first[codes]
-        ends = np.cumsum(sizes)
-        total = int(ends[-1]) if len(ends) else 0
-        # Place of each id in the pool: the chunk's start plus the id's place in the chunk.
-        where = np.repeat(self.first[codes] - (ends - sizes), sizes) + np.arange(total)
-        chunk_ends = np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)))
-        bounds = np.concatenate([[0], ends])[np.concatenate([[0], chunk_ends])]
-        return self.pool[where], np.diff(bounds)
-
-
-def write_tokens(docs: DataFrame, path: str, vocabulary: str, end_id: int = 1, slice_chars: int = 4 << 20,
+        ids = self.chunks.__getitem__
+        return [b"".join(map(ids, part)) for part in parts]
+
+
+_ENCODERS: dict[str, ChunkEncoder] = {}
+
+
+def encoder_for(vocabulary: str, cached_chunks: int) -> ChunkEncoder:
+    """The encoder of this Python worker; it serves one task after the other."""
+    if vocabulary not in _ENCODERS:
+        _ENCODERS[vocabulary] = ChunkEncoder(vocabulary, cached_chunks)
+    return _ENCODERS[vocabulary]
+
+
+def write_tokens(docs: DataFrame, path: str, vocabulary: str, end_id: int = 1, slice_bytes: int = 4 << 20,
                  cached_chunks: int = CACHED_CHUNKS) -> None:
     """Encode ``docs`` (doc_id, text; other columns are ignored) into a token table at ``path``.
 
@@ -90,28 +124,27 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str, end_id: int = 1, s
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encoder = ChunkEncoder(vocabulary, cached_chunks)
+        encoder, end = encoder_for(vocabulary, cached_chunks), np.array([end_id], "<i4").tobytes()
         part, start = TaskContext.get().partitionId(), 0
         for batch in batches:
-            texts = [t or "" for t in batch.column("text").to_pylist()]
-            ids = batch.column("doc_id")
+            column, doc_ids = batch.column("text"), batch.column("doc_id")
+            sizes = pc.fill_null(pc.binary_length(column), 0).to_numpy().tolist()
             low = 0
-            while low < len(texts):  # slices of bounded size, one long text at least
-                high, size = low + 1, len(texts[low])
-                while high < len(texts) and size + len(texts[high]) <= slice_chars:
-                    size += len(texts[high])
+            while low < len(sizes):  # slices of bounded size, one long text at least
+                high, size = low + 1, sizes[low]
+                while high < len(sizes) and size + sizes[high] <= slice_bytes:
+                    size += sizes[high]
                     high += 1
-                tokens, counts = encoder.encode(texts[low:high])
-                ends = np.cumsum(counts)
-                tokens = np.insert(tokens, ends, end_id)
-                counts = counts + 1
+                encoded = [ids + end for ids in encoder.encode([t or "" for t in column.slice(low, high - low).to_pylist()])]
+                tokens = np.frombuffer(b"".join(encoded), "<i4")
+                counts = np.fromiter(map(len, encoded), np.int64, len(encoded)) // 4
                 offsets = np.concatenate([[0], np.cumsum(counts)])
                 yield pa.RecordBatch.from_arrays([
-                    ids.slice(low, high - low),
+                    doc_ids.slice(low, high - low),
                     pa.array(np.full(high - low, part, np.int32)),
                     pa.array(start + offsets[:-1]),
                     pa.array(counts),
-                    pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(tokens.astype(np.int32))),
+                    pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(tokens)),
                 ], names=["doc_id", "part", "local_start", "n_tokens", "tokens"])
                 start += int(offsets[-1])
                 low = high
