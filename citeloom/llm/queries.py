@@ -138,3 +138,10 @@ def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mix_sources(documents(spark, sf_dir, "doc_id", "text", "source", "lang"))
     return mixed.select("doc_id", "source", "lang", F.col("_topic").alias("topic"), F.col("_tokens").alias("n_tokens"),
                         F.col("_probability").alias("probability"), F.col("_sampled").alias("sampled"))
+
+
+@query("op3_decontaminate")
+def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from citeloom.llm.decontaminate import find_contaminated
+
+    return find_contaminated(documents(spark, sf_dir, "doc_id", "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
