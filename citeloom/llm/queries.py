@@ -145,3 +145,10 @@ def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     from citeloom.llm.decontaminate import find_contaminated
 
     return find_contaminated(documents(spark, sf_dir, "doc_id", "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+@query("op6_pii_surrogates")
+def op6_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from citeloom.llm.surrogates import replace_entities
+
+    return replace_entities(documents(spark, sf_dir, "doc_id", "text"), spark.conf.get("spark.citeloom.surrogateKey", "surrogates"))

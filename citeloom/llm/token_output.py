@@ -24,7 +24,7 @@ ROW_GROUP_BYTES = 64 << 20
 PAGE_BYTES = 256 << 10
 PAGE_ROWS = 2_000
 #: Distinct chunks (and twice as many words) a worker keeps encoded; beyond it the memory starts anew, results stay the same.
-CACHED_CHUNKS = 350_000
+CACHED_CHUNKS = 500_000
 
 TOKEN_SCHEMA = "doc_id long, part int, local_start long, n_tokens long, tokens array<int>"
 
@@ -56,6 +56,9 @@ class ChunkEncoder:
         self.mark = ids(_MARK)[0] if len(ids(_MARK)) == 1 else None
         self.tail = {c: np.array(ids(c), "<i4").tobytes() for c in ("", ",", ".")}
         self.folds = ids("Éa, b.") == ids("éa") + ids(",") + ids("b") + ids(".")
+        vocab = self.tokenizer.get_vocab()
+        self.last = np.zeros(max(vocab.values()) + 1, bool)  # ids that end a word
+        self.last[[i for piece, i in vocab.items() if piece.endswith("</w>")]] = True
 
     def _encode(self, parts: list[str]) -> list[bytes]:
         """Ids of each part: many parts in one text, told apart by a mark that none of them holds."""
@@ -73,6 +76,19 @@ class ChunkEncoder:
                 start = end + 1
         return [out[p] for p in parts]
 
+    def _encode_words(self, words: list[str]) -> list[bytes]:
+        """Ids of each plain word: a word's last piece carries the end-of-word mark of the vocabulary."""
+        blocks, out = [words[i:i + 1000] for i in range(0, len(words), 1000)], []
+        for block, e in zip(blocks, self.tokenizer.encode_batch_fast([" ".join(block) for block in blocks], add_special_tokens=False)):
+            ids = np.array(e.ids, "<i4")
+            ends = (4 * np.flatnonzero(self.last[ids]) + 4).tolist()
+            if len(ends) == len(block):
+                whole = ids.tobytes()
+                out.extend([whole[a:b] for a, b in zip([0, *ends], ends)])
+            else:
+                out.extend(self._encode(block))
+        return out
+
     def _learn(self, chunks: list[str]) -> None:
         plain, rest = [], []
         for chunk in chunks:
@@ -84,7 +100,7 @@ class ChunkEncoder:
             self.words = {}
         words, tail = self.words, self.tail
         new = list({word for _, word, _ in plain}.difference(words))
-        words.update(zip(new, self._encode(new)))
+        words.update(zip(new, self._encode_words(new)))
         self.chunks.update((chunk, words[word] + tail[end] if end else words[word]) for chunk, word, end in plain)
         self.chunks.update(zip(rest, self._encode(rest)))
 
