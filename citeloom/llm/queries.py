@@ -152,3 +152,11 @@ def op6_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     from citeloom.llm.surrogates import replace_entities
 
     return replace_entities(documents(spark, sf_dir, "doc_id", "text"), spark.conf.get("spark.citeloom.surrogateKey", "surrogates"))
+
+
+@query("op9_repeated_text")
+def op9_repeated_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from citeloom.llm.repeated_text import remove_repeated
+
+    found = remove_repeated(documents(spark, sf_dir, "doc_id", "text"))
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))

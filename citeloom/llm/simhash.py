@@ -49,14 +49,18 @@ def simhash(hashes: np.ndarray) -> int:
 
 
 def fingerprints(docs: DataFrame, size: int = 3) -> DataFrame:
-    """doc_id and the signed 64-bit fingerprint of every whole text; a null text has fingerprint zero."""
+    """doc_id, row key and the signed 64-bit fingerprint of every whole text; a null text has fingerprint zero."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             values = [simhash(shingle_hashes(t or b"", size)) for t in batch.column("text").cast(pa.binary()).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.array(values, np.uint64).view(np.int64))], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("row"), pa.array(np.array(values, np.uint64).view(np.int64))], names=["doc_id", "row", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, fp long")
+    return docs.select(F.col("doc_id").cast("long"), row_key().alias("row"), "text").mapInArrow(run, "doc_id long, row long, fp long")
+
+
+def row_key():
+    return F.xxhash64("doc_id", "text")
 
 
 _LOW = 0x5555555555555555  # the lower bit of each segment
@@ -122,7 +126,7 @@ def near_links(classes: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, size: int = 3, max_bits: int = MAX_BITS) -> DataFrame:
-    """doc_id, fp and component_id, the smallest doc_id that can be reached over links.
+    """doc_id, row, fp and component_id, the smallest doc_id that can be reached over links.
 
     Equal fingerprints are one class; links are sought between classes, so copies cost no
     pairs. Texts without words have fingerprint zero and link like any other. Rows with
@@ -136,3 +140,17 @@ def near_duplicates(docs: DataFrame, size: int = 3, max_bits: int = MAX_BITS) ->
     named = members.groupBy("root").agg(F.min("first_doc").alias("component_id"))
     labels = members.join(named, "root").select("fp", "component_id")
     return prints.join(labels, "fp")
+
+
+def keep_one_of_each(docs: DataFrame, size: int = 3, max_bits: int = MAX_BITS) -> DataFrame:
+    """``docs`` without the near-duplicates of a document with a smaller doc_id.
+
+    Of rows with the same doc_id in one component one stays, chosen by a hash of its text.
+    A row without doc_id stays only if its component has no other member.
+    """
+    found = near_duplicates(docs, size, max_bits)
+    first = F.min(F.struct(F.coalesce("doc_id", F.lit((1 << 63) - 1)), "row"))  # smallest doc_id, null last
+    keep = stored(found.groupBy("component_id").agg(first["row"].alias("_row")).select("_row"))
+    rows = docs.withColumn("_row", row_key())
+    # Equal rows share a key; the join has them sorted side by side.
+    return rows.join(keep, "_row", "left_semi").dropDuplicates(["_row"]).select(*docs.columns)
