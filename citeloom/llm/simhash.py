@@ -49,14 +49,14 @@ def simhash(hashes: np.ndarray) -> int:
 
 
 def fingerprints(docs: DataFrame, size: int = 3) -> DataFrame:
-    """doc_id, row key and the signed 64-bit fingerprint of every whole text; a null text has fingerprint zero."""
+    """doc_id, row key, text key and the signed 64-bit fingerprint of every whole text; a null text has fingerprint zero."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             values = [simhash(shingle_hashes(t or b"", size)) for t in batch.column("text").cast(pa.binary()).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("row"), pa.array(np.array(values, np.uint64).view(np.int64))], names=["doc_id", "row", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("row"), batch.column("node"), pa.array(np.array(values, np.uint64).view(np.int64))], names=["doc_id", "row", "node", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long"), row_key().alias("row"), "text").mapInArrow(run, "doc_id long, row long, fp long")
+    return docs.select(F.col("doc_id").cast("long"), row_key().alias("row"), F.xxhash64("text").alias("node"), "text").mapInArrow(run, "doc_id long, row long, node long, fp long")
 
 
 def row_key():
@@ -142,15 +142,82 @@ def near_duplicates(docs: DataFrame, size: int = 3, max_bits: int = MAX_BITS) ->
     return prints.join(labels, "fp")
 
 
-def keep_one_of_each(docs: DataFrame, size: int = 3, max_bits: int = MAX_BITS) -> DataFrame:
+#: Sketches of a text and the shingles in each: texts of similarity 0.8 share a sketch with probability 0.99.
+SKETCHES = 10
+SKETCH_SHINGLES = 4
+
+
+def sketches(docs: DataFrame, size: int = 5) -> DataFrame:
+    """node, sketch number and fingerprint of SKETCHES samples of each distinct text's distinct shingles.
+
+    Sample t is the SKETCH_SHINGLES smallest shingle hashes under the t-th rehash, so
+    similar texts often have an equal sample and thus fingerprints at distance zero.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        odd = np.random.default_rng(SEED).integers(1, 2**63, SKETCHES).astype(np.uint64) * np.uint64(2) + np.uint64(1)
+        for batch in batches:
+            nodes, values = [], []
+            for node, text in zip(batch.column("node").to_pylist(), batch.column("text").cast(pa.binary()).to_pylist()):
+                hashes = np.unique(shingle_hashes(text or b"", size))
+                if len(hashes):
+                    nodes.append(node)
+                    rehashed = hashes[None, :] * odd[:, None]
+                    rehashed ^= rehashed >> np.uint64(31)
+                    k = min(SKETCH_SHINGLES, len(hashes))
+                    least = np.sort(np.partition(rehashed, k - 1, axis=1)[:, :k], axis=1)
+                    values.extend(map(simhash, least))
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.array(nodes, np.int64), SKETCHES)), pa.array(np.tile(np.arange(SKETCHES, dtype=np.int32), len(nodes))),
+                                              pa.array(np.array(values, np.uint64).view(np.int64))], names=["node", "sketch", "fp"])
+
+    return docs.select(F.xxhash64("text").alias("node"), "text").mapInArrow(run, "node long, sketch int, fp long")
+
+
+def similar_links(docs: DataFrame, size: int = 5, similarity: float = 0.8) -> DataFrame:
+    """Pairs (a, b) of distinct texts whose shingle sets have a Jaccard similarity of at least ``similarity``.
+
+    Texts that share a sketch meet the one of them that shares the most sketches with
+    others (the original of its copies) and the one with the smallest key, so a group costs
+    two rows per member; the similarity of every pair that met is computed exactly.
+    """
+    drawn = sketches(docs, size).distinct()
+    shared = drawn.groupBy("sketch", "fp").agg(F.count("*").alias("n")).where("n > 1")
+    drawn = stored(drawn.join(shared, ["sketch", "fp"]))
+    weights = drawn.groupBy("node").agg(F.sum("n").alias("weight"))
+    heads = drawn.join(weights, "node").groupBy("sketch", "fp").agg(F.array_distinct(F.array(F.max(F.struct("weight", "node"))["node"], F.min("node"))).alias("heads"))
+    met = drawn.join(heads, ["sketch", "fp"]).select("node", F.explode("heads").alias("head")).where("node <> head")
+    pairs = stored(met.select(F.least("node", "head").alias("a"), F.greatest("node", "head").alias("b")).distinct())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [np.unique(shingle_hashes(t or b"", size)).view(np.int64) for t in batch.column("text").cast(pa.binary()).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(sets, pa.list_(pa.int64()))], names=["node", "shingles"])
+
+    wanted = stored(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct())
+    texts = docs.select(F.xxhash64("text").alias("node"), "text").join(wanted, "node", "left_semi")
+    sets = stored(texts.mapInArrow(run, "node long, shingles array<long>").dropDuplicates(["node"]))
+    met = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa")), "a").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb")), "b")
+    both = F.size(F.array_intersect("sa", "sb"))
+    return met.where(both >= similarity * (F.size("sa") + F.size("sb") - both)).select("a", "b")
+
+
+def keep_one_of_each(docs: DataFrame, size: int = 3, max_bits: int = MAX_BITS, words: int = 5, similarity: float = 0.8) -> DataFrame:
     """``docs`` without the near-duplicates of a document with a smaller doc_id.
 
-    Of rows with the same doc_id in one component one stays, chosen by a hash of its text.
-    A row without doc_id stays only if its component has no other member.
+    Near-duplicates are texts whose fingerprints over ``size``-word shingles link, and texts
+    whose ``words``-word shingle sets reach ``similarity``; groups are the components of
+    both kinds of links. Of each group the row with the smallest doc_id stays (a row
+    without one only if all lack it), of equal rows one. Texts without words are one group.
     """
-    found = near_duplicates(docs, size, max_bits)
+    prints = stored(fingerprints(docs, size))
+    classes = stored(prints.groupBy("fp").agg(F.min("node").alias("first")))
+    same = prints.select("node", "fp").distinct().join(classes, "fp").select(F.col("first").alias("a"), F.col("node").alias("b"))
+    near = near_links(classes, max_bits)
+    near = near.join(classes.withColumnRenamed("fp", "a"), "a").select(F.col("first").alias("x"), "b").join(classes.withColumnRenamed("fp", "b"), "b").select(F.col("x").alias("a"), F.col("first").alias("b"))
+    roots = connected_components(same.union(near).union(similar_links(docs, words, similarity)))
+    grouped = prints.join(roots, "node", "left").withColumn("group", F.coalesce("root", "node"))
     first = F.min(F.struct(F.coalesce("doc_id", F.lit((1 << 63) - 1)), "row"))  # smallest doc_id, null last
-    keep = stored(found.groupBy("component_id").agg(first["row"].alias("_row")).select("_row"))
+    keep = stored(grouped.groupBy("group").agg(first["row"].alias("_row")).select("_row"))
     rows = docs.withColumn("_row", row_key())
     # Equal rows share a key; the join has them sorted side by side.
     return rows.join(keep, "_row", "left_semi").dropDuplicates(["_row"]).select(*docs.columns)
