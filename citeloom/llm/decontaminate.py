@@ -1,8 +1,9 @@
 """Benchmark decontamination on canonical templates.
 
 Numbers, units and names become typed placeholders, other words their lower-case form
-without punctuation. A capitalised word that starts a sentence may be a name or not, so a
-text has two readings: as a word, as a name. Windows of five template tokens of documents
+without punctuation. A capitalised word that starts a sentence may be a name or not, and a
+copy may have lost its capitals, so a text has three readings: with such words as words,
+as names, and with no names at all. Windows of five template tokens of documents
 and benchmark items are joined on their hash. Windows that meet on one alignment must
 fill the item's slots consistently, one value for one slot and the other way round; an
 item whose windows are covered to 80 % marks the document, also if its numbers and names
@@ -116,10 +117,10 @@ class TemplateReader:
 
 
 def _readings(t: dict[str, np.ndarray]) -> list[tuple[np.ndarray, np.ndarray]]:
-    """(token hashes, is a slot) with capitals that start a sentence read as words, and as names."""
-    out = []
-    for names in (False, True):
-        kind = t["kind"] if names else np.where((t["kind"] == CAPITAL) & t["start"], WORD, t["kind"])
+    """(token hashes, is a slot) with capitals that start a sentence read as words, as names, and with no names at all."""
+    out, capital = [], t["kind"] == CAPITAL
+    for words in (capital & t["start"], np.zeros(len(capital), bool), capital):
+        kind = np.where(words, WORD, t["kind"])
         tokens = t["hash"].copy()
         for k, place in _PLACE.items():
             tokens[kind == k] = place
@@ -130,7 +131,7 @@ def _readings(t: dict[str, np.ndarray]) -> list[tuple[np.ndarray, np.ndarray]]:
 def _windows(t: dict[str, np.ndarray], n_texts: int, size: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """For each reading: first token, length, hash and evidence of every window; a shorter text is one window.
 
-    The second reading leaves out the windows that are the same in the first.
+    Later readings leave out the windows that are the same in the first.
     """
     counts = np.bincount(t["owner"], minlength=n_texts)
     ends = np.cumsum(counts)
@@ -194,7 +195,7 @@ def item_windows(benchmark: DataFrame, size: int = WINDOW) -> DataFrame:
                 t = reader.read(texts[low:high])
                 counts = np.bincount(t["owner"], minlength=high - low)
                 ends = np.cumsum(counts)
-                (plain, _), (named, slot) = _readings(t)
+                (plain, _), (named, slot), _ = _readings(t)
                 # A slot's value becomes the place of its first occurrence in the item.
                 index = np.zeros(len(t["hash"]), np.uint64)
                 classes = np.zeros(high - low, np.uint64)
