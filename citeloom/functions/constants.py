@@ -459,3 +459,12 @@ HISTOGRAM_BOUNDS = [0.005, 0.01, 0.025, 0.05, 0.1, 0.25, 0.5, 1.0, 2.5, 5.0, 10.
 ACCEPT_WORDS = "accepted accept approve approved allow yes y 1".split()
 REJECT_WORDS = "rejected reject denied deny no n 0".split()
 REGENERATE_WORDS = "regenerate regen retry".split()
+
+# Equation delimiters, math symbols and words that hint at a pseudocode's language.
+EQUATION_DELIMITERS = [
+    r"(?s)\$\$(.+?)\$\$", r"(?s)\$(.+?)\$", r"(?s)\\begin\{equation\*?\}(.*?)\\end\{equation\*?\}", r"(?s)\\begin\{align\*?\}(.*?)\\end\{align\*?\}",
+    r"(?s)\\begin\{gather\*?\}(.*?)\\end\{gather\*?\}", r"(?s)\\\[(.*?)\\\]", r"(?s)\\\((.*?)\\\)",
+]
+MATH_SYMBOLS = r"[=_^{}\[\]\\/*+\-<>|≈∑∏]"
+PYTHON_HINTS = ["for ", "while ", "if ", "return", "def ", "range("]
+C_HINTS = ["{", "}", "->", "++", "--", "printf"]

@@ -6,6 +6,8 @@ a stop test of one row.
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from citeloom.functions import scoring as S
@@ -53,13 +55,13 @@ def leaf_and_entry(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 # PageRank -------------------------------------------------------------------
 
 def pagerank(
-    nodes: DataFrame, edges: DataFrame, damping: float = 0.85, iterations: int = 100, tolerance: float = 1e-14, every: int = 3
+    nodes: DataFrame, edges: DataFrame, damping: float = 0.85, iterations: int = 100, tolerance: float = 1e-13, every: int = 3
 ) -> DataFrame:
     """r = (1-d)/n + d M r over distinct references; dangling mass is not spread.
 
     Every few rounds the ranks are written out and compared with those of the
-    round before. Once no rank moves by more than ``tolerance`` (rounding noise by
-    default) the remaining rounds would change nothing visible and are skipped.
+    round before. Once no rank moves by more than the share ``tolerance`` of itself
+    (rounding noise by default) the remaining rounds would change nothing visible.
     """
     ids = nodes.select("id")
     links = edges.select("src", "dst").distinct().join(ids.withColumnRenamed("id", "dst"), "dst", "left_semi")
@@ -79,7 +81,7 @@ def pagerank(
                 "id", (F.lit(teleport) + F.lit(damping) * F.coalesce("s", F.lit(0.0))).alias("rank"))
             done += 1
         ranks = cut_lineage(ranks.join(previous.withColumnRenamed("rank", "prev"), "id"))
-        moved = ranks.filter(F.abs(F.col("rank") - F.col("prev")) > tolerance)
+        moved = ranks.filter(F.abs(F.col("rank") - F.col("prev")) > tolerance * F.col("prev"))
         ranks_only = ranks.select("id", "rank")
         if not _any(moved):
             return ranks_only
@@ -141,22 +143,22 @@ def all_simple_paths(edges: DataFrame, source, target, max_depth: int = 4) -> Da
     return found.select("path", (F.size("path") - 1).alias("length"))
 
 
-def closure(edges: DataFrame, seeds: DataFrame | None = None, max_rounds: int = 10_000) -> DataFrame:
+def closure(edges: DataFrame, seeds: DataFrame | None = None) -> DataFrame:
     """(seed, id, depth): everything reachable from each seed and the first level it is met.
 
-    Semi-naive: only newly found pairs are extended. A node on a cycle is in its
-    own closure. Without seeds every source starts; give seeds on large graphs.
+    Semi-naive: only newly found pairs are extended, each level is written once and
+    the rounds end when one finds nothing. A node on a cycle is in its own closure. Without seeds every source starts; give seeds on large graphs.
     """
     e = cut_lineage(edges.select("src", "dst").distinct())
     starts = e.select(F.col("src").alias("seed")).distinct() if seeds is None else seeds.select(F.col("id").alias("seed")).distinct()
     delta = cut_lineage(starts.join(e, F.col("seed") == F.col("src")).select("seed", F.col("dst").alias("id"), F.lit(1).alias("depth")))
     found = delta
-    for level in range(2, max_rounds):
+    for level in itertools.count(2):
         step = delta.join(e, F.col("id") == F.col("src")).select("seed", F.col("dst").alias("id")).distinct()
         delta = cut_lineage(step.join(found, ["seed", "id"], "left_anti").withColumn("depth", F.lit(level)))
         if not _any(delta):
             break
-        found = cut_lineage(found.unionAll(delta))
+        found = found.unionAll(delta)  # the tables of the levels, none is written again
     return found
 
 
@@ -187,19 +189,19 @@ def find_cycles(edges: DataFrame, max_length: int = 4) -> DataFrame:
 
 # Layers ---------------------------------------------------------------------
 
-def topological_layers(nodes: DataFrame, edges: DataFrame, max_rounds: int = 100_000) -> DataFrame:
+def topological_layers(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """layer = 1 + highest layer of a node's dependencies; nodes on or above a cycle get NULL."""
     ids = nodes.select("id")
     left = cut_lineage(edges.select("src", "dst").distinct())
     open_nodes = cut_lineage(ids)
     parts = None
-    for layer in range(max_rounds):
+    for layer in itertools.count():  # ends when no node is free
         blocked = left.select(F.col("src").alias("id")).distinct()
         ready = cut_lineage(open_nodes.join(blocked, "id", "left_anti"))
         if not _any(ready):
             break
         part = ready.withColumn("layer", F.lit(layer))
-        parts = part if parts is None else cut_lineage(parts.unionAll(part))
+        parts = part if parts is None else parts.unionAll(part)
         open_nodes = cut_lineage(open_nodes.join(ready, "id", "left_anti"))
         left = cut_lineage(left.join(ready.withColumnRenamed("id", "dst"), "dst", "left_anti"))
     stuck = open_nodes.withColumn("layer", F.lit(None).cast("int"))

@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 from citeloom.functions import text as X
 from citeloom.session import cut_lineage
 
+from .components import connected_components
+
 
 def union_sources(sources: Sequence[DataFrame], pos: str) -> DataFrame:
     """Union of per-source results keeping source order, then the order inside each source."""
@@ -63,27 +65,21 @@ def identity_keys(papers: DataFrame, pos: str) -> DataFrame:
     return papers.select(pos, F.explode(keys).alias("k")).select(pos, "k.kind", "k.value").filter("value <> ''")
 
 
-def connected_entities(papers: DataFrame, pos: str, max_rounds: int = 50) -> DataFrame:
+def connected_entities(papers: DataFrame, pos: str) -> DataFrame:
     """Entity = all records linked by any chain of shared keys; label is its first record.
 
-    Labels travel record -> key -> record as minimum aggregates over the bipartite
-    edges, never as record pairs, so a key shared by a third of all records costs
-    one row per record.
+    Each record links to the first record of each of its keys, so a key shared by a third
+    of all records costs one row per record. Components are found to the end, however
+    long the chain, in rounds that grow with the logarithm of its length.
     """
     keys = cut_lineage(identity_keys(papers, pos))
-    labels = cut_lineage(papers.select(pos, F.col(pos).alias("entity")))
-    for _ in range(max_rounds):
-        by_key = keys.join(labels, pos).groupBy("kind", "value").agg(F.min("entity").alias("m"))
-        offered = keys.join(by_key, ["kind", "value"]).groupBy(pos).agg(F.min("m").alias("m"))
-        step = labels.join(offered, pos, "left").select(pos, F.least("entity", "m").alias("entity"), (F.col("m") < F.col("entity")).alias("moved"))
-        step = cut_lineage(step)
-        labels = step.select(pos, "entity")
-        if not step.filter("moved").limit(1).count():
-            break
-    return labels
+    first = keys.groupBy("kind", "value").agg(F.min(pos).alias("a"))
+    links = keys.join(first, ["kind", "value"]).select("a", F.col(pos).alias("b"))
+    roots = connected_components(links).withColumnRenamed("node", pos)
+    return papers.select(pos).join(roots, pos, "left").select(pos, F.coalesce("root", pos).alias("entity"))
 
 
-def greedy_entities(papers: DataFrame, pos: str, max_rounds: int = 1000) -> DataFrame:
+def greedy_entities(papers: DataFrame, pos: str) -> DataFrame:
     """Order-dependent grouping: a record joins the first earlier group whose founder shares a key.
 
     The founders are the lexicographically first independent set of records under
@@ -94,7 +90,7 @@ def greedy_entities(papers: DataFrame, pos: str, max_rounds: int = 1000) -> Data
     keys = cut_lineage(identity_keys(papers, pos))
     open_rows = papers.select(pos)
     founders = None
-    for _ in range(max_rounds):
+    while True:  # each round settles the earliest undecided record at least
         live = keys.join(open_rows, pos, "left_semi")
         first = live.groupBy("kind", "value").agg(F.min(pos).alias("first"))
         beaten = live.join(first, ["kind", "value"]).filter(F.col("first") < F.col(pos)).select(pos).distinct()

@@ -9,11 +9,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from citeloom.functions import scoring as S, text as X
-from citeloom.session import fits_broadcast
+from citeloom.session import cut_lineage
 
 from .ranking import top_per_group
 
-QUERY_LIMIT = 10_000
+#: Bytes of query vectors that go to the tasks at a time.
+BLOCK_BYTES = 64 << 20
 BLOCK_ROWS = 2048
 NORM_FLOOR = 1e-9
 
@@ -146,51 +147,77 @@ def _matrix(column: pd.Series) -> np.ndarray:
     return np.divide(m, norms, out=np.zeros_like(m), where=norms >= NORM_FLOOR)
 
 
-def _query_matrix(queries: DataFrame, query_id: str, vector: str) -> tuple[np.ndarray, np.ndarray]:
-    if not fits_broadcast(queries, QUERY_LIMIT):
-        raise ValueError(f"more than {QUERY_LIMIT} queries: use neighbours() for set-to-set search")
-    rows = queries.select(query_id, vector).toPandas()
-    return rows[query_id].to_numpy(), _matrix(rows[vector])
+def _query_blocks(queries: DataFrame, query_id: str, vector: str) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The query vectors in blocks of about BLOCK_BYTES, one at a time on the driver."""
+    n, dim = queries.agg(F.count("*"), F.max(F.size(vector))).first()
+    blocks = -(-n * 8 * max(1, dim or 1) // BLOCK_BYTES)
+    for block in range(blocks):
+        part = queries if blocks == 1 else queries.where(F.pmod(F.xxhash64(query_id), F.lit(blocks)) == block)
+        rows = part.select(query_id, vector).toPandas()
+        if len(rows):
+            yield rows[query_id].to_numpy(), _matrix(rows[vector])
+
+
+def _over_blocks(queries: DataFrame, query_id: str, vector: str, schema: str, apply: Callable[[tuple[np.ndarray, np.ndarray]], DataFrame]) -> DataFrame:
+    """Union of ``apply(block)``; all but a single block are written out in turn, so that one is held at a time."""
+    spark, out, held = queries.sparkSession, None, None
+    for block in _query_blocks(queries, query_id, vector):
+        if held is not None:
+            done = cut_lineage(apply(held))
+            out = done if out is None else out.unionAll(done)
+        held = block
+    if held is None:
+        return spark.createDataFrame([], schema)
+    last = apply(held)
+    return last if out is None else out.unionAll(cut_lineage(last))
 
 
 def cosine_matrix(corpus: DataFrame, queries: DataFrame, key: str = "vec_id", query_id: str = "query_id", vector: str = "embedding") -> DataFrame:
-    """(key, query_id, similarity) of a corpus against a bounded set of vectors, one product per Arrow batch."""
-    ids, q = _query_matrix(queries, query_id, vector)
-    shared = corpus.sparkSession.sparkContext.broadcast((ids, q))
+    """(key, query_id, similarity) of a corpus against a set of vectors, one product per block and Arrow batch."""
+    schema = f"{key} bigint, {query_id} bigint, similarity double"
 
-    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        qids, qm = shared.value
-        for batch in batches:
-            if len(batch) and len(qids):
-                sims = _matrix(batch[vector]) @ qm.T
-                yield pd.DataFrame({key: np.repeat(batch[key].to_numpy(), len(qids)), query_id: np.tile(qids, len(batch)), "similarity": sims.ravel()})
+    def against(block: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+        shared = corpus.sparkSession.sparkContext.broadcast(block)  # about BLOCK_BYTES
+
+        def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            qids, qm = shared.value
+            for batch in batches:
+                if len(batch):
+                    sims = _matrix(batch[vector]) @ qm.T
+                    yield pd.DataFrame({key: np.repeat(batch[key].to_numpy(), len(qids)), query_id: np.tile(qids, len(batch)), "similarity": sims.ravel()})
 
-    return corpus.select(key, vector).mapInPandas(score, f"{key} bigint, {query_id} bigint, similarity double")
+        return corpus.select(key, vector).mapInPandas(score, schema)
+
+    return _over_blocks(queries, query_id, vector, schema, against)
 
 
 def semantic_topk(
     corpus: DataFrame, queries: DataFrame, k: int, key: str = "vec_id", query_id: str = "query_id", vector: str = "embedding", exclude_self: bool = False
 ) -> DataFrame:
     """Top-k positive cosines per query. Each batch keeps its own top k, so few rows are shuffled."""
-    ids, q = _query_matrix(queries, query_id, vector)
-    shared = corpus.sparkSession.sparkContext.broadcast((ids, q))
-
-    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        qids, qm = shared.value
-        for batch in batches:
-            if not len(batch) or not len(qids):
-                continue
-            keys = batch[key].to_numpy()
-            sims = np.round(qm @ _matrix(batch[vector]).T, 6)
-            if exclude_self:
-                sims[qids[:, None] == keys[None, :]] = -np.inf
-            # Ties at the k-th place go to the smaller key, as in the final ranking.
-            order = np.lexsort((np.broadcast_to(keys, sims.shape), -sims), axis=1)[:, :k]
-            best = np.take_along_axis(sims, order, axis=1)
-            out = pd.DataFrame({query_id: np.repeat(qids, order.shape[1]), key: keys[order].ravel(), "score": best.ravel()})
-            yield out[out["score"] > 0]
-
-    part = corpus.select(key, vector).mapInPandas(score, f"{query_id} bigint, {key} bigint, score double")
+    schema = f"{query_id} bigint, {key} bigint, score double"
+
+    def against(block: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+        shared = corpus.sparkSession.sparkContext.broadcast(block)  # about BLOCK_BYTES
+
+        def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            qids, qm = shared.value
+            for batch in batches:
+                if not len(batch):
+                    continue
+                keys = batch[key].to_numpy()
+                sims = np.round(qm @ _matrix(batch[vector]).T, 6)
+                if exclude_self:
+                    sims[qids[:, None] == keys[None, :]] = -np.inf
+                # Ties at the k-th place go to the smaller key, as in the final ranking.
+                order = np.lexsort((np.broadcast_to(keys, sims.shape), -sims), axis=1)[:, :k]
+                best = np.take_along_axis(sims, order, axis=1)
+                out = pd.DataFrame({query_id: np.repeat(qids, order.shape[1]), key: keys[order].ravel(), "score": best.ravel()})
+                yield out[out["score"] > 0]
+
+        return corpus.select(key, vector).mapInPandas(score, schema)
+
+    part = _over_blocks(queries, query_id, vector, schema, against)
     return top_per_group(part, [query_id], [F.desc("score"), F.asc(key)], k)
 
 

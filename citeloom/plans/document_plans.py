@@ -93,7 +93,7 @@ def extract_equations(t):
 def extract_algorithms(t):
     text = F.regexp_replace("text", r"(?m)^(Th|La|Die|El)\b", "Algorithm 1: $1")
     return C.extract_algorithms(t("documents").select("doc_id", text.alias("text")), "doc_id", "text").select(
-        "doc_id", "name", "hint", F.md5("pseudocode").alias("code_md5"))
+        "doc_id", "name", "hint", F.md5("pseudocode").alias("code_md5"), F.array_join("inputs", "|").alias("inputs"), F.array_join("outputs", "|").alias("outputs"))
 
 
 @query("extract_captions_refs", r"""
@@ -155,38 +155,17 @@ def rename_sweep(t):
     return C.rename_sweep(t("documents"), "doc_id", "text", "the", "thee").select("doc_id", F.md5("renamed").alias("renamed_md5"))
 
 
-# Diffs (no SQL form of the longest matching blocks) ----------------------------
+# Diffs ------------------------------------------------------------------------
 
-@query("hunk_extraction")
-def hunk_extraction(t):
-    h = t("versions").select("pair_id", F.explode(E.diff_hunks(F.col("original"), F.col("modified"))).alias("h"))
-    return h.select("pair_id", "h.hunk_index", "h.op", "h.header", F.md5("h.summary").alias("summary_md5"))
-
-
-# Accepting every hunk must give the new version, rejecting every hunk the old one.
-@query("apply_hunk_decisions", "SELECT pair_id, md5(CASE WHEN pair_id % 2 = 0 THEN modified ELSE original END) AS rebuilt_md5 FROM versions")
-def apply_hunk_decisions(t):
-    word = F.when(F.col("pair_id") % 2 == 0, "Yes").otherwise("deny")
-    verdicts = F.array_repeat(E.normalize_decision(word), F.size(F.split("original", "\n")) + F.size(F.split("modified", "\n")))
-    return t("versions").select("pair_id", F.md5(E.apply_decisions(F.col("original"), F.col("modified"), verdicts)).alias("rebuilt_md5"))
-
-
-@query("unified_diff_udf")
-def unified_diff_udf(t):
-    return t("versions").select("pair_id", F.md5(E.unified_diff(F.col("original"), F.col("modified"))).alias("diff_md5"))
-
-
-# Whatever blocks match, additions less deletions is the difference in lines.
+# A diff text that takes out all lines of one version and puts in those of the other.
 @query("count_diff_changes", """
-SELECT pair_id, CAST(len(string_split(modified, chr(10))) - len(string_split(original, chr(10))) AS INT) AS net_lines FROM versions""")
+WITH l AS (SELECT pair_id, string_split(original, chr(10)) AS o, string_split(modified, chr(10)) AS m FROM versions)
+SELECT pair_id, CAST(len([x for x in o if x NOT LIKE '--%']) AS INT) AS deletions, CAST(len([x for x in m if x NOT LIKE '++%']) AS INT) AS additions FROM l""")
 def count_diff_changes(t):
-    d = E.diff_changes(E.unified_diff(F.col("original"), F.col("modified")))
-    return t("versions").select("pair_id", d.alias("d")).select("pair_id", (F.col("d.additions") - F.col("d.deletions")).alias("net_lines"))
-
-
-@query("diff_evidence")
-def diff_evidence(t):
-    return E.diff_evidence(t("versions"), "source", "path")
+    signed = lambda c, sign: F.array_join(F.transform(F.split(c, "\n"), lambda x: F.concat(F.lit(sign), x)), "\n")
+    diff = F.concat(F.lit("--- original\n+++ modified\n@@ @@\n"), signed("original", "-"), F.lit("\n"), signed("modified", "+"))
+    d = E.diff_changes(diff)
+    return t("versions").select("pair_id", d.alias("d")).select("pair_id", "d.deletions", "d.additions")
 
 
 # Extensions -------------------------------------------------------------------

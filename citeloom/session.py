@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
+import re
+import shutil
 import tempfile
 import uuid
 
@@ -35,13 +38,17 @@ _TEMPORARY: dict[str, str] = {}
 def scratch_dir(spark: SparkSession) -> str:
     """A fresh folder below the cluster's shared ``spark.checkpoint.dir``.
 
-    Only a session without that setting (local tests) gets a temporary folder.
+    Only a local session without that setting gets a temporary folder, which goes when the
+    process ends. On a cluster the setting must name storage that all machines share.
     """
     shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not shared:
         app = spark.sparkContext.applicationId
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         if app not in _TEMPORARY:
             _TEMPORARY[app] = tempfile.mkdtemp(prefix="citeloom-")
+            atexit.register(shutil.rmtree, _TEMPORARY[app], ignore_errors=True)
         shared = _TEMPORARY[app]
     return f"{shared.rstrip('/')}/run-{uuid.uuid4().hex}"
 
@@ -58,23 +65,18 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-# Rows a broadcast side may hold; larger sides go through a shuffle join.
-BROADCAST_ROW_LIMIT = 100_000
-
-
-def fits_broadcast(df: DataFrame, row_limit: int = BROADCAST_ROW_LIMIT) -> bool:
-    """True when ``df`` is proven to hold at most ``row_limit`` rows.
-
-    Reads at most ``row_limit + 1`` rows, so the check itself is bounded.
-    """
-    return df.limit(row_limit + 1).count() <= row_limit
+# Bytes of a table that may be dealt out over the cores before text or vector work.
+SMALL_TABLE_BYTES = 256 << 20
 
 
 def spread(scan: DataFrame) -> DataFrame:
-    """Spread a plain table scan of fewer splits than cores before text or vector work.
+    """Deal out the rows of a table of at most SMALL_TABLE_BYTES that comes in fewer splits than cores.
 
-    A table of few large rows may come as one split. Large tables have more splits
-    than cores and are returned as they are, without a shuffle.
+    A file with one row group is one split, so a small table of long texts would keep one
+    core busy. The bound is in bytes and the same for every cluster; larger tables are never shuffled.
     """
+    size = int(str(scan._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if size > SMALL_TABLE_BYTES:
+        return scan
     cores = scan.sparkSession.sparkContext.defaultParallelism
     return scan if scan.rdd.getNumPartitions() >= cores else scan.repartition(cores)

@@ -1,6 +1,5 @@
 """Operators against brute force on small random inputs, and their edge cases."""
 
-import difflib
 import random
 
 import numpy as np
@@ -183,21 +182,19 @@ def test_stream_equals_replay(spark, tmp_path):
 
 def test_diffs(spark):
     pairs = [("a\nb\nc\n", "a\nx\nc\nd\n"), ("same", "same"), ("", "new\n")]
-    df = spark.createDataFrame(pairs, "a string, b string")
-    got = df.select(E.diff_changes(E.unified_diff(F.col("a"), F.col("b"))).alias("d")).select("d.*").collect()
-    for (a, b), r in zip(pairs, got):
-        lines = list(difflib.unified_diff(a.splitlines(), b.splitlines(), lineterm=""))[2:]
-        assert r["additions"] == sum(x.startswith("+") for x in lines) and r["deletions"] == sum(x.startswith("-") for x in lines)
-    kept = df.select(E.apply_decisions(F.col("a"), F.col("b"), F.array(F.lit("rejected"))).alias("t")).first()["t"]
-    assert kept == "a\nb\nc\nd\n"
-    assert df.select(F.size(E.diff_hunks(F.col("a"), F.col("b"))).alias("n")).first()["n"] == 2
+    signed = lambda sign, x: "\n".join(sign + line for line in x.split("\n"))
+    diffs = [("--- a\n+++ b\n@@ @@\n" + signed("-", a) + "\n" + signed("+", b), len(b.split("\n")), len(a.split("\n"))) for a, b in pairs]
+    df = spark.createDataFrame(diffs, "diff string, added int, taken int")
+    for r in df.select("added", "taken", E.diff_changes(F.col("diff")).alias("d")).collect():
+        assert (r["d"]["additions"], r["d"]["deletions"]) == (r["added"], r["taken"])
 
 
 def test_algorithms_sections_chunks(spark):
-    text = "1 Intro\nhello\nAlgorithm 1: Sort\nInput: xs, n\nfor i in xs\n\nafter\nRESULTS\nfine"
+    text = "1 Intro\nhello\nAlgorithm 1: Sort\nInput: xs, n\n  for i in xs\n\nafter\nRESULTS\nfine"
     df = spark.createDataFrame([(1, text)], "id int, t string")
     algo = C.extract_algorithms(df, "id", "t").collect()
     assert algo[0]["name"] == "Algorithm 1: Sort" and algo[0]["hint"] == "python-like"
+    assert algo[0]["pseudocode"] == "Algorithm 1: Sort\nInput: xs, n\n  for i in xs" and algo[0]["inputs"] == ["xs", "n"] and algo[0]["outputs"] == []
     titles = [r["title"] for r in C.extract_sections(df, "id", "t").orderBy("pos").collect()]
     assert titles[0] == "1 Intro" and "RESULTS" in titles
     chunks = C.chunk_by_size(df, "id", "t", F.lit("s"), 20).orderBy("chunk_index").collect()
@@ -209,3 +206,35 @@ def test_capped_confidence_bounds(spark):
     t = spark.createDataFrame([(1, "exact", "", "ok")] * 6 + [(2, "import", "", "error")] * 9, "spec int, match_tier string, matched_pattern string, issue string")
     got = {r["spec"]: r["total"] for r in A.capped_confidence(t, "spec", F.lit(False)).collect()}
     assert got == {1: 100 if 35 + 20 + 40 + 10 >= 100 else 105, 2: 0}
+
+
+def test_long_chain_of_records_is_one_entity(spark):
+    rows = [(i, f"10.1/{(i + 1) // 2}", f"a{i // 2}") for i in range(200)]
+    df = spark.createDataFrame([(i, d, a, "", "", "") for i, d, a in rows], "pos int, doi string, arxiv_id string, pubmed_id string, ieee_id string, title string")
+    assert {r["entity"] for r in D.connected_entities(df, "pos").collect()} == {0}
+
+
+def test_query_blocks_give_the_same_neighbours(spark, monkeypatch):
+    rows = [(i, [float((i * k) % 7 + 1) for k in range(1, 5)]) for i in range(60)]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    q = df.withColumnRenamed("vec_id", "query_id")
+    run = lambda: sorted(tuple(r) for r in V.semantic_topk(df, q, 3, exclude_self=True).collect())
+    whole = run()
+    monkeypatch.setattr(V, "BLOCK_BYTES", 256)
+    assert run() == whole and len(whole) == 180
+
+
+def test_scratch_folder_must_be_shared(spark):
+    from citeloom import session
+
+    class Cluster:
+        applicationId, master = "x", "spark://host:7077"
+        conf = type("Conf", (), {"get": staticmethod(lambda key, default=None: default)})
+        getCheckpointDir = staticmethod(lambda: None)
+
+        @property
+        def sparkContext(self):
+            return self
+
+    with pytest.raises(ValueError):
+        session.scratch_dir(Cluster())
