@@ -76,7 +76,7 @@ def extract_sections(t):
 
 
 _EQ_HITS = " UNION ALL ".join(
-    "SELECT doc_id, unnest(regexp_extract_all(text, '" + p.replace("'", "''") + "', 1)) AS latex FROM documents" for p in C.EQUATION_DELIMITERS)
+    "SELECT doc_id, unnest(regexp_extract_all(text, '" + p.replace("'", "''") + "', 1)) AS latex FROM documents" for p in K.EQUATION_DELIMITERS)
 
 
 @query("extract_equations", rf"""
