@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from citeloom.llm.common import stored
-from citeloom.llm.components import connected_components
+from citeloom.operators.components import connected_components
 
 SEED = 42
 MAX_BITS = 3

@@ -3,7 +3,7 @@ import random
 import numpy as np
 import xxhash
 
-from citeloom.llm.components import connected_components
+from citeloom.operators.components import connected_components
 from citeloom.llm.simhash import keep_one_of_each, near_duplicates, near_links, simhash, shingle_hashes
 
 
