@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from citeloom.session import spread
+from citeloom.session import cut_lineage, spread
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -21,6 +21,9 @@ BASE_TABLES = (
 # Tables whose rows carry whole texts or vectors.
 HEAVY_ROWS = ("documents", "pages", "embeddings", "benchmark")
 
+# Derived tables that queries read several times: computed once per query, in shared storage.
+WRITTEN_ONCE = ("profile_lines", "profiles")
+
 
 def view(name: str, sql: str, duck: str | None = None) -> None:
     """Register a derived table; ``duck`` overrides the text where dialects differ."""
@@ -38,6 +41,7 @@ class Tables:
     def __init__(self, spark: SparkSession, sf_dir: str) -> None:
         self.spark = spark
         self.sf_dir = sf_dir
+        self._written: dict[str, DataFrame] = {}
         # The tables hold zone-free UTC times.
         spark.conf.set("spark.sql.session.timeZone", "UTC")
 
@@ -45,6 +49,13 @@ class Tables:
         if name in BASE_TABLES:
             scan = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
             return spread(scan) if name in HEAVY_ROWS else scan
+        if name in WRITTEN_ONCE:
+            if name not in self._written:
+                self._written[name] = cut_lineage(self._derived(name))
+            return self._written[name]
+        return self._derived(name)
+
+    def _derived(self, name: str) -> DataFrame:
         sql = VIEWS[name][0]
         inputs: dict[str, DataFrame] = {}
         words = set(re.findall(r"[A-Za-z_][A-Za-z_0-9]*", sql))

@@ -80,21 +80,32 @@ SELECT DISTINCT user_id AS run_id, user_id % 5 AS experiment,
   CASE WHEN user_id % 7 = 0 THEN 'failed' ELSE 'completed' END AS status
 FROM events""")
 
-# One profile row per (repository = supplier nation, pattern, framework, language).
-view("profiles", """
+# One profile row per (repository = supplier nation, pattern, framework, language), over all lines.
+# A repository's profile are its three most characteristic patterns: those of whose lines it has the largest share.
+view("profile_lines", """
 SELECT n.n_nationkey AS repo_id, p.p_brand AS pattern, p.p_type AS framework,
   CONCAT('L', CAST(p.p_size AS VARCHAR(20))) AS language, COUNT(*) AS n_lines
 FROM lineitem l JOIN supplier s ON l.l_suppkey = s.s_suppkey
 JOIN nation n ON s.s_nationkey = n.n_nationkey JOIN part p ON l.l_partkey = p.p_partkey
-WHERE l.l_quantity > 45 AND l.l_discount >= 0.09
 GROUP BY n.n_nationkey, p.p_brand, p.p_type, CONCAT('L', CAST(p.p_size AS VARCHAR(20)))""")
+view("pattern_use", """
+SELECT repo_id, pattern, SUM(n_lines) AS used FROM profile_lines GROUP BY repo_id, pattern""")
+view("pattern_total", """
+SELECT pattern, SUM(used) AS pattern_lines FROM pattern_use GROUP BY pattern""")
+view("pattern_rank", """
+SELECT u.repo_id, u.pattern, ROW_NUMBER() OVER (PARTITION BY u.repo_id ORDER BY u.used * 1e0 / p.pattern_lines DESC, u.pattern) AS place
+FROM pattern_use u JOIN pattern_total p ON u.pattern = p.pattern""")
+view("profiles", """
+SELECT a.repo_id, a.pattern, a.framework, a.language, a.n_lines
+FROM profile_lines a JOIN pattern_rank k ON a.repo_id = k.repo_id AND a.pattern = k.pattern
+WHERE k.place <= 3""")
 
 view("snap_base", """
 SELECT l_partkey AS id, FLOOR(SUM(CAST(FLOOR(l_discount * 100 + 0.5) AS BIGINT)) * 1000e0 / COUNT(*)) / 10000e0 AS score
-FROM lineitem WHERE l_returnflag IN ('A', 'N') GROUP BY l_partkey HAVING COUNT(*) > 12""")
+FROM lineitem WHERE l_returnflag IN ('A', 'N') GROUP BY l_partkey""")
 view("snap_cur", """
 SELECT l_partkey AS id, FLOOR(SUM(CAST(FLOOR(l_discount * 100 + 0.5) AS BIGINT)) * 1000e0 / COUNT(*)) / 10000e0 AS score
-FROM lineitem WHERE l_returnflag IN ('R', 'N') GROUP BY l_partkey HAVING COUNT(*) > 12""")
+FROM lineitem WHERE l_returnflag IN ('R', 'N') GROUP BY l_partkey""")
 for side in ("base", "cur"):
     view(f"results_{side}", f"""
 SELECT id, score, CASE WHEN score >= 0.55 THEN 'matched' WHEN score >= 0.45 THEN 'partial' ELSE 'mismatch' END AS status
