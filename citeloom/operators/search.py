@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from citeloom.functions import constants as K, scoring as S, text as X
+from citeloom.session import cut_lineage
 
 from .ranking import top_per_group
 
@@ -21,12 +26,11 @@ def search_terms(docs: DataFrame, key: str, text: Column) -> DataFrame:
     return kept.groupBy(key, "term").agg(F.count("*").alias("n"))
 
 
-def document_frequency(counts: DataFrame, n_docs: DataFrame, smooth: bool = False) -> DataFrame:
+def document_frequency(counts: DataFrame, n_docs: int, smooth: bool = False) -> DataFrame:
     """df and idf per term: ``ln(N/(1+df))+1``, or ``ln((1+N)/(1+df))+1`` when smoothed."""
-    df = counts.groupBy("term").agg(F.count("*").alias("df")).withColumn("_one", F.lit(1))
-    n = n_docs.select(F.col("n_docs"), F.lit(1).alias("_one"))
-    top = F.col("n_docs") + 1 if smooth else F.col("n_docs")
-    return df.join(F.broadcast(n), "_one").select("term", "df", (F.log(top / (F.col("df") + 1)) + 1.0).alias("idf"))
+    df = counts.groupBy("term").agg(F.count("*").alias("df"))
+    top = F.lit(float(n_docs + 1 if smooth else n_docs))
+    return df.select("term", "df", (F.log(top / (F.col("df") + 1)) + 1.0).alias("idf"))
 
 
 def term_frequency(counts: DataFrame, key: str) -> DataFrame:
@@ -34,57 +38,110 @@ def term_frequency(counts: DataFrame, key: str) -> DataFrame:
     return counts.join(total, key).select(key, "term", (F.col("n") / F.col("total")).alias("tf"))
 
 
-def tfidf_cosine(a: DataFrame, b: DataFrame, pairs: DataFrame, idf: DataFrame) -> DataFrame:
-    """Cosine of tf-idf vectors for given pairs ``(a_id, b_id)``; 0 when a side is empty."""
-    def weights(tf: DataFrame, key: str) -> DataFrame:
-        return tf.join(idf.select("term", "idf"), "term", "left").select(key, "term", (F.col("tf") * F.coalesce("idf", F.lit(1.0))).alias("w"))
+def tfidf_weights(tf: DataFrame, idf: DataFrame, key: str) -> DataFrame:
+    """(key, term, w): term frequency times idf, 1 for a term without one."""
+    return tf.join(idf.select("term", "idf"), "term", "left").select(key, "term", (F.col("tf") * F.coalesce("idf", F.lit(1.0))).alias("w"))
+
 
-    wa, wb = weights(a, "a_id"), weights(b, "b_id")
-    na = wa.groupBy("a_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("na"))
-    nb = wb.groupBy("b_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("nb"))
-    dot = pairs.join(wa.withColumnRenamed("w", "w1"), "a_id").join(wb.withColumnRenamed("w", "w2"), ["b_id", "term"]).groupBy(
+def tfidf_cosine(a: DataFrame, b: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Cosine of tf-idf vectors, weights ``(a_id, term, w)`` and ``(b_id, term, w)``, for pairs ``(a_id, b_id)``; 0 when a side is empty.
+
+    Give weights that are stored tables: each side is read for the products and for its norms.
+    """
+    na = a.groupBy("a_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("na"))
+    nb = b.groupBy("b_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("nb"))
+    dot = pairs.join(a.withColumnRenamed("w", "w1"), "a_id").join(b.withColumnRenamed("w", "w2"), ["b_id", "term"]).groupBy(
         "a_id", "b_id").agg(F.sum(F.col("w1") * F.col("w2")).alias("dot"))
     out = pairs.join(dot, ["a_id", "b_id"], "left").join(na, "a_id", "left").join(nb, "b_id", "left")
     return out.select("a_id", "b_id", S.rounded(F.coalesce(F.try_divide(F.col("dot"), F.col("na") * F.col("nb")), F.lit(0.0)), 6).alias("cosine"))
 
 
+#: Bytes of the (term, query) weights that go to the tasks at a time.
+QUERY_BYTES = 64 << 20
+#: Papers that are scored with one product.
+PAPER_ROWS = 512
+_HITS = "query_id bigint, paper_id bigint, keyword double, tfidf double"
+
+
+def _score_block(papers: DataFrame, q: pd.DataFrame, k: int, as_of_year: int) -> DataFrame:
+    """The k best papers of each Arrow batch for each query of a block; ``papers(paper_id, year, base_sq, hits)``."""
+    terms = {t: i for i, t in enumerate(sorted(set(q["term"])))}
+    queries = sorted(set(q["query_id"]))
+    row, col = q["term"].map(terms).to_numpy(), np.searchsorted(queries, q["query_id"].to_numpy())
+    shape = (len(terms), len(queries))
+    seen, product, change = np.zeros(shape), np.zeros(shape), np.zeros(shape)
+    seen[row, col] = 1.0
+    product[row, col] = q["qn"] * q["idf_in"] ** 2
+    change[row, col] = (q["idf_in"] ** 2 - q["idf_out"] ** 2).fillna(0.0)
+    n_terms = seen.sum(axis=0)
+    norm = np.sqrt(np.bincount(col, (q["qn"] * q["idf_in"]).to_numpy() ** 2, minlength=len(queries)))
+    shared = papers.sparkSession.sparkContext.broadcast((terms, np.array(queries), seen, product, change, n_terms, norm))  # about QUERY_BYTES
+
+    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        terms, queries, seen, product, change, n_terms, norm = shared.value
+        for batch in batches:
+            for low in range(0, len(batch), PAPER_ROWS):
+                part = batch.iloc[low:low + PAPER_ROWS]
+                counts = np.zeros((len(part), len(terms)))
+                for i, hits in enumerate(part["hits"]):
+                    for h in hits:
+                        if (t := terms.get(h["term"])) is not None:
+                            counts[i, t] = h["n"]
+                common = (counts > 0).astype(float) @ seen
+                size = np.sqrt(np.maximum(part["base_sq"].to_numpy()[:, None] + counts**2 @ change, 0.0)) * norm
+                tfidf = np.divide(counts @ product, size, out=np.zeros_like(size), where=size > 0)
+                keyword = common / n_terms
+                made = part["year"].to_numpy(dtype=float)
+                year = np.where(made > 0, 1.0 / (1.0 + 0.1 * np.abs(as_of_year - made)), 0.0)
+                total = np.where(common > 0, np.floor((keyword * 0.4 + tfidf * 0.4 + year[:, None] * 0.2) * 1e6 + 0.5), -1.0)
+                ids = part["paper_id"].to_numpy()
+                order = np.lexsort((np.broadcast_to(ids[:, None], total.shape), -total), axis=0)[:k]
+                at = np.broadcast_to(np.arange(len(queries)), order.shape)
+                keep = total[order, at] > 0
+                order, at = order[keep], at[keep]
+                yield pd.DataFrame({"query_id": queries[at], "paper_id": ids[order], "keyword": keyword[order, at], "tfidf": tfidf[order, at]})
+
+    return papers.mapInPandas(score, _HITS)
+
+
 def search_similar(papers: DataFrame, queries: DataFrame, k: int, as_of_year: int) -> DataFrame:
     """Top-k papers per query by 0.4 keyword + 0.4 tf-idf + 0.2 year, scores above 0.1.
 
     ``papers(paper_id, title, abstract, year)``, ``queries(query_id, query)``.
 
-    Only the queries' terms are joined back to the papers. A query counts as one
-    document, so the idf of its own terms differs from the corpus idf; a paper's
-    norm is the corpus norm plus the correction over the shared terms. Papers that
-    share no term score by year alone, so the k newest papers cover them.
+    The papers' terms are counted once into a stored table. The queries' term weights go
+    to the tasks in blocks of bounded size; each task scores its papers in place and
+    passes on k of them for a query and batch, so no (query, paper) table is shuffled. A
+    query counts as one document, so the idf of its own terms differs from the corpus idf;
+    a paper's norm is the corpus norm plus the correction over the shared terms. Papers
+    that share no term score by year alone, so the k newest papers cover them.
     """
-    counts = search_terms(papers, "paper_id", F.concat_ws(" ", "title", "abstract"))
-    n_docs = papers.agg((F.count("*") + 1).alias("n_docs"))
-    df = counts.groupBy("term").agg(F.count("*").alias("df")).withColumn("_one", F.lit(1))
-    n1 = F.broadcast(n_docs.withColumn("_one", F.lit(1)))
-    log_idf = lambda seen: F.log(F.col("n_docs") / (1.0 + seen)) + 1.0
-    corpus = df.join(n1, "_one").select("term", "df", "n_docs", log_idf(F.col("df")).alias("idf"))
-    norms = counts.join(corpus.select("term", "idf"), "term").groupBy("paper_id").agg(
-        F.sum(F.pow(F.col("n") * F.col("idf"), 2)).alias("base_sq"))
-
+    counts = cut_lineage(search_terms(papers, "paper_id", F.concat_ws(" ", "title", "abstract")))
+    n_docs = float(papers.count() + 1)
+    log_idf = lambda seen: F.log(F.lit(n_docs) / (1.0 + seen)) + 1.0
+    corpus = cut_lineage(counts.groupBy("term").agg(F.count("*").alias("df")).select("term", "df", log_idf(F.col("df")).alias("idf")))
     qc = search_terms(queries, "query_id", F.col("query"))
-    qt = qc.groupBy("query_id").agg(F.sum("n").alias("q_total"), F.count("*").alias("q_terms"))
     # idf of a query term counts the query itself; unseen terms have df 0.
-    q_idf = qc.join(corpus.select("term", "df", "idf"), "term", "left").withColumn("_one", F.lit(1)).join(n1, "_one").select(
-        "query_id", "term", F.col("n").alias("qn"), F.col("idf").alias("idf_out"), log_idf(F.coalesce("df", F.lit(0)) + 1).alias("idf_in"))
-    q_norm = q_idf.join(qt, "query_id").groupBy("query_id", "q_terms", "q_total").agg(
-        F.sqrt(F.sum(F.pow(F.col("qn") * F.col("idf_in"), 2))).alias("q_norm"))
-    hit = counts.join(q_idf, "term").groupBy("query_id", "paper_id").agg(
-        F.count("*").alias("shared"), F.sum(F.col("n") * F.col("qn") * F.pow("idf_in", 2)).alias("dot"),
-        F.sum(F.pow("n", 2) * (F.pow("idf_in", 2) - F.pow("idf_out", 2))).alias("fix"))
-    matched = hit.join(norms, "paper_id").join(q_norm, "query_id").select(
-        "query_id", "paper_id", (F.col("shared") / F.col("q_terms")).alias("keyword"),
-        F.coalesce(F.try_divide(F.col("dot"), F.col("q_norm") * F.sqrt(F.greatest(F.col("base_sq") + F.col("fix"), F.lit(0.0)))), F.lit(0.0)).alias("tfidf"))
+    weighted = cut_lineage(qc.join(corpus, "term", "left").select(
+        "query_id", "term", F.col("n").alias("qn"), F.col("idf").alias("idf_out"), log_idf(F.coalesce("df", F.lit(0)) + 1).alias("idf_in")))
+    norms = counts.join(corpus.select("term", "idf"), "term").groupBy("paper_id").agg(F.sum(F.pow(F.col("n") * F.col("idf"), 2)).alias("base_sq"))
+    asked = counts.join(weighted.select("term").distinct(), "term", "left_semi")
+    hits = asked.groupBy("paper_id").agg(F.collect_list(F.struct("term", "n")).alias("hits"))  # at most the terms of one paper
+    held = cut_lineage(papers.select("paper_id", "year").join(norms, "paper_id").join(hits, "paper_id"))
+    n_queries, n_terms = weighted.agg(F.count_distinct("query_id"), F.count_distinct("term")).first()
+    blocks = max(1, -(-n_queries * n_terms * 24 // QUERY_BYTES))
+    parts = []
+    for block in range(blocks):
+        q = weighted.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block).toPandas()
+        if len(q):
+            part = _score_block(held, q, k, as_of_year)
+            parts.append(part if blocks == 1 else cut_lineage(part))
     newest = papers.select("paper_id", "year").orderBy(F.desc(S.year_score(F.col("year"), as_of_year)), "paper_id").limit(k)
-    filler = queries.select("query_id").withColumn("_one", F.lit(1)).join(
-        F.broadcast(newest.select("paper_id", F.lit(1).alias("_one"))), "_one").select(
-        "query_id", "paper_id", F.lit(0.0).alias("keyword"), F.lit(0.0).alias("tfidf"))
-    cand = matched.unionByName(filler).groupBy("query_id", "paper_id").agg(F.max("keyword").alias("keyword"), F.max("tfidf").alias("tfidf"))
+    ids = [r["paper_id"] for r in newest.collect()]  # k rows
+    cand = queries.select("query_id", F.explode(F.array(*map(F.lit, ids)).cast("array<bigint>")).alias("paper_id"), F.lit(0.0).alias("keyword"), F.lit(0.0).alias("tfidf"))
+    for part in parts:
+        cand = cand.unionByName(part)
+    cand = cand.groupBy("query_id", "paper_id").agg(F.max("keyword").alias("keyword"), F.max("tfidf").alias("tfidf"))
     scored = cand.join(papers.select("paper_id", "year"), "paper_id").withColumn("year_score", S.year_score(F.col("year"), as_of_year))
     scored = scored.withColumn("score", S.rounded(F.col("keyword") * 0.4 + F.col("tfidf") * 0.4 + F.col("year_score") * 0.2, 6))
     top = top_per_group(scored.filter("score > 0.1"), ["query_id"], [F.desc("score"), F.asc("paper_id")], k)
@@ -100,9 +157,10 @@ def related_by_keywords(source: DataFrame, candidates: DataFrame, k: int = 10, f
     """Candidates by the share of the source papers' terms they contain."""
     text = F.concat_ws(" ", "title", "abstract")
     wanted = search_terms(source, "paper_id", text).select("term").distinct()
-    n = wanted.agg(F.count("*").alias("n_terms")).withColumn("_one", F.lit(1))
+    wanted = cut_lineage(wanted)
+    n = wanted.count()
     have = search_terms(candidates, "paper_id", text).join(wanted, "term", "left_semi").groupBy("paper_id").agg(F.count("*").alias("overlap"))
-    scored = have.withColumn("_one", F.lit(1)).join(F.broadcast(n), "_one").withColumn("score", F.col("overlap") / F.col("n_terms"))
+    scored = have.withColumn("score", F.col("overlap") / F.lit(max(1, n)))
     return scored.filter(F.col("score") > floor).orderBy(F.desc("score"), "paper_id").limit(k).select("paper_id", "overlap", "score")
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from citeloom.functions import constants as K, scoring as S, text as X
 from citeloom.operators import ordered as O, ranking as N, rules as R, search as Q, sets as D
+from citeloom.session import cut_lineage
 
 from .registry import query
 from .scalar_plans import SEARCH_TOKENS, _in
@@ -152,8 +153,8 @@ n AS (SELECT COUNT(*) AS n FROM papers)
 SELECT term, COUNT(*) AS df, round(ln(n / (1 + COUNT(*))) + 1, 6) AS idf, round(ln((1 + n) / (1 + COUNT(*))) + 1, 6) AS idf_smooth FROM t, n GROUP BY term, n""")
 def doc_frequency_idf(t):
     p = t("papers")
-    counts = Q.search_terms(p, "paper_id", F.concat_ws(" ", "title", "abstract"))
-    n = p.agg(F.count("*").alias("n_docs"))
+    counts = cut_lineage(Q.search_terms(p, "paper_id", F.concat_ws(" ", "title", "abstract")))
+    n = p.count()
     plain, smooth = Q.document_frequency(counts, n), Q.document_frequency(counts, n, smooth=True)
     return plain.join(smooth.select("term", F.col("idf").alias("idf_smooth")), "term").select(
         "term", "df", S.rounded(F.col("idf"), 6).alias("idf"), S.rounded(F.col("idf_smooth"), 6).alias("idf_smooth"))
@@ -175,11 +176,11 @@ p AS (SELECT pair_id AS a_id, pair_id + 20 AS b_id FROM versions), d AS (SELECT
 SELECT p.a_id, p.b_id, round(coalesce(dot / (x.nn * y.nn), 0), 6) AS cosine FROM p LEFT JOIN d USING (a_id, b_id) LEFT JOIN nn x ON x.doc_id = a_id LEFT JOIN nn y ON y.doc_id = b_id""")
 def tfidf_cosine(t):
     docs = t("documents")
-    counts = Q.search_terms(docs, "doc_id", F.col("text"))
-    tf = Q.term_frequency(counts, "doc_id")
-    idf = Q.document_frequency(counts, docs.agg(F.count("*").alias("n_docs")))
+    counts = cut_lineage(Q.search_terms(docs, "doc_id", F.col("text")))
+    idf = Q.document_frequency(counts, docs.count())
+    weights = cut_lineage(Q.tfidf_weights(Q.term_frequency(counts, "doc_id"), idf, "doc_id"))
     pairs = t("versions").select(F.col("pair_id").alias("a_id"), (F.col("pair_id") + 20).alias("b_id"))
-    return Q.tfidf_cosine(tf.withColumnRenamed("doc_id", "a_id"), tf.withColumnRenamed("doc_id", "b_id"), pairs, idf)
+    return Q.tfidf_cosine(weights.withColumnRenamed("doc_id", "a_id"), weights.withColumnRenamed("doc_id", "b_id"), pairs)
 
 
 @query("search_similar", f"""

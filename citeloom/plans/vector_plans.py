@@ -126,7 +126,7 @@ def tfidf_embed(t):
 def tfidf_embed_code(t):
     lines = t("code_lines")
     counts = Q.term_counts(lines, "row_id", X.code_tokens(F.col("content")))
-    idf = Q.document_frequency(counts, lines.agg(F.count("*").alias("n_docs")))
+    idf = Q.document_frequency(counts, lines.count())
     return V.tfidf_embed_code(counts, "row_id", idf).withColumn("value", S.rounded(F.col("value"), 6))
 
 
