@@ -9,6 +9,7 @@ the expected token mix of the sample is the raked one. DataFrame expressions thr
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -18,9 +19,11 @@ from citeloom.llm.common import stored
 DIMENSIONS = ("source", "lang", "topic")
 #: Targets where none are given: a value's share of all tokens to this power, made to add up to one.
 FLATTEN: dict[str, float] = {"source": 0.8, "lang": 0.9, "topic": 1.0}
+#: A value below this share is raised no more than one that has it, so a few odd documents do not thin out all others.
+RARE_SHARE = 0.03
 #: The fit ends when no factor moves by more than this share in a round, or after so many rounds.
-TOLERANCE = 1e-5
-MAX_ROUNDS = 100
+TOLERANCE = 1e-4
+MAX_ROUNDS = 25
 
 
 def form_topic(text: Column, n_tokens: Column) -> Column:
@@ -39,7 +42,9 @@ def token_weights(docs: DataFrame) -> DataFrame:
 
 
 def _flat_targets(cells: DataFrame, dim: str) -> DataFrame:
-    return cells.groupBy(dim).agg(F.sum("tokens").alias("n")).select(dim, F.pow("n", F.lit(FLATTEN[dim])).alias("target"))
+    total = F.lit(float(cells.agg(F.sum("tokens")).first()[0] or 1))
+    raised = F.pow(F.greatest(F.col("n") / total, F.lit(RARE_SHARE)), F.lit(FLATTEN[dim] - 1))
+    return cells.groupBy(dim).agg(F.sum("tokens").alias("n")).select(dim, (F.col("n") * raised).alias("target"))
 
 
 def _shares(rows: DataFrame, dim: str) -> DataFrame:
@@ -62,21 +67,20 @@ def rake(cells: DataFrame, targets: Mapping[str, DataFrame] | None = None, toler
     goal = {d: stored(_shares((targets or {}).get(d, _flat_targets(cells, d)).join(cells.select(d).distinct(), d, "left_semi"), d)) for d in DIMENSIONS}
     factors = {d: stored(goal[d].select(d, F.lit(1.0).alias("factor"))) for d in DIMENSIONS}
     for _ in range(max_rounds):
-        moved = 0.0
         for d in DIMENSIONS:
             others = [o for o in DIMENSIONS if o != d]
             joined = cells
             for o in others:
                 joined = joined.join(factors[o].withColumnRenamed("factor", f"f_{o}"), o)
             have = joined.groupBy(d).agg(F.sum(F.col("tokens") * F.col(f"f_{others[0]}") * F.col(f"f_{others[1]}")).alias("have"))
-            new = goal[d].join(have, d).select(d, F.when(F.col("have") > 0, F.col("target") / F.col("have")).otherwise(0.0).alias("factor"))
-            new = stored(new)
-            change = new.join(factors[d].withColumnRenamed("factor", "old"), d).agg(F.max(F.when(F.col("old") > 0, F.abs(F.col("factor") / F.col("old") - 1)).otherwise(0.0))).first()[0]
-            moved = max(moved, change or 0.0)
-            factors[d] = new
-        if moved <= tolerance:
+            new = goal[d].join(have, d).join(factors[d].select(d, F.col("factor").alias("old")), d)
+            factor = F.when(F.col("have") > 0, F.col("target") / F.col("have")).otherwise(0.0)
+            moved = F.when(F.col("old") > 0, F.abs(factor / F.col("old") - 1)).otherwise(0.0)
+            factors[d] = stored(new.select(d, factor.alias("factor"), moved.alias("moved")))
+        moves = functools.reduce(DataFrame.union, (factors[d].select("moved") for d in DIMENSIONS))
+        if (moves.agg(F.max("moved")).first()[0] or 0.0) <= tolerance:
             break
-    return factors
+    return {d: factors[d].select(d, "factor") for d in DIMENSIONS}
 
 
 def _with_factors(rows: DataFrame, factors: Mapping[str, DataFrame], prefix: str = "") -> DataFrame:
