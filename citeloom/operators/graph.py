@@ -250,19 +250,23 @@ def impact_scores(edges: DataFrame, seeds: DataFrame | None = None, critical: fl
     return joined.select("id", "direct", "transitive", score.alias("impact"), (score >= critical).alias("critical"))
 
 
-def node_profile(nodes: DataFrame, edges: DataFrame, as_of_year: int | None = None) -> DataFrame:
-    """Degrees, closure sizes, depth, impact, external calls, rank and influence per node."""
+def node_profile(nodes: DataFrame, edges: DataFrame, as_of_year: int | None = None, with_rank: bool = False) -> DataFrame:
+    """Degrees, closure sizes, depth, impact, external calls and influence per node, on request its rank.
+
+    One closure gives what a node reaches and, read by its ends, what reaches the node.
+    """
     e = cut_lineage(edges.select("src", "dst").distinct())
     named = nodes.select("id", "file", *(["year"] if "year" in nodes.columns else []))
     deg = degrees(e)
-    down = closure_sizes(e).select("id", F.col("reachable").alias("dependencies"), "depth")
-    up = closure_sizes(reverse(e)).select("id", F.col("reachable").alias("dependents"))
+    pairs = closure(e)
+    down = pairs.groupBy(F.col("seed").alias("id")).agg(F.count("*").alias("dependencies"), F.max("depth").alias("depth"))
+    up = pairs.groupBy("id").agg(F.count("*").alias("dependents"))
     files = nodes.select("id", "file")
     ext = e.join(files.withColumnsRenamed({"id": "src", "file": "f1"}), "src").join(
         files.withColumnsRenamed({"id": "dst", "file": "f2"}), "dst").filter("f2 <> '' AND f1 <> f2").groupBy(
         F.col("src").alias("id")).agg(F.count("*").alias("external_calls"))
     out = named
-    for part in (deg, down, up, ext, pagerank(nodes, e)):
+    for part in (deg, down, up, ext, *([pagerank(nodes, e)] if with_rank else [])):
         out = out.join(part, "id", "left")
     out = out.fillna(0, ["in_degree", "out_degree", "dependencies", "depth", "dependents", "external_calls"])
     out = out.withColumn("impact", F.col("in_degree") + F.col("dependents") * 0.5)

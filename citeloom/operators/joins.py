@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from citeloom.functions import constants as K, scoring as S, text as X
+from citeloom.session import cut_lineage
 
 
 # Experiment comparison ------------------------------------------------------
@@ -97,14 +98,28 @@ def tiered_match(
     if not usage:
         return direct.select("file", "line", "m.match_tier", "m.pattern")
     spots = F.array_compact(F.array(*[F.when(F.col("content").contains(p), F.lit(p)) for p in usage]))
-    scanned = lines.select("file", "line", F.explode(spots).alias("pattern"))
+    place = F.array_position(F.array(*map(F.lit, usage)), F.col("pattern")).cast("int")
+    own_files = lines.join(elements.select("file").distinct(), "file", "left_semi")
+    scanned = own_files.select("file", "line", F.explode(spots).alias("pattern"))
     scanned = scanned.join(direct.select("m.pattern").distinct(), "pattern", "left_anti")
     scanned = scanned.join(direct.select("file", "line"), ["file", "line"], "left_anti")
-    taken = scanned.groupBy("pattern").agg(F.min(F.struct("file", "line")).alias("s"))
-    # Two patterns may meet on one line; the earlier pattern keeps it.
-    taken = taken.groupBy("s").agg(F.min("pattern").alias("pattern")).select(
-        "s.file", "s.line", F.lit("text_scan").alias("match_tier"), "pattern")
-    return direct.select("file", "line", "m.match_tier", "m.pattern").unionByName(taken)
+    scanned = cut_lineage(scanned.select(F.struct("file", "line", place.alias("place"), "pattern").alias("s")))
+    # Lines in order: a line goes to the first listed pattern it holds that has no line yet.
+    # One minimum per pattern, of which there are as many as the caller wrote down.
+    taken: list[tuple] = []
+    while True:
+        left = scanned
+        for file, line, pattern in taken:
+            left = left.filter((F.col("s.pattern") != pattern) & ~((F.col("s.file") == file) & (F.col("s.line") == line)))
+        best = left.agg(F.min("s").alias("s")).first()["s"]
+        if best is None:
+            break
+        taken.append((best["file"], best["line"], best["pattern"]))
+    found = direct.select("file", "line", "m.match_tier", "m.pattern")
+    if not taken:
+        return found
+    rows = [F.struct(F.lit(f).alias("file"), F.lit(n).alias("line"), F.lit("text_scan").alias("match_tier"), F.lit(p).alias("pattern")) for f, n, p in taken]
+    return found.unionByName(lines.sparkSession.range(1).select(F.inline(F.array(*rows))))
 
 
 def keyword_specs(df: DataFrame, keys: Sequence[str], text: Column) -> DataFrame:

@@ -99,7 +99,7 @@ def rule_scan_findings(t):
     return R.rule_findings(t("documents"), ["doc_id"], "text", rules).select("doc_id", "rule", "severity")
 
 
-WEB_RULES = {"markup": [r"<script", r"onclick\s*=", r"<iframe"], "link": [r'href="/', r'href="https?:']}
+WEB_RULES = {"markup": [r"<script", r"onclick\s*=", r"<iframe"]}
 
 
 @query("categorized_rule_scan", f"""

@@ -238,3 +238,11 @@ def test_scratch_folder_must_be_shared(spark):
 
     with pytest.raises(ValueError):
         session.scratch_dir(Cluster())
+
+
+def test_text_scan_gives_a_line_to_the_first_listed_pattern(spark):
+    elements = spark.createDataFrame([("Thing", "class Thing", "mod", "a.py", 1)], "name string, snippet string, module string, file string, line bigint")
+    lines = spark.createDataFrame([("a.py", 5, "x = nn.Zed(self.abc)"), ("a.py", 11, "self.abc"), ("other.py", 1, "nn.Zed"), ("a.py", 12, "nn.Zed")], "file string, line bigint, content string")
+    found = lambda patterns: {(r["pattern"], r["line"]) for r in J.tiered_match(elements, elements, lines, patterns).collect() if r["match_tier"] == "text_scan"}
+    assert found(["nn.Zed", "self.abc"]) == {("nn.Zed", 5), ("self.abc", 11)}
+    assert found(["self.abc", "nn.Zed"]) == {("self.abc", 5), ("nn.Zed", 12)}
