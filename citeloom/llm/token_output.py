@@ -29,8 +29,8 @@ CACHED_CHUNKS = 500_000
 TOKEN_SCHEMA = "doc_id long, part int, local_start long, n_tokens long, tokens array<int>"
 
 
-#: A word of Latin letters with at most one comma or full stop behind it.
-_PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([,.]?)")
+#: Letters whose lower case is one letter each.
+_LATIN = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+").fullmatch
 _MARK = "\x01"
 
 
@@ -56,6 +56,7 @@ class ChunkEncoder:
         self.mark = ids(_MARK)[0] if len(ids(_MARK)) == 1 else None
         self.tail = {c: np.array(ids(c), "<i4").tobytes() for c in ("", ",", ".")}
         self.folds = ids("Éa, b.") == ids("éa") + ids(",") + ids("b") + ids(".")
+        self.direct = self.folds and [t.id for t in self.tokenizer.model.tokenize("tokenizers")] == ids("tokenizers")
         vocab = self.tokenizer.get_vocab()
         self.last = np.zeros(max(vocab.values()) + 1, bool)  # ids that end a word
         self.last[[i for piece, i in vocab.items() if piece.endswith("</w>")]] = True
@@ -77,31 +78,42 @@ class ChunkEncoder:
         return [out[p] for p in parts]
 
     def _encode_words(self, words: list[str]) -> list[bytes]:
-        """Ids of each plain word: a word's last piece carries the end-of-word mark of the vocabulary."""
-        blocks, out = [words[i:i + 1000] for i in range(0, len(words), 1000)], []
+        """Ids of each plain word. Letters of ASCII are their own byte symbols, so the library's model takes
+        those words as they are; for the others a word's last piece carries the vocabulary's end-of-word mark."""
+        pieces, out = self.tokenizer.model.tokenize, {}
+        if self.direct:
+            out = {w: np.array([t.id for t in pieces(w)], "<i4").tobytes() for w in words if w.isascii()}
+        other = [w for w in words if w not in out]
+        blocks = [other[i:i + 1000] for i in range(0, len(other), 1000)]
         for block, e in zip(blocks, self.tokenizer.encode_batch_fast([" ".join(block) for block in blocks], add_special_tokens=False)):
             ids = np.array(e.ids, "<i4")
             ends = (4 * np.flatnonzero(self.last[ids]) + 4).tolist()
             if len(ends) == len(block):
                 whole = ids.tobytes()
-                out.extend([whole[a:b] for a, b in zip([0, *ends], ends)])
+                out.update(zip(block, [whole[a:b] for a, b in zip([0, *ends], ends)]))
             else:
-                out.extend(self._encode(block))
-        return out
+                out.update(zip(block, self._encode(block)))
+        return [out[w] for w in words]
 
     def _learn(self, chunks: list[str]) -> None:
-        plain, rest = [], []
+        spelled = {end: ([], []) for end in self.tail}  # chunks and their words, by what is behind the word
+        rest = []
         for chunk in chunks:
-            if self.folds and (found := _PLAIN.fullmatch(chunk)):
-                plain.append((chunk, found[1].lower(), found[2]))
+            end = chunk[-1:]
+            word = chunk[:-1] if end == "," or end == "." else chunk
+            if self.folds and word.isalpha() and (word.isascii() or _LATIN(word)):
+                pair = spelled[end if word is not chunk else ""]
+                pair[0].append(chunk)
+                pair[1].append(word.lower())
             else:
                 rest.append(chunk)
         if len(self.words) > 2 * self.cached_chunks:
             self.words = {}
-        words, tail = self.words, self.tail
-        new = list({word for _, word, _ in plain}.difference(words))
-        words.update(zip(new, self._encode_words(new)))
-        self.chunks.update((chunk, words[word] + tail[end] if end else words[word]) for chunk, word, end in plain)
+        new = list(set().union(*(words for _, words in spelled.values())).difference(self.words))
+        self.words.update(zip(new, self._encode_words(new)))
+        for end, (found, words) in spelled.items():
+            ids = map(self.words.__getitem__, words)
+            self.chunks.update(zip(found, ids) if not end else zip(found, [i + self.tail[end] for i in ids]))
         self.chunks.update(zip(rest, self._encode(rest)))
 
     def encode(self, texts: list[str]) -> list[bytes]:
