@@ -41,3 +41,10 @@ def map_batches(df: DataFrame, step: Callable[[pa.RecordBatch], pa.RecordBatch |
 def utf8_values(column: pa.Array) -> list[bytes]:
     """The UTF-8 bytes of a string column; null becomes the empty string."""
     return [v or b"" for v in column.cast(pa.binary()).to_pylist()]
+
+
+def small(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
+    """The batches in pieces of at most ``rows`` rows, so that few whole texts are held as Python objects."""
+    for batch in batches:
+        for low in range(0, batch.num_rows, rows):
+            yield batch.slice(low, rows)

@@ -28,8 +28,8 @@ COVERED = 0.8
 MIN_LITERALS = 2
 #: Bits of the filter that a document's windows pass before the join. Its size is fixed, a full one only lets more rows through.
 FILTER_BITS = 1 << 22
-CACHED_CHUNKS = 300_000
-SLICE_CHARS = 4 << 20
+CACHED_CHUNKS = 150_000
+SLICE_CHARS = 2 << 20
 
 UNITS = frozenset(
     "% mm cm m km in inch inches ft foot feet yd yard yards mi mile miles mg g kg t lb lbs pound pounds oz ounce ounces ml cl l liter liters litre litres gallon gallons "

@@ -19,8 +19,8 @@ from pyspark.sql import DataFrame, functions as F
 WORD_BUCKETS = 1 << 12
 #: Labelled rows the model is fitted on at most: those with the smallest hash of their id.
 TRAINING_ROWS = 6_000
-CACHED_WORDS = 300_000
-SLICE_BYTES = 4 << 20
+CACHED_WORDS = 150_000
+SLICE_BYTES = 2 << 20
 
 #: Upper bin edges of each statistic.
 STATISTICS: dict[str, tuple[float, ...]] = {

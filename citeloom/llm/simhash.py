@@ -19,7 +19,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from citeloom.llm.common import stored
+from citeloom.llm.common import small, stored
 from citeloom.operators.components import connected_components
 
 SEED = 42
@@ -52,7 +52,7 @@ def fingerprints(docs: DataFrame, size: int = 3) -> DataFrame:
     """doc_id, row key, text key and the signed 64-bit fingerprint of every whole text; a null text has fingerprint zero."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             values = [simhash(shingle_hashes(t or b"", size)) for t in batch.column("text").cast(pa.binary()).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("row"), batch.column("node"), pa.array(np.array(values, np.uint64).view(np.int64))], names=["doc_id", "row", "node", "fp"])
 
@@ -156,7 +156,7 @@ def sketches(docs: DataFrame, size: int = 5) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         odd = np.random.default_rng(SEED).integers(1, 2**63, SKETCHES).astype(np.uint64) * np.uint64(2) + np.uint64(1)
-        for batch in batches:
+        for batch in small(batches):
             nodes, values = [], []
             for node, text in zip(batch.column("node").to_pylist(), batch.column("text").cast(pa.binary()).to_pylist()):
                 hashes = np.unique(shingle_hashes(text or b"", size))
@@ -189,7 +189,7 @@ def similar_links(docs: DataFrame, size: int = 5, similarity: float = 0.8) -> Da
     pairs = stored(met.select(F.least("node", "head").alias("a"), F.greatest("node", "head").alias("b")).distinct())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             sets = [np.unique(shingle_hashes(t or b"", size)).view(np.int64) for t in batch.column("text").cast(pa.binary()).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(sets, pa.list_(pa.int64()))], names=["node", "shingles"])
 

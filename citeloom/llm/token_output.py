@@ -24,7 +24,7 @@ ROW_GROUP_BYTES = 64 << 20
 PAGE_BYTES = 256 << 10
 PAGE_ROWS = 2_000
 #: Distinct chunks (and twice as many words) a worker keeps encoded; beyond it the memory starts anew, results stay the same.
-CACHED_CHUNKS = 500_000
+CACHED_CHUNKS = 200_000
 
 TOKEN_SCHEMA = "doc_id long, part int, local_start long, n_tokens long, tokens array<int>"
 
@@ -139,7 +139,7 @@ def encoder_for(vocabulary: str, cached_chunks: int) -> ChunkEncoder:
     return _ENCODERS[vocabulary]
 
 
-def write_tokens(docs: DataFrame, path: str, vocabulary: str, end_id: int = 1, slice_bytes: int = 4 << 20,
+def write_tokens(docs: DataFrame, path: str, vocabulary: str, end_id: int = 1, slice_bytes: int = 2 << 20,
                  cached_chunks: int = CACHED_CHUNKS) -> None:
     """Encode ``docs`` (doc_id, text; other columns are ignored) into a token table at ``path``.
 
