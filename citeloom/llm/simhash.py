@@ -150,7 +150,7 @@ SKETCH_SHINGLES = 4
 def sketches(docs: DataFrame, size: int = 5) -> DataFrame:
     """node, sketch number and fingerprint of SKETCHES samples of each distinct text's distinct shingles.
 
-    Sample t is the SKETCH_SHINGLES smallest shingle hashes under the t-th rehash, so
+    The last number has the hash of the whole set, equal for equal sets. Sample t is the SKETCH_SHINGLES smallest shingle hashes under the t-th rehash, so
     similar texts often have an equal sample and thus fingerprints at distance zero.
     """
 
@@ -167,26 +167,77 @@ def sketches(docs: DataFrame, size: int = 5) -> DataFrame:
                     k = min(SKETCH_SHINGLES, len(hashes))
                     least = np.sort(np.partition(rehashed, k - 1, axis=1)[:, :k], axis=1)
                     values.extend(map(simhash, least))
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.array(nodes, np.int64), SKETCHES)), pa.array(np.tile(np.arange(SKETCHES, dtype=np.int32), len(nodes))),
+                    values.append(xxhash.xxh64_intdigest(hashes.tobytes(), SEED))
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.array(nodes, np.int64), SKETCHES + 1)), pa.array(np.tile(np.arange(SKETCHES + 1, dtype=np.int32), len(nodes))),
                                               pa.array(np.array(values, np.uint64).view(np.int64))], names=["node", "sketch", "fp"])
 
     return docs.select(F.xxhash64("text").alias("node"), "text").mapInArrow(run, "node long, sketch int, fp long")
 
 
-def similar_links(docs: DataFrame, size: int = 5, similarity: float = 0.8) -> DataFrame:
-    """Pairs (a, b) of distinct texts whose shingle sets have a Jaccard similarity of at least ``similarity``.
+#: Rows whose shingles are counted to tell the frequent ones, and how many of these the tasks know. Both only set the order of shingles.
+COUNTED_TEXTS = 4000
+FREQUENT_SHINGLES = 1 << 17
+
+
+def _frequent(docs: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes, sorted, and counts of the shingles that several of about COUNTED_TEXTS rows hold, the most frequent first."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in small([batch], 50):
+                sets = [np.unique(shingle_hashes(t or b"", size)) for t in part.column("text").cast(pa.binary()).to_pylist()]
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.empty(0, np.uint64), *sets]).view(np.int64))], names=["shingle"])
+
+    every = max(1, docs.count() // COUNTED_TEXTS)
+    counted = docs.where(F.pmod(row_key(), F.lit(every)) == 0).select("text").mapInArrow(run, "shingle long")
+    top = counted.groupBy("shingle").agg(F.count("*").alias("n")).where("n > 1").orderBy(F.desc("n"), "shingle").limit(FREQUENT_SHINGLES).toArrow()
+    hashes, counts = top.column("shingle").to_numpy().view(np.uint64), top.column("n").to_numpy()
+    order = np.argsort(hashes)
+    return hashes[order], counts[order]
 
-    Texts that share a sketch meet the one of them that shares the most sketches with
-    others (the original of its copies) and the one with the smallest key, so a group costs
-    two rows per member; the similarity of every pair that met is computed exactly.
+
+def _prefix(n, part: float):
+    """How many of the first of ``n`` shingles, in a common order, a set must share one of if it shares ``part`` of all."""
+    return n - np.ceil(part * n - 1e-9).astype(np.int64) + 1
+
+
+def prefixes(docs: DataFrame, size: int, similarity: float) -> DataFrame:
+    """shingle, node, place, n, small: the first shingles of each text, rarest first, that a text of ``similarity`` must share one of.
+
+    ``small`` are the fewer that do for a partner with no fewer shingles.
     """
-    drawn = sketches(docs, size).distinct()
-    shared = drawn.groupBy("sketch", "fp").agg(F.count("*").alias("n")).where("n > 1")
-    drawn = stored(drawn.join(shared, ["sketch", "fp"]))
-    weights = drawn.groupBy("node").agg(F.sum("n").alias("weight"))
-    heads = drawn.join(weights, "node").groupBy("sketch", "fp").agg(F.array_distinct(F.array(F.max(F.struct("weight", "node"))["node"], F.min("node"))).alias("heads"))
-    met = drawn.join(heads, ["sketch", "fp"]).select("node", F.explode("heads").alias("head")).where("node <> head")
-    pairs = stored(met.select(F.least("node", "head").alias("a"), F.greatest("node", "head").alias("b")).distinct())
+    sent = docs.sparkSession.sparkContext.broadcast(_frequent(docs, size))  # at most FREQUENT_SHINGLES
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, counts = sent.value
+        for batch in small(batches, 100):
+            nodes, firsts, sizes = [], [np.empty(0, np.uint64)], []
+            for node, text in zip(batch.column("node").to_pylist(), batch.column("text").cast(pa.binary()).to_pylist()):
+                hashes = np.unique(shingle_hashes(text or b"", size))
+                if len(hashes):
+                    if len(known):
+                        at = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
+                        hashes = hashes[np.argsort(np.where(known[at] == hashes, counts[at], 0), kind="stable")]
+                    nodes.append(node)
+                    sizes.append(len(hashes))
+                    firsts.append(hashes[:_prefix(np.int64(len(hashes)), similarity)])
+            lengths = np.array([len(x) for x in firsts[1:]], np.int64)
+            n = np.repeat(np.array(sizes, np.int64), lengths)
+            place = np.arange(len(n)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(firsts).view(np.int64)), pa.array(np.repeat(np.array(nodes, np.int64), lengths)), pa.array(place.astype(np.int32)), pa.array(n.astype(np.int32)),
+                                              pa.array(place < _prefix(n, 2 * similarity / (1 + similarity)))], names=["shingle", "node", "place", "n", "small"])
+
+    return docs.select(F.xxhash64("text").alias("node"), "text").mapInArrow(run, "shingle long, node long, place int, n int, small boolean")
+
+
+def _several(rows: DataFrame, key: str, value: str) -> DataFrame:
+    """The rows of the keys that have more than one value."""
+    keys = rows.groupBy(key).agg(F.min(value).alias("low"), F.max(value).alias("high")).where("low <> high").select(key)
+    return rows.join(keys, key)
+
+
+def _verified(docs: DataFrame, pairs: DataFrame, size: int, similarity: float) -> DataFrame:
+    """The ``pairs`` (a, b) of texts whose shingle sets reach ``similarity``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small(batches):
@@ -201,6 +252,39 @@ def similar_links(docs: DataFrame, size: int = 5, similarity: float = 0.8) -> Da
     return met.where(both >= similarity * (F.size("sa") + F.size("sb") - both)).select("a", "b")
 
 
+def similar_links(docs: DataFrame, size: int = 5, similarity: float = 0.8) -> DataFrame:
+    """Links (a, b) of distinct texts whose shingle sets have a Jaccard similarity of at least ``similarity``.
+
+    The components of the links are those of all such pairs; of a group not every pair is
+    named. Texts of equal sets are linked to one of them. Texts that share a sketch meet the
+    one of them that shares the most sketches with others (the original of its copies) and
+    the one with the smallest key, so a group costs two rows per member. What these links
+    leave apart meets by an exact prefix filter: similar texts share one of their first
+    shingles, rarest first, with enough behind it in both. All pairs that met are verified.
+    """
+    drawn = sketches(docs, size).distinct()
+    shared = drawn.groupBy("sketch", "fp").agg(F.count("*").alias("n")).where("n > 1")
+    drawn = stored(drawn.join(shared, ["sketch", "fp"]))
+    weights = drawn.groupBy("node").agg(F.sum("n").alias("weight"))
+    heads = drawn.join(weights, "node").groupBy("sketch", "fp").agg(F.array_distinct(F.array(F.max(F.struct("weight", "node"))["node"], F.min("node"))).alias("heads"))
+    met = drawn.join(heads, ["sketch", "fp"]).select("node", F.explode("heads").alias("head")).where("node <> head")
+    pairs = stored(met.select(F.least("node", "head").alias("a"), F.greatest("node", "head").alias("b")).distinct())
+    linked = stored(_verified(docs, pairs, size, similarity))
+
+    roots = stored(connected_components(linked))
+    first = stored(_several(stored(prefixes(docs, size, similarity)), "shingle", "node").distinct())
+    first = stored(_several(first.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "shingle", "root"))
+    x, y = first.where("small").alias("x"), first.alias("y")
+    least = F.lit(similarity / (1 + similarity)) * (F.col("x.n") + F.col("y.n")) - 1e-6  # shingles in common
+    meet = (
+        (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.root") != F.col("y.root"))
+        & ((F.col("x.n") < F.col("y.n")) | ((F.col("x.n") == F.col("y.n")) & (F.col("x.node") < F.col("y.node"))))
+        & (F.least(F.col("x.n") - F.col("x.place"), F.col("y.n") - F.col("y.place")) >= least)  # true of the first shingle that a pair shares
+    )
+    rest = stored(x.join(y, meet).select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct())
+    return linked.union(_verified(docs, rest, size, similarity))
+
+
 def keep_one_of_each(docs: DataFrame, size: int = 3, max_bits: int = MAX_BITS, words: int = 5, similarity: float = 0.8) -> DataFrame:
     """``docs`` without the near-duplicates of a document with a smaller doc_id.
 

@@ -4,7 +4,7 @@ import numpy as np
 import xxhash
 
 from citeloom.operators.components import connected_components
-from citeloom.llm.simhash import keep_one_of_each, near_duplicates, near_links, simhash, shingle_hashes
+from citeloom.llm.simhash import keep_one_of_each, near_duplicates, near_links, similar_links, simhash, shingle_hashes
 
 
 def brute_print(text):
@@ -86,3 +86,22 @@ def test_components_of_a_long_chain(spark):
     links = [(order[i], order[i + 1]) for i in range(n - 1)] + [(500, 501), (7, 7)]
     got = {r.node: r.root for r in connected_components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert got == {**{i: 0 for i in range(n)}, 500: 500, 501: 500}
+
+
+def test_members_that_no_head_links(spark, make_docs):
+    rng = random.Random(5)
+    fresh = iter(range(10**7))
+
+    def unique(n):
+        return [f"u{next(fresh)}" for _ in range(n)]
+
+    passage = unique(870)
+    rows = [(1000 + i, " ".join(passage + unique(130))) for i in range(150)]
+    # Pairs of 1,000 words that share the passage and 70 words more (0.88), among other holders of the passage (0.77).
+    for k in range(12):
+        common = unique(70)
+        rows += [(2 * k + i, " ".join(passage + common + unique(60))) for i in range(2)]
+    docs = make_docs(rows)
+    node = {r.doc_id: r.node for r in docs.selectExpr("doc_id", "xxhash64(text) as node").collect()}
+    got = {tuple(sorted(r)) for r in similar_links(docs).collect()}
+    assert got == {tuple(sorted((node[2 * k], node[2 * k + 1]))) for k in range(12)}
