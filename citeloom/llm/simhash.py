@@ -285,21 +285,20 @@ def similar_links(docs: DataFrame, size: int = 5, similarity: float = 0.8) -> Da
     return linked.union(_verified(docs, rest, size, similarity))
 
 
-def keep_one_of_each(docs: DataFrame, size: int = 3, max_bits: int = MAX_BITS, words: int = 5, similarity: float = 0.8) -> DataFrame:
+def keep_one_of_each(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
     """``docs`` without the near-duplicates of a document with a smaller doc_id.
 
-    Near-duplicates are texts whose fingerprints over ``size``-word shingles link, and texts
-    whose ``words``-word shingle sets reach ``similarity``; groups are the components of
-    both kinds of links. Of each group the row with the smallest doc_id stays (a row
-    without one only if all lack it), of equal rows one. Texts without words are one group.
+    Near-duplicates are texts whose ``words``-word shingle sets reach ``similarity``; groups
+    are the components of their links. Fingerprints within three bits alone are none: a
+    line repeated often decides the fingerprint of otherwise different texts, and texts that
+    reach the similarity are all found without them. Of each group the row with the smallest
+    doc_id stays (a row without one only if all lack it), of equal rows one. Texts without
+    words are one group.
     """
-    prints = stored(fingerprints(docs, size))
-    classes = stored(prints.groupBy("fp").agg(F.min("node").alias("first")))
-    same = prints.select("node", "fp").distinct().join(classes, "fp").select(F.col("first").alias("a"), F.col("node").alias("b"))
-    near = near_links(classes, max_bits)
-    near = near.join(classes.withColumnRenamed("fp", "a"), "a").select(F.col("first").alias("x"), "b").join(classes.withColumnRenamed("fp", "b"), "b").select(F.col("x").alias("a"), F.col("first").alias("b"))
-    roots = connected_components(same.union(near).union(similar_links(docs, words, similarity)))
-    grouped = prints.join(roots, "node", "left").withColumn("group", F.coalesce("root", "node"))
+    blank = ~F.coalesce("text", F.lit("")).rlike("[^\\x20\\x09-\\x0D]")
+    keyed = stored(docs.select(F.col("doc_id").cast("long"), row_key().alias("row"), F.when(blank, F.lit(0).cast("long")).otherwise(F.xxhash64("text")).alias("node")))
+    roots = connected_components(similar_links(docs, words, similarity))
+    grouped = keyed.join(roots, "node", "left").withColumn("group", F.coalesce("root", "node"))
     first = F.min(F.struct(F.coalesce("doc_id", F.lit((1 << 63) - 1)), "row"))  # smallest doc_id, null last
     keep = stored(grouped.groupBy("group").agg(first["row"].alias("_row")).select("_row"))
     rows = docs.withColumn("_row", row_key())

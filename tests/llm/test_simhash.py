@@ -105,3 +105,12 @@ def test_members_that_no_head_links(spark, make_docs):
     node = {r.doc_id: r.node for r in docs.selectExpr("doc_id", "xxhash64(text) as node").collect()}
     got = {tuple(sorted(r)) for r in similar_links(docs).collect()}
     assert got == {tuple(sorted((node[2 * k], node[2 * k + 1]))) for k in range(12)}
+
+
+def test_a_hot_line_joins_no_other_texts(spark, make_docs):
+    line = "this one line comes again and again in both texts now\n"
+    rows = [(i, line * 3000 + " ".join(f"w{i}x{k}" for k in range(1000))) for i in range(2)]
+    a, b = (brute_print(t) for _, t in rows)
+    assert (a ^ b).bit_count() <= 3
+    rows += [(2, line * 20 + rows[0][1]), (5, None), (4, " \v\n"), (3, "\u00a0")]
+    assert sorted(r.doc_id for r in keep_one_of_each(make_docs(rows)).collect()) == [0, 1, 3, 4]
