@@ -5,9 +5,9 @@ without punctuation. A capitalised word that starts a sentence may be a name or
 copy may have lost its capitals, so a text has three readings: with such words as words,
 as names, and with no names at all. Windows of five template tokens of documents
 and benchmark items are joined on their hash. Windows that meet on one alignment must
-fill the item's slots consistently, one value for one slot and the other way round; an
-item whose windows are covered to 80 % marks the document, also if its numbers and names
-were exchanged.
+fill the item's slots consistently, one value for one slot and the other way round;
+windows that go against the most frequent filling do not count. An item whose windows
+are covered to 80 % marks the document, also if its numbers and names were exchanged.
 """
 
 from __future__ import annotations
@@ -28,6 +28,8 @@ COVERED = 0.8
 MIN_LITERALS = 2
 #: Bits of the filter that a document's windows pass before the join. Its size is fixed, a full one only lets more rows through.
 FILTER_BITS = 1 << 22
+#: In place of the slot of a token that is none in any reading; -1 as a long.
+NO_SLOT = (1 << 64) - 1
 CACHED_CHUNKS = 150_000
 SLICE_CHARS = 2 << 20
 
@@ -128,8 +130,8 @@ def _readings(t: dict[str, np.ndarray]) -> list[tuple[np.ndarray, np.ndarray]]:
     return out
 
 
-def _windows(t: dict[str, np.ndarray], n_texts: int, size: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """For each reading: first token, length, hash and evidence of every window; a shorter text is one window.
+def _windows(t: dict[str, np.ndarray], n_texts: int, size: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """For each reading: first token, length and hash of every window with evidence; a shorter text is one window.
 
     Later readings leave out the windows that are the same in the first.
     """
@@ -154,20 +156,18 @@ def _windows(t: dict[str, np.ndarray], n_texts: int, size: int) -> list[tuple[np
                     starts.append(np.array([a]))
                     lengths.append(np.array([b - a]))
                     values.append(np.array([xxhash.xxh64_intdigest(tokens[a:b].tobytes(), seed=size)], np.uint64))
-        out.append((np.concatenate(starts), np.concatenate(lengths), np.concatenate(values), slot))
+        out.append((np.concatenate(starts), np.concatenate(lengths), np.concatenate(values)))
         first_tokens = tokens if first_tokens is None else first_tokens
     return out
 
 
-def _slots(values: np.ndarray, slot: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> pa.ListArray:
-    """The values in the slots of each window, in order."""
+def _tokens(values: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> pa.ListArray:
+    """The values of the tokens of each window, in order."""
     if not len(starts):
         return pa.array([], pa.list_(pa.int64()))
     ends = np.cumsum(lengths)
     at = np.repeat(starts - (ends - lengths), lengths) + np.arange(ends[-1])
-    inside = slot[at]
-    sizes = np.bincount(np.repeat(np.arange(len(starts)), lengths)[inside], minlength=len(starts))
-    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(values[at[inside]].view(np.int64)))
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(values[at].view(np.int64)))
 
 
 def _slices(texts: list[str]) -> Iterator[tuple[int, int]]:
@@ -196,18 +196,18 @@ def item_windows(benchmark: DataFrame, size: int = WINDOW) -> DataFrame:
                 counts = np.bincount(t["owner"], minlength=high - low)
                 ends = np.cumsum(counts)
                 (plain, _), (named, slot), _ = _readings(t)
-                # A slot's value becomes the place of its first occurrence in the item.
+                # A slot's value becomes the place of its first occurrence in the item, also where a reading takes it as a word.
                 index = np.zeros(len(t["hash"]), np.uint64)
                 classes = np.zeros(high - low, np.uint64)
                 for i, (a, b) in enumerate(zip((ends - counts).tolist(), ends.tolist())):
                     seen: dict[int, int] = {}
-                    index[a:b] = [seen.setdefault(v, len(seen)) if s else 0 for v, s in zip(t["hash"][a:b].tolist(), slot[a:b].tolist())]
+                    index[a:b] = [seen.setdefault(v, len(seen)) if s else NO_SLOT for v, s in zip(t["hash"][a:b].tolist(), slot[a:b].tolist())]
                     classes[i] = xxhash.xxh64_intdigest(plain[a:b].tobytes() + named[a:b].tobytes() + index[a:b].tobytes())
-                for reading, (starts, lengths, values, is_slot) in enumerate(_windows(t, high - low, size)):
+                for reading, (starts, lengths, values) in enumerate(_windows(t, high - low, size)):
                     owner = t["owner"][starts]
                     yield pa.RecordBatch.from_arrays([
                         pa.array(batch.column("item_id").slice(low, high - low).take(pa.array(owner))), pa.array(classes[owner].view(np.int64)), pa.array(np.full(len(owner), reading, np.int32)),
-                        pa.array(t["place"][starts].astype(np.int32)), pa.array(values.view(np.int64)), _slots(index, is_slot, starts, lengths)],
+                        pa.array(t["place"][starts].astype(np.int32)), pa.array(values.view(np.int64)), _tokens(index, starts, lengths)],
                         names=["item_id", "class", "reading", "item_place", "window", "item_slots"])
 
     return benchmark.select(F.col("item_id").cast("long"), "text").mapInArrow(run, ITEM_SCHEMA)
@@ -223,16 +223,24 @@ def document_windows(docs: DataFrame, passing: np.ndarray, size: int = WINDOW) -
             texts = [t or "" for t in batch.column("text").to_pylist()]
             for low, high in _slices(texts):
                 t = reader.read(texts[low:high])
-                for starts, lengths, values, is_slot in _windows(t, high - low, size):
+                for starts, lengths, values in _windows(t, high - low, size):
                     hit = passes[(values & np.uint64(FILTER_BITS - 1)).astype(np.int64)]
                     starts, lengths, values = starts[hit], lengths[hit], values[hit]
                     yield pa.RecordBatch.from_arrays([
                         pa.array(batch.column("doc_id").slice(low, high - low).take(pa.array(t["owner"][starts]))), pa.array(t["place"][starts].astype(np.int32)),
-                        pa.array(values.view(np.int64)), _slots(t["hash"], is_slot, starts, lengths)], names=["doc_id", "doc_place", "window", "doc_slots"])
+                        pa.array(values.view(np.int64)), _tokens(t["hash"], starts, lengths)], names=["doc_id", "doc_place", "window", "doc_slots"])
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, doc_place int, window long, doc_slots array<long>")
 
 
+def _main_filling():
+    """Of ``filled`` the pairs of slot and value, the most frequent in ``pairs`` first, whose slot and value are not taken."""
+    counted = F.transform("filled", lambda p: F.struct((-F.size(F.filter("pairs", lambda x: x == p))).alias("n"), p.alias("p")))
+    none = F.filter("filled", lambda p: F.lit(False))
+    return F.aggregate(F.array_sort(counted), none, lambda kept, c: F.when(
+        F.exists(kept, lambda k: (k["item_slots"] == c["p"]["item_slots"]) | (k["doc_slots"] == c["p"]["doc_slots"])), kept).otherwise(F.concat(kept, F.array(c["p"]))))
+
+
 def find_contaminated(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, covered: float = COVERED) -> DataFrame:
     """doc_id, coverage, item_id and item_ids of every document that holds a benchmark item.
 
@@ -253,10 +261,12 @@ def find_contaminated(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW,
     met = document_windows(docs, passing, size).join(windows, "window").where(F.size("doc_slots") == F.size("item_slots"))
     # One alignment of one item: at most one row per window of the item and reading.
     lines = met.groupBy("doc_id", "class", (F.col("doc_place") - F.col("item_place")).alias("shift")).agg(
-        F.collect_set("item_place").alias("places"),
-        F.array_distinct(F.flatten(F.collect_list(F.arrays_zip("item_slots", "doc_slots")))).alias("filled"))
+        F.collect_set(F.struct("item_place", F.filter(F.arrays_zip("item_slots", "doc_slots"), lambda x: x["item_slots"] >= 0).alias("pairs"))).alias("rows"))
+    lines = lines.withColumn("pairs", F.flatten("rows.pairs")).withColumn("filled", F.array_distinct("pairs"))
     one_to_one = (F.size("filled") == F.size(F.array_distinct(F.transform("filled", lambda x: x["item_slots"])))) & (F.size("filled") == F.size(F.array_distinct(F.transform("filled", lambda x: x["doc_slots"]))))
-    found = (lines.where(one_to_one).select("doc_id", "class", F.explode("places").alias("place")).distinct()
+    # The list of one has the filling computed once.
+    agreeing = F.transform(F.array(_main_filling()), lambda main: F.filter("rows", lambda r: F.size(F.array_except(r["pairs"], main)) == 0))[0]
+    found = (lines.select("doc_id", "class", F.explode(F.when(one_to_one, F.col("rows")).otherwise(agreeing)["item_place"]).alias("place")).distinct()
              .groupBy("doc_id", "class").agg(F.count("*").alias("n")).join(names, "class").where(F.col("n") >= covered * F.col("n_windows")))
     return found.groupBy("doc_id").agg(F.max(F.col("n") / F.col("n_windows")).alias("coverage"), F.min("item_id").alias("item_id"), F.array_sort(F.collect_set("item_id")).alias("item_ids"))
 

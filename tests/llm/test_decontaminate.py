@@ -43,3 +43,12 @@ def test_short_texts_and_empty_tables(spark, make_docs):
     items = bench(spark, [(1, "the answer here"), (2, "5 7 9"), (3, ITEM)])
     assert set(found(docs, items)) == {1, None}
     assert found(docs.where("false"), items) == {} and found(docs, items.where("false")) == {}
+
+
+def test_one_conflict_costs_its_own_windows_only(spark, make_docs):
+    starts = "The river runs past the old mill and on to the sea beyond the hills of home. The miller grinds corn there every morning while children play near water and dogs sleep under trees until late evening."
+    names = "In that long summer our neighbour Anna carried fresh bread across the wide market square each morning and later in the cold winter months Anna sold warm soup near the station to people who waited there."
+    docs = make_docs([(1, starts.replace("The miller", "A miller")), (2, names.replace("neighbour Anna", "neighbour Maria")), (3, names.replace("Anna", "Maria")), (4, CLEAN)])
+    got = found(docs, bench(spark, [(1, starts), (2, names)]))
+    assert {d: r.item_id for d, r in got.items()} == {1: 1, 2: 2, 3: 2}
+    assert got[3].coverage == 1.0 and 0.8 <= got[2].coverage < 1.0
