@@ -120,12 +120,23 @@ def _compare(a: Column, b: Column) -> Column:
 
 
 def record_paths(variant: Column) -> Column:
-    """Sorted leaf paths of a JSON record to the depth that layouts use: fields, and fields of list elements."""
-    shape = F.regexp_replace(F.schema_of_variant(variant), "DECIMAL\\([0-9,]+\\)|STRING|BIGINT|DOUBLE|BOOLEAN|VOID|DATE|TIMESTAMP_NTZ|TIMESTAMP|BINARY|FLOAT|VARIANT", "x")
-    lists = F.transform(F.regexp_extract_all(shape, F.lit("([A-Za-z_0-9]+): ARRAY<OBJECT<([^<>]*)>>"), F.lit(0)), lambda m: F.transform(
-        F.regexp_extract_all(F.regexp_extract(m, "OBJECT<([^<>]*)>", 1), F.lit("([A-Za-z_0-9]+): x"), F.lit(1)), lambda f: F.concat(F.regexp_extract(m, "^([A-Za-z_0-9]+):", 1), F.lit("[]."), f)))
-    plain = F.regexp_extract_all(F.regexp_replace(shape, "[A-Za-z_0-9]+: ARRAY<OBJECT<[^<>]*>>", ""), F.lit("([A-Za-z_0-9]+): x"), F.lit(1))
-    return F.array_sort(F.array_distinct(F.concat(F.flatten(lists), plain)))
+    """Sorted paths of a JSON record to the depth that layouts use: fields, and fields of list elements.
+
+    A nested object is written {}, a list without objects []; what they hold plays no part.
+    """
+
+    def written(path: Column, value: Column) -> Column:
+        kind = F.coalesce(F.schema_of_variant(value), F.lit("VOID"))
+        return F.concat(path, F.when(kind.startswith("OBJECT<"), "{}").when(kind.startswith("ARRAY<"), "[]").otherwise(""))
+
+    def below(field: Column) -> Column:
+        elements = F.filter(F.try_variant_get(field["value"], "$", "array<variant>"), lambda e: F.schema_of_variant(e).startswith("OBJECT<"))
+        inner = F.flatten(F.transform(elements, lambda e: F.map_entries(F.try_variant_get(e, "$", "map<string,variant>"))))
+        paths = F.transform(inner, lambda f: written(F.concat(field["key"], F.lit("[]."), f["key"]), f["value"]))
+        return F.when(F.size(paths) > 0, paths).otherwise(F.array(written(field["key"], field["value"])))
+
+    fields = F.map_entries(F.try_variant_get(variant, "$", "map<string,variant>"))
+    return F.array_sort(F.array_distinct(F.flatten(F.transform(fields, below))))
 
 
 def record_turns(records: DataFrame, key: str, record: str = "record", layouts: Sequence[Layout] = LAYOUTS) -> DataFrame:
@@ -153,8 +164,9 @@ def _variant_turns(layout: Layout) -> Column:
     empty = F.lit("")
     if layout.items:
         field, role, text = layout.items
-        items = F.try_variant_get(F.col("v"), f"$.{field}", f"array<struct<`{role}`:string,`{text}`:string>>")
-        return F.transform(items, lambda t: F.struct(F.coalesce(_renamed(t[role], layout), empty).alias("role"), F.coalesce(t[text], empty).alias("text")))
+        items = F.try_variant_get(F.col("v"), f"$.{field}", "array<variant>")
+        part = lambda t, name: F.try_variant_get(t, f"$.{name}", "string")  # noqa: E731; other fields of an element play no part
+        return F.transform(items, lambda t: F.struct(F.coalesce(_renamed(part(t, role), layout), empty).alias("role"), F.coalesce(part(t, text), empty).alias("text")))
     parts = []
     for role, field in layout.fields:
         value = F.try_variant_get(F.col("v"), f"$.{field}", "string")

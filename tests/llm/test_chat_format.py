@@ -48,3 +48,17 @@ def test_mixed_json_records(spark):
     assert [(t.role, t.text) for t in got[4].turns] == [("system", "s"), ("user", "p"), ("assistant", "r")]
     assert [(t.role, t.text) for t in got[5].turns] == [("user", "i"), ("user", "x"), ("assistant", "o")]
     assert got[0].fingerprint != got[1].fingerprint and got[20].layout is None and list(got[21].turns) == []
+
+
+def test_nested_objects_in_records(spark):
+    calls = [{"id": "c", "function": {"name": "f", "arguments": {"x": [1]}}}]
+    records = [
+        {"messages": [{"role": "user", "content": "a"}, {"role": "assistant", "content": "b", "tool_calls": calls}]},
+        {"messages": [{"role": "user", "content": "a", "metadata": {"content": "other", "tags": ["x"]}}], "meta": {"prompt": "p", "completion": "c"}},
+        {"meta": {"prompt": "p", "completion": "c"}},
+        {"prompt": "p", "completion": "c", "meta": {"messages": [{"role": "x", "content": "y"}]}, "odd-name": None},
+    ]
+    rows = [(i, json.dumps(r)) for i, r in enumerate(records)]
+    got = {r.k: r for r in record_turns(spark.createDataFrame(rows, "k long, record string"), "k").collect()}
+    assert [got[i].layout for i in range(4)] == ["messages", "messages", None, "prompt_completion"]
+    assert [[(t.role, t.text) for t in got[i].turns] for i in range(4)] == [[("user", "a"), ("assistant", "b")], [("user", "a")], [], [("user", "p"), ("assistant", "c")]]
