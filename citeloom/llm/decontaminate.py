@@ -28,6 +28,8 @@ COVERED = 0.8
 MIN_LITERALS = 2
 #: Bits of the filter that a document's windows pass before the join. Its size is fixed, a full one only lets more rows through.
 FILTER_BITS = 1 << 22
+#: The number of the exact reading, after three of templates.
+EXACT = 3
 #: In place of the slot of a token that is none in any reading; -1 as a long.
 NO_SLOT = (1 << 64) - 1
 CACHED_CHUNKS = 150_000
@@ -133,7 +135,9 @@ def _readings(t: dict[str, np.ndarray]) -> list[tuple[np.ndarray, np.ndarray]]:
 def _windows(t: dict[str, np.ndarray], n_texts: int, size: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """For each reading: first token, length and hash of every window with evidence; a shorter text is one window.
 
-    Later readings leave out the windows that are the same in the first.
+    Later readings leave out the windows that are the same in the first. A last, exact one
+    takes numbers and units as they are, for windows that have too few other words even
+    with names as words.
     """
     counts = np.bincount(t["owner"], minlength=n_texts)
     ends = np.cumsum(counts)
@@ -158,6 +162,13 @@ def _windows(t: dict[str, np.ndarray], n_texts: int, size: int) -> list[tuple[np
                     values.append(np.array([xxhash.xxh64_intdigest(tokens[a:b].tobytes(), seed=size)], np.uint64))
         out.append((np.concatenate(starts), np.concatenate(lengths), np.concatenate(values)))
         first_tokens = tokens if first_tokens is None else first_tokens
+    bare = full[literals < MIN_LITERALS]
+    hashes = np.full(len(bare), size, np.uint64)
+    for j in range(size):
+        hashes = _mix(hashes * np.uint64(31) + t["hash"][bare + j])
+    lone = [i for i in short.tolist() if slot[ends[i] - counts[i]:ends[i]].all()]
+    values = [xxhash.xxh64_intdigest(t["hash"][ends[i] - counts[i]:ends[i]].tobytes(), seed=size + 1) for i in lone]
+    out.append((np.concatenate([bare, (ends - counts)[lone]]).astype(np.int64), np.concatenate([np.full(len(bare), size), counts[lone]]).astype(np.int64), np.concatenate([hashes, np.array(values, np.uint64)])))
     return out
 
 
@@ -185,7 +196,11 @@ ITEM_SCHEMA = "item_id long, class long, reading int, item_place int, window lon
 
 
 def item_windows(benchmark: DataFrame, size: int = WINDOW) -> DataFrame:
-    """Windows of benchmark items (item_id, text). ``class`` is equal for items of one template and one pattern of equal slots."""
+    """Windows of benchmark items (item_id, text). ``class`` is equal for items of one template and one pattern of equal slots.
+
+    An item without evidence in its templates has windows of the exact reading instead, and
+    shares its class only with items of the same tokens.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = TemplateReader()
@@ -203,7 +218,15 @@ def item_windows(benchmark: DataFrame, size: int = WINDOW) -> DataFrame:
                     seen: dict[int, int] = {}
                     index[a:b] = [seen.setdefault(v, len(seen)) if s else NO_SLOT for v, s in zip(t["hash"][a:b].tolist(), slot[a:b].tolist())]
                     classes[i] = xxhash.xxh64_intdigest(plain[a:b].tobytes() + named[a:b].tobytes() + index[a:b].tobytes())
-                for reading, (starts, lengths, values) in enumerate(_windows(t, high - low, size)):
+                read = _windows(t, high - low, size)
+                bare = np.ones(high - low, bool)
+                for starts, _, _ in read[:-1]:
+                    bare[t["owner"][starts]] = False
+                for i in np.flatnonzero(bare).tolist():
+                    classes[i] = xxhash.xxh64_intdigest(t["hash"][ends[i] - counts[i]:ends[i]].tobytes(), seed=EXACT)
+                for reading, (starts, lengths, values) in enumerate(read):
+                    if reading == EXACT:
+                        starts, lengths, values = (x[bare[t["owner"][starts]]] for x in (starts, lengths, values))
                     owner = t["owner"][starts]
                     yield pa.RecordBatch.from_arrays([
                         pa.array(batch.column("item_id").slice(low, high - low).take(pa.array(owner))), pa.array(classes[owner].view(np.int64)), pa.array(np.full(len(owner), reading, np.int32)),
@@ -233,6 +256,12 @@ def document_windows(docs: DataFrame, passing: np.ndarray, size: int = WINDOW) -
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, doc_place int, window long, doc_slots array<long>")
 
 
+def item_templates(benchmark: DataFrame, size: int = WINDOW) -> DataFrame:
+    """item_id and template_id, the smallest item_id of its template, which stands for it in ``find_contaminated``."""
+    items = stored(item_windows(benchmark, size).select("item_id", "class").distinct())
+    return items.join(items.groupBy("class").agg(F.min("item_id").alias("template_id")), "class").select("item_id", "template_id")
+
+
 def _main_filling():
     """Of ``filled`` the pairs of slot and value, the most frequent in ``pairs`` first, whose slot and value are not taken."""
     counted = F.transform("filled", lambda p: F.struct((-F.size(F.filter("pairs", lambda x: x == p))).alias("n"), p.alias("p")))
@@ -246,9 +275,9 @@ def find_contaminated(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW,
 
     ``coverage`` is the largest share of an item's windows that the document holds on
     consistent alignments, ``item_id`` the smallest such item, ``item_ids`` one (the
-    smallest) of each template found. Items and documents of fewer than five words are one
-    window each. Items without evidence (no word outside slots) mark nothing. Null texts
-    are empty; rows of one doc_id, and rows without one, count as one document each; an
+    smallest) of each template found; ``item_templates`` has the items of each. Items and documents of fewer than five words are one
+    window each. Items without evidence in their templates (too few words outside slots) are
+    sought as they are, with their numbers and units. Null texts are empty; rows of one doc_id, and rows without one, count as one document each; an
     empty table on either side gives no rows.
     """
     items = stored(item_windows(benchmark, size))

@@ -1,4 +1,4 @@
-from citeloom.llm.decontaminate import drop_contaminated, find_contaminated
+from citeloom.llm.decontaminate import drop_contaminated, find_contaminated, item_templates
 
 ITEM = "Yesterday the shop of Alice sold 12 apples and 5 km of rope, so Alice earned $40 before the evening came."
 OTHER = ITEM.replace("Alice", "Robert").replace("12", "730").replace("5 km", "9km").replace("$40", "$99")
@@ -52,3 +52,11 @@ def test_one_conflict_costs_its_own_windows_only(spark, make_docs):
     got = found(docs, bench(spark, [(1, starts), (2, names)]))
     assert {d: r.item_id for d, r in got.items()} == {1: 1, 2: 2, 3: 2}
     assert got[3].coverage == 1.0 and 0.8 <= got[2].coverage < 1.0
+
+
+def test_items_of_numbers_and_members_of_templates(spark, make_docs):
+    sums = "Compute 12 34 56 78 90"
+    docs = make_docs([(1, "Some words before. " + sums + " and some words after."), (2, sums.replace("34", "35")), (3, "compute: 12 34 56 78 90"), (4, "3 km 7"), (5, "3 km 8"), (6, CLEAN), (7, "12 34 56 78 90")])
+    items = bench(spark, [(1, sums), (2, "3 km 7"), (3, "Compute 1 2 3 4 5"), (10, ITEM), (11, OTHER), (12, ITEM)])
+    assert {d: list(r.item_ids) for d, r in found(docs, items).items()} == {1: [1], 3: [1], 4: [2]}
+    assert {r.item_id: r.template_id for r in item_templates(items).collect()} == {1: 1, 2: 2, 3: 3, 10: 10, 11: 10, 12: 10}
