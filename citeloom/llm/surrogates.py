@@ -31,13 +31,22 @@ GIVEN = {
     ("greek", "f"): "Μαρία Ελένη Αικατερίνη Βασιλική Σοφία Αγγελική".split(),
     ("greek", "m"): "Γεώργιος Δημήτριος Κωνσταντίνος Ιωάννης Νικόλαος Παναγιώτης".split(),
 }
+#: Further given names that are detected but not given out: common ones of Europe and the Americas that are no everyday words.
+KNOWN = {
+    ("latin", "f"): "Alice Amelia Andrea Angela Anna Anne Annette Antonia Astrid Beatrice Birgit Brenda Camila Carla Carol Caroline Catherine Cecilia Charlotte Christina Christine Cristina Cynthia Daniela Diana Donna Dorothy Elena Eleanor Elisa Emma Erika Eva Evelyn Fatima Fiona Florence Francesca Françoise Frances Gabriela Giulia Gisela Hannah Heather Heike Helen Helena Ines Inés Irene Isabel Isabella Jacqueline Jane Janet Joanna Josephine Judith Julia Julie Karin Katharina Katherine Kathleen Kelly Kimberly Lisa Lucia Lucía Louise Luisa Magdalena Margarita Maria María Marie Marta Martha Martina Megan Monica Monika Nancy Natalia Natalie Nicole Olga Olivia Pamela Paula Petra Rachel Renate Rosa Ruth Sabine Samantha Sara Sarah Sharon Silvia Simone Sofia Sofía Sonja Stefanie Stephanie Teresa Theresa Ursula Valentina Valerie Vanessa Veronica Victoria Virginia Yvonne".split(),
+    ("latin", "m"): "Aaron Adam Alan Albert Alberto Alejandro Alexander Alexandre Alfonso Alfred Andreas Andrés Ángel Antoine Antonio Arthur Benjamin Bernd Bernhard Brandon Brian Bruno Charles Christian Christoph Christopher Claude Dennis Diego Dieter Dirk Donald Douglas Eduardo Emil Enrique Eric Erik Ernst Eugene Ferdinand Florian Francesco Francis Francisco François Franz Fred Frederick Friedrich Fritz Gabriel Gary Gerald Gerhard Giovanni Giuseppe Gregory Guillermo Günter Gustav Hans Harald Harold Heinrich Heinz Helmut Henri Henry Herbert Hermann Hugo Ian Ignacio Ivan Jacob Jacques Jan Javier Jean Jeffrey Jens Jeremy Jerry Jesús Johann Johannes John Jonathan Jorge José Juan Julian Julien Karl Keith Klaus Konrad Larry Lars Laurent Lawrence Leonard Leonardo Lorenzo Louis Luca Lucas Ludwig Luigi Luis Lukas Manfred Manuel Marc Marco Marcos Mario Markus Martin Matthias Max Maximilian Miguel Nathan Nicholas Nicolas Nikolaus Olaf Oliver Oscar Otto Pablo Patrick Paul Paulo Pedro Peter Philip Philipp Philippe Ralf Ralph Raymond Ricardo René Roberto Rodrigo Roger Roland Rolf Ronald Rudolf Samuel Santiago Scott Sean Sebastian Sergio Simon Stefan Stephan Stephen Sven Theodor Tobias Ulrich Uwe Victor Vincent Vincenzo Walter Werner Wilhelm Wolfgang Yves Zachary".split(),
+    ("cyrillic", "f"): "Александра Алина Алла Анастасия Ангелина Валентина Валерия Варвара Вера Виктория Галина Дарья Евгения Елизавета Жанна Зинаида Инна Ксения Лариса Маргарита Марина Надежда Оксана Полина Раиса София Тамара Юлия".split(),
+    ("cyrillic", "m"): "Анатолий Антон Аркадий Артём Борис Вадим Валентин Валерий Василий Виктор Виталий Вячеслав Геннадий Георгий Григорий Даниил Денис Евгений Егор Игорь Илья Кирилл Константин Леонид Максим Никита Олег Пётр Роман Семён Станислав Степан Тимофей Фёдор Юрий Яков".split(),
+    ("greek", "f"): "Άννα Αναστασία Γεωργία Δήμητρα Ειρήνη Ευαγγελία Ευγενία Ιωάννα Κατερίνα Κωνσταντίνα Παναγιώτα Παρασκευή Χριστίνα".split(),
+    ("greek", "m"): "Αθανάσιος Αλέξανδρος Ανδρέας Αντώνιος Βασίλειος Γιάννης Γιώργος Δημήτρης Ευάγγελος Κώστας Μιχαήλ Νίκος Παύλος Πέτρος Σπυρίδων Χρήστος".split(),
+}
 SYLLABLES = {
     "latin": "bal den cor vel mar tin lo ras ke pol fen gar hul is jo kam lun mer nor ost pra quin ros sil tor und ves wil".split(),
     "cyrillic": "бел дан кор вел мар тин ло рас ке пол гар зим лун нор ост пра рос сил тор вес".split(),
     "greek": "βαλ δεν κορ βελ μαρ τιν λο ρασ κε πολ γαρ λουν νορ οστ πρα ροσ σιλ τορ".split(),
 }
 TITLES = {"Mr": "m", "Mr.": "m", "Herr": "m", "Monsieur": "m", "Señor": "m", "Mrs": "f", "Mrs.": "f", "Ms": "f", "Ms.": "f", "Frau": "f", "Madame": "f", "Señora": "f"}
-_GENDER = {name: (script, gender) for (script, gender), names in GIVEN.items() for name in names}
+_GENDER = {name: kind for known in (KNOWN, GIVEN) for kind, names in known.items() for name in names}
 
 _NUMBERS = re.compile(
     r"(?P<email>[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,})"
@@ -47,11 +56,13 @@ _NUMBERS = re.compile(
     r"|(?P<phone>(?<![\w.])\+\d{1,3}[ .-]?\(?\d{1,4}\)?(?:[ .-]?\d{2,4}){2,4}(?!\d|\.\d)|(?<![\w.])\(\d{3}\) ?\d{3}[-. ]\d{4}(?!\d)|(?<![\w.])\d{3}[-. ]\d{3}[-. ]\d{4}(?!\d))"
     r"|(?P<national>(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-]))"
     r"|(?P<account>(?<![\d.,])\d(?:[ -]?\d){12,18}(?![\d]|[.,]\d))")
-_NAME = "[A-ZÀ-ÖØ-ÞА-ЯΑ-ΩΆΈΉΊΌΎΏ][a-zà-öø-ÿа-яёα-ωάέήίόύώς]+"
+_NAME = "[A-ZÀ-ÖØ-ÞА-ЯΑ-ΩΆΈΉΊΌΎΏ][a-zß-öø-ÿа-яёα-ωάέήίόύώς]+"
 _PERSON = re.compile(
     rf"(?P<title>\b(?:{'|'.join(sorted(map(re.escape, TITLES), key=len, reverse=True))})) (?P<titled>{_NAME}(?: {_NAME})?)"
-    rf"|\b(?P<given>{'|'.join(_GENDER)}) (?P<family>{_NAME})\b")
-_TRIGGER = frozenset(_GENDER) | frozenset(TITLES)
+    rf"|\b(?P<given>{'|'.join(map(re.escape, _GENDER))}) (?P<family>{_NAME})\b")
+# _PERSON matches only if one of these is a whole run of word characters, whatever stands before it.
+_TRIGGER = frozenset(_GENDER) | frozenset(t.rstrip(".") for t in TITLES)
+_RUN = re.compile(r"\w+")
 
 
 def _script(word: str) -> str:
@@ -69,7 +80,7 @@ def detect(text: str) -> list[tuple[int, int, str, str]]:
             found.append((*m.span(), kind, canon))
     elif "@" in text:
         found = [(*m.span(), "email", m.group().lower()) for m in _NUMBERS.finditer(text) if m.lastgroup == "email"]
-    if not _TRIGGER.isdisjoint(text.split()):
+    if not _TRIGGER.isdisjoint(_RUN.findall(text)):
         taken = [(a, b) for a, b, _, _ in found]
         for m in _PERSON.finditer(text):
             if m["given"]:

@@ -43,3 +43,12 @@ def test_replaces_whole_corpus(spark, make_docs):
     assert mail != "a.b@x.org" and mail.endswith(".org") and first.count(mail) == 2 and "1234 5678" not in first  # coreference
     assert next(t for i, t, _ in got if i == 2) == f"again {mail}" and next(t for i, t, _ in got if i == 7).endswith(mail)
     assert replace_entities(docs.where("false"), "key").count() == 0
+
+
+def test_names_behind_punctuation():
+    names = ["Mary Smith", "Mr. Jones", "Anna Petrova", "Frau Weber", "Jürgen Groß", "Ольга Иванова", "Ελένη Παππά", "Charlotte Young", "Виктор Орлов", "Νίκος Λάμπρου"]
+    for name in names:
+        for text in (f"({name})", f'"{name} left"', f"by/{name}", f"so—{name}", f"[{name}]", f"it was\u00a0{name}", f"x{name}", f"_{name}", name):
+            want = [m.span("titled" if m["title"] else 0) for m in surrogates._PERSON.finditer(text)]
+            assert [(a, b) for a, b, k, _ in detect(text) if k == "person"] == want
+            assert bool(want) == (text[0] not in "x_")
