@@ -160,3 +160,12 @@ def op9_repeated_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     found = remove_repeated(documents(spark, sf_dir, "doc_id", "text"))
     return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query("op12_token_counts")
+def op12_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from citeloom.llm.token_counts import count_tokens
+
+    return count_tokens(documents(spark, sf_dir, "doc_id", "text"), public_tokenizers.path("byte_bpe_50k.json"))
