@@ -169,3 +169,47 @@ def op12_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from citeloom.llm.token_counts import count_tokens
 
     return count_tokens(documents(spark, sf_dir, "doc_id", "text"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+@query("op11_phrase_collocations", r"""
+WITH d AS (SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+p AS (SELECT lang, unnest(regexp_split_to_array(t, '[.,;:!?\x0A-\x0D]')) AS piece FROM d),
+w AS (SELECT lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda x: x <> '') AS ws FROM p),
+g AS (SELECT lang, 1 AS words, unnest(ws) AS phrase FROM w
+  UNION ALL SELECT lang, 2, unnest(list_transform(generate_series(1, len(ws) - 1), lambda i: ws[i] || ' ' || ws[i + 1])) FROM w
+  UNION ALL SELECT lang, 3, unnest(list_transform(generate_series(1, len(ws) - 2), lambda i: ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2])) FROM w),
+c AS (SELECT lang, words, phrase, count(*) AS f FROM g GROUP BY ALL),
+n AS (SELECT lang, sum(f)::BIGINT AS n FROM c WHERE words = 1 GROUP BY lang),
+cand AS (SELECT lang, words, phrase, f AS a, string_split(phrase, ' ') AS ws FROM c WHERE words > 1 AND f >= 10),
+cut AS (SELECT lang, words, phrase, a, 1 AS k, ws[1] AS x, array_to_string(ws[2:], ' ') AS y FROM cand
+  UNION ALL SELECT lang, words, phrase, a, 2, ws[1] || ' ' || ws[2], ws[3] FROM cand WHERE words = 3),
+s AS (SELECT cut.lang, cut.words, cut.phrase, a, k, l.f AS l, r.f AS r, ((1000000::HUGEINT * a * a) // (l.f::HUGEINT * r.f))::BIGINT AS score
+  FROM cut JOIN c l ON l.lang = cut.lang AND l.phrase = x JOIN c r ON r.lang = cut.lang AND r.phrase = y),
+b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+big AS (SELECT lang, unnest([ws[1] || ' ' || ws[2], ws[2] || ' ' || ws[3]]) AS phrase, a FROM cand WHERE words = 3),
+held AS (SELECT lang, phrase, max(a) AS longest FROM big GROUP BY ALL),
+k AS (SELECT b.* FROM b LEFT JOIN held ON held.lang = b.lang AND held.phrase = b.phrase WHERE longest IS NULL OR words = 3 OR 100 * longest < 50 * a)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
+FROM k JOIN n USING (lang) QUALIFY rank <= 2000
+""")
+def op11_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from citeloom.llm.collocations import mine_collocations
+
+    return mine_collocations(documents(spark, sf_dir, "text", "lang"))
+
+
+@query("op13_lexical_search", r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS ts FROM documents),
+c AS (SELECT count(*) AS n_docs, sum(len(ts))::BIGINT AS n_terms FROM d WHERE len(ts) > 0),
+m AS (SELECT doc_id, 25 + (75 * len(ts) * n_docs) // n_terms AS m FROM d, c WHERE len(ts) > 0),
+p AS (SELECT doc_id, t AS term, count(*) AS tf FROM (SELECT doc_id, unnest(ts) AS t FROM d) GROUP BY ALL),
+w AS (SELECT term, floor(1000 * ln((2 * n_docs + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w FROM p, c GROUP BY term, n_docs),
+q AS (SELECT item_id, t AS term, count(*) AS qf FROM (SELECT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS t FROM benchmark) GROUP BY ALL),
+s AS (SELECT item_id, doc_id, sum(qf * w * ((1000000000 * tf) // (1000 * tf + 8 * m)))::BIGINT AS score FROM q JOIN w USING (term) JOIN p USING (term) JOIN m USING (doc_id) GROUP BY ALL)
+SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INT AS rank, doc_id, score FROM s WHERE score > 0 QUALIFY rank <= 10
+""")
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from citeloom.llm.lexical_index import build_index, search
+
+    index = build_index(documents(spark, sf_dir, "doc_id", "text"))
+    return search(index, spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", "text"))
