@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from citeloom.functions import constants as K, scoring as S
 from citeloom.operators.aggregates import with_cost
 from citeloom.streaming import operators as L, replay as P, steps
-from citeloom.streaming.run import late_rows, run_append, run_update
+from citeloom.streaming.run import run_append, run_arrivals, run_update
 
 from .registry import query
 from .scalar_plans import COST_SQL
@@ -150,25 +150,57 @@ def budget_monitor_stream(t):
     return run_update(L.budget_monitor(_events(t), S.estimate_cost(provider, tokens)), ["month"])
 
 
-@query("stateful_rate_limiter", f"WITH RECURSIVE {_ADMIT} SELECT key_id AS user_id, event_id, allowed, reason FROM f")
+# Arrivals: the watermark of a part is the newest event of the parts before it less the delay, in whole milliseconds.
+_DELAY_MS = 48 * 3_600_000
+_DELAY = "48 hours"
+
+
+def _judged(where: str = "true") -> str:
+    return f"""e AS (SELECT *, epoch_us(ts) AS us FROM arrivals WHERE {where}), mk AS (SELECT arrival, MAX(us) // 1000 AS ms FROM e GROUP BY arrival),
+wm AS (SELECT a.arrival, coalesce((SELECT MAX(ms) FROM mk WHERE mk.arrival < a.arrival) - {_DELAY_MS}, 0) AS passed FROM mk a),
+j AS (SELECT e.*, passed, (SELECT MAX(ms) FROM mk) - {_DELAY_MS} AS final FROM e JOIN wm USING (arrival))"""
+
+
+_RELEASED = f"""{_judged()},
+o AS (SELECT user_id AS key_id, event_id, us, event_type <> 'error' AS ok, row_number() OVER (PARTITION BY user_id ORDER BY us, event_id) AS n FROM j WHERE us > passed * 1000 AND us <= final * 1000)"""
+_LATE = "SELECT user_id, event_id, NULL, NULL, true FROM j WHERE us <= passed * 1000"
+_STREAM_ADMIT = _ADMIT.replace(_ORDERED, _RELEASED)
+_STREAM_BREAKER = _BREAKER[_BREAKER.index("b AS ("):]
+
+
+def _arrivals(t):
+    rows = t("arrivals")
+    return [rows.filter(F.col("arrival") == k).drop("arrival") for k in (1, 2, 3)]
+
+
+def _machine(t, machine, verdicts, **options):
+    return run_arrivals(_arrivals(t), lambda events: L.run_machine(events, machine, verdicts, delay=_DELAY, delay_us=_DELAY_MS * 1000, **options))
+
+
+@query("stateful_rate_limiter", f"WITH RECURSIVE {_STREAM_ADMIT} SELECT key_id AS user_id, event_id, allowed, reason, false AS late FROM f UNION ALL {_LATE}")
 def stateful_rate_limiter(t):
-    return run_append(L.run_machine(_events(t), steps.admission(1, 1, 2), "allowed boolean, reason string"))
+    return _machine(t, steps.admission(1, 1, 2), "allowed boolean, reason string")
 
 
 @query("combined_rate_limiter")
 def combined_rate_limiter(t):
-    return run_append(L.run_machine(_events(t), steps.combined_limiter(1, 1, 2), "allowed boolean, reason string"))
+    return _machine(t, steps.combined_limiter(1, 1, 2), "allowed boolean, reason string")
 
 
-@query("circuit_breaker_stream", f"WITH RECURSIVE {_BREAKER} SELECT key_id AS user_id, event_id, allowed, state FROM b WHERE n > 0")
+@query("circuit_breaker_stream", f"WITH RECURSIVE {_RELEASED}, {_STREAM_BREAKER} SELECT key_id AS user_id, event_id, allowed, state, false AS late FROM b WHERE n > 0 UNION ALL {_LATE}")
 def circuit_breaker_stream(t):
-    return run_append(L.run_machine(_events(t), steps.circuit_breaker(recovery=86400), "allowed boolean, state string", ok=F.col("event_type") != "error"))
+    return _machine(t, steps.circuit_breaker(recovery=86400), "allowed boolean, state string", ok=F.col("event_type") != "error")
 
 
-@query("ttl_state", f"WITH RECURSIVE {_ADMIT} SELECT key_id AS user_id, event_id, allowed FROM f")
+# A key that is idle for six hours starts anew, so its day's two admissions are forgotten.
+_TTL_US = 6 * 3_600_000_000
+
+
+@query("ttl_state", f"""
+WITH RECURSIVE {_STREAM_ADMIT.replace("SELECT o.key_id, o.event_id, o.n, o.us, [x for x in f.seen if x > o.us - 86400000000] AS w", f"SELECT o.key_id, o.event_id, o.n, o.us, CASE WHEN o.us - f.us > {_TTL_US} THEN [] ELSE [x for x in f.seen if x > o.us - 86400000000] END AS w")}
+SELECT key_id AS user_id, event_id, allowed, reason FROM f""")
 def ttl_state(t):
-    out = run_append(L.run_machine(_events(t), steps.admission(1, 1, 2), "allowed boolean, reason string", ttl=True), once=True)
-    return out.select("user_id", "event_id", "allowed")
+    return _machine(t, steps.admission(1, 1, 2), "allowed boolean, reason string", ttl_us=_TTL_US).filter("NOT late").drop("late")
 
 
 @query("bounded_buffer", "SELECT user_id, event_id, CAST(rn AS INT) AS newest FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn FROM events) WHERE rn <= 5")
@@ -181,27 +213,48 @@ def heartbeat_liveness(t):
     return run_append(L.heartbeat_liveness(_events(t), 3600, "1 minute"))
 
 
+_HOUR_US = 3_600_000_000
+_SAMPLES = f"""{_judged()}, h AS (SELECT user_id % 5 AS shard, us // {_HOUR_US} * {_HOUR_US} AS us, COUNT(*) AS n FROM j WHERE us // {_HOUR_US} * {_HOUR_US} + {_HOUR_US} > passed * 1000 AND us // {_HOUR_US} * {_HOUR_US} + {_HOUR_US} <= final * 1000 GROUP BY 1, 2),
+s AS (SELECT *, n >= 3 AS hot FROM h)"""
+
+
 @query("sustained_alert", f"""
-WITH {_HOURLY}, p AS (SELECT *, CASE WHEN hot AND NOT coalesce(lag(hot) OVER (PARTITION BY shard ORDER BY ts), false) THEN 1 ELSE 0 END AS st FROM s),
-r AS (SELECT *, SUM(st) OVER (PARTITION BY shard ORDER BY ts) AS run FROM p), g AS (SELECT shard, run, MIN(ts) AS since, MAX(ts) AS until FROM r WHERE hot GROUP BY 1, 2)
-SELECT shard, epoch_us(since) AS since_us FROM g WHERE until - since >= INTERVAL 3 HOUR AND since + INTERVAL 4 HOUR <= (SELECT MAX(ts) FROM events) - INTERVAL 1 HOUR""")
+WITH {_SAMPLES}, p AS (SELECT *, CASE WHEN hot AND NOT coalesce(lag(hot) OVER (PARTITION BY shard ORDER BY us), false) THEN 1 ELSE 0 END AS st FROM s),
+r AS (SELECT *, SUM(st) OVER (PARTITION BY shard ORDER BY us) AS run FROM p), g AS (SELECT shard, run, MIN(us) AS since, MAX(us) AS until FROM r WHERE hot GROUP BY 1, 2)
+SELECT shard, since AS since_us FROM g WHERE until - since >= 3 * {_HOUR_US}""")
 def sustained_alert(t):
-    counts = L.tumbling_counts(_events(t).withColumn("shard", F.col("user_id") % 5), ["shard"], "1 hour")
-    samples = counts.select("shard", F.col("start").alias("ts"), (F.col("n") >= 3).alias("hot"))
-    return run_append(L.sustained_alert(samples, 3 * 3600, "shard"))
+    def build(events):
+        counts = L.tumbling_counts(events.withColumn("shard", F.col("user_id") % 5), ["shard"], "1 hour", _DELAY)
+        return L.sustained_alert(counts.select("shard", F.col("start").alias("ts"), (F.col("n") >= 3).alias("hot")), 3 * 3600, "shard")
+
+    return run_arrivals(_arrivals(t), build)
 
 
-@query("phase_pairing_stream", """
-WITH s AS (SELECT user_id, ts FROM events WHERE event_type = 'signup'), e AS (SELECT user_id, ts FROM events WHERE event_type = 'purchase')
-SELECT s.user_id AS run_id, epoch_us(s.ts) AS started_us, epoch_us(e.ts) AS ended_us FROM s JOIN e ON e.user_id = s.user_id AND e.ts >= s.ts AND e.ts <= s.ts + INTERVAL 12 HOUR""")
+@query("phase_pairing_stream", f"""
+WITH {_judged("event_type IN ('signup', 'purchase')")}, side AS (SELECT arrival, event_type, MAX(us) // 1000 AS ms FROM e GROUP BY 1, 2),
+low AS (SELECT arrival, MIN(ms) AS ms FROM (SELECT a.arrival, s.event_type, MAX(s.ms) AS ms FROM (SELECT DISTINCT arrival FROM side) a JOIN side s ON s.arrival <= a.arrival GROUP BY 1, 2) GROUP BY 1),
+k AS (SELECT e.*, coalesce((SELECT MAX(ms) FROM low WHERE low.arrival < e.arrival) - {_DELAY_MS}, 0) AS mark, (SELECT MAX(ms) FROM low) - {_DELAY_MS} AS last FROM e),
+ok AS (SELECT * FROM k WHERE us > mark * 1000), s AS (SELECT * FROM ok WHERE event_type = 'signup'), c AS (SELECT * FROM ok WHERE event_type = 'purchase'),
+m AS (SELECT s.event_id, s.user_id AS run_id, s.us AS started_us, c.us AS ended_us FROM s JOIN c ON c.user_id = s.user_id AND c.us >= s.us AND c.us <= s.us + 12 * {_HOUR_US})
+SELECT run_id, started_us, ended_us, 'completed' AS state FROM m
+UNION ALL SELECT user_id, us, NULL, 'timed_out' FROM s WHERE event_id NOT IN (SELECT event_id FROM m) AND us + 12 * {_HOUR_US} < last * 1000""")
 def phase_pairing_stream(t):
-    side = lambda kind: _events(t).filter(F.col("event_type") == kind).select(F.col("user_id").alias("run_id"), "ts")
-    out = run_append(L.phase_pairing(side("signup"), side("purchase"), "12 HOURS", "1 hour"))
-    return out.filter("state = 'completed'").select("run_id", F.unix_micros("started").alias("started_us"), F.unix_micros("ended").alias("ended_us"))
+    def build(events):
+        side = lambda kind: events.filter(F.col("event_type") == kind).select(F.col("user_id").alias("run_id"), "ts")
+        return L.phase_pairing(side("signup"), side("purchase"), "12 HOURS", _DELAY)
+
+    return run_arrivals(_arrivals(t), build).select("run_id", F.unix_micros("started").alias("started_us"), F.unix_micros("ended").alias("ended_us"), "state")
+
+
+_DAY_US = 86_400_000_000
 
 
-@query("late_data_policy", """
-SELECT COUNT(*) AS rejected FROM events WHERE time_bucket(INTERVAL 1 DAY, ts) + INTERVAL 1 DAY > (SELECT MAX(ts) FROM events) - INTERVAL 1 HOUR""")
+@query("late_data_policy", f"""
+WITH {_judged()}, d AS (SELECT us // {_DAY_US} * {_DAY_US} AS start_us, passed, final FROM j)
+SELECT start_us, 'accepted' AS policy, COUNT(*) AS n FROM d WHERE start_us + {_DAY_US} > passed * 1000 AND start_us + {_DAY_US} <= final * 1000 GROUP BY 1
+UNION ALL SELECT start_us, 'rejected', COUNT(*) FROM d WHERE start_us + {_DAY_US} <= passed * 1000 GROUP BY 1""")
 def late_data_policy(t):
-    days = run_append(L.tumbling_counts(_events(t), [])).select(F.to_date("start").alias("day"))
-    return late_rows(t("events").withColumn("day", F.to_date("ts")), days, "day").agg(F.count("*").alias("rejected"))
+    accepted = run_arrivals(_arrivals(t), lambda events: L.tumbling_counts(events, [], "1 day", _DELAY))
+    rejected = run_arrivals(_arrivals(t), lambda events: L.late_rows(events, "1 day", _DELAY))
+    counted = accepted.select(F.unix_micros("start").alias("start_us"), F.lit("accepted").alias("policy"), "n")
+    return counted.unionByName(rejected.groupBy((F.col("end_us") - _DAY_US).alias("start_us")).agg(F.lit("rejected").alias("policy"), F.count("*").alias("n")))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import copy
+import heapq
 import json
 from collections.abc import Iterator, Sequence
 
@@ -92,44 +93,139 @@ def _require_rocksdb(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB_PROVIDER)
 
 
-def _batch(rows: Iterator[pd.DataFrame], order: list[str]) -> pd.DataFrame:
-    """Rows of one key in this trigger, in event order. A trigger's size is bounded by its source."""
-    frames = [f for f in rows if len(f)]
-    return pd.concat(frames).sort_values(order) if frames else pd.DataFrame()
+class ReorderProcessor(StatefulProcessor):
+    """Folds the events of a key in event order, whatever the order they arrive in.
 
+    Events wait in buckets of event time until the watermark has passed them, so no event
+    can come between those already folded; memory per key is what the watermark leaves
+    open, not what a trigger brings. Events at or before the watermark of their trigger
+    come out as late and change no state. With a lifetime, a state is forgotten once
+    the key has been idle for longer than that in event time; a timer removes it.
+    """
 
-class MachineProcessor(StatefulProcessor):
-    """Runs a state machine per key; the state expires after the machine's idle gap."""
-
-    def __init__(self, machine: Machine, key: str, ttl_ms: int | None) -> None:
-        self.machine, self.key, self.ttl_ms = machine, key, ttl_ms
+    def __init__(self, machine: Machine, key: str, names: Sequence[str], bucket_us: int, ttl_us: int | None = None) -> None:
+        self.machine, self.key, self.names, self.bucket_us, self.ttl_us = machine, key, list(names), bucket_us, ttl_us
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("machine", "doc string", self.ttl_ms)
+        self.handle = handle
+        self.pending = handle.getMapState("pending", "bucket bigint", "us array<bigint>, event_id array<bigint>, ok array<boolean>")
+        self.state = handle.getValueState("machine", "doc string, last_us bigint")
+        self.timer = handle.getValueState("timer", "ms bigint")
+
+    def _wake(self, us: int | None) -> None:
+        """One timer per key: the first moment at which the watermark has passed ``us``."""
+        now = self.timer.get()[0] if self.timer.exists() else None
+        ms = None if us is None else us // 1000 + 1
+        if now == ms:
+            return
+        if now is not None:
+            self.handle.deleteTimer(now)
+        if ms is None:
+            self.timer.clear()
+        else:
+            self.handle.registerTimer(ms)
+            self.timer.update((ms,))
+
+    def _rows(self, key, event_ids: list[int], late: bool, verdicts: list[dict]) -> pd.DataFrame:
+        out = {self.key: [key[0]] * len(event_ids), "event_id": event_ids, "late": [late] * len(event_ids)}
+        return pd.DataFrame({**out, **{n: [v.get(n) for v in verdicts] for n in self.names}})
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        state = json.loads(self.state.get()[0]) if self.state.exists() else copy.deepcopy(self.machine.start)
-        batch = _batch(rows, ["us", "event_id"])
-        out = []
-        for e, us, ok in zip(batch["event_id"], batch["us"], batch["ok"]):
-            state, verdict = self.machine.fold(state, int(us), bool(ok))
-            out.append({self.key: key[0], "event_id": e, **verdict})
-        self.state.update((json.dumps(state),))
-        if out:
-            yield pd.DataFrame(out)
+        passed, first = timerValues.getCurrentWatermarkInMs() * 1000, None
+        for frame in rows:
+            late = frame["us"] <= passed
+            if late.any():
+                ids = frame.loc[late, "event_id"].tolist()
+                yield self._rows(key, ids, True, [{}] * len(ids))
+            for bucket, part in frame[~late].groupby(frame["us"] // self.bucket_us):
+                held = self.pending.getValue((int(bucket),)) if self.pending.containsKey((int(bucket),)) else ([], [], [])
+                self.pending.updateValue((int(bucket),), tuple([*old, *part[c].tolist()] for old, c in zip(held, ("us", "event_id", "ok"))))
+                earliest = int(part["us"].min())
+                first = earliest if first is None else min(first, earliest)
+        if first is not None and not (self.timer.exists() and self.timer.get()[0] <= first // 1000 + 1):
+            self._wake(first)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        passed, left = timerValues.getCurrentWatermarkInMs() * 1000, None
+        self.timer.clear()  # the timer that fired is gone
+        doc, last = self.state.get() if self.state.exists() else (None, None)
+        state = copy.deepcopy(self.machine.start) if doc is None else json.loads(doc)
+        for bucket in sorted(int(b[0]) for b in self.pending.keys()):
+            if bucket * self.bucket_us > passed:
+                left = int(min(self.pending.getValue((bucket,))[0]))
+                break
+            events = sorted(zip(*self.pending.getValue((bucket,))))
+            due = [e for e in events if e[0] <= passed]
+            verdicts = []
+            for us, _, ok in due:
+                if self.ttl_us is not None and last is not None and us - last > self.ttl_us:
+                    state = copy.deepcopy(self.machine.start)
+                state, verdict = self.machine.fold(state, int(us), bool(ok))
+                verdicts.append(verdict)
+                last = int(us)
+            if due:
+                yield self._rows(key, [int(e[1]) for e in due], False, verdicts)
+            if len(due) < len(events):
+                rest = events[len(due):]
+                self.pending.updateValue((bucket,), tuple(map(list, zip(*rest))))
+                left = int(rest[0][0])
+                break
+            self.pending.removeKey((bucket,))
+        if self.ttl_us is not None and last is not None and last + self.ttl_us <= passed:
+            self.state.clear()  # whatever comes now is later than the lifetime
+            last = None
+        elif last is not None:
+            self.state.update((json.dumps(state), last))
+        ends = [] if self.ttl_us is None or last is None else [last + self.ttl_us]
+        self._wake(min([*ends, *([] if left is None else [left])], default=None))
 
     def close(self) -> None:
         pass
 
 
-def run_machine(stream: DataFrame, machine: Machine, verdicts: str, key: str = "user_id", ok: Column | None = None, ttl: bool = False) -> DataFrame:
-    """Stateful verdict per event. With ``ttl`` idle keys lose their state (processing time)."""
+def run_machine(stream: DataFrame, machine: Machine, verdicts: str, key: str = "user_id", ok: Column | None = None, delay: str = "1 hour", delay_us: int = 3_600_000_000,
+                ttl_us: int | None = None) -> DataFrame:
+    """A verdict for every event the watermark has passed, in event order per key, and a row with ``late`` set for every event that came behind it.
+
+    ``delay`` is the watermark's, ``delay_us`` the same in microseconds; events it has not passed yet are in no row. With
+    ``ttl_us`` a key that is idle for longer starts anew.
+    """
     _require_rocksdb(stream.sparkSession)
-    rows = stream.select(key, "event_id", F.unix_micros("ts").alias("us"), (F.lit(True) if ok is None else ok).alias("ok"))
-    ttl_ms = machine.reset_after // 1000 if ttl and machine.reset_after else None
+    # Without the event-time column itself, Spark leaves late rows to the processor.
+    rows = stream.withWatermark("ts", delay).select(key, "event_id", F.unix_micros("ts").alias("us"), (F.lit(True) if ok is None else ok).alias("ok"))
+    names = [part.split()[0] for part in verdicts.split(",")]
     return rows.groupBy(key).transformWithStateInPandas(
-        statefulProcessor=MachineProcessor(machine, key, ttl_ms), outputStructType=f"{key} bigint, event_id bigint, {verdicts}",
-        outputMode="Append", timeMode="ProcessingTime" if ttl_ms else "None")
+        statefulProcessor=ReorderProcessor(machine, key, names, max(1, delay_us // 4), ttl_us),
+        outputStructType=f"{key} bigint, event_id bigint, late boolean, {verdicts}", outputMode="Append", timeMode="EventTime")
+
+
+class LateProcessor(StatefulProcessor):
+    """Passes on the rows whose window had closed by the watermark of their trigger; keeps no state."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        pass
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        passed = timerValues.getCurrentWatermarkInMs() * 1000
+        for frame in rows:
+            late = frame[frame["end_us"] <= passed]
+            if len(late):
+                yield late[["event_id", "us", "end_us"]]
+
+    def close(self) -> None:
+        pass
+
+
+def late_rows(stream: DataFrame, every: str, delay: str = "1 hour", shards: int = 64) -> DataFrame:
+    """Reject table of a windowed aggregate over ``every`` with the watermark ``delay``: event_id, us, end_us of each row it drops.
+
+    Every row is judged by the watermark of its own trigger, as the aggregate does; rows of open windows are in neither table.
+    """
+    _require_rocksdb(stream.sparkSession)
+    rows = stream.withWatermark("ts", delay).select(
+        F.pmod(F.xxhash64("event_id"), F.lit(shards)).alias("shard"), "event_id", F.unix_micros("ts").alias("us"), F.unix_micros(F.window("ts", every)["end"]).alias("end_us"))
+    return rows.groupBy("shard").transformWithStateInPandas(
+        statefulProcessor=LateProcessor(), outputStructType="event_id bigint, us bigint, end_us bigint", outputMode="Append", timeMode="EventTime")
 
 
 class BufferProcessor(StatefulProcessor):
@@ -143,8 +239,9 @@ class BufferProcessor(StatefulProcessor):
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         held = list(self.kept.get()) if self.kept.exists() else []
-        batch = _batch(rows, ["us", "event_id"])
-        held = sorted([*held, *zip(batch["us"].tolist(), batch["event_id"].tolist())])[-self.n:]
+        for frame in rows:  # n events and one frame are held
+            held = heapq.nlargest(self.n, [*held, *zip(frame["us"].tolist(), frame["event_id"].tolist())])
+        held.sort()
         self.kept.put([(int(u), int(e)) for u, e in held])
         yield pd.DataFrame({self.key: key[0], "event_id": [int(e) for _, e in held], "newest": [len(held) - i for i in range(len(held))]})
 
@@ -206,7 +303,8 @@ class SustainedProcessor(StatefulProcessor):
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         since, fired = self.since.get() if self.since.exists() else (None, False)
-        batch = _batch(rows, ["us"])
+        frames = [f for f in rows if len(f)]  # the closed windows of one key: few, and later than those of earlier triggers
+        batch = pd.concat(frames).sort_values(["us"]) if frames else pd.DataFrame({"us": [], "hot": []})
         out = []
         for us, hot in zip(batch["us"], batch["hot"]):
             if not hot:
@@ -225,7 +323,11 @@ class SustainedProcessor(StatefulProcessor):
 
 
 def sustained_alert(samples: DataFrame, hold_seconds: int, key: str) -> DataFrame:
-    """``samples(key, ts, hot)``: alert when hot has held for the given time."""
+    """``samples(key, ts, hot)``: alert when hot has held for the given time.
+
+    The samples are windows of an append-mode aggregate: they come once, when the watermark has
+    passed them, so those of a later trigger are later in event time.
+    """
     _require_rocksdb(samples.sparkSession)
     rows = samples.select(key, F.unix_micros("ts").alias("us"), "hot")
     return rows.groupBy(key).transformWithStateInPandas(
