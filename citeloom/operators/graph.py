@@ -7,11 +7,12 @@ a stop test of one row.
 from __future__ import annotations
 
 import itertools
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, functions as F
 
 from citeloom.functions import scoring as S
-from citeloom.session import cut_lineage
+from citeloom.session import cut_lineage, scratch_dir
 
 
 def _any(df: DataFrame) -> bool:
@@ -143,13 +144,101 @@ def all_simple_paths(edges: DataFrame, source, target, max_depth: int = 4) -> Da
     return found.select("path", (F.size("path") - 1).alias("length"))
 
 
+def _fold_layers(layers: DataFrame, edges: DataFrame, own: DataFrame, merge: Callable[[DataFrame], DataFrame], step: Callable[[DataFrame], DataFrame]) -> DataFrame | None:
+    """What every node gathers from the nodes it points to, on an acyclic graph, layer by layer.
+
+    ``layers(id, layer)`` counts from the sinks, ``own(id, ...)`` are the rows a node hands on besides
+    those it has gathered. A finished layer is pushed over its incoming edges and filed under the layers of the
+    nodes it goes to, so every row is written once, and read once by the layer that merges it.
+    """
+    spark = edges.sparkSession
+    aimed = cut_lineage(edges.join(layers.withColumnsRenamed({"id": "src", "layer": "to"}), "src").select("src", "to", F.col("dst").alias("id")))
+    filed, done, shape = scratch_dir(spark), None, None
+    top = layers.agg(F.max("layer")).first()[0]
+    for layer in range((-1 if top is None else top) + 1):
+        handed = own.join(layers.filter(F.col("layer") == layer).select("id"), "id", "left_semi")
+        if shape is not None:
+            got = spark.read.schema(shape).parquet(filed).filter(F.col("to") == layer).drop("to")
+            reach = cut_lineage(merge(got.select(*own.columns)))
+            done = reach if done is None else done.unionByName(reach)
+            handed = handed.unionByName(reach)
+        if layer < top:
+            pushed = step(handed).join(aimed, "id").drop("id").withColumnRenamed("src", "id")
+            merged = merge(pushed.select(*own.columns, "to"), "to").select(*own.columns, "to")
+            merged.write.mode("append").partitionBy("to").parquet(filed)
+            shape = merged.schema
+    return done
+
+
+def strong_components(edges: DataFrame) -> DataFrame:
+    """(id, root) of every node of a strongly connected component of several nodes; root is its smallest node.
+
+    Each round takes the smallest node that reaches each node as its colour; the nodes of a colour that
+    reach the colour's own node are that node's component. Only nodes on or between cycles enter the rounds.
+    """
+    left = cut_lineage(_between_cycles(edges.filter("src <> dst").select("src", "dst").distinct()))
+    found = None
+    while _any(left):
+        ids = left.select(F.explode(F.array("src", "dst")).alias("id")).distinct()
+        colour = _spread_least(cut_lineage(ids.select("id", F.col("id").alias("c"))), left)
+        tinted = cut_lineage(left.join(colour.withColumnsRenamed({"id": "src", "c": "cs"}), "src").join(colour.withColumnsRenamed({"id": "dst", "c": "cd"}), "dst")
+                             .filter("cs = cd").select("src", "dst", F.col("cs").alias("c")))
+        part = colour.filter("id = c").select("id", F.col("c").alias("root"))
+        members = part
+        while True:
+            back = tinted.join(part, (tinted["dst"] == part["id"]) & (tinted["c"] == part["root"])).select(tinted["src"].alias("id"), "root").distinct()
+            part = cut_lineage(back.join(members, "id", "left_anti"))
+            if not _any(part):
+                break
+            members = members.unionByName(part)
+        members = cut_lineage(members)
+        found = members if found is None else found.unionByName(members)
+        for end in ("src", "dst"):
+            left = left.join(members.select(F.col("id").alias(end)), end, "left_anti")
+        left = cut_lineage(_between_cycles(left.select("src", "dst")))
+    if found is None:
+        return edges.select(F.col("src").alias("id"), F.col("src").alias("root")).filter("false")
+    several = found.groupBy("root").agg(F.count("*").alias("n")).filter("n > 1").select("root")
+    return cut_lineage(found.join(several, "root").select("id", "root"))
+
+
+def _between_cycles(edges: DataFrame) -> DataFrame:
+    """The edges left when nodes without incoming or without outgoing edges go, again and again."""
+    left, n = cut_lineage(edges), None
+    while n is None or 0 < left.count() < n:
+        n = left.count()
+        left = left.join(left.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(left.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi")
+        left = cut_lineage(left.select("src", "dst"))
+    return left
+
+
+def _spread_least(labels: DataFrame, edges: DataFrame) -> DataFrame:
+    """(id, c): the smallest label ``c`` of all nodes that reach a node, itself included. Only changed labels are sent on."""
+    changed = labels
+    while _any(changed):
+        sent = changed.join(edges, changed["id"] == edges["src"]).groupBy(F.col("dst").alias("id")).agg(F.min("c").alias("new"))
+        both = cut_lineage(labels.join(sent, "id", "left"))
+        changed = cut_lineage(both.filter("new < c").select("id", F.col("new").alias("c")))
+        labels = both.select("id", F.least("c", "new").alias("c"))
+    return labels
+
+
 def closure(edges: DataFrame, seeds: DataFrame | None = None) -> DataFrame:
     """(seed, id, depth): everything reachable from each seed and the first level it is met.
 
-    Semi-naive: only newly found pairs are extended, each level is written once and
-    the rounds end when one finds nothing. A node on a cycle is in its own closure. Without seeds every source starts; give seeds on large graphs.
+    A node on a cycle is in its own closure. Without seeds every source starts. On an acyclic graph without
+    seeds a node's pairs are made from those of the nodes it points to, layer by layer. Otherwise only
+    newly found pairs are extended, each level is written once and the rounds end when one finds nothing.
     """
     e = cut_lineage(edges.select("src", "dst").distinct())
+    if seeds is None:
+        layers = cut_lineage(topological_layers(_ends_of(e), e))
+        if not _any(layers.filter("layer IS NULL")):
+            own = layers.select("id", F.col("id").alias("met"), F.lit(0).alias("depth"))
+            nearest = lambda rows, *by: rows.groupBy("id", "met", *by).agg(F.min("depth").alias("depth"))
+            pairs = _fold_layers(layers, e, own, nearest, lambda rows: rows.withColumn("depth", F.col("depth") + 1))
+            if pairs is not None:
+                return pairs.select(F.col("id").alias("seed"), F.col("met").alias("id"), "depth")
     starts = e.select(F.col("src").alias("seed")).distinct() if seeds is None else seeds.select(F.col("id").alias("seed")).distinct()
     delta = cut_lineage(starts.join(e, F.col("seed") == F.col("src")).select("seed", F.col("dst").alias("id"), F.lit(1).alias("depth")))
     found = delta
@@ -162,7 +251,83 @@ def closure(edges: DataFrame, seeds: DataFrame | None = None) -> DataFrame:
     return found
 
 
-def closure_sizes(edges: DataFrame, seeds: DataFrame | None = None) -> DataFrame:
+def _ends_of(edges: DataFrame) -> DataFrame:
+    return edges.select(F.explode(F.array("src", "dst")).alias("id")).distinct()
+
+
+def _or_words(rows: DataFrame, *by: str) -> DataFrame:
+    return rows.groupBy("id", "word", *by).agg(F.bit_or("bits").alias("bits"))
+
+
+def _bit_places(layers: DataFrame, edges: DataFrame) -> DataFrame:
+    """(id, word, bits): a bit of its own for every node. Nodes that point to the same node stand side by side, so sets of them fill their words."""
+    beside = edges.groupBy(F.col("src").alias("id")).agg(F.min("dst").alias("beside"))
+    ordered = layers.join(beside, "id", "left").repartitionByRange("layer", "beside", "id").sortWithinPartitions("layer", "beside", "id")
+    place = ordered.select("id", F.monotonically_increasing_id().alias("place"))  # partition number, then row number
+    return cut_lineage(place.select("id", F.shiftright("place", 6).alias("word"), F.expr("shiftleft(1L, CAST(place & 63 AS INT))").alias("bits")))
+
+
+def reach_counts(edges: DataFrame) -> DataFrame:
+    """(id, reachable): how many nodes each node with an outgoing edge reaches, without the table of pairs.
+
+    Strongly connected components become one node each. On the acyclic graph that is left, sets of nodes are rows
+    of 64 bits, merged by OR layer by layer and counted by their bits. A node on a cycle reaches itself.
+    """
+    e = cut_lineage(edges.select("src", "dst").distinct())
+    nodes = cut_lineage(_ends_of(e))
+    layers = cut_lineage(topological_layers(nodes, e))
+    kind = e.schema["src"].dataType
+    if _any(layers.filter("layer IS NULL")):
+        roots = cut_lineage(strong_components(e).select("id", F.col("root").cast(kind).alias("root")))
+        mapped = cut_lineage(nodes.join(roots, "id", "left").select("id", F.coalesce("root", "id").alias("node")))
+        dag = e.join(mapped.withColumnsRenamed({"id": "src", "node": "s"}), "src").join(mapped.withColumnsRenamed({"id": "dst", "node": "d"}), "dst")
+        cyclic = roots.select(F.col("root").alias("id")).union(e.filter("src = dst").select("src")).distinct()
+        dag = cut_lineage(dag.filter("s <> d").select(F.col("s").alias("src"), F.col("d").alias("dst")).distinct())
+        layers = cut_lineage(topological_layers(mapped.select(F.col("node").alias("id")).distinct(), dag))
+    else:
+        mapped, dag, cyclic = nodes.select("id", F.col("id").alias("node")), e, None
+    places = _bit_places(cut_lineage(mapped.join(layers.withColumnRenamed("id", "node"), "node").select("id", "layer")), e)
+    own = cut_lineage(_or_words(places.join(mapped, "id").select(F.col("node").alias("id"), "word", "bits")))
+    reach = _fold_layers(layers, dag, own, _or_words, lambda rows: rows)
+    if cyclic is not None:
+        rings = own.join(cyclic, "id", "left_semi")
+        reach = rings if reach is None else reach.unionByName(rings)
+    if reach is None:
+        return nodes.select("id", F.lit(0).cast("long").alias("reachable")).filter("false")
+    sizes = reach.groupBy("id").agg(F.sum(F.bit_count("bits")).alias("reachable"))
+    return mapped.join(sizes.withColumnRenamed("id", "node"), "node").select("id", "reachable")
+
+
+def eccentricities(edges: DataFrame, limit: int | None = None) -> DataFrame:
+    """(id, depth): the breadth-first depth of each node with an outgoing edge, at most ``limit``.
+
+    All nodes walk at once: a round hands the bits that are new at a node to those that point to it.
+    """
+    e = cut_lineage(edges.select("src", "dst").distinct())
+    fresh = _bit_places(_ends_of(e).withColumn("layer", F.lit(0)), e)
+    known, depth = None, None
+    for level in itertools.count(1):
+        step = _or_words(fresh.join(e, fresh["id"] == e["dst"]).select(e["src"].alias("id"), "word", "bits"))
+        if known is not None:
+            had = known.withColumnRenamed("bits", "had")
+            step = step.join(had, ["id", "word"], "left").select("id", "word", F.expr("bits & ~coalesce(had, 0L)").alias("bits")).filter("bits <> 0")
+        fresh = cut_lineage(step)
+        if not _any(fresh):
+            break
+        here = fresh.select("id").distinct().withColumn("depth", F.lit(level))
+        depth = here if depth is None else depth.unionByName(here)
+        if limit is not None and level >= limit:
+            break
+        known = fresh if known is None else cut_lineage(_or_words(known.unionByName(fresh)))
+    if depth is None:
+        return e.select(F.col("src").alias("id"), F.lit(0).alias("depth")).filter("false")
+    return depth.groupBy("id").agg(F.max("depth").alias("depth"))
+
+
+def closure_sizes(edges: DataFrame, seeds: DataFrame | None = None, depth_limit: int | None = None) -> DataFrame:
+    """(id, reachable, depth) of every seed that reaches something; without seeds of every node, from sets of bits."""
+    if seeds is None:
+        return reach_counts(edges).join(eccentricities(edges, depth_limit), "id")
     return closure(edges, seeds).groupBy(F.col("seed").alias("id")).agg(F.count("*").alias("reachable"), F.max("depth").alias("depth"))
 
 
@@ -244,7 +409,7 @@ def impact_scores(edges: DataFrame, seeds: DataFrame | None = None, critical: fl
     """Direct dependents plus half of all transitive dependents."""
     back = reverse(edges)
     direct = edges.select("src", "dst").distinct().groupBy(F.col("dst").alias("id")).agg(F.count("*").alias("direct"))
-    total = closure_sizes(back, seeds).select("id", F.col("reachable").alias("transitive"))
+    total = (reach_counts(back) if seeds is None else closure_sizes(back, seeds)).select("id", F.col("reachable").alias("transitive"))
     joined = total.join(direct, "id")
     score = F.col("direct") + F.col("transitive") * 0.5
     return joined.select("id", "direct", "transitive", score.alias("impact"), (score >= critical).alias("critical"))
@@ -253,20 +418,19 @@ def impact_scores(edges: DataFrame, seeds: DataFrame | None = None, critical: fl
 def node_profile(nodes: DataFrame, edges: DataFrame, as_of_year: int | None = None, with_rank: bool = False) -> DataFrame:
     """Degrees, closure sizes, depth, impact, external calls and influence per node, on request its rank.
 
-    One closure gives what a node reaches and, read by its ends, what reaches the node.
+    What a node reaches, what reaches it and its depth are counted over sets of bits; no table of pairs is made.
     """
     e = cut_lineage(edges.select("src", "dst").distinct())
     named = nodes.select("id", "file", *(["year"] if "year" in nodes.columns else []))
     deg = degrees(e)
-    pairs = closure(e)
-    down = pairs.groupBy(F.col("seed").alias("id")).agg(F.count("*").alias("dependencies"), F.max("depth").alias("depth"))
-    up = pairs.groupBy("id").agg(F.count("*").alias("dependents"))
+    down = reach_counts(e).withColumnRenamed("reachable", "dependencies")
+    up = reach_counts(reverse(e)).withColumnRenamed("reachable", "dependents")
     files = nodes.select("id", "file")
     ext = e.join(files.withColumnsRenamed({"id": "src", "file": "f1"}), "src").join(
         files.withColumnsRenamed({"id": "dst", "file": "f2"}), "dst").filter("f2 <> '' AND f1 <> f2").groupBy(
         F.col("src").alias("id")).agg(F.count("*").alias("external_calls"))
     out = named
-    for part in (deg, down, up, ext, *([pagerank(nodes, e)] if with_rank else [])):
+    for part in (deg, down, eccentricities(e), up, ext, *([pagerank(nodes, e)] if with_rank else [])):
         out = out.join(part, "id", "left")
     out = out.fillna(0, ["in_degree", "out_degree", "dependencies", "depth", "dependents", "external_calls"])
     out = out.withColumn("impact", F.col("in_degree") + F.col("dependents") * 0.5)

@@ -59,10 +59,12 @@ def all_simple_paths(t):
 
 _DEP_CLOSURE = "c AS (SELECT src AS seed, dst AS id FROM dep_edges UNION SELECT c.seed, e.dst FROM c JOIN dep_edges e ON e.src = c.id)"
 
+_DEP_DEPTHS = "w AS (SELECT src AS seed, dst AS id, 1 AS depth FROM dep_edges UNION SELECT w.seed, e.dst, w.depth + 1 FROM w JOIN dep_edges e ON e.src = w.id)"
 
-@query("transitive_closure", f"WITH RECURSIVE {_DEP_CLOSURE} SELECT seed, id FROM c")
+
+@query("transitive_closure", f"WITH RECURSIVE {_DEP_DEPTHS} SELECT seed, id, CAST(MIN(depth) AS INT) AS depth FROM w GROUP BY seed, id")
 def transitive_closure(t):
-    return G.closure(t("dep_edges")).select("seed", "id")
+    return G.closure(t("dep_edges")).select("seed", "id", "depth")
 
 
 @query("transitive_closure_seeded", f"WITH RECURSIVE {_ENDS}, c AS (SELECT dst AS id FROM cites, s WHERE src = s UNION SELECT e.dst FROM c JOIN cites e ON e.src = c.id) SELECT id FROM c")
@@ -112,10 +114,11 @@ prof AS (SELECT n.id, coalesce(in_degree, 0) AS in_degree, coalesce(out_degree,
   FROM dep_nodes n LEFT JOIN i USING (id) LEFT JOIN o USING (id) LEFT JOIN dn USING (id) LEFT JOIN up USING (id))"""
 
 
-@query("node_profile", f"WITH RECURSIVE {_PROFILE} SELECT *, in_degree + dependents * 0.5e0 AS impact, out_degree AS external_calls FROM prof")
+@query("node_profile", f"""WITH RECURSIVE {_PROFILE}, {_DEP_DEPTHS}, x AS (SELECT seed AS id, MAX(m) AS far FROM (SELECT seed, id, MIN(depth) AS m FROM w GROUP BY 1, 2) GROUP BY 1)
+SELECT prof.*, CAST(coalesce(far, 0) AS INT) AS depth, in_degree + dependents * 0.5e0 AS impact, out_degree AS external_calls FROM prof LEFT JOIN x USING (id)""")
 def node_profile(t):
     return G.node_profile(t("dep_nodes"), t("dep_edges")).select(
-        "id", "in_degree", "out_degree", "dependencies", "dependents", "impact", "external_calls")
+        "id", "in_degree", "out_degree", "dependencies", "depth", "dependents", "impact", "external_calls")
 
 
 @query("compare_nodes", """
@@ -138,7 +141,7 @@ f AS (SELECT id, unnest([CASE WHEN out_degree > 15 THEN 'calls_many' END, CASE W
 SELECT id, flag FROM f WHERE flag IS NOT NULL""")
 def refactor_flags(t):
     nodes, edges = t("dep_nodes"), t("dep_edges")
-    sizes = G.closure_sizes(edges).withColumnRenamed("reachable", "dependencies")
+    sizes = G.closure_sizes(edges, depth_limit=11).withColumnRenamed("reachable", "dependencies")  # the rules look no deeper
     profile = nodes.select("id").join(G.degrees(edges), "id", "left").join(sizes, "id", "left").fillna(0)
     return G.refactor_flags(profile)
 

@@ -246,3 +246,42 @@ def test_text_scan_gives_a_line_to_the_first_listed_pattern(spark):
     found = lambda patterns: {(r["pattern"], r["line"]) for r in J.tiered_match(elements, elements, lines, patterns).collect() if r["match_tier"] == "text_scan"}
     assert found(["nn.Zed", "self.abc"]) == {("nn.Zed", 5), ("self.abc", 11)}
     assert found(["self.abc", "nn.Zed"]) == {("self.abc", 5), ("nn.Zed", 12)}
+
+
+def _reached(edges):
+    ahead = {}
+    for a, b in edges:
+        ahead.setdefault(a, set()).add(b)
+    out = {}
+    for start in ahead:
+        level, seen = {start}, {}
+        for depth in range(1, 100):
+            level = {b for a in level for b in ahead.get(a, ()) if b not in seen}
+            seen.update(dict.fromkeys(level, depth))
+        out[start] = seen
+    return out
+
+
+def test_reach_counts_on_cyclic_graphs(spark):
+    """Counts, depths and components equal a walk from every node: rings, self loops, chains between rings, a hub, random edges."""
+    rnd = random.Random(4)
+    edges = [(1, 2), (2, 3), (3, 1), (3, 4), (4, 5), (5, 4), (6, 1), (7, 7), (8, 7), (8, 9), (1, 2)]
+    edges += [(20, i) for i in range(21, 90)] + [(100 + rnd.randrange(30), 100 + rnd.randrange(30)) for _ in range(38)]
+    e = spark.createDataFrame(edges, "src long, dst long")
+    want = _reached(edges)
+    assert {r["id"]: r["reachable"] for r in G.reach_counts(e).collect()} == {k: len(v) for k, v in want.items()}
+    assert {r["id"]: r["depth"] for r in G.eccentricities(e).collect()} == {k: max(v.values()) for k, v in want.items()}
+    rings = {}
+    for a in want:
+        mates = sorted(b for b in want[a] if a in want.get(b, ()))
+        if a in mates and len(mates) > 1:
+            rings[a] = mates[0]
+    assert {r["id"]: r["root"] for r in G.strong_components(e).collect()} == rings
+
+
+def test_closure_by_layers(spark):
+    edges = [(i, j) for i in range(12) for j in (i + 1, i + 5)] + [(100, 3), (100, 7), (200, 201)]
+    want = _reached(edges)
+    e = spark.createDataFrame(edges, "src long, dst long")
+    assert {(r["seed"], r["id"], r["depth"]) for r in G.closure(e).collect()} == {(k, i, d) for k, v in want.items() for i, d in v.items()}
+    assert G.reach_counts(spark.createDataFrame([], "src long, dst long")).count() == 0
