@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from citeloom.functions import constants as K, scoring as S
+from citeloom.session import cut_lineage
 
 from . import ordered
 from .rules import days_before, instant
@@ -49,10 +50,11 @@ def running_mean_latency(usage: DataFrame) -> DataFrame:
     a closed form over ranks and prefix sums instead of a sequential fold.
     """
     rows = usage.select(F.to_date("ts").alias("day"), "ts", "event_id", F.coalesce("latency_ms", F.lit(0)).alias("lat"))
-    hour = F.hour("ts")
-    ranked = ordered.row_numbers(rows, ["day"], ["ts", "event_id"], hour, "n")
+    rows = cut_lineage(ordered.even_buckets(rows, ["day"], F.col("ts")))
+    bucket = F.col("_bucket")
+    ranked = cut_lineage(ordered.row_numbers(rows, ["day"], ["ts", "event_id"], bucket, "n"))
     growth = F.when((F.col("lat") == 0) & (F.col("n") > 1), F.log(F.col("n") / (F.col("n") - 1))).otherwise(0.0)
-    grown = ordered.running_sums(ranked.withColumn("_g", growth), ["day"], ["ts", "event_id"], F.hour("ts"), {"g": F.col("_g")})
+    grown = ordered.running_sums(ranked.withColumn("_g", growth), ["day"], ["ts", "event_id"], bucket, {"g": F.col("_g")})
     total = ranked.withColumn("_g", growth).groupBy("day").agg(F.sum("_g").alias("total_g"), F.count("*").alias("requests"))
     weighted = grown.join(total, "day").withColumn("w", F.col("lat") * F.exp(F.col("total_g") - F.col("g")))
     return weighted.groupBy("day", "requests").agg(

@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 from citeloom.functions import constants as K, scoring as S, text as X
 from citeloom.session import cut_lineage
 
+from . import ordered
+
 
 # Experiment comparison ------------------------------------------------------
 
@@ -192,22 +194,53 @@ def _with_empty_sets(items: DataFrame) -> DataFrame:
     return items.unionByName(missing.withColumn("item", F.lit("")))
 
 
-def pairwise_similarity(profiles: DataFrame, min_similarity: float = 0.0) -> DataFrame:
-    """Weighted Jaccard of repository pairs, rounded to 4; pairs at 0 are left out.
+#: Items that so many repositories hold are compared as bits of words, rarer ones meet in a join.
+FREQUENT_REPOS = 16
+
+
+def _intersections(items: DataFrame) -> DataFrame:
+    """(a, b, kind, m): the items that two repositories a < b share, for pairs that share any.
+
+    A frequent item is one bit of a repository's word; two repositories' words meet once for 64 such items
+    and share as many as their AND has bits. Only items of fewer repositories than FREQUENT_REPOS meet themselves.
+    """
+    items = cut_lineage(items)
+    held = items.groupBy("kind", "item").agg(F.count("*").alias("df"))
+    frequent = held.filter(F.col("df") >= FREQUENT_REPOS).select("kind", "item").repartitionByRange("kind", "item").sortWithinPartitions("kind", "item")
+    numbered = cut_lineage(frequent.withColumn("place", F.monotonically_increasing_id()))  # partition, then row in it
+    bit = F.expr("shiftleft(1L, CAST(place & 63 AS INT))")
+    words = cut_lineage(items.join(numbered, ["kind", "item"]).groupBy("repo_id", "kind", F.shiftright("place", 6).alias("word")).agg(F.bit_or(bit).alias("bits")))
+    x, y = words.withColumnsRenamed({"repo_id": "a", "bits": "xa"}), words.withColumnsRenamed({"repo_id": "b", "bits": "xb"})
+    often = x.join(y, ["kind", "word"]).filter("a < b").select("a", "b", "kind", F.bit_count(F.col("xa").bitwiseAND(F.col("xb"))).cast("long").alias("m"))
+    rare = items.join(held.filter(F.col("df") < FREQUENT_REPOS).select("kind", "item"), ["kind", "item"])
+    seldom = rare.withColumnRenamed("repo_id", "a").join(rare.withColumnRenamed("repo_id", "b"), ["kind", "item"]).filter("a < b").select("a", "b", "kind", F.lit(1).cast("long").alias("m"))
+    return often.unionByName(seldom).groupBy("a", "b", "kind").agg(F.sum("m").alias("m")).filter("m > 0")
+
+
+def all_pairs(repos: DataFrame) -> DataFrame:
+    """(a, b) of all a < b. The list of repositories is numbered, each names the numbers behind its own: as many rows as pairs."""
+    from pyspark.sql import Window
+
+    numbered = cut_lineage(repos.select("repo_id").distinct().withColumn("_i", F.row_number().over(Window.orderBy("repo_id"))))
+    n = numbered.count()
+    ahead = numbered.filter(F.col("_i") < n).select(F.col("repo_id").alias("a"), F.explode(F.sequence(F.col("_i") + 1, F.lit(n))).alias("_i"))
+    return ahead.join(numbered.withColumnRenamed("repo_id", "b"), "_i").select("a", "b")
+
 
-    Pairs meet only on a shared item (equi-join). With a threshold above the
-    framework and language weights, only the rarest patterns of each repo are
-    joined: two sets whose Jaccard reaches ``t`` must share an item within the
-    first ``n - ceil(t * n) + 1`` items in rarity order, so nothing is missed and
-    items common to most repos are never expanded.
+def pairwise_similarity(profiles: DataFrame, min_similarity: float = 0.0, zero_pairs: bool = False) -> DataFrame:
+    """Weighted Jaccard of repository pairs, rounded to 4; with ``zero_pairs`` also of pairs that share nothing.
+
+    Shared items are counted over words of bits for frequent items and by a join for rare ones. With
+    a threshold above the framework and language weights, only the rarest patterns of each repo decide
+    which pairs are looked at: two sets whose Jaccard reaches ``t`` must share an item within the
+    first ``n - ceil(t * n) + 1`` items in rarity order, so nothing is missed.
     """
     from pyspark.sql import Window
 
-    items = _with_empty_sets(profile_items(profiles))
+    items = cut_lineage(_with_empty_sets(profile_items(profiles)))
     sizes = items.groupBy("repo_id", "kind").agg(F.count("*").alias("n"))
     slack = SIMILARITY_WEIGHTS["framework"] + SIMILARITY_WEIGHTS["language"]
-    a = items.withColumnRenamed("repo_id", "a")
-    b = items.withColumnRenamed("repo_id", "b")
+    inter = _intersections(items)
     if min_similarity > slack:
         need = (min_similarity - slack) / SIMILARITY_WEIGHTS["pattern"]
         pats = items.filter("kind = 'pattern'")
@@ -217,51 +250,43 @@ def pairwise_similarity(profiles: DataFrame, min_similarity: float = 0.0) -> Dat
             pats.join(freq, "item").join(sizes.filter("kind = 'pattern'").select("repo_id", "n"), "repo_id")
             .withColumn("rk", F.row_number().over(w))
             .filter(F.col("rk") <= F.col("n") - F.ceil(F.lit(need) * F.col("n") - 1e-9) + 1))
-        pa = prefix.select(F.col("repo_id").alias("a"), "item", F.col("n").alias("na"))
-        pb = prefix.select(F.col("repo_id").alias("b"), "item", F.col("n").alias("nb"))
-        pairs = pa.join(pb, "item").filter(
-            (F.col("a") < F.col("b")) & (F.least("na", "nb") >= F.greatest("na", "nb") * need - 1e-9)
-        ).select("a", "b").distinct()
-        inter = pairs.join(a, "a").join(b, ["b", "kind", "item"]).groupBy("a", "b", "kind").agg(F.count("*").alias("m"))
-    else:
-        inter = a.join(b, ["kind", "item"]).filter("a < b").groupBy("a", "b", "kind").agg(F.count("*").alias("m"))
+        met = _intersections(prefix.select("repo_id", "kind", "item")).select("a", "b")
+        inter = inter.join(met, ["a", "b"], "left_semi")
     scored = inter.join(sizes.withColumnsRenamed({"repo_id": "a", "n": "na"}), ["a", "kind"]).join(
         sizes.withColumnsRenamed({"repo_id": "b", "n": "nb"}), ["b", "kind"])
     weight = S.lookup(F.col("kind"), SIMILARITY_WEIGHTS, 0.0)
     jaccard = F.col("m") / (F.col("na") + F.col("nb") - F.col("m"))
-    return scored.groupBy("a", "b").agg(S.rounded(F.sum(weight * jaccard), 4).alias("similarity")).filter(
-        F.col("similarity") >= min_similarity)
+    found = scored.groupBy("a", "b").agg(S.rounded(F.sum(weight * jaccard), 4).alias("similarity"))
+    if zero_pairs and min_similarity <= 0:
+        found = all_pairs(profiles).join(found, ["a", "b"], "left").fillna(0.0, ["similarity"])
+    return found.filter(F.col("similarity") >= min_similarity)
 
 
 def transfer_opportunities(profiles: DataFrame, suggestions: DataFrame, min_confidence: int = 10) -> DataFrame:
     """Specs suggested for a source repo that its target lacks, scored 0-100 per directed pair.
 
-    Candidate pairs share an item or lie within the size ratio; both are
-    equi-joins (sizes meet through logarithmic buckets), so only pairs that can
-    reach the score are built.
+    Every pair of repositories can reach the score by its sizes alone, so the pairs are
+    numbered off; what they share is counted over words of bits. Whether both hold the
+    pattern of a spec's category is looked up for the specs, not for all shared patterns.
     """
-    items = profile_items(profiles)
+    items = cut_lineage(profile_items(profiles))
     count = profiles.groupBy("repo_id").agg(F.sum("n_lines").alias("elements"))
-    s = items.withColumnRenamed("repo_id", "source")
-    t = items.withColumnRenamed("repo_id", "target")
-    shared = s.join(t, ["kind", "item"]).filter("source <> target")
-    features = shared.groupBy("source", "target").agg(
-        F.count_if(F.col("kind") == "language").alias("n_lang"),
-        F.count_if(F.col("kind") == "framework").alias("n_fw"),
-        F.count_if(F.col("kind") == "pattern").alias("n_pat"))
-    width = 1.204  # ln(1 / 0.3) rounded up: closer sizes differ by one bucket at most
-    sized = count.withColumn("bucket", F.floor(F.log("elements") / width))
-    near = sized.select(F.col("repo_id").alias("source"), F.col("elements").alias("ns"), F.explode(
-        F.array(F.col("bucket") - 1, F.col("bucket"), F.col("bucket") + 1)).alias("bucket"))
-    similar = near.join(sized.select(F.col("repo_id").alias("target"), F.col("elements").alias("nt"), "bucket"), "bucket").filter(
-        (F.col("source") != F.col("target")) & (F.least("ns", "nt") / F.greatest("ns", "nt") > 0.3)
-    ).select("source", "target", F.lit(10).alias("size_points"))
-    pairs = features.join(similar, ["source", "target"], "full_outer").fillna(0)
+    shared = _intersections(items)
+    of = lambda kind: F.coalesce(F.max(F.when(F.col("kind") == kind, F.col("m"))), F.lit(0))
+    features = shared.groupBy("a", "b").agg(of("language").alias("n_lang"), of("framework").alias("n_fw"), of("pattern").alias("n_pat"))
+    sized = lambda side: count.withColumnsRenamed({"repo_id": side, "elements": f"n_{side}"})
+    pairs = all_pairs(profiles).join(features, ["a", "b"], "left").fillna(0).join(sized("a"), "a").join(sized("b"), "b")
+    near = F.when(F.least("n_a", "n_b") / F.greatest("n_a", "n_b") > 0.3, 10).otherwise(0)
+    pairs = cut_lineage(pairs.select("a", "b", "n_lang", "n_fw", "n_pat", near.alias("size_points")))
+    directed = pairs.withColumnsRenamed({"a": "source", "b": "target"}).unionByName(pairs.withColumnsRenamed({"b": "source", "a": "target"}))
     specs = suggestions.select(F.col("repo_id").alias("source"), "spec", "category")
     have = suggestions.select(F.col("repo_id").alias("target"), "spec")
-    related = shared.filter("kind = 'pattern'").select("source", "target", F.lower("item").alias("category"), F.lit(20).alias("cat_points")).distinct()
-    cand = pairs.join(specs, "source").join(have, ["target", "spec"], "left_anti").join(
-        related, ["source", "target", "category"], "left")
+    cased = items.filter("kind = 'pattern'").select("repo_id", F.col("item").alias("_p"), F.lower("item").alias("category")).distinct()
+    own = specs.join(cased.withColumnRenamed("repo_id", "source"), ["source", "category"])
+    related = own.join(cased.withColumnsRenamed({"repo_id": "target"}), ["category", "_p"]).filter("source <> target").select(
+        "source", "target", "spec", "category", F.lit(20).alias("cat_points")).distinct()
+    cand = directed.join(specs, "source").join(have, ["target", "spec"], "left_anti").join(
+        related, ["source", "target", "spec", "category"], "left")
     score = (
         F.least(F.lit(30), F.col("n_lang") * 15) + F.least(F.lit(30), F.col("n_fw") * 15)
         + F.coalesce("cat_points", F.when(F.col("n_pat") > 0, 10).otherwise(0)) + F.col("size_points"))
@@ -275,8 +300,10 @@ def transfer_plans(opportunities: DataFrame) -> DataFrame:
         F.count("*").alias("n_specs"), F.rint(F.avg("confidence")).cast("bigint").alias("overall_score"))
 
 
-def spec_matrix(suggestions: DataFrame, repos: Sequence[int]) -> DataFrame:
-    """spec x repo booleans for a given list of repositories."""
+def spec_matrix(suggestions: DataFrame, repos: Sequence[int] | None = None) -> DataFrame:
+    """spec x repo booleans for the repositories given, or those of the data (one column each, so few)."""
+    if repos is None:
+        repos = [r["repo_id"] for r in suggestions.select("repo_id").distinct().orderBy("repo_id").collect()]
     wide = suggestions.groupBy("spec").pivot("repo_id", list(repos)).agg(F.max(F.lit(True)))
     return wide.fillna(False)
 
@@ -284,19 +311,20 @@ def spec_matrix(suggestions: DataFrame, repos: Sequence[int]) -> DataFrame:
 # As-of and lookup joins -----------------------------------------------------
 
 def asof_join(
-    left: DataFrame, right: DataFrame, key: str, left_time: str, right_time: str, value: str, bucket
+    left: DataFrame, right: DataFrame, key: str, left_time: str, right_time: str, value: str
 ) -> DataFrame:
     """Last ``right.value`` at or before each left row of the same key ('' if none).
 
-    ``bucket`` maps an order column to a coarse bucket. Rows are ordered only
-    inside (key, bucket); the value carried into a bucket comes from a window over
-    the per-bucket last values, so a hot key spreads over its buckets.
+    Both sides become one stored table of events. Rows are ordered only inside (key,
+    bucket), where a key with many rows has buckets of about equal size; the value carried
+    into a bucket comes from a window over the per-bucket last values.
     """
     from pyspark.sql import Window
 
     l = left.withColumns({"_t": F.col(left_time), "_k": F.lit(1), "_v": F.lit(None).cast("string")})
     r = right.select(key, F.col(right_time).alias("_t"), F.lit(0).alias("_k"), F.col(value).cast("string").alias("_v"))
-    events = l.unionByName(r, allowMissingColumns=True).withColumn("_b", bucket(F.col("_t")))
+    events = cut_lineage(l.unionByName(r, allowMissingColumns=True))
+    events = cut_lineage(ordered.even_buckets(events, [key], F.col("_t"), "_b"))
     per_bucket = events.groupBy(key, "_b").agg(F.max(F.when(F.col("_k") == 0, F.struct("_t", "_v"))).alias("_last"))
     before = Window.partitionBy(key).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     carry = per_bucket.select(key, "_b", F.last("_last", ignorenulls=True).over(before)["_v"].alias("_carry"))

@@ -18,6 +18,26 @@ def _join_keys(keys: Sequence[str]) -> list[str]:
     return [*keys, "_b"]
 
 
+#: A key with more rows than this is cut into up to EVEN_BUCKETS buckets of about equal size.
+EVEN_ROWS = 50_000
+EVEN_BUCKETS = 256
+
+
+def even_buckets(df: DataFrame, keys: Sequence[str], value: Column, name: str = "_bucket", rows: int = EVEN_ROWS, buckets: int = EVEN_BUCKETS) -> DataFrame:
+    """Add a bucket number that ascends with ``value``, from counts of the data rather than fixed bounds.
+
+    Quantile sketches, merged before the shuffle, give the bounds of the keys with more than ``rows``
+    rows; every bucket of such a key has about ``rows`` rows, or a share of 1 / ``buckets`` if that is more.
+    Other keys, and rows without a value, are in bucket 0. Equal values share a bucket.
+    """
+    fractions = [i / buckets for i in range(1, buckets)]
+    large = df.groupBy(*keys).agg(F.count("*").alias("_n"), F.percentile_approx(value, fractions, 10 * buckets).alias("_cuts")).filter(F.col("_n") > rows)
+    every = F.greatest(F.lit(1), F.floor(F.lit(float(buckets * rows)) / F.col("_n")).cast("int"))
+    bounds = large.select(*keys, F.array_distinct(F.filter("_cuts", lambda c, i: (i + 1) % every == 0)).alias("_cuts"))
+    placed = df.join(bounds, list(keys), "left")
+    return placed.withColumn(name, F.coalesce(F.size(F.filter("_cuts", lambda c: c < value)), F.lit(0))).drop("_cuts")
+
+
 def running_sums(
     df: DataFrame, keys: Sequence[str], order: Sequence[str | Column], bucket: Column, sums: dict[str, Column]
 ) -> DataFrame:

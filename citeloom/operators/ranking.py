@@ -45,10 +45,11 @@ def pivot_metrics(finals: DataFrame, metrics: Sequence[str]) -> DataFrame:
     return finals.groupBy("run_id").pivot("metric_name", list(metrics)).agg(F.max("value"))
 
 
-def rank_variants(variants: DataFrame, group: str, pos: str, score: str, buckets: Column) -> DataFrame:
-    """Completed variants ranked by falling score; failed ones share rank n + 1."""
+def rank_variants(variants: DataFrame, group: str, pos: str, score: str) -> DataFrame:
+    """Completed variants ranked by falling score; failed ones share rank n + 1. A large group is ordered in score ranges of equal size."""
     done = variants.filter("status = 'completed'")
-    ranked = ordered.row_numbers(done, [group], [F.desc(score), F.asc(pos)], buckets, "rank")
+    spread = ordered.even_buckets(done, [group], -F.col(score))
+    ranked = ordered.row_numbers(spread, [group], [F.desc(score), F.asc(pos)], F.col("_bucket"), "rank").drop("_bucket")
     n = done.groupBy(group).agg(F.count("*").alias("_n"))
     failed = variants.filter("status <> 'completed'").join(n, group, "left").withColumn("rank", F.coalesce("_n", F.lit(0)) + 1).drop("_n")
     return ranked.unionByName(failed)
@@ -95,7 +96,8 @@ def audit_timeline(parts: Sequence[DataFrame], key: str) -> DataFrame:
 
 
 def running_totals(df: DataFrame, label: str, order: Sequence[str], sums: dict[str, Column]) -> DataFrame:
-    return ordered.running_sums(df, [label], order, F.to_date(order[0]), sums)
+    spread = ordered.even_buckets(df, [label], F.col(order[0]))
+    return ordered.running_sums(spread, [label], order, F.col("_bucket"), sums).drop("_bucket")
 
 
 def event_gaps(df: DataFrame, key: str, order: Sequence[str]) -> DataFrame:

@@ -130,13 +130,11 @@ def language_overlap(t):
 
 
 @query("shared_unique_sets", """
-WITH k AS (SELECT pattern || '/' || language AS item, COUNT(DISTINCT repo_id) AS k, MIN(repo_id) AS r FROM profiles GROUP BY 1),
-u AS (SELECT pattern AS item, COUNT(DISTINCT repo_id) AS k, MIN(repo_id) AS r FROM profiles GROUP BY 1 UNION ALL SELECT * FROM k),
-n AS (SELECT COUNT(DISTINCT repo_id) AS n FROM profiles)
+WITH i AS (SELECT repo_id, framework AS item FROM profiles UNION SELECT repo_id, pattern || '/' || n_lines FROM profiles),
+u AS (SELECT item, COUNT(DISTINCT repo_id) AS k, MIN(repo_id) AS r FROM i GROUP BY 1), n AS (SELECT COUNT(DISTINCT repo_id) AS n FROM profiles)
 SELECT item, CASE WHEN k = n THEN 'shared' ELSE 'unique' END AS scope, CASE WHEN k = 1 THEN r END AS only_repo FROM u, n WHERE k = n OR k = 1""")
 def shared_unique_sets(t):
-    p = t("profiles")
-    items = p.select("repo_id", F.explode(F.array("pattern", F.concat("pattern", F.lit("/"), "language"))).alias("item"))
+    items = t("profiles").select("repo_id", F.explode(F.array("framework", F.concat_ws("/", "pattern", F.col("n_lines").cast("string")))).alias("item"))
     return A.shared_and_unique(items, "item")
 
 

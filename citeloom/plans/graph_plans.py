@@ -45,16 +45,16 @@ _ENDS = "s AS (SELECT MIN(src) AS s FROM cites), g AS (SELECT dst AS g FROM cite
 _WALK = """w AS (SELECT s AS id, [s] AS path FROM s UNION ALL SELECT e.dst, list_append(w.path, e.dst) FROM w JOIN cites e ON e.src = w.id WHERE len(w.path) <= {n} AND NOT list_contains(w.path, e.dst) AND w.id <> (SELECT g FROM g))"""
 
 
-@query("shortest_path", f"WITH RECURSIVE {_ENDS}, {_WALK.format(n=8)} SELECT array_to_string(path, '>') AS path, CAST(len(path) - 1 AS INT) AS length FROM w WHERE id = (SELECT g FROM g) ORDER BY len(path), w.path LIMIT 1")
+@query("shortest_path", f"WITH RECURSIVE {_ENDS}, {_WALK.format(n=4)} SELECT array_to_string(path, '>') AS path, CAST(len(path) - 1 AS INT) AS length FROM w WHERE id = (SELECT g FROM g) ORDER BY len(path), w.path LIMIT 1")
 def shortest_path(t):
     e, source, target = _ends(t)
-    return G.shortest_path(e, source, target, 8).select(F.array_join(F.col("path").cast("array<string>"), ">").alias("path"), "length")
+    return G.shortest_path(e, source, target, 4).select(F.array_join(F.col("path").cast("array<string>"), ">").alias("path"), "length")
 
 
-@query("all_simple_paths", f"WITH RECURSIVE {_ENDS}, {_WALK.format(n=8)} SELECT array_to_string(path, '>') AS path, CAST(len(path) - 1 AS INT) AS length FROM w WHERE id = (SELECT g FROM g) AND len(path) <= 9")
+@query("all_simple_paths", f"WITH RECURSIVE {_ENDS}, {_WALK.format(n=4)} SELECT array_to_string(path, '>') AS path, CAST(len(path) - 1 AS INT) AS length FROM w WHERE id = (SELECT g FROM g) AND len(path) <= 4")
 def all_simple_paths(t):
     e, source, target = _ends(t)
-    return G.all_simple_paths(e, source, target, 9).select(F.array_join(F.col("path").cast("array<string>"), ">").alias("path"), "length")
+    return G.all_simple_paths(e, source, target, 4).select(F.array_join(F.col("path").cast("array<string>"), ">").alias("path"), "length")
 
 
 _DEP_CLOSURE = "c AS (SELECT src AS seed, dst AS id FROM dep_edges UNION SELECT c.seed, e.dst FROM c JOIN dep_edges e ON e.src = c.id)"
@@ -82,10 +82,10 @@ def graph_depth(t):
 
 @query("find_cycles", """
 WITH RECURSIVE p AS (SELECT src AS start, dst AS id, [src, dst] AS path FROM cites WHERE src < dst
-  UNION ALL SELECT p.start, e.dst, list_append(p.path, e.dst) FROM p JOIN cites e ON e.src = p.id WHERE len(p.path) <= 4 AND p.id <> p.start AND (e.dst = p.start OR (e.dst > p.start AND NOT list_contains(p.path, e.dst))))
-SELECT array_to_string(path[1:-2], '>') AS cycle FROM p WHERE id = start AND len(path) <= 5 UNION ALL SELECT CAST(src AS VARCHAR) FROM cites WHERE src = dst""")
+  UNION ALL SELECT p.start, e.dst, list_append(p.path, e.dst) FROM p JOIN cites e ON e.src = p.id WHERE len(p.path) <= 3 AND p.id <> p.start AND (e.dst = p.start OR (e.dst > p.start AND NOT list_contains(p.path, e.dst))))
+SELECT array_to_string(path[1:-2], '>') AS cycle FROM p WHERE id = start AND len(path) <= 4 UNION ALL SELECT CAST(src AS VARCHAR) FROM cites WHERE src = dst""")
 def find_cycles(t):
-    return G.find_cycles(t("cites"), 4).select(F.array_join(F.col("cycle").cast("array<string>"), ">").alias("cycle"))
+    return G.find_cycles(t("cites"), 3).select(F.array_join(F.col("cycle").cast("array<string>"), ">").alias("cycle"))
 
 
 @query("topological_layers", """
@@ -103,9 +103,9 @@ def impact_score(t):
 
 
 @query("leaf_and_entry_nodes", """
-SELECT id, 'leaf' AS role FROM cite_nodes WHERE id NOT IN (SELECT src FROM cites) UNION ALL SELECT id, 'entry' FROM cite_nodes WHERE id NOT IN (SELECT dst FROM cites)""")
+SELECT id, 'leaf' AS role FROM dep_nodes WHERE id NOT IN (SELECT src FROM dep_edges) UNION ALL SELECT id, 'entry' FROM dep_nodes WHERE id NOT IN (SELECT dst FROM dep_edges)""")
 def leaf_and_entry_nodes(t):
-    return G.leaf_and_entry(t("cite_nodes"), t("cites"))
+    return G.leaf_and_entry(t("dep_nodes"), t("dep_edges"))
 
 
 _PROFILE = f"""{_DEP_CLOSURE}, i AS (SELECT dst AS id, COUNT(*) AS in_degree FROM dep_edges GROUP BY 1), o AS (SELECT src AS id, COUNT(*) AS out_degree FROM dep_edges GROUP BY 1),

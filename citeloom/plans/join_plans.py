@@ -135,9 +135,9 @@ inter AS (SELECT a.repo_id AS a, b.repo_id AS b, a.kind, a.w, COUNT(*) AS m FROM
 sim AS (SELECT i.a, i.b, round(SUM(w * m / (x.n + y.n - m)), 4) AS similarity FROM inter i JOIN sz x ON x.repo_id = i.a AND x.kind = i.kind JOIN sz y ON y.repo_id = i.b AND y.kind = i.kind GROUP BY i.a, i.b)"""
 
 
-@query("pairwise_jaccard", f"WITH {_ITEMS} SELECT a, b, similarity FROM sim")
+@query("pairwise_jaccard", f"WITH {_ITEMS} SELECT x.n_nationkey AS a, y.n_nationkey AS b, coalesce(similarity, 0) AS similarity FROM nation x JOIN nation y ON x.n_nationkey < y.n_nationkey LEFT JOIN sim ON a = x.n_nationkey AND b = y.n_nationkey WHERE x.n_nationkey IN (SELECT repo_id FROM profiles) AND y.n_nationkey IN (SELECT repo_id FROM profiles)")
 def pairwise_jaccard(t):
-    return J.pairwise_similarity(t("profiles"))
+    return J.pairwise_similarity(t("profiles"), zero_pairs=True)
 
 
 @query("pairwise_jaccard_threshold", f"WITH {_ITEMS} SELECT a, b, similarity FROM sim WHERE similarity >= 0.62")
@@ -187,7 +187,7 @@ def asof_section_for_page(t):
         F.col("o_custkey").alias("doc"), F.col("l_shipdate").alias("page")).agg(F.count("*").alias("n"))
     sections = o.select(F.col("o_custkey").alias("doc"), F.col("o_orderdate").alias("start"),
                         F.concat(F.lit("S"), F.col("o_orderkey").cast("string")).alias("title"))
-    return J.asof_join(pages, sections, "doc", "page", "start", "title", lambda c: F.date_trunc("year", c)).select("doc", "page", "n", "title")
+    return J.asof_join(pages, sections, "doc", "page", "start", "title").select("doc", "page", "n", "title")
 
 
 _EQ = """eq AS (SELECT p_partkey AS pos, CASE p_size % 3 WHEN 0 THEN 'eq_' || p_partkey WHEN 1 THEN 'sec_a_' || p_partkey ELSE CAST(p_partkey AS VARCHAR) END AS eq_id FROM part),
@@ -270,10 +270,10 @@ def external_calls(t):
     return J.external_calls(t("cites"), t("cite_nodes"))
 
 
-@query("spec_relevance_pivot", "SELECT spec, " + ", ".join(
-    f'bool_or(repo_id = {r}) AS "{r}"' for r in range(25)) + " FROM suggestions GROUP BY spec")
+@query("spec_relevance_pivot", """
+PIVOT (SELECT spec, repo_id, true AS there FROM suggestions) ON repo_id USING coalesce(bool_or(there), false) GROUP BY spec""")
 def spec_relevance_pivot(t):
-    return J.spec_matrix(t("suggestions"), range(25))
+    return J.spec_matrix(t("suggestions"))
 
 
 @query("reference_lookup_join", """

@@ -62,7 +62,7 @@ SELECT event_id, experiment, status, CASE WHEN status = 'completed' THEN row_num
 def rank_variants(t):
     v = t("events").select("event_id", (F.col("user_id") % 5).alias("experiment"), F.when(F.col("event_type") == "error", "failed").otherwise("completed").alias("status"),
                            F.col("value").alias("score"))
-    return N.rank_variants(v, "experiment", "event_id", "score", F.floor(-F.col("score") / 10)).select("event_id", "experiment", "status", "rank")
+    return N.rank_variants(v, "experiment", "event_id", "score").select("event_id", "experiment", "status", "rank")
 
 
 @query("rolling_rate_counts", """

@@ -22,7 +22,7 @@ BASE_TABLES = (
 HEAVY_ROWS = ("documents", "pages", "embeddings", "benchmark")
 
 # Derived tables that queries read several times: computed once per query, in shared storage.
-WRITTEN_ONCE = ("profile_lines", "profiles")
+WRITTEN_ONCE = ("profiles", "cites")
 
 
 def view(name: str, sql: str, duck: str | None = None) -> None:

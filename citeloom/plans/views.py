@@ -42,23 +42,11 @@ SELECT doc_id AS paper_id, SPLIT_PART(text, CHR(10), 1) AS title, text AS abstra
   CAST(2000 + doc_id % 25 AS INT) AS year, source
 FROM documents""")
 
-# Citation graph over parts: a part cites the cheapest line of its own dearest
-# order, once per return flag. Every step is an aggregate, so a hot order costs no
-# more than its own rows, and no part cites more than three others.
-view("order_anchors", """
-SELECT l_orderkey AS okey, MIN(NAMED_STRUCT('p', l_extendedprice, 'k', l_partkey)).k AS part1
-FROM lineitem GROUP BY l_orderkey""", """
-SELECT l_orderkey AS okey, MIN({'p': l_extendedprice, 'k': l_partkey}).k AS part1
-FROM lineitem GROUP BY l_orderkey""")
-view("dear_orders", """
-SELECT l_partkey AS src, l_returnflag AS flag, MAX(NAMED_STRUCT('p', l_extendedprice, 'k', l_orderkey)).k AS okey
-FROM lineitem GROUP BY l_partkey, l_returnflag""", """
-SELECT l_partkey AS src, l_returnflag AS flag, MAX({'p': l_extendedprice, 'k': l_orderkey}).k AS okey
-FROM lineitem GROUP BY l_partkey, l_returnflag""")
+# Citation graph over parts: a part cites the part on the next line of one of its orders. Cyclic, all lines and orders.
 view("cites", """
-SELECT DISTINCT b.src, a.part1 AS dst
-FROM dear_orders b JOIN order_anchors a ON b.okey = a.okey
-WHERE b.src <> a.part1""")
+SELECT DISTINCT a.l_partkey AS src, b.l_partkey AS dst
+FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND b.l_linenumber = a.l_linenumber + 1
+WHERE a.l_partkey <> b.l_partkey""")
 view("cite_nodes", """
 SELECT p_partkey AS id, p_name AS title, CAST(2000 + p_size % 25 AS INT) AS year, p_brand AS file
 FROM part""")
@@ -88,24 +76,12 @@ SELECT DISTINCT user_id AS run_id, user_id % 5 AS experiment,
 FROM events""")
 
 # One profile row per (repository = supplier nation, pattern, framework, language), over all lines.
-# A repository's profile are its three most characteristic patterns: those of whose lines it has the largest share.
-view("profile_lines", """
-SELECT n.n_nationkey AS repo_id, p.p_brand AS pattern, p.p_type AS framework,
-  CONCAT('L', CAST(p.p_size AS VARCHAR(20))) AS language, COUNT(*) AS n_lines
+view("profiles", """
+SELECT n.n_nationkey AS repo_id, CONCAT(p.p_brand, '/', p.p_name, '/', CAST(p.p_size AS VARCHAR(20))) AS pattern, CONCAT(p.p_type, '/', p.p_name) AS framework,
+  CONCAT('L', CAST(p.p_size AS VARCHAR(20)), p.p_type, p.p_name) AS language, COUNT(*) AS n_lines
 FROM lineitem l JOIN supplier s ON l.l_suppkey = s.s_suppkey
 JOIN nation n ON s.s_nationkey = n.n_nationkey JOIN part p ON l.l_partkey = p.p_partkey
-GROUP BY n.n_nationkey, p.p_brand, p.p_type, CONCAT('L', CAST(p.p_size AS VARCHAR(20)))""")
-view("pattern_use", """
-SELECT repo_id, pattern, SUM(n_lines) AS used FROM profile_lines GROUP BY repo_id, pattern""")
-view("pattern_total", """
-SELECT pattern, SUM(used) AS pattern_lines FROM pattern_use GROUP BY pattern""")
-view("pattern_rank", """
-SELECT u.repo_id, u.pattern, ROW_NUMBER() OVER (PARTITION BY u.repo_id ORDER BY u.used * 1e0 / p.pattern_lines DESC, u.pattern) AS place
-FROM pattern_use u JOIN pattern_total p ON u.pattern = p.pattern""")
-view("profiles", """
-SELECT a.repo_id, a.pattern, a.framework, a.language, a.n_lines
-FROM profile_lines a JOIN pattern_rank k ON a.repo_id = k.repo_id AND a.pattern = k.pattern
-WHERE k.place <= 3""")
+GROUP BY ALL""")
 
 view("snap_base", """
 SELECT l_partkey AS id, FLOOR(SUM(CAST(FLOOR(l_discount * 100 + 0.5) AS BIGINT)) * 1000e0 / COUNT(*)) / 10000e0 AS score
