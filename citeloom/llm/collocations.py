@@ -1,21 +1,22 @@
 """Phrase collocation mining with burst tries.
 
-Each task counts windows of up to three words in a shallow trie over word ids: a first
-word leads to a hash container of the words behind it, and a container that grows too
-large bursts into one container for each second word. When the trie is full, its largest
-subtrees leave whole, as sorted runs. The runs meet by their prefix - the first word, two
-words for a frequent first word, all three for two frequent ones - and are merged in
-order, which gives the counts of all three lengths in one pass over each prefix partition.
+Phrases are counted length by length. Each task counts windows of words in a shallow trie
+over word ids: a hash container holds the windows of many first words, and when it grows
+too large it bursts, which gives the first words with many windows containers of their
+own. A full trie lets its largest containers go, whole subtrees at a time, as runs in
+the order of their phrases. The runs of a prefix - the first word, the whole phrase for a frequent first
+word - meet in one partition and are merged in order. Longer windows enter a trie only if
+the shorter ones in them are frequent, which a bit filter of bounded size tells without misses.
 """
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame, Window, functions as F
 
 from citeloom.llm.common import stored, utf8_values
@@ -24,252 +25,302 @@ MIN_COUNT = 10
 #: A phrase goes if a longer one holds it in at least this percentage of its occurrences.
 COVERED_PERCENT = 50
 TOP = 2_000
-#: A container with more entries bursts; a trie with more entries spills until half are left; so many windows lie between two looks at its size.
-BURST_ENTRIES = 8_192
-TRIE_ENTRIES = 600_000
-CHECKED_WINDOWS = 200_000
-#: Words a trie numbers before it is emptied and numbers anew.
+#: Windows a container takes between two counts, entries at which it bursts, and entries at which a trie lets containers go until half are left.
+PENDING_WINDOWS = 1 << 19
+BURST_ENTRIES = 1 << 19
+TRIE_ENTRIES = 3_000_000
+#: Words a trie numbers before it is emptied and numbers anew, and words of text that enter at once. Both together stay below 2^ID_BITS.
 TRIE_WORDS = 1_000_000
-#: A word with at least one in so many of all windows is a prefix of its own only together with the next word.
+BLOCK_WORDS = 500_000
+ID_BITS = 21
+#: Bytes of text held as Python objects at a time, one text at least.
+SLICE_BYTES = 2 << 20
+#: A first word with at least one in so many of all words has its phrases dealt out one by one. At most so many words are that frequent.
 HOT_SHARE = 200
-#: Words a task counts exactly while it looks for frequent ones; the rarest leave beyond it. This steers partitions, not results.
-COUNTED_WORDS = 300_000
+#: Bits for each frequent phrase in a filter, and of a filter at most; a full filter lets more windows in, results stay the same.
+PHRASE_BITS = 16
+FILTER_BITS = 1 << 28
 RUN_ROWS = 1 << 16
 
-#: Lower-cases A-Z, turns the signs that end a piece into line feeds and tabs into blanks.
-_PLAIN = bytes(10 if b in b".,;:!?\n\x0b\x0c\r" else 32 if b == 9 else b + 32 if 65 <= b <= 90 else b for b in range(256))
+#: Lower-cases A-Z and turns the signs that end a piece into full stops. What else ASCII counts as white space separates words.
+_PLAIN = bytes(46 if b in b".,;:!?\n\x0b\x0c\r" else b + 32 if 65 <= b <= 90 else b for b in range(256))
+_STOP = b"."
 
-_RUNS = "lang string, depth int, phrase string, n long"
-_NODES = "lang string, words int, phrase string, n long"
+_RUNS = "lang string, phrase string, n long"
+_ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
-def _pieces(raw: bytes) -> Iterator[list[bytes]]:
-    for piece in raw.translate(_PLAIN).split(b"\n"):
-        words = [w for w in piece.split(b" ") if w]
-        if words:
-            yield words
+class _Ids(dict):
+    """Numbers words in order of arrival; 0 is the end of a piece."""
+
+    def __init__(self) -> None:
+        super().__init__({_STOP: 0})
+        self.words: list[bytes] = [_STOP]
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = n = len(self.words)
+        self.words.append(word)
+        return n
+
+
+def _mixed(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(31))) * _ODD
+    return h ^ (h >> np.uint64(29))
+
+
+class PhraseFilter:
+    """A bit set that holds every frequent phrase of one length, and some others by chance."""
+
+    def __init__(self, words: int, bits: np.ndarray) -> None:
+        self.words, self.bits = words, bits
+        self.mask = np.uint64(64 * len(bits) - 1)
+
+    @staticmethod
+    def hashes(lang: str, parts: list[np.ndarray]) -> np.ndarray:
+        """Of phrases given by the hashes of their first, second ... words."""
+        h = np.full(len(parts[0]), xxhash.xxh64_intdigest(lang.encode()), np.uint64)
+        for part in parts:
+            h = _mixed(h + part)
+        return h
+
+    def slots(self, h: np.ndarray) -> Iterator[np.ndarray]:
+        yield h & self.mask
+        yield (h >> np.uint64(32) | h << np.uint64(32)) & self.mask
+
+    def holds(self, lang: str, parts: list[np.ndarray]) -> np.ndarray:
+        held = np.ones(len(parts[0]), bool)
+        for slot in self.slots(self.hashes(lang, parts)):
+            held &= (self.bits[slot >> np.uint64(6)] >> (slot & np.uint64(63)) & np.uint64(1)).astype(bool)
+        return held
+
+
+def word_hashes(words: list[bytes]) -> np.ndarray:
+    return np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
+
+
+class _Container:
+    """Windows as integers and their counts; what has arrived since the last count waits."""
+
+    def __init__(self) -> None:
+        self.keys, self.counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.waiting: list[np.ndarray] = []
+        self.n_waiting = 0
+
+    def __len__(self) -> int:
+        return len(self.keys) + self.n_waiting
+
+    def add(self, keys: np.ndarray) -> None:
+        self.waiting.append(keys)
+        self.n_waiting += len(keys)
+
+    def count(self) -> None:
+        if self.n_waiting:
+            found = pa.array(np.concatenate(self.waiting)).value_counts()
+            self._merge(found.field("values").to_numpy(), found.field("counts").to_numpy())
+            self.waiting, self.n_waiting = [], 0
+
+    def _merge(self, keys: np.ndarray, counts: np.ndarray) -> None:
+        if len(self.keys):
+            both = pa.table({"k": np.concatenate([self.keys, keys]), "n": np.concatenate([self.counts, counts])}).group_by("k").aggregate([("n", "sum")])
+            keys, counts = both.column("k").to_numpy(), both.column("n_sum").to_numpy()
+        self.keys, self.counts = keys, counts
+
+    def take(self, where: np.ndarray) -> _Container:
+        out = _Container()
+        out.keys, out.counts = self.keys[where], self.counts[where]
+        self.keys, self.counts = self.keys[~where], self.counts[~where]
+        return out
 
 
 class BurstTrie:
-    """Counts of word windows: ``roots[lang][first]`` is a container ``{second << 32 | third: n}`` or, once burst, ``{second: {third: n}}`` in ``burst``. Word 0 stands for none."""
+    """Counts of windows of ``size`` words. ``containers[lang][0]`` is shared by all first words that have no container of their own."""
 
-    def __init__(self, hot: frozenset[bytes] = frozenset()) -> None:
-        self.hot = hot
+    def __init__(self, size: int, frequent: PhraseFilter | None = None) -> None:
+        self.size, self.frequent, self.shift = size, frequent, ID_BITS * (size - 1)
         self._clear()
 
     def _clear(self) -> None:
-        self.ids: dict[bytes, int] = {}
-        self.roots: dict[str, dict[int, dict[int, int]]] = {}
-        self.burst: dict[str, dict[int, dict[int, dict[int, int]]]] = {}
-        self.unchecked = 0
-
-    def add(self, lang: str, raw: bytes) -> Iterator[pa.RecordBatch]:
-        """Count a text; yields runs whenever the trie is full."""
-        ids = self.ids
-        for words in _pieces(raw):
-            root, burst = self.roots.setdefault(lang, {}), self.burst.setdefault(lang, {})
-            row = [ids.setdefault(w, len(ids) + 1) for w in words]
-            for a, b, c in zip(row, row[1:] + [0], row[2:] + [0, 0]):
-                container = root.get(a)
-                if container is not None:
-                    key = b << 32 | c
-                    container[key] = container.get(key, 0) + 1
-                elif a in burst:
-                    thirds = burst[a].setdefault(b, {})
-                    thirds[c] = thirds.get(c, 0) + 1
-                else:
-                    root[a] = {b << 32 | c: 1}
-            self.unchecked += len(row)
-            if self.unchecked >= CHECKED_WINDOWS:
-                yield from self._check()
-                ids = self.ids
-
-    def _check(self) -> Iterator[pa.RecordBatch]:
-        self.unchecked, entries = 0, 0
-        sizes = []
-        for lang, root in self.roots.items():
-            burst = self.burst[lang]
-            for first in [a for a, container in root.items() if len(container) > BURST_ENTRIES]:
-                seconds = burst[first] = {}
-                for key, n in root.pop(first).items():
-                    seconds.setdefault(key >> 32, {})[key & 0xFFFFFFFF] = n
-            sizes += [(len(container), lang, a) for a, container in root.items()]
-            sizes += [(sum(map(len, seconds.values())), lang, a) for a, seconds in burst.items()]
+        self.ids = _Ids()
+        self.hashes = np.zeros(1, np.uint64)
+        self.containers: dict[str, dict[int, _Container]] = {}
+
+    def add(self, lang: str, texts: list[bytes]) -> Iterator[pa.RecordBatch]:
+        """Count texts of one language; yields runs whenever the trie is full."""
+        words = b"\n".join(texts).translate(_PLAIN).replace(b".", b" . ").split()
+        for low in range(0, len(words), BLOCK_WORDS):
+            block = words[low:low + BLOCK_WORDS + self.size - 1]  # windows start in the first BLOCK_WORDS
+            ids = np.fromiter(map(self.ids.__getitem__, block), np.int64, len(block))
+            keys = self._windows(lang, ids, min(BLOCK_WORDS, len(words) - low))
+            if len(keys):
+                self._place(self.containers.setdefault(lang, {0: _Container()}), keys)
+            yield from self._relieve()
+
+    def _windows(self, lang: str, ids: np.ndarray, starts: int) -> np.ndarray:
+        n = max(0, min(starts, len(ids) - self.size + 1))
+        parts = [ids[k:k + n] for k in range(self.size)]
+        ok = np.logical_and.reduce([p > 0 for p in parts])
+        if self.frequent:
+            if len(self.ids.words) > len(self.hashes):
+                self.hashes = np.concatenate([self.hashes, word_hashes(self.ids.words[len(self.hashes):])])
+            h, k = self.hashes[ids], self.frequent.words
+            held = self.frequent.holds(lang, [h[j:len(h) - k + 1 + j] for j in range(k)])
+            for j in range(self.size - k + 1):
+                ok &= held[j:j + n]
+        keys = np.zeros(n, np.int64)
+        for p in parts:
+            keys = keys << ID_BITS | p
+        return keys[ok]
+
+    def _place(self, containers: dict[int, _Container], keys: np.ndarray) -> None:
+        if len(containers) > 1:
+            own = np.zeros(len(self.ids.words), bool)
+            own[[first for first in containers if first]] = True
+            mine = own[keys >> self.shift]
+            if mine.any():
+                single = keys[mine]
+                single = single[np.argsort(single >> self.shift, kind="stable")]
+                firsts = single >> self.shift
+                for part, first in zip(np.split(single, np.flatnonzero(np.diff(firsts)) + 1), np.unique(firsts).tolist()):
+                    containers[first].add(part)
+                keys = keys[~mine]
+        containers[0].add(keys)
+        for container in list(containers.values()):
+            if container.n_waiting >= PENDING_WINDOWS:
+                container.count()
+        if len(containers[0].keys) > BURST_ENTRIES:
+            firsts, sizes = np.unique(containers[0].keys >> self.shift, return_counts=True)
+            for first in firsts[sizes > BURST_ENTRIES // 32].tolist():
+                containers[first] = containers[0].take(containers[0].keys >> self.shift == first)
+
+    def _relieve(self) -> Iterator[pa.RecordBatch]:
+        sizes = [(len(c), lang, first) for lang, containers in self.containers.items() for first, c in containers.items()]
         entries = sum(s[0] for s in sizes)
-        if len(self.ids) > TRIE_WORDS:
+        if len(self.ids.words) > TRIE_WORDS:
             yield from self.spill()
         elif entries > TRIE_ENTRIES:
-            sizes.sort(reverse=True)
-            gone, leaving = 0, {}
-            for size, lang, first in sizes:
-                if entries - gone <= TRIE_ENTRIES // 2:
+            for size, lang, first in sorted(sizes, reverse=True):
+                if entries <= TRIE_ENTRIES // 2:
                     break
-                gone += size
-                leaving.setdefault(lang, []).append(first)
-            for lang, firsts in leaving.items():
-                yield from self._runs(lang, firsts)
+                entries -= size
+                container = self.containers[lang][first]
+                self.containers[lang][first] = _Container()
+                yield from self._runs(lang, [container])
 
     def spill(self) -> Iterator[pa.RecordBatch]:
         """All that is left, as runs; the trie is empty afterwards."""
-        for lang in list(self.roots):
-            yield from self._runs(lang, [*self.roots[lang], *self.burst[lang]])
+        for lang, containers in self.containers.items():
+            yield from self._runs(lang, list(containers.values()))
         self._clear()
 
-    def _runs(self, lang: str, firsts: list[int]) -> Iterator[pa.RecordBatch]:
-        root, burst = self.roots[lang], self.burst[lang]
-        sizes: list[int] = []
-        keys: list[int] = []
-        counts: list[int] = []
-        for first in firsts:
-            before = len(keys)
-            if first in root:
-                container = root.pop(first)
-                keys += container
-                counts += container.values()
-            else:
-                for second, thirds in burst.pop(first).items():
-                    keys += [second << 32 | third for third in thirds]
-                    counts += thirds.values()
-            sizes.append(len(keys) - before)
-        if not keys:
+    def _runs(self, lang: str, containers: list[_Container]) -> Iterator[pa.RecordBatch]:
+        for container in containers:
+            container.count()
+        keys, n = np.concatenate([c.keys for c in containers]), np.concatenate([c.counts for c in containers])
+        if not len(keys):
             return
-        words = np.array([b"", *self.ids], dtype=object)  # ids follow the order of arrival
-        key = np.array(keys, np.int64)
-        at = np.stack([np.repeat(np.array(firsts, np.int64), sizes), key >> 32, key & 0xFFFFFFFF])
-        used = np.unique(at)
-        used = used[np.argsort(words[used], kind="stable")]  # by bytes; none comes first
-        rank = np.zeros(len(words), np.int64)
+        low = (1 << ID_BITS) - 1
+        at = [keys >> ID_BITS * k & low for k in reversed(range(self.size))]
+        used = np.flatnonzero(np.bincount(np.concatenate(at)))
+        used = np.array(sorted(used.tolist(), key=self.ids.words.__getitem__), np.int64)
+        rank = np.zeros(len(self.ids.words), np.int64)
         rank[used] = np.arange(len(used))
-        spelled = pa.array([w or None for w in words[used].tolist()], pa.binary())
-        hot = np.array([w in self.hot for w in words[used].tolist()], bool)
-        place, n = rank[at], np.array(counts, np.int64)
-        order = np.lexsort(place[::-1])
-        for low in range(0, len(order), RUN_ROWS):
-            first, second, third = place[:, order[low:low + RUN_ROWS]]
-            depth = 1 + hot[first] * (1 + hot[second].astype(np.int32))
-            phrase = pc.binary_join_element_wise(*(spelled.take(pa.array(w)) for w in (first, second, third)), b"", b" ", null_handling="skip")
-            yield pa.RecordBatch.from_arrays([
-                pa.array([lang] * len(first), pa.string()), pa.array(depth.astype(np.int32)), phrase.cast(pa.string()), pa.array(n[order[low:low + RUN_ROWS]])],
-                names=["lang", "depth", "phrase", "n"])
-
-
-class _Level:
-    """Sums of one length over a sorted stream: the last group of a batch waits for the next batch."""
-
-    def __init__(self, words: int, min_count: int) -> None:
-        self.words, self.min_count = words, min_count
-        self.open: tuple[str, str, int, bool] | None = None
-
-    def take(self, lang: pa.Array, prefix: pa.Array, starts: np.ndarray, n: np.ndarray, partial: np.ndarray) -> Iterator[tuple[str, str, int]]:
-        """``starts`` are the first rows of the groups; a group whose ``partial`` is set has further parts elsewhere."""
-        if not len(starts):
-            return
-        sums = np.add.reduceat(n, starts)
-        some = lambda g: (lang[int(starts[g])].as_py(), prefix[int(starts[g])].as_py(), int(sums[g]), bool(partial[starts[g]]))
-        first = some(0)
-        if self.open and self.open[:2] == first[:2]:
-            sums[0] += self.open[2]
-        else:
-            yield from self.close()
-        self.open = some(len(starts) - 1)
-        shown = np.flatnonzero((sums[:-1] >= self.min_count) | partial[starts[:-1]])
-        at = pa.array(starts[shown])
-        yield from zip(lang.take(at).to_pylist(), prefix.take(at).to_pylist(), sums[shown].tolist())
-
-    def close(self) -> Iterator[tuple[str, str, int]]:
-        if self.open and (self.open[2] >= self.min_count or self.open[3]):
-            yield self.open[:3]
-        self.open = None
+        spelled = pa.array([self.ids.words[i] for i in used.tolist()], pa.binary())
+        place = np.zeros(len(keys), np.int64)
+        for k in at:
+            place = place << ID_BITS | rank[k]
+        order = np.argsort(place)
+        for start in range(0, len(order), RUN_ROWS):
+            rows = order[start:start + RUN_ROWS]
+            parts = [spelled.take(pa.array(rank[k[rows]])) for k in at]
+            phrase = parts[0] if self.size == 1 else pc.binary_join_element_wise(*parts, b" ")
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(rows), pa.string()), phrase.cast(pa.string()), pa.array(n[rows])], names=["lang", "phrase", "n"])
 
 
 def _merge(batches: Iterator[pa.RecordBatch], min_count: int) -> Iterator[pa.RecordBatch]:
-    """Rows of a prefix partition in order of (lang, phrase) to the counts of its nodes."""
-    levels = [_Level(k, min_count) for k in (1, 2, 3)]
+    """Sums of equal (lang, phrase) of a sorted stream that reach ``min_count``; the last sum of a batch waits for the next batch."""
+    open_row: tuple[str, str, int] | None = None
+
+    def out(lang, phrase, n) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([lang, phrase, pa.array(n, pa.int64())], names=["lang", "phrase", "n"])
 
-    def out(rows: list[list[tuple[str, str, int]]]) -> pa.RecordBatch:
-        flat = [(lang, k, phrase, n) for k, found in enumerate(rows, 1) for lang, phrase, n in found]
-        lang, words, phrase, n = zip(*flat) if flat else ((), (), (), ())
-        return pa.RecordBatch.from_arrays([pa.array(lang, pa.string()), pa.array(words, pa.int32()), pa.array(phrase, pa.string()), pa.array(n, pa.int64())],
-                                          names=["lang", "words", "phrase", "n"])
+    def closed() -> Iterator[pa.RecordBatch]:
+        if open_row and open_row[2] >= min_count:
+            yield out(pa.array([open_row[0]]), pa.array([open_row[1]]), [open_row[2]])
 
     for batch in batches:
         if not batch.num_rows:
             continue
         lang, phrase = batch.column("lang"), batch.column("phrase")
-        n, depth = batch.column("n").to_numpy(), batch.column("depth").to_numpy()
-        parts = pc.split_pattern(phrase, " ")
-        offsets, flat = parts.offsets.to_numpy().astype(np.int64), parts.values
-        size = np.diff(offsets) - 1  # each phrase ends with a blank
-        word = lambda k: flat.take(pa.array(np.where(size > k, offsets[:-1] + k, 0), mask=size <= k))
-        first, second, third = word(0), word(1), word(2)
-        pair = pc.binary_join_element_wise(first, second, " ")
-        triple = pc.binary_join_element_wise(first, second, third, " ")
-        fresh = np.concatenate([[True], pc.not_equal(lang[1:], lang[:-1]).to_numpy(zero_copy_only=False)])
-        rows = []
-        for level, prefix in zip(levels, (first, pair, triple)):
-            has = np.flatnonzero(size >= level.words)
-            own = prefix.take(pa.array(has)) if len(has) < len(size) else prefix
-            of, new = lang.take(pa.array(has)), fresh[has].copy()
-            if len(has):
-                new[0] = True
-                new[1:] |= pc.not_equal(own[1:], own[:-1]).to_numpy(zero_copy_only=False) | pc.not_equal(of[1:], of[:-1]).to_numpy(zero_copy_only=False)
-            rows.append(list(level.take(of, own, np.flatnonzero(new), n[has], depth[has] > level.words)))
-        yield out(rows)
-    yield out([list(level.close()) for level in levels])
-
-
-def _plain_rows(docs: DataFrame) -> DataFrame:
-    return docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), "text")
-
-
-def frequent_words(docs: DataFrame, hot_share: int = HOT_SHARE) -> tuple[DataFrame, frozenset[bytes]]:
-    """(lang, n) with the words of each language, and the words that hold about one in ``hot_share`` of all windows or more.
-
-    At most about ``hot_share`` words reach the driver: each task names the words that hold a quarter of that share of its own.
-    """
-    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: Counter[bytes] = Counter()
-        of_lang: Counter[str] = Counter()
-        total = 0
-        for batch in batches:
-            for low in range(0, batch.num_rows, 200):
-                part = batch.slice(low, 200)
-                for lang, raw in zip(part.column("lang").to_pylist(), utf8_values(part.column("text"))):
-                    words = [w for w in raw.translate(_PLAIN).replace(b"\n", b" ").split(b" ") if w]
-                    seen.update(words)
-                    of_lang[lang] += len(words)
-                    total += len(words)
-                    if len(seen) > COUNTED_WORDS:
-                        seen = Counter({w: n for w, n in seen.items() if n * 16 * hot_share >= total})
-        found = [(w, n) for w, n in seen.items() if n * 4 * hot_share >= total]
-        yield pa.RecordBatch.from_arrays([
-            pa.array([*of_lang, *[None] * len(found)], pa.string()), pa.array([*[None] * len(of_lang), *(w for w, _ in found)], pa.binary()),
-            pa.array([*of_lang.values(), *(n for _, n in found)], pa.int64())], names=["lang", "word", "n"])
-
-    rows = stored(_plain_rows(docs).mapInArrow(look, "lang string, word binary, n long"))
-    totals = rows.where("word is null").groupBy("lang").agg(F.sum("n").alias("n"))
-    total = totals.agg(F.sum("n")).first()[0] or 0
-    words = rows.where("word is not null").groupBy("word").agg(F.sum("n").alias("n")).where(F.col("n") * hot_share >= 0.75 * total)
-    return totals, frozenset(bytes(r["word"]) for r in words.select("word").collect())  # at most hot_share / 0.75
+        new = pc.or_(pc.not_equal(phrase[1:], phrase[:-1]), pc.not_equal(lang[1:], lang[:-1])).to_numpy(zero_copy_only=False)
+        starts = np.concatenate([[0], np.flatnonzero(new) + 1])
+        sums = np.add.reduceat(batch.column("n").to_numpy(), starts)
+        if open_row and open_row[:2] == (lang[0].as_py(), phrase[0].as_py()):
+            sums[0] += open_row[2]
+        else:
+            yield from closed()
+        last = int(starts[-1])
+        open_row = (lang[last].as_py(), phrase[last].as_py(), int(sums[-1]))
+        shown = np.flatnonzero(sums[:-1] >= min_count)
+        at = pa.array(starts[shown])
+        yield out(lang.take(at), phrase.take(at), sums[shown])
+    yield from closed()
+
+
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, list[bytes]]]:
+    """The texts of each language, about SLICE_BYTES at a time."""
+    for batch in batches:
+        sizes = pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        low = 0
+        while low < len(sizes):
+            high = max(low + 1, low + int(np.searchsorted(np.cumsum(sizes[low:]), SLICE_BYTES, "right")))
+            part, texts = batch.slice(low, high - low), {}
+            for lang, raw in zip(part.column("lang").to_pylist(), utf8_values(part.column("text"))):
+                texts.setdefault(lang, []).append(raw)
+            yield from texts.items()
+            low = high
 
 
-def phrase_counts(docs: DataFrame, min_count: int = MIN_COUNT, hot: frozenset[bytes] = frozenset()) -> DataFrame:
-    """(lang, words, phrase, f) of all phrases of one to three words with at least ``min_count`` occurrences."""
+def phrase_runs(docs: DataFrame, size: int, frequent: PhraseFilter | None = None) -> DataFrame:
+    """(lang, phrase, n): runs of the tries of all tasks. ``docs`` has lang and text, lang without nulls."""
+    sent = docs.sparkSession.sparkContext.broadcast(frequent) if frequent else None  # at most FILTER_BITS
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trie = BurstTrie(hot)
-        for batch in batches:
-            for low in range(0, batch.num_rows, 200):
-                part = batch.slice(low, 200)
-                for lang, raw in zip(part.column("lang").to_pylist(), utf8_values(part.column("text"))):
-                    yield from trie.add(lang, raw)
+        trie = BurstTrie(size, sent.value if sent else None)
+        for lang, texts in _slices(batches):
+            yield from trie.add(lang, texts)
         yield from trie.spill()
 
-    runs = _plain_rows(docs).mapInArrow(count, _RUNS)
-    dealt = runs.withColumn("prefix", F.expr("substring_index(phrase, ' ', depth)")).repartition("lang", "prefix").drop("prefix")
-    nodes = dealt.sortWithinPartitions("lang", "phrase").mapInArrow(lambda batches: _merge(batches, min_count), _NODES)
-    # Only prefixes of frequent words have parts in several partitions.
-    return nodes.groupBy("lang", "words", "phrase").agg(F.sum("n").alias("f")).where(F.col("f") >= min_count)
+    return docs.select("lang", "text").mapInArrow(count, _RUNS)
+
+
+def merge_runs(runs: DataFrame, min_count: int, hot: list[str]) -> DataFrame:
+    """(lang, phrase, n) of the phrases with at least ``min_count`` occurrences, merged per prefix partition."""
+    first = F.substring_index("phrase", " ", 1)
+    prefix = F.when(first.isin(hot), F.col("phrase")).otherwise(first) if hot else first
+    return runs.repartition(F.col("lang"), prefix).sortWithinPartitions("lang", "phrase").mapInArrow(lambda batches: _merge(batches, min_count), _RUNS)
+
+
+def phrase_filter(phrases: DataFrame, words: int, filter_bits: int = FILTER_BITS) -> PhraseFilter:
+    """The filter of (lang, phrase) rows: at most ``filter_bits`` bits reach the driver, however many rows there are."""
+    wanted = PHRASE_BITS * max(phrases.count(), 64)
+    n_bits = min(1 << (wanted - 1).bit_length(), filter_bits)
+    empty = PhraseFilter(words, np.zeros(n_bits // 64, np.uint64))
+    mask = empty.mask
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            split = [raw.split(b" ") for raw in utf8_values(batch.column("phrase"))]
+            langs = np.array(batch.column("lang").to_pylist(), dtype=object)
+            parts = [word_hashes([p[k] for p in split]) for k in range(words)]
+            for lang in set(langs.tolist()):
+                own = np.flatnonzero(langs == lang)
+                h = PhraseFilter.hashes(lang, [p[own] for p in parts])
+                for slot in (h & mask, (h >> np.uint64(32) | h << np.uint64(32)) & mask):
+                    yield pa.RecordBatch.from_arrays([pa.array((slot >> np.uint64(6)).astype(np.int64)), pa.array((np.uint64(1) << (slot & np.uint64(63))).view(np.int64))], names=["place", "bits"])
+
+    rows = phrases.select("lang", "phrase").mapInArrow(run, "place long, bits long").groupBy("place").agg(F.bit_or("bits").alias("bits")).toArrow()
+    empty.bits[rows.column("place").to_numpy()] = rows.column("bits").to_numpy().view(np.uint64)
+    return empty
 
 
 def _cut(k: int, size: int):
@@ -278,6 +329,25 @@ def _cut(k: int, size: int):
     return F.struct(F.lit(k).cast("long").alias("k"), side(1, k).alias("left"), side(k + 1, size - k).alias("right"))
 
 
+def phrase_counts(docs: DataFrame, min_count: int = MIN_COUNT, hot_share: int = HOT_SHARE) -> tuple[DataFrame, DataFrame]:
+    """(lang, words, phrase, f) of all phrases of one to three words with at least ``min_count`` occurrences, and (lang, n) with all words."""
+    rows = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), "text")
+    words = stored(merge_runs(phrase_runs(rows, 1), 1, []), compression="zstd")
+    totals = stored(words.groupBy("lang").agg(F.sum("n").alias("n")))
+    total = totals.agg(F.sum("n")).first()[0] or 0
+    hot = [r["phrase"] for r in words.groupBy("phrase").agg(F.sum("n").alias("n")).where(F.col("n") * hot_share >= total).select("phrase").collect()]  # at most hot_share
+    found = words.where(F.col("n") >= min_count)
+    levels = [found]
+    for size in (2, 3):
+        runs = phrase_runs(rows, size, phrase_filter(levels[-1], size - 1))
+        levels.append(stored(merge_runs(runs, min_count, hot), compression="zstd"))
+    counts = None
+    for size, level in enumerate(levels, 1):
+        part = level.select("lang", F.lit(size).alias("words"), "phrase", F.col("n").alias("f"))
+        counts = part if counts is None else counts.unionByName(part)
+    return counts, totals
+
+
 def mine_collocations(docs: DataFrame, min_count: int = MIN_COUNT, covered_percent: int = COVERED_PERCENT, top: int = TOP) -> DataFrame:
     """lang, rank, phrase, a, l, r, n, score: each language's ``top`` phrases of two and three words.
 
@@ -288,8 +358,7 @@ def mine_collocations(docs: DataFrame, min_count: int = MIN_COUNT, covered_perce
     Null and empty texts have no words, a null language is ``und``, repeated rows count as often as they stand there, a table
     without rows or without frequent phrases gives no rows. Texts of any length are counted whole.
     """
-    totals, hot = frequent_words(docs)
-    counts = stored(phrase_counts(docs, min_count, hot))
+    counts, totals = phrase_counts(docs, min_count)
     phrases = counts.where("words > 1").withColumn(
         "cut", F.explode(F.when(F.col("words") == 2, F.array(_cut(1, 2))).otherwise(F.array(_cut(1, 3), _cut(2, 3)))))
     part = lambda side, name: counts.select("lang", F.col("phrase").alias(side), F.col("f").alias(name))
