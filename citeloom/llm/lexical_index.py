@@ -19,18 +19,21 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from citeloom.llm.common import stored, utf8_values
+from citeloom.llm.common import small, stored, utf8_values
 
-TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 TOP = 10
 #: Documents and postings of a chunk.
 CHUNK_DOCS = 4_096
 CHUNK_POSTINGS = 400_000
+#: Terms of the documents that are dealt out together.
+PART_TERMS = 500_000
 #: Items that are scored together, and bytes of their terms.
 BLOCK_ITEMS = 1_024
 BLOCK_BYTES = 16 << 20
 #: Query terms up to this size go to every task; beyond it the index is joined with them.
 BROADCAST_BYTES = 32 << 20
+#: Strata up to this number go to every task; there are at most as many as the longest text has terms.
+BROADCAST_STRATA = 1_000_000
 #: Strata that each item visits first, to learn what score its k-th document has at least.
 FIRST_STRATA = 2
 #: The row of a chunk that lists its doc_ids; other rows name documents by their place in it.
@@ -98,34 +101,62 @@ class _Chunk:
             pa.array(np.concatenate([[0], tf[starts]])), pa.ListArray.from_arrays(pa.array(offsets), values)], names=["m", "chunk", "term", "tf", "docs"])
 
 
+def term_lengths(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The lengths in terms that occur, ascending, and the documents of each; documents without a term are left out.
+
+    A row for each length reaches the driver, so at most as many as the longest text has terms.
+    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: Counter[int] = Counter()
+        for batch in batches:
+            for part in small([batch], 200):
+                seen.update(len(terms_of(raw)) for raw in utf8_values(part.column("text")))
+        yield pa.RecordBatch.from_arrays([pa.array([*seen], pa.int64()), pa.array([*seen.values()], pa.int64())], names=["n", "docs"])
+
+    found = docs.select("text").mapInArrow(run, "n long, docs long").where("n > 0").groupBy("n").agg(F.sum("docs").alias("docs")).toArrow().sort_by("n")
+    return found.column("n").to_numpy(), found.column("docs").to_numpy()
+
+
 def build_index(docs: DataFrame) -> LexicalIndex:
     """Index every row of ``docs`` (doc_id, text; other columns are ignored).
 
-    Rows are dealt out by ranges of (m, doc_id), so a stratum of any size is shared by many tasks. Rows without a term are in
-    no stratum. Rows of equal doc_id are separate documents, null doc_ids stay null, a table without rows gives an empty index.
+    Rows are dealt out by ranges of length with about PART_TERMS terms each; the rows of a length that has more share several
+    parts by a hash of their doc_id and text, so a stratum of any size is shared by many tasks. Rows without a term are in no stratum. Rows
+    of equal doc_id are separate documents, null doc_ids stay null, a table without rows gives an empty index.
     """
-    counted = docs.select(F.col("doc_id").cast("long"), "text", F.regexp_count(F.coalesce("text", F.lit("")), F.lit(TERM)).cast("long").alias("n")).where("n > 0")
-    n_docs, n_terms = counted.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
-    m = F.lit(25) + F.expr(f"(75 * n * {n_docs}L) div {max(n_terms, 1)}L")
+    lengths, held = term_lengths(docs)
+    n_docs, n_terms = int(held.sum()), int((lengths * held).sum())
+    before = np.cumsum(lengths * held) - lengths * held
+    first, width = before // PART_TERMS, -(-lengths * held // PART_TERMS)
+
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in small([batch], 200):
+                n = np.array([len(terms_of(raw)) for raw in utf8_values(part.column("text"))], np.int64)
+                rows = np.flatnonzero(n)
+                at, tie = np.searchsorted(lengths, n[rows]), part.column("tie").to_numpy()[rows]
+                kept = part.take(pa.array(rows))
+                yield pa.RecordBatch.from_arrays([pa.array(first[at] + tie % width[at]), pa.array(25 + 75 * n[rows] * n_docs // max(n_terms, 1)), kept.column("doc_id"), kept.column("text")],
+                                                 names=["part", "m", "doc_id", "text"])
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, made, open_chunk = TaskContext.get().partitionId(), 0, None
+        task, made, open_chunk = TaskContext.get().partitionId(), 0, None
         for batch in batches:
-            for low in range(0, batch.num_rows, 200):
-                rows = batch.slice(low, 200)
+            for rows in small([batch], 200):
                 for m, doc_id, raw in zip(rows.column("m").to_pylist(), rows.column("doc_id").to_pylist(), utf8_values(rows.column("text"))):
                     if open_chunk and (open_chunk.m != m or open_chunk.full):
                         yield open_chunk.rows()
                         open_chunk = None
                     if not open_chunk:
-                        open_chunk, made = _Chunk(m, part << 32 | made), made + 1
+                        open_chunk, made = _Chunk(m, task << 32 | made), made + 1
                     open_chunk.add(doc_id, terms_of(raw))
         if open_chunk:
             yield open_chunk.rows()
 
-    dealt = counted.select(m.alias("m"), "doc_id", "text").repartitionByRange("m", "doc_id").sortWithinPartitions("m", "doc_id")
+    keyed = docs.select(F.col("doc_id").cast("long"), "text", F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)).alias("tie"))
+    dealt = keyed.mapInArrow(measure, "part long, m long, doc_id long, text string").repartition("part").sortWithinPartitions("m", "doc_id")
     options = {"compression": "zstd", "parquet.writer.version": "PARQUET_2_0", "parquet.enable.dictionary": "false"}
-    return LexicalIndex(stored(dealt.mapInArrow(build, _POSTINGS), **options), n_docs, n_terms)
+    return LexicalIndex(stored(dealt.select("m", "doc_id", "text").mapInArrow(build, _POSTINGS), **options), n_docs, n_terms)
 
 
 class _Block:
@@ -207,11 +238,12 @@ def _score(block: _Block, k: int, floor: dict[int, int]):
             values = values.fill_null(NO_ID).to_numpy()
             term = np.array([block.terms.get(t, -1) for t in names], np.int64)
             impacts = impact(rows.column("tf").to_numpy(), m)
-            known = np.flatnonzero(term >= 0)
-            if not len(known):
+            starts = np.concatenate([[0], np.flatnonzero(np.diff(term)) + 1])
+            ends = np.append(starts[1:], len(term))  # the rows of a term stand together by ascending tf
+            known = term[starts] >= 0  # others are terms of other blocks
+            starts, ends = starts[known], ends[known]
+            if not len(starts):
                 continue
-            starts = known[np.concatenate([[True], np.diff(term[known]) != 0])]
-            ends = np.append(starts[1:], known[-1] + 1)  # the rows of a term stand together by ascending tf
             bound = block.bounds(term[starts], impacts[ends - 1])
             active = bound >= least
             if not active.any():
@@ -303,12 +335,14 @@ def _search_block(matched: DataFrame, highest: DataFrame, block: _Block, k: int)
     bounds = stored(highest.repartition("m").sortWithinPartitions("m", "term").mapInArrow(_stratum_bounds(block), "item int, m long, bound long"))
 
     def visit(strata: DataFrame, floor: dict[int, int]) -> DataFrame:
+        strata = stored(strata)
+        strata = F.broadcast(strata) if strata.count() <= BROADCAST_STRATA else strata
         ordered = matched.join(strata, "m").repartition("chunk").sortWithinPartitions(F.desc("best"), "chunk", "term", "tf")
         return stored(ordered.select("m", "chunk", "term", "tf", "docs").mapInArrow(_score(block, k, floor), _HITS))
 
     promising = Window.partitionBy("item").orderBy(F.desc("bound"), "m")
     first = bounds.withColumn("place", F.row_number().over(promising)).where(F.col("place") <= FIRST_STRATA)
-    first = stored(first.groupBy("m").agg(F.max("bound").alias("best")))
+    first = first.groupBy("m").agg(F.max("bound").alias("best"))
     early = visit(first, {})
     floor = {r["item"]: r["score"] for r in _top(early, k).where(F.col("rank") == k).collect()}  # a row for each item of the block
     known = matched.sparkSession.createDataFrame([(i, s) for i, s in floor.items()], "item int, floor long")
