@@ -34,7 +34,7 @@ def op1_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     from citeloom.llm.token_output import token_digests, write_tokens
 
     path = scratch_dir(spark)
-    write_tokens(documents(spark, sf_dir, "doc_id", "text"), path, word_vocabulary())
+    write_tokens(documents(spark, sf_dir, "doc_id", "text"), path, word_vocabulary(), cached_chunks=500_000)
     return token_digests(spark, path)
 
 
