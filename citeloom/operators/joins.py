@@ -70,13 +70,14 @@ def alias_matches(elements: DataFrame, keys: Sequence[str], patterns: Sequence[s
 
 
 def tiered_match(
-    elements: DataFrame, imports: DataFrame, lines: DataFrame, patterns: Sequence[str]
+    elements: DataFrame, imports: DataFrame, lines: DataFrame, patterns: Sequence[str], components: DataFrame | None = None
 ) -> DataFrame:
-    """Best match tier per (file, line), then text usages of patterns not matched yet.
+    """Best match tier per (file, line), then text usages of patterns not matched yet, then legacy components.
 
     Tiers: exact name, fuzzy name or snippet, import, text scan. One ranked
     aggregate replaces the tier-by-tier exclusion; a text-scan pattern takes its
-    first file (by name) and its first line there.
+    first file (by name) and its first line there. Only if none of them matches anything, every pattern
+    in the value of a component, ``components(file, kind, value)``, is a row of the legacy tier, at line 1.
     """
     first = lambda tests: F.array_min(F.array_compact(F.array(*tests)))
 
@@ -97,30 +98,38 @@ def tiered_match(
     direct = by_element.unionByName(by_import).filter("m IS NOT NULL").groupBy("file", "line").agg(F.min("m").alias("m"))
 
     usage = [p for p in patterns if "." in p]
-    if not usage:
-        return direct.select("file", "line", "m.match_tier", "m.pattern")
+    found = cut_lineage(direct.select("file", "line", "m.match_tier", "m.pattern"))
+    if usage:
+        found = _with_text_scan(found, elements, lines, usage)
+    if components is None or found.limit(1).count():
+        return found
+    hits = F.array_compact(F.array(*[F.when(F.lower("value").contains(p.lower()), F.lit(p)) for p in patterns]))
+    return components.select("file", F.lit(1).cast(found.schema["line"].dataType).alias("line"), F.lit("legacy_architecture").alias("match_tier"), F.explode(hits).alias("pattern"))
+
+
+def _with_text_scan(found: DataFrame, elements: DataFrame, lines: DataFrame, usage: Sequence[str]) -> DataFrame:
+    """``found`` and the first line of each usage pattern that has no match yet.
+
+    In the order of files and lines, a line goes to the first listed pattern it holds that has no line yet. Other patterns take fewer
+    lines than there are patterns, so as many first lines of each pattern decide, read in one pass.
+    """
+    from pyspark.sql import Window
+
     spots = F.array_compact(F.array(*[F.when(F.col("content").contains(p), F.lit(p)) for p in usage]))
     place = F.array_position(F.array(*map(F.lit, usage)), F.col("pattern")).cast("int")
     own_files = lines.join(elements.select("file").distinct(), "file", "left_semi")
     scanned = own_files.select("file", "line", F.explode(spots).alias("pattern"))
-    scanned = scanned.join(direct.select("m.pattern").distinct(), "pattern", "left_anti")
-    scanned = scanned.join(direct.select("file", "line"), ["file", "line"], "left_anti")
-    scanned = cut_lineage(scanned.select(F.struct("file", "line", place.alias("place"), "pattern").alias("s")))
-    # Lines in order: a line goes to the first listed pattern it holds that has no line yet.
-    # One minimum per pattern, of which there are as many as the caller wrote down.
-    taken: list[tuple] = []
-    while True:
-        left = scanned
-        for file, line, pattern in taken:
-            left = left.filter((F.col("s.pattern") != pattern) & ~((F.col("s.file") == file) & (F.col("s.line") == line)))
-        best = left.agg(F.min("s").alias("s")).first()["s"]
-        if best is None:
-            break
-        taken.append((best["file"], best["line"], best["pattern"]))
-    found = direct.select("file", "line", "m.match_tier", "m.pattern")
+    scanned = scanned.join(found.select("pattern").distinct(), "pattern", "left_anti")
+    scanned = scanned.join(found.select("file", "line"), ["file", "line"], "left_anti").distinct()
+    first = Window.partitionBy("pattern").orderBy("file", "line")
+    heads = scanned.withColumn("rank", F.row_number().over(first)).filter(F.col("rank") <= len(usage)).select("file", "line", place.alias("place"), "pattern")
+    taken: dict[str, tuple] = {}
+    for file, line, _, pattern in sorted(map(tuple, heads.collect())):  # at most the square of the listed patterns
+        if pattern not in taken and (file, line) not in taken.values():
+            taken[pattern] = (file, line)
     if not taken:
         return found
-    rows = [F.struct(F.lit(f).alias("file"), F.lit(n).alias("line"), F.lit("text_scan").alias("match_tier"), F.lit(p).alias("pattern")) for f, n, p in taken]
+    rows = [F.struct(F.lit(f).alias("file"), F.lit(n).alias("line"), F.lit("text_scan").alias("match_tier"), F.lit(p).alias("pattern")) for p, (f, n) in taken.items()]
     return found.unionByName(lines.sparkSession.range(1).select(F.inline(F.array(*rows))))
 
 

@@ -21,6 +21,23 @@ def union_sources(sources: Sequence[DataFrame], pos: str) -> DataFrame:
     return out
 
 
+def union_deduplicated(sources: Sequence[tuple[str, DataFrame]], pos: str, max_results: int | None = None) -> DataFrame:
+    """Union of named sources without repeated papers: the first record of each, with the sources that have it.
+
+    Records are in source order, then in the order of ``pos`` inside each source. A record joins the first earlier one
+    that shares a key with it (``greedy_entities``); ``merged_sources`` lists the sources of a paper's records in
+    source order. The first ``max_results`` papers stay.
+    """
+    rows = union_sources([part.withColumn("source", F.lit(name)) for name, part in sources], pos)
+    rows = cut_lineage(rows.withColumn("_at", F.struct("source_rank", pos)))
+    groups = greedy_entities(rows, "_at")
+    named = groups.join(rows.select("_at", "source_rank", "source"), "_at").groupBy("entity").agg(F.array_sort(F.collect_set(F.struct("source_rank", "source"))).alias("s"))
+    papers = rows.join(named.select(F.col("entity").alias("_at"), F.transform("s", lambda x: x["source"]).alias("merged_sources")), "_at")
+    if max_results is not None:
+        papers = papers.orderBy("_at").limit(max_results)
+    return papers.drop("_at")
+
+
 def dedupe_first(df: DataFrame, key: Column, order: Sequence[str]) -> DataFrame:
     """Keep the first row per key; a partial aggregate, so copies merge before the shuffle."""
     row = F.struct(*order, *[c for c in df.columns if c not in order])

@@ -11,7 +11,7 @@ from .registry import query
 from .views import AS_OF
 
 NOW = f"TIMESTAMP '{AS_OF}'"
-PATTERNS = ["red widget", "small ring", "class ECONOMY", "widget", "STANDARD", "nn.gelu", "fn_1", "x1"]
+PATTERNS = ["red widget", "small ring", "class ECONOMY", "widget", "STANDARD", "nn.gelu", "fn_1", "x1", "numpy.linalg", "django.db"]
 
 
 @query("baseline_equi_join", """
@@ -59,16 +59,36 @@ for _pos, _p in enumerate(PATTERNS):
     ]
 
 
+_USAGE = [p for p in PATTERNS if "." in p]
+
+
 @query("tiered_theta_match", f"""
-WITH hits AS ({" UNION ALL ".join(_TIERS)}),
-ranked AS (SELECT *, row_number() OVER (PARTITION BY file, line ORDER BY tier, pos, match_tier) AS rn FROM hits)
-SELECT file, line, match_tier, pattern FROM ranked WHERE rn = 1""")
+WITH RECURSIVE hits AS ({" UNION ALL ".join(_TIERS)}),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY file, line ORDER BY tier, pos, match_tier) AS rn FROM hits),
+direct AS (SELECT file, line, match_tier, pattern FROM ranked WHERE rn = 1),
+scan AS (SELECT l.file, l.line_no::BIGINT AS line, p.pos, p.pattern FROM code_lines l JOIN (SELECT unnest({list(range(len(_USAGE)))}) AS pos, unnest({_USAGE}) AS pattern) p ON contains(l.content, p.pattern)
+  WHERE l.file IN (SELECT file FROM scan_elements) AND p.pattern NOT IN (SELECT pattern FROM direct) AND NOT EXISTS (SELECT 1 FROM direct d WHERE d.file = l.file AND d.line = l.line_no)),
+o AS (SELECT *, row_number() OVER (ORDER BY file, line, pos) AS n FROM (SELECT DISTINCT * FROM scan)),
+w AS (SELECT 0::BIGINT AS n, NULL::VARCHAR AS file, NULL::BIGINT AS line, NULL::VARCHAR AS pattern, []::VARCHAR[] AS pats, []::VARCHAR[] AS spots, false AS took
+  UNION ALL SELECT o.n, o.file, o.line, o.pattern, CASE WHEN free THEN list_append(pats, o.pattern) ELSE pats END, CASE WHEN free THEN list_append(spots, o.file || ':' || o.line) ELSE spots END, free
+  FROM (SELECT w.n AS k, w.pats, w.spots FROM w) w JOIN (SELECT * FROM o) o ON o.n = w.k + 1, LATERAL (SELECT NOT list_contains(w.pats, o.pattern) AND NOT list_contains(w.spots, o.file || ':' || o.line) AS free) x WHERE len(w.pats) < {len(_USAGE)})
+SELECT * FROM direct UNION ALL SELECT file, line, 'text_scan', pattern FROM w WHERE took""".replace("FROM elements", "FROM scan_elements"))
 def tiered_theta_match(t):
-    e = t("elements")
+    e = t("scan_elements")
     lines = t("code_lines").select("file", F.col("line_no").cast("bigint").alias("line"), "content")
     return J.tiered_match(e, e, lines, PATTERNS)
 
 
+@query("legacy_tier_match", """
+SELECT 'm' || s_nationkey || '.py' AS file, 1::BIGINT AS line, 'legacy_architecture' AS match_tier, p AS pattern
+FROM supplier, (SELECT unnest(['SUPPLIER#0', 'supplier#00']) AS p) WHERE contains(lower(s_name), lower(p))""")
+def legacy_tier_match(t):
+    e = t("scan_elements")
+    lines = t("code_lines").select("file", F.col("line_no").cast("bigint").alias("line"), "content")
+    components = t("supplier").select(F.concat(F.lit("m"), F.col("s_nationkey").cast("string"), F.lit(".py")).alias("file"), F.lit("norm").alias("kind"), F.col("s_name").alias("value"))
+    return J.tiered_match(e, e, lines, ["SUPPLIER#0", "supplier#00"], components)
+
+
 @query("alias_fuzzy_join", " UNION ALL ".join(
     f"SELECT line, name, '{p}' AS pattern FROM elements WHERE {_fuzzy_sql('name', p)}" for p in PATTERNS))
 def alias_fuzzy_join(t):

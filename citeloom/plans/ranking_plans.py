@@ -306,11 +306,26 @@ def select_plan_topk(t):
 
 # H: sets --------------------------------------------------------------------
 
-@query("union_sources", """
-SELECT doc_id AS id, 0 AS source_rank, lang AS extra FROM documents WHERE lang = 'en' UNION ALL SELECT page_id, 1, NULL FROM pages UNION ALL SELECT item_id, 2, NULL FROM benchmark""")
+_KEYED = """k AS (SELECT doc_id, 'title' AS kind, regexp_replace(lower(split_part(text, chr(10), 1)), '[^a-z0-9]+', '', 'g') AS v FROM documents
+  UNION ALL SELECT doc_id, 'doi', '10.1/' || (doc_id - doc_id % 6) FROM documents WHERE doc_id % 6 < 2),
+ks AS (SELECT doc_id, list(kind || ':' || v) AS ks FROM k WHERE (kind = 'title' AND length(v) >= 20) OR kind = 'doi' GROUP BY doc_id),
+p AS (SELECT d.doc_id, {rank} AS source_rank, coalesce(ks, []) AS ks FROM documents d LEFT JOIN ks USING (doc_id)),
+r AS (SELECT *, row_number() OVER (ORDER BY source_rank, doc_id) AS i FROM p),
+g AS (SELECT 0::BIGINT AS i, NULL::BIGINT AS doc_id, NULL::BIGINT AS entity, []::STRUCT(k VARCHAR, f BIGINT)[] AS founders
+  UNION ALL SELECT i, doc_id, coalesce(e, doc_id), CASE WHEN e IS NULL THEN list_concat(founders, [{{'k': x, 'f': doc_id}} for x in ks]) ELSE founders END
+  FROM (SELECT r.i, r.doc_id, r.ks, g.founders, ([x for x in g.founders if list_contains(r.ks, x.k)])[1].f AS e FROM g JOIN r ON r.i = g.i + 1))"""
+_SOURCES = {"arxiv": ["en"], "pubmed": ["de"], "ieee": ["fr", "es"]}
+_RANK = "CASE d.lang WHEN 'en' THEN 0 WHEN 'de' THEN 1 ELSE 2 END"
+
+
+@query("union_sources", f"""
+WITH RECURSIVE {_KEYED.format(rank=_RANK)}, e AS (SELECT g.doc_id, g.entity, r.source_rank FROM g JOIN r USING (doc_id)),
+m AS (SELECT entity, list(DISTINCT source_rank ORDER BY source_rank) AS ranks FROM e GROUP BY entity)
+SELECT r.doc_id AS id, r.source_rank, array_to_string([['arxiv', 'pubmed', 'ieee'][x + 1] for x in ranks], ',') AS merged_sources FROM m JOIN r ON r.doc_id = m.entity""")
 def union_sources(t):
-    a = t("documents").filter("lang = 'en'").select(F.col("doc_id").alias("id"), F.col("lang").alias("extra"))
-    return D.union_sources([a, t("pages").select(F.col("page_id").alias("id")), t("benchmark").select(F.col("item_id").alias("id"))], "id")
+    rows = _identified(t).join(t("documents").select("doc_id", "lang"), "doc_id")
+    parts = [(name, rows.filter(F.col("lang").isin(langs))) for name, langs in _SOURCES.items()]
+    return D.union_deduplicated(parts, "doc_id").select(F.col("doc_id").alias("id"), "source_rank", F.array_join("merged_sources", ",").alias("merged_sources"))
 
 
 @query("dedupe_entities", """
@@ -340,7 +355,7 @@ def _identified(t):
         blank.alias("arxiv_id"), blank.alias("pubmed_id"), blank.alias("ieee_id"))
 
 
-@query("dedupe_entities_greedy")
+@query("dedupe_entities_greedy", f"WITH RECURSIVE {_KEYED.format(rank=0)} SELECT doc_id, entity FROM g WHERE i > 0")
 def dedupe_entities_greedy(t):
     return D.greedy_entities(_identified(t), "doc_id")
 

@@ -161,6 +161,11 @@ view("elements", """
 SELECT p_partkey AS line, p_name AS name, p_brand AS file, CONCAT('class ', p_type) AS snippet, p_type AS module
 FROM part""")
 
+# Elements of the files in code_lines.
+view("scan_elements", """
+SELECT p_partkey AS line, p_name AS name, CONCAT('f', CAST(p_partkey AS VARCHAR(20)), '.py') AS file, CONCAT('class ', p_type) AS snippet, p_type AS module
+FROM part""")
+
 view("candidates", """
 SELECT l_orderkey AS spec, l_linenumber AS pos,
   CASE l_linenumber WHEN 1 THEN 'exact' WHEN 2 THEN 'exact' WHEN 3 THEN 'fuzzy_name' WHEN 4 THEN 'fuzzy_snippet'
