@@ -6,6 +6,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
 from citeloom.functions import constants as K, scoring as S, text as X
@@ -56,52 +58,67 @@ def tfidf_cosine(a: DataFrame, b: DataFrame, pairs: DataFrame) -> DataFrame:
     return out.select("a_id", "b_id", S.rounded(F.coalesce(F.try_divide(F.col("dot"), F.col("na") * F.col("nb")), F.lit(0.0)), 6).alias("cosine"))
 
 
-#: Bytes of the (term, query) weights that go to the tasks at a time.
+#: Bytes of the query terms that go to the tasks at a time, and (paper, query) cells that are scored at a time.
 QUERY_BYTES = 64 << 20
-#: Papers that are scored with one product.
-PAPER_ROWS = 512
+SCORED_CELLS = 1 << 20
 _HITS = "query_id bigint, paper_id bigint, keyword double, tfidf double"
 
 
 def _score_block(papers: DataFrame, q: pd.DataFrame, k: int, as_of_year: int) -> DataFrame:
-    """The k best papers of each Arrow batch for each query of a block; ``papers(paper_id, year, base_sq, hits)``."""
-    terms = {t: i for i, t in enumerate(sorted(set(q["term"])))}
-    queries = sorted(set(q["query_id"]))
-    row, col = q["term"].map(terms).to_numpy(), np.searchsorted(queries, q["query_id"].to_numpy())
-    shape = (len(terms), len(queries))
-    seen, product, change = np.zeros(shape), np.zeros(shape), np.zeros(shape)
-    seen[row, col] = 1.0
-    product[row, col] = q["qn"] * q["idf_in"] ** 2
-    change[row, col] = (q["idf_in"] ** 2 - q["idf_out"] ** 2).fillna(0.0)
-    n_terms = seen.sum(axis=0)
+    """The k best papers of a few for each query of a block; ``papers(paper_id, year, base_sq, hits)``.
+
+    The block holds, for each of its terms, the queries that have it. A paper's hits are expanded to these
+    queries and added up by cell, so the work is the hits that count and memory is bounded by the cells.
+    """
+    q = q.sort_values("term_id")
+    term_ids, starts = np.unique(q["term_id"].to_numpy(), return_index=True)
+    ends = np.append(starts[1:], len(q))
+    queries = np.unique(q["query_id"].to_numpy())
+    col = np.searchsorted(queries, q["query_id"].to_numpy())
+    product = (q["qn"] * q["idf_in"] ** 2).to_numpy()
+    change = (q["idf_in"] ** 2 - q["idf_out"] ** 2).fillna(0.0).to_numpy()
+    n_terms = np.bincount(col, minlength=len(queries))
     norm = np.sqrt(np.bincount(col, (q["qn"] * q["idf_in"]).to_numpy() ** 2, minlength=len(queries)))
-    shared = papers.sparkSession.sparkContext.broadcast((terms, np.array(queries), seen, product, change, n_terms, norm))  # about QUERY_BYTES
+    shared = papers.sparkSession.sparkContext.broadcast((term_ids, starts, ends, queries, col, product, change, n_terms, norm))  # about QUERY_BYTES
 
-    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        terms, queries, seen, product, change, n_terms, norm = shared.value
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        term_ids, starts, ends, queries, col, product, change, n_terms, norm = shared.value
+        step = max(1, SCORED_CELLS // len(queries))
         for batch in batches:
-            for low in range(0, len(batch), PAPER_ROWS):
-                part = batch.iloc[low:low + PAPER_ROWS]
-                counts = np.zeros((len(part), len(terms)))
-                for i, hits in enumerate(part["hits"]):
-                    for h in hits:
-                        if (t := terms.get(h["term"])) is not None:
-                            counts[i, t] = h["n"]
-                common = (counts > 0).astype(float) @ seen
-                size = np.sqrt(np.maximum(part["base_sq"].to_numpy()[:, None] + counts**2 @ change, 0.0)) * norm
-                tfidf = np.divide(counts @ product, size, out=np.zeros_like(size), where=size > 0)
+            if not batch.num_rows:
+                continue
+            hits = batch.column("hits")
+            offsets = hits.offsets.to_numpy().astype(np.int64)
+            inside = slice(offsets[0], offsets[-1])
+            found, count = (hits.values.field(f).to_numpy()[inside] for f in ("term_id", "n"))
+            rows = np.repeat(np.arange(batch.num_rows), np.diff(offsets))
+            at = np.minimum(np.searchsorted(term_ids, found), len(term_ids) - 1)
+            mine = term_ids[at] == found
+            rows, at, count = rows[mine], at[mine], count[mine].astype(float)
+            ids, base = batch.column("paper_id").to_numpy(), batch.column("base_sq").to_numpy()
+            made = pc.fill_null(batch.column("year").cast(pa.float64()), 0.0).to_numpy()
+            year = np.where(made > 0, 1.0 / (1.0 + 0.1 * np.abs(as_of_year - made)), 0.0)
+            for low in range(0, batch.num_rows, step):
+                high = min(low + step, batch.num_rows)
+                some = slice(*np.searchsorted(rows, [low, high]))
+                size = ends[at[some]] - starts[at[some]]
+                each = np.arange(size.sum()) + np.repeat(starts[at[some]] - np.cumsum(size) + size, size)
+                cell = np.repeat(rows[some] - low, size) * len(queries) + col[each]
+                n = np.repeat(count[some], size)
+                shape = (high - low, len(queries))
+                common, dot, moved = (np.bincount(cell, w, minlength=shape[0] * shape[1]).reshape(shape) for w in (None, n * product[each], n * n * change[each]))
+                length = np.sqrt(np.maximum(base[low:high, None] + moved, 0.0)) * norm
+                tfidf = np.divide(dot, length, out=np.zeros(shape), where=length > 0)
                 keyword = common / n_terms
-                made = part["year"].to_numpy(dtype=float)
-                year = np.where(made > 0, 1.0 / (1.0 + 0.1 * np.abs(as_of_year - made)), 0.0)
-                total = np.where(common > 0, np.floor((keyword * 0.4 + tfidf * 0.4 + year[:, None] * 0.2) * 1e6 + 0.5), -1.0)
-                ids = part["paper_id"].to_numpy()
-                order = np.lexsort((np.broadcast_to(ids[:, None], total.shape), -total), axis=0)[:k]
-                at = np.broadcast_to(np.arange(len(queries)), order.shape)
-                keep = total[order, at] > 0
-                order, at = order[keep], at[keep]
-                yield pd.DataFrame({"query_id": queries[at], "paper_id": ids[order], "keyword": keyword[order, at], "tfidf": tfidf[order, at]})
+                total = np.where(common > 0, np.floor((keyword * 0.4 + tfidf * 0.4 + year[low:high, None] * 0.2) * 1e6 + 0.5), -1.0)
+                order = np.lexsort((np.broadcast_to(ids[low:high, None], shape), -total), axis=0)[:k]
+                where = np.broadcast_to(np.arange(len(queries)), order.shape)
+                keep = total[order, where] > 0
+                order, where = order[keep], where[keep]
+                yield pa.RecordBatch.from_arrays([pa.array(queries[where]), pa.array(ids[low + order]), pa.array(keyword[order, where]), pa.array(tfidf[order, where])],
+                                                 names=["query_id", "paper_id", "keyword", "tfidf"])
 
-    return papers.mapInPandas(score, _HITS)
+    return papers.mapInArrow(score, _HITS)
 
 
 def search_similar(papers: DataFrame, queries: DataFrame, k: int, as_of_year: int) -> DataFrame:
@@ -122,14 +139,14 @@ def search_similar(papers: DataFrame, queries: DataFrame, k: int, as_of_year: in
     corpus = cut_lineage(counts.groupBy("term").agg(F.count("*").alias("df")).select("term", "df", log_idf(F.col("df")).alias("idf")))
     qc = search_terms(queries, "query_id", F.col("query"))
     # idf of a query term counts the query itself; unseen terms have df 0.
-    weighted = cut_lineage(qc.join(corpus, "term", "left").select(
-        "query_id", "term", F.col("n").alias("qn"), F.col("idf").alias("idf_out"), log_idf(F.coalesce("df", F.lit(0)) + 1).alias("idf_in")))
+    numbered = cut_lineage(qc.select("term").distinct().withColumn("term_id", F.monotonically_increasing_id()))
+    weighted = cut_lineage(qc.join(numbered, "term").join(corpus, "term", "left").select(
+        "query_id", "term_id", F.col("n").alias("qn"), F.col("idf").alias("idf_out"), log_idf(F.coalesce("df", F.lit(0)) + 1).alias("idf_in")))
     norms = counts.join(corpus.select("term", "idf"), "term").groupBy("paper_id").agg(F.sum(F.pow(F.col("n") * F.col("idf"), 2)).alias("base_sq"))
-    asked = counts.join(weighted.select("term").distinct(), "term", "left_semi")
-    hits = asked.groupBy("paper_id").agg(F.collect_list(F.struct("term", "n")).alias("hits"))  # at most the terms of one paper
+    asked = counts.join(numbered, "term")
+    hits = asked.groupBy("paper_id").agg(F.collect_list(F.struct("term_id", "n")).alias("hits"))  # at most the terms of one paper
     held = cut_lineage(papers.select("paper_id", "year").join(norms, "paper_id").join(hits, "paper_id"))
-    n_queries, n_terms = weighted.agg(F.count_distinct("query_id"), F.count_distinct("term")).first()
-    blocks = max(1, -(-n_queries * n_terms * 24 // QUERY_BYTES))
+    blocks = max(1, -(-weighted.count() * 40 // QUERY_BYTES))
     parts = []
     for block in range(blocks):
         q = weighted.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block).toPandas()
