@@ -6,7 +6,7 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from citeloom.functions import scoring as S, text as X
 from citeloom.session import cut_lineage
@@ -241,67 +241,109 @@ def exact_copies(vectors: DataFrame, key: str = "vec_id", vector: str = "embeddi
     return first.select(F.col("rep").alias(key), vector), copies
 
 
-def neighbours(
-    vectors: DataFrame, k: int, threshold: float, key: str = "vec_id", vector: str = "embedding", pivots: int = 32, block_rows: int = BLOCK_ROWS
-) -> DataFrame:
-    """Exact (id, other, similarity): up to ``k`` nearest others of each vector with cosine >= threshold.
+def _nearest(m: np.ndarray, centre: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The nearest centre of each vector and its distance."""
+    chord = np.sqrt(np.maximum(0.0, (m * m).sum(1)[:, None] + (centre * centre).sum(1)[None, :] - 2.0 * (m @ centre.T)))
+    near = chord.argmin(1)
+    return near, chord[np.arange(len(m)), near]
+
 
-    Vectors go to the cell of their nearest pivot. Two cells can only hold a close
-    pair when their centres are no farther apart than both radii plus the chord of
-    the threshold, so other cell pairs are never built. Cells are cut into blocks
-    of bounded size whose pairs are compared with one matrix product per task; a
-    block pair returns at most k rows per vector.
+def ball_tree(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding") -> tuple[DataFrame, pd.DataFrame]:
+    """(key, vector, leaf, dist) of every vector, normalised, and the leaves (leaf, centre, n, radius).
+
+    Two levels of balls: N^1/4 pivots, and as many again inside each of their cells, so a vector is compared with
+    2 N^1/4 pivots and the leaves grow with the square root of N. That many centres reach the driver and the tasks.
     """
     spark = vectors.sparkSession
-    first = vectors.select(key, vector).orderBy(F.xxhash64(key)).limit(pivots).toPandas()
-    schema = f"{key} bigint, {vector} array<double>, cell int, dist double"
+    width = max(2, int(np.ceil(vectors.count() ** 0.25)))
+    rows = f"{key} bigint, {vector} array<double>"
+    first = vectors.select(key, vector).orderBy(F.xxhash64(key)).limit(width).toPandas()
     if first.empty:
-        return spark.createDataFrame([], f"id bigint, other bigint, similarity double")
-    centre = _matrix(first[vector])
-    shared = spark.sparkContext.broadcast(centre)
+        return spark.createDataFrame([], f"{rows}, leaf bigint, dist double"), pd.DataFrame({"leaf": [], "centre": [], "n": [], "radius": []})
+    top = spark.sparkContext.broadcast(_matrix(first[vector]))
 
-    def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        c = shared.value
+    def into_cells(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             m = _matrix(batch[vector])
-            chord = np.sqrt(np.maximum(0.0, (m * m).sum(1)[:, None] + (c * c).sum(1)[None, :] - 2.0 * (m @ c.T)))
-            cell = chord.argmin(1)
-            yield pd.DataFrame({key: batch[key], vector: list(m), "cell": cell.astype("int32"), "dist": chord[np.arange(len(m)), cell]})
-
-    placed = vectors.select(key, vector).mapInPandas(assign, schema)
-    stats = placed.groupBy("cell").agg(F.count("*").alias("n"), F.max("dist").alias("radius")).toPandas()
-    radius = dict(zip(stats["cell"], stats["radius"]))
-    blocks = {int(c): int(-(-n // block_rows)) for c, n in zip(stats["cell"], stats["n"])}
+            yield pd.DataFrame({key: batch[key], vector: list(m), "cell": _nearest(m, top.value)[0].astype("int64")})
+
+    cells = cut_lineage(vectors.select(key, vector).mapInPandas(into_cells, f"{rows}, cell bigint"))
+    ranked = cells.withColumn("_r", F.row_number().over(Window.partitionBy("cell").orderBy(F.xxhash64(key)))).filter(F.col("_r") <= width)
+    inner = ranked.toPandas()  # at most width squared
+    pivots = {int(c): np.array(part[vector].tolist()) for c, part in inner.groupby("cell")}
+    shared = spark.sparkContext.broadcast(pivots)
+
+    def into_leaves(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for cell, part in batch.groupby("cell"):
+                near, dist = _nearest(np.array(part[vector].tolist()), shared.value[int(cell)])
+                yield pd.DataFrame({key: part[key].to_numpy(), vector: part[vector].to_numpy(), "leaf": int(cell) * width + near, "dist": dist})
+
+    placed = cut_lineage(cells.mapInPandas(into_leaves, f"{rows}, leaf bigint, dist double"))
+    leaves = placed.groupBy("leaf").agg(F.count("*").alias("n"), F.max("dist").alias("radius")).toPandas().sort_values("leaf")
+    leaves["centre"] = [pivots[leaf // width][leaf % width] for leaf in leaves["leaf"]]
+    return placed, leaves
+
+
+def leaf_pairs(leaves: pd.DataFrame, threshold: float, spark) -> DataFrame:
+    """(a, b, n_a, n_b), a <= b: the leaves that can hold a pair of that cosine, by the triangle inequality.
+
+    Two balls whose centres are farther apart than both radii plus the chord of the threshold hold none.
+    """
+    leaf, n, radius, centre = leaves["leaf"].to_numpy(), leaves["n"].to_numpy(), leaves["radius"].to_numpy(), np.array(leaves["centre"].tolist())
     limit = float(np.sqrt(max(0.0, 2.0 - 2.0 * threshold))) + 1e-9
-    gap = np.sqrt(np.maximum(0.0, 2.0 - 2.0 * (centre @ centre.T)))
-    cells = sorted(blocks)
-    near = [(a, b, blocks[b]) for a in cells for b in cells if gap[a, b] <= radius[a] + radius[b] + limit]
-    # One row per cell pair: at most pivots squared.
-    table = spark.createDataFrame(near, "cell int, other_cell int, other_blocks int")
-    count = F.create_map(*[F.lit(x) for c in cells for x in (c, blocks[c])])
-    rows = placed.withColumn("block", F.pmod(F.xxhash64(key), count[F.col("cell")].cast("bigint")).cast("int")).drop("dist")
-    left = rows.join(F.broadcast(table), "cell").select(
-        key, vector, "cell", "block", "other_cell", F.explode(F.sequence(F.lit(0), F.col("other_blocks") - 1)).alias("other_block"))
-    back = table.select(F.col("cell").alias("from_cell"), F.col("other_cell").alias("cell"))
-    sized = back.withColumn("from_blocks", count[F.col("from_cell")])
-    right = rows.join(F.broadcast(sized), "cell").select(
-        F.col(key).alias("r_key"), F.col(vector).alias("r_vec"), F.col("from_cell").alias("a_cell"), F.explode(F.sequence(F.lit(0), F.col("from_blocks") - 1)).alias("a_block"),
-        F.col("cell").alias("b_cell"), F.col("block").alias("b_block"))
-    left = left.select(key, vector, F.col("cell").alias("a_cell"), F.col("block").alias("a_block"), F.col("other_cell").alias("b_cell"), F.col("other_block").alias("b_block"))
-    group = ["a_cell", "a_block", "b_cell", "b_block"]
+    shared = spark.sparkContext.broadcast((leaf, n, radius, centre))
+
+    def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        leaf, n, radius, centre = shared.value
+        for batch in batches:
+            for i in batch["id"]:
+                square = (centre * centre).sum(1) + (centre[i] * centre[i]).sum() - 2.0 * (centre @ centre[i])
+                gap = np.sqrt(np.maximum(0.0, square)) - 1e-7
+                other = np.flatnonzero((gap <= radius + radius[i] + limit) & (np.arange(len(leaf)) >= i))
+                yield pd.DataFrame({"a": leaf[i], "b": leaf[other], "n_a": n[i], "n_b": n[other]})
+
+    return spark.range(len(leaves)).mapInPandas(find, "a bigint, b bigint, n_a bigint, n_b bigint")
+
+
+def neighbours(
+    vectors: DataFrame, k: int, threshold: float, key: str = "vec_id", vector: str = "embedding", block_rows: int = BLOCK_ROWS
+) -> DataFrame:
+    """Exact (id, other, similarity): up to ``k`` nearest others of each vector with cosine >= threshold.
+
+    Vectors lie in the leaves of a ball tree. Only leaves that can hold a close pair meet, each two of them once, in blocks of
+    bounded size that are compared with one matrix product per task and give at most k rows per vector.
+    """
+    placed, leaves = ball_tree(vectors, key, vector)
+    spark, schema = vectors.sparkSession, "id bigint, other bigint, similarity double"
+    if not len(leaves):
+        return spark.createDataFrame([], schema)
+    met = cut_lineage(leaf_pairs(leaves, threshold, spark))
+    last = lambda n: F.floor((F.col(n) - 1) / block_rows)
+    pairs = met.select("a", "b", F.explode(F.sequence(F.lit(0).cast("bigint"), last("n_a"))).alias("i"), "n_b")
+    pairs = cut_lineage(pairs.select("a", "b", "i", F.explode(F.sequence(F.lit(0).cast("bigint"), last("n_b"))).alias("j")).filter("a < b OR i <= j"))
+    sized = spark.createDataFrame(leaves[["leaf", "n"]])
+    rows = placed.drop("dist").join(sized, "leaf").withColumn("block", F.pmod(F.xxhash64(key), last("n") + 1)).drop("n")
+    group = ["a", "i", "b", "j"]
+    left = rows.withColumnsRenamed({"leaf": "a", "block": "i"}).join(pairs, ["a", "i"])
+    right = rows.withColumnsRenamed({"leaf": "b", "block": "j", key: "r_key", vector: "r_vec"}).join(pairs, ["b", "j"])
+
+    def best(ids: np.ndarray, others: np.ndarray, sims: np.ndarray) -> pd.DataFrame:
+        order = np.lexsort((np.broadcast_to(others, sims.shape), -sims), axis=1)[:, :k]
+        out = pd.DataFrame({"id": np.repeat(ids, order.shape[1]), "other": others[order].ravel(), "similarity": np.take_along_axis(sims, order, axis=1).ravel()})
+        return out[out["similarity"] >= threshold]
 
     def compare(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if a.empty or b.empty:
             return pd.DataFrame({"id": [], "other": [], "similarity": []})
         ka, kb = a[key].to_numpy(), b["r_key"].to_numpy()
         sims = np.array(a[vector].tolist()) @ np.array(b["r_vec"].tolist()).T
-        sims[ka[:, None] == kb[None, :]] = -np.inf
-        order = np.lexsort((np.broadcast_to(kb, sims.shape), -sims), axis=1)[:, :k]
-        best = np.take_along_axis(sims, order, axis=1)
-        out = pd.DataFrame({"id": np.repeat(ka, order.shape[1]), "other": kb[order].ravel(), "similarity": best.ravel()})
-        return out[out["similarity"] >= threshold]
+        if (a["a"].iat[0], a["i"].iat[0]) == (a["b"].iat[0], a["j"].iat[0]):
+            sims[ka[:, None] == kb[None, :]] = -np.inf
+            return best(ka, kb, sims)
+        return pd.concat([best(ka, kb, sims), best(kb, ka, sims.T)])
 
-    hits = left.groupBy(*group).cogroup(right.groupBy(*group)).applyInPandas(compare, "id bigint, other bigint, similarity double")
+    hits = left.groupBy(*group).cogroup(right.groupBy(*group)).applyInPandas(compare, schema)
     return top_per_group(hits, ["id"], [F.desc("similarity"), F.asc("other")], k)
 
 

@@ -137,7 +137,7 @@ def test_neighbours_across_blocks_with_copies(spark):
     for i in range(41):
         order = [j for j in np.argsort(-sims[i], kind="stable") if j != i and sims[i, j] >= 0.9][:5]
         want |= {(i, int(j)) for j in order}
-    got = {(r["id"], r["other"]) for r in V.neighbours(distinct, 5, 0.9, pivots=3, block_rows=4).collect()}
+    got = {(r["id"], r["other"]) for r in V.neighbours(distinct, 5, 0.9, block_rows=4).collect()}
     assert got == want
     assert V.near_duplicates(df, 0.9).filter("a = 40").count() >= 7
 
@@ -285,3 +285,21 @@ def test_closure_by_layers(spark):
     e = spark.createDataFrame(edges, "src long, dst long")
     assert {(r["seed"], r["id"], r["depth"]) for r in G.closure(e).collect()} == {(k, i, d) for k, v in want.items() for i, d in v.items()}
     assert G.reach_counts(spark.createDataFrame([], "src long, dst long")).count() == 0
+
+
+def test_ball_tree_on_clusters(spark):
+    """On clustered vectors most leaves never meet, and what is found equals all pairs."""
+    rng = np.random.default_rng(3)
+    centres = rng.normal(size=(12, 16))
+    m = np.concatenate([c + 0.05 * rng.normal(size=(25, 16)) for c in centres])
+    m /= np.linalg.norm(m, axis=1, keepdims=True)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(m)], "vec_id long, embedding array<double>")
+    placed, leaves = V.ball_tree(df)
+    assert placed.count() == len(m) == leaves["n"].sum()
+    compared = V.leaf_pairs(leaves, 0.9, spark).selectExpr("sum(CASE WHEN a = b THEN n_a * (n_a - 1) / 2 ELSE n_a * n_b END)").first()[0]
+    assert compared < len(m) ** 2 / 4
+    sims = m @ m.T
+    np.fill_diagonal(sims, -1)
+    want = {(i, j) for i in range(len(m)) for j in np.lexsort((np.arange(len(m)), -sims[i]))[:5].tolist() if sims[i, j] >= 0.9}
+    assert {(r["id"], r["other"]) for r in V.neighbours(df, 5, 0.9, block_rows=7).collect()} == want and len(want) > 500
+    assert V.neighbours(df.filter("false"), 5, 0.9).count() == 0
