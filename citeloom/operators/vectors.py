@@ -118,9 +118,10 @@ def _default_encoder() -> Callable[[list[str]], np.ndarray]:
 
     def encode(texts: list[str], dim: int = 768) -> np.ndarray:
         out = np.zeros((len(texts), dim))
-        for row, text in enumerate(texts):
-            for token in word.findall((text or "").lower()):
-                out[row, int.from_bytes(hashlib.sha256(token.encode()).digest()[:4], "big") % dim] += 1.0
+        words = [word.findall((text or "").lower()) for text in texts]
+        place = {w: int.from_bytes(hashlib.sha256(w.encode()).digest()[:4], "big") % dim for w in set().union(*words)}  # each word of the batch once
+        rows = np.repeat(np.arange(len(texts)), [len(w) for w in words])
+        np.add.at(out, (rows, np.fromiter((place[w] for row in words for w in row), np.int64, len(rows))), 1.0)
         norms = np.linalg.norm(out, axis=1, keepdims=True)
         return np.divide(out, norms, out=out, where=norms > NORM_FLOOR)
 

@@ -24,10 +24,12 @@ def usage_analytics(t):
     return A.usage_analytics(t("usage"))
 
 
+# The fold itself: a row without latency counts and leaves the mean as it is.
 @query("running_mean_latency", """
-WITH r AS (SELECT CAST(ts AS DATE) AS day, latency_ms AS lat, row_number() OVER (PARTITION BY CAST(ts AS DATE) ORDER BY ts, event_id) AS n FROM usage),
-g AS (SELECT *, SUM(CASE WHEN lat = 0 AND n > 1 THEN ln(n / (n - 1)) ELSE 0 END) OVER (PARTITION BY day ORDER BY n DESC) - CASE WHEN lat = 0 AND n > 1 THEN ln(n / (n - 1)) ELSE 0 END AS after FROM r)
-SELECT day, COUNT(*) AS requests, round(SUM(lat * exp(after)) / COUNT(*), 6) AS avg_latency_ms FROM g GROUP BY day""")
+WITH RECURSIVE r AS (SELECT CAST(ts AS DATE) AS day, coalesce(latency_ms, 0) AS lat, row_number() OVER (PARTITION BY CAST(ts AS DATE) ORDER BY ts, event_id) AS n FROM usage),
+f AS (SELECT day, n, lat::DOUBLE AS mean FROM r WHERE n = 1
+  UNION ALL SELECT r.day, r.n, CASE WHEN lat = 0 THEN mean ELSE (mean * (r.n - 1) + lat) / r.n END FROM f JOIN r ON r.day = f.day AND r.n = f.n + 1)
+SELECT day, MAX(n) AS requests, round(arg_max(mean, n), 6) AS avg_latency_ms FROM f GROUP BY day""")
 def running_mean_latency(t):
     return A.running_mean_latency(t("usage"))
 

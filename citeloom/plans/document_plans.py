@@ -157,15 +157,17 @@ def rename_sweep(t):
 
 # Diffs ------------------------------------------------------------------------
 
-# A diff text that takes out all lines of one version and puts in those of the other.
+# The diff of two versions line by line: lines that are equal at the same place are in neither side.
 @query("count_diff_changes", """
-WITH l AS (SELECT pair_id, string_split(original, chr(10)) AS o, string_split(modified, chr(10)) AS m FROM versions)
-SELECT pair_id, CAST(len([x for x in o if x NOT LIKE '--%']) AS INT) AS deletions, CAST(len([x for x in m if x NOT LIKE '++%']) AS INT) AS additions FROM l""")
+WITH l AS (SELECT pair_id, string_split(original, chr(10)) AS o, string_split(modified, chr(10)) AS m FROM versions),
+d AS (SELECT pair_id, [x for x in list_zip(o, m) if x[1] IS DISTINCT FROM x[2]] AS c FROM l)
+SELECT pair_id, CAST(len([x for x in c if x[1] IS NOT NULL AND x[1] NOT LIKE '--%']) AS INT) AS deletions, CAST(len([x for x in c if x[2] IS NOT NULL AND x[2] NOT LIKE '++%']) AS INT) AS additions FROM d""")
 def count_diff_changes(t):
-    signed = lambda c, sign: F.array_join(F.transform(F.split(c, "\n"), lambda x: F.concat(F.lit(sign), x)), "\n")
-    diff = F.concat(F.lit("--- original\n+++ modified\n@@ @@\n"), signed("original", "-"), F.lit("\n"), signed("modified", "+"))
-    d = E.diff_changes(diff)
-    return t("versions").select("pair_id", d.alias("d")).select("pair_id", "d.deletions", "d.additions")
+    pairs = F.arrays_zip(F.split("original", "\n").alias("o"), F.split("modified", "\n").alias("m"))
+    v = t("versions").select("pair_id", F.filter(pairs, lambda p: ~p["o"].eqNullSafe(p["m"])).alias("c"))
+    side = lambda name, sign: F.transform(F.filter("c", lambda p: p[name].isNotNull()), lambda p: F.concat(F.lit(sign), p[name]))
+    diff = F.array_join(F.concat(F.array(F.lit("--- original"), F.lit("+++ modified"), F.lit("@@ @@")), side("o", "-"), side("m", "+")), "\n")
+    return v.select("pair_id", E.diff_changes(diff).alias("d")).select("pair_id", "d.deletions", "d.additions")
 
 
 # Extensions -------------------------------------------------------------------

@@ -158,17 +158,45 @@ def experiment_tables(t):
     return left.groupBy(F.col("experiment").cast("bigint").alias("experiment")).agg(F.count_distinct("run_id").alias("runs"), F.count("*").alias("entries"))
 
 
-@query("integration_tables", "SELECT CASE o_orderstatus WHEN 'F' THEN 'completed' WHEN 'O' THEN 'pending' ELSE 'other' END AS status, COUNT(*) AS n, CAST(SUM(CASE WHEN o_orderstatus = 'P' THEN 1 ELSE 0 END) AS BIGINT) AS invalid FROM orders GROUP BY 1")
+@query("integration_tables", """
+SELECT 'integrations' AS name, 'rows' AS rule, COUNT(*) AS n FROM orders
+UNION ALL SELECT 'integrations', 'status is no literal', COUNT(*) FILTER (o_orderstatus = 'P') FROM orders HAVING COUNT(*) FILTER (o_orderstatus = 'P') > 0
+UNION ALL SELECT 'validation_runs', 'rows', COUNT(*) FROM lineitem
+UNION ALL SELECT 'validation_runs', 'passed is null', COUNT(*) FROM lineitem WHERE l_returnflag = 'N' HAVING COUNT(*) > 0
+UNION ALL SELECT 'approvals', 'rows', COUNT(*) FROM lineitem
+UNION ALL SELECT 'approvals', 'action is no literal', COUNT(*) FROM lineitem WHERE l_returnflag = 'N' HAVING COUNT(*) > 0
+UNION ALL SELECT 'integration_logs', 'rows', COUNT(*) FROM events
+UNION ALL SELECT 'paper_library', 'rows', COUNT(*) FROM documents
+UNION ALL SELECT 'paper_library', 'paper_title is null', COUNT(*) FROM documents WHERE split_part(text, chr(10), 1) = '' OR text IS NULL HAVING COUNT(*) > 0
+UNION ALL SELECT 'session_history', 'rows', COUNT(*) FROM conversations
+UNION ALL SELECT 'session_history', 'duration is null', COUNT(*) FROM conversations WHERE turn = 0 HAVING COUNT(*) > 0""")
 def integration_tables(t):
-    path = scratch_dir(t.spark)
-    s = F.col("o_orderstatus")
-    rows = t("orders").select(
-        F.col("o_orderkey").cast("string").alias("integration_id"), F.lit("").alias("repo_url"), F.when(s == "F", "completed").when(s == "O", "pending").otherwise("other").alias("status"),
-        F.lit("").alias("paper"), F.col("o_orderdate").alias("created_at"), F.col("o_orderdate").alias("updated_at"))
-    sinks.write_table(tables.empty_table(t.spark, "integrations").unionByName(rows), path, ["status"], ["created_at"])
-    back = t.spark.read.parquet(path)
-    bad = tables.invalid_status(back, "integrations").groupBy("status").agg(F.count("*").alias("invalid"))
-    return back.groupBy("status").agg(F.count("*").alias("n")).join(bad, "status", "left").fillna(0, ["invalid"])
+    c, text = F.col, lambda name: F.col(name).cast("string")
+    flag = c("l_returnflag")
+    start = F.lit(AS_OF).cast("timestamp_ntz")
+    rows = {
+        "integrations": t("orders").select(
+            text("o_orderkey").alias("integration_id"), F.lit("").alias("repo_url"), F.when(c("o_orderstatus") == "F", "completed").when(c("o_orderstatus") == "O", "pending").otherwise("other").alias("status"),
+            F.when(c("o_custkey") % 2 == 0, "autonomous").otherwise("step_approval").alias("mode"), (c("o_custkey") % 6).alias("current_phase"), c("o_orderdate").alias("created_at"),
+            c("o_orderdate").alias("updated_at"), F.lit(0).alias("retry_count")),
+        "validation_runs": t("lineitem").select(
+            text("l_orderkey").alias("integration_id"), F.create_map(F.lit("loss"), c("l_tax")).alias("new_metrics"), F.when(flag == "A", True).when(flag == "R", False).alias("passed"), F.lit("").alias("logs"), c("l_shipdate").alias("created_at")),
+        "approvals": t("lineitem").select(
+            text("l_orderkey").alias("integration_id"), c("l_linenumber").alias("phase"), F.when(flag == "A", "approved").when(flag == "R", "rejected").otherwise("open").alias("action"), c("l_shipdate").alias("created_at")),
+        "integration_logs": t("events").select(text("user_id").alias("integration_id"), c("event_type").alias("message"), "ts"),
+        "paper_library": t("documents").select(
+            text("doc_id").alias("paper_id"), F.nullif(F.split_part("text", F.lit("\n"), F.lit(1)), F.lit("")).alias("paper_title"), start.alias("analysis_date"), F.lit(0).alias("integration_count"), start.alias("last_used")),
+        "session_history": t("conversations").select(
+            text("conv_id").alias("integration_id"), c("role").alias("action"), F.lit("done").alias("status"), F.lit("").alias("repo_path"), F.nullif(c("turn"), F.lit(0)).alias("duration"), start.alias("created_at")),
+    }
+    out = None
+    for name, part in rows.items():
+        path = scratch_dir(t.spark)
+        sinks.write_table(tables.conform(part, name), path, *tables.LAYOUT[name])
+        back = t.spark.read.parquet(path)
+        found = tables.contract_violations(back, name).select(F.lit(name).alias("name"), "rule", "n")
+        out = found if out is None else out.unionByName(found)
+    return out
 
 
 @query("report_sinks", "SELECT '| ' || l_returnflag || ' | ' || COUNT(*) || ' |' AS value FROM lineitem GROUP BY l_returnflag")

@@ -31,11 +31,11 @@ _RATE = 1 / 21600
 
 @query("token_bucket_replay", f"""
 WITH RECURSIVE {_ORDERED},
-f AS (SELECT key_id, event_id, n, us, 3e0 - 1 AS tokens, true AS allowed FROM o WHERE n = 1
-  UNION ALL SELECT key_id, event_id, n, us, CASE WHEN k >= 1 THEN k - 1 ELSE k END, k >= 1 FROM (SELECT o.key_id, o.event_id, o.n, o.us, least(3e0, f.tokens + (o.us - f.us) / 1e6 * {_RATE!r}) AS k FROM f JOIN o ON o.key_id = f.key_id AND o.n = f.n + 1))
-SELECT key_id, event_id, allowed FROM f""")
+f AS (SELECT key_id, event_id, n, us, 3e0 - 1 AS tokens, true AS allowed, 0e0 AS wait FROM o WHERE n = 1
+  UNION ALL SELECT key_id, event_id, n, us, CASE WHEN k >= 1 THEN k - 1 ELSE k END, k >= 1, CASE WHEN k >= 1 THEN 0 ELSE (1 - k) / {_RATE!r} END FROM (SELECT o.key_id, o.event_id, o.n, o.us, least(3e0, f.tokens + (o.us - f.us) / 1e6 * {_RATE!r}) AS k FROM f JOIN o ON o.key_id = f.key_id AND o.n = f.n + 1))
+SELECT key_id, event_id, allowed, round(wait, 3) AS retry_after FROM f""")
 def token_bucket_replay(t):
-    return P.replay(t("usage"), steps.token_bucket(_RATE, 3), "allowed boolean, retry_after double").select("key_id", "event_id", "allowed")
+    return P.replay(t("usage"), steps.token_bucket(_RATE, 3), "allowed boolean, retry_after double").withColumn("retry_after", S.rounded(F.col("retry_after"), 3))
 
 
 _BREAKER = f"""{_ORDERED.replace('status,', "status <> 'error' AS ok,")},

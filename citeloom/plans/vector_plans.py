@@ -131,9 +131,9 @@ def tfidf_embed_code(t):
 
 
 @query("model_embed", """
-WITH tk AS (SELECT conv_id, turn, unnest(regexp_extract_all(lower(text), '[a-z0-9_]+')) AS term FROM conversations), h AS (SELECT conv_id, turn, CAST('0x' || substring(sha256(term), 1, 8) AS BIGINT) % 768 AS idx FROM tk),
-n AS (SELECT conv_id, turn, COUNT(DISTINCT idx) AS filled FROM h GROUP BY 1, 2)
-SELECT conv_id, turn, 768 AS dim, coalesce(filled, 0) AS filled FROM conversations LEFT JOIN n USING (conv_id, turn)""")
+WITH tk AS (SELECT conv_id, turn, unnest(regexp_extract_all(lower(text), '[a-z0-9_]+')) AS term FROM conversations),
+h AS (SELECT conv_id, turn, CAST(CAST('0x' || substring(sha256(term), 1, 8) AS BIGINT) % 768 AS INT) AS idx, COUNT(*) AS n FROM tk GROUP BY 1, 2, 3)
+SELECT conv_id, turn, idx, round(n / sqrt(SUM(n * n) OVER (PARTITION BY conv_id, turn)), 6) AS value FROM h""")
 def model_embed(t):
-    e = t("conversations").select("conv_id", "turn", V.model_embed(F.col("text")).alias("e"))
-    return e.select("conv_id", "turn", F.size("e").alias("dim"), F.size(F.filter("e", lambda x: x != 0)).cast("bigint").alias("filled"))
+    e = t("conversations").select("conv_id", "turn", F.posexplode(V.model_embed(F.col("text"))).alias("idx", "value"))
+    return e.filter("value <> 0").withColumn("value", S.rounded(F.col("value"), 6))
