@@ -468,3 +468,12 @@ EQUATION_DELIMITERS = [
 MATH_SYMBOLS = r"[=_^{}\[\]\\/*+\-<>|≈∑∏]"
 PYTHON_HINTS = ["for ", "while ", "if ", "return", "def ", "range("]
 C_HINTS = ["{", "}", "->", "++", "--", "printf"]
+
+# Where a failure log names a module.
+FAILURE_PATTERNS = [
+    r"(?:FAILED|ERROR)\s+(tests/[a-zA-Z0-9_./-]+)\.py",
+    r"(tests/[a-zA-Z0-9_./-]+)\.py::",
+    r"(src/[a-zA-Z0-9_./-]+)\.py",
+    r"(?:FAILED|ERROR)\s+tests/test_([a-zA-Z0-9_]+)\.py",
+    r"tests/test_([a-zA-Z0-9_]+)\.py::",
+]

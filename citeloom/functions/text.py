@@ -318,6 +318,7 @@ def quality_rating(text: Column, score: Column) -> Column:
 
 
 def lesson_flags(text: Column) -> Column:
+    # The messages are fixed values.
     lowered = F.lower(text)
     return F.array_compact(F.array(
         F.when(F.length(text) < 50, "Output was too brief - may need more detail"),
@@ -360,6 +361,7 @@ def parse_semver(version: Column) -> Column:
 
 def semver_report(version: Column, payload_type: Column, expected: Sequence[str], supported: str = "1.0.0") -> Column:
     """Compatibility issues, warnings and notes of a payload version."""
+    # The messages are fixed values.
     p = parse_semver(version)
     s_major, s_minor, s_patch = (int(x) for x in supported.split("."))
     same_major = p[0] == s_major

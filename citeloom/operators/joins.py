@@ -390,15 +390,6 @@ def due_for_rotation(policies: DataFrame, rotations: DataFrame, as_of: str) -> D
     return by_age.unionByName(by_expiry)
 
 
-FAILURE_PATTERNS = [
-    r"(?:FAILED|ERROR)\s+(tests/[a-zA-Z0-9_./-]+)\.py",
-    r"(tests/[a-zA-Z0-9_./-]+)\.py::",
-    r"(src/[a-zA-Z0-9_./-]+)\.py",
-    r"(?:FAILED|ERROR)\s+tests/test_([a-zA-Z0-9_]+)\.py",
-    r"tests/test_([a-zA-Z0-9_]+)\.py::",
-]
-
-
 def failing_modules(logs: DataFrame, modules: DataFrame) -> DataFrame:
     """Modules named by a failure log: ``logs(run_id, text)``, ``modules(module_id, file_path, test_path)``.
 
@@ -406,7 +397,7 @@ def failing_modules(logs: DataFrame, modules: DataFrame) -> DataFrame:
     stem, file path and every path suffix a longer candidate may end with); a
     candidate takes the module of its best key.
     """
-    found = F.flatten(F.array(*[F.regexp_extract_all("text", F.lit(p), F.lit(1)) for p in FAILURE_PATTERNS]))
+    found = F.flatten(F.array(*[F.regexp_extract_all("text", F.lit(p), F.lit(1)) for p in K.FAILURE_PATTERNS]))
     cand = logs.select("run_id", F.explode(F.array_distinct(found)).alias("candidate")).filter("candidate <> ''").distinct()
     stem = lambda c: F.element_at(F.split(c, "/"), -1)
     bare = lambda c: F.regexp_replace(c, r"\.py$", "")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from citeloom.functions import constants as K, scoring as S, text as X
-from citeloom.operators import ordered as O, ranking as N, rules as R, search as Q, sets as D
+from citeloom.operators import ordered as O, ranking as N, rules as R, search as Q, sets as D, vectors as V
 from citeloom.session import cut_lineage
 
 from .registry import query
@@ -212,13 +212,23 @@ def related_by_keywords(t):
     return Q.related_by_keywords(p.join(read, "paper_id", "left_semi"), p.join(read, "paper_id", "left_anti"))
 
 
-@query("keyword_search_fallback", """
-SELECT paper_id, 1 AS source_rank, paper_id AS pos FROM papers
-WHERE contains(lower(concat_ws(' ', title, abstract)), 'rethe oning') OR contains(lower(concat_ws(' ', title, abstract)), 'rethe') OR contains(lower(concat_ws(' ', title, abstract)), 'oning') ORDER BY paper_id LIMIT 10""")
+_BY_WORD = "contains(lower(concat_ws(' ', title, abstract)), '{0}')"
+
+
+# Two searches: one with hits by meaning, of which the query words' own are left out, and one without any.
+@query("keyword_search_fallback", f"""
+WITH q AS (SELECT vec_id AS qid, embedding AS qv FROM embeddings ORDER BY vec_id LIMIT 1),
+s AS (SELECT e.vec_id, round(list_cosine_similarity(CAST(q.qv AS DOUBLE[]), CAST(e.embedding AS DOUBLE[])), 6) AS score FROM embeddings e, q),
+r AS (SELECT vec_id, row_number() OVER (ORDER BY score DESC, vec_id) AS rank FROM s WHERE score > 0)
+SELECT * FROM (SELECT 'meaning' AS search, vec_id AS paper_id, 0 AS source_rank, rank AS pos FROM r WHERE rank <= 10)
+UNION ALL SELECT * FROM (SELECT 'words', paper_id, 1, paper_id FROM papers WHERE {_BY_WORD.format("rethe oning")} OR {_BY_WORD.format("rethe")} OR {_BY_WORD.format("oning")} ORDER BY paper_id LIMIT 10)""")
 def keyword_search_fallback(t):
-    p = t("papers")
-    empty = p.select("paper_id", F.lit(1).alias("rank")).filter("paper_id < 0")
-    return Q.keyword_fallback(p, empty, "Rethe oning")
+    p, e = t("papers"), t("embeddings")
+    query = e.orderBy("vec_id").limit(1).select(F.col("vec_id").alias("query_id"), "embedding")
+    found = V.semantic_topk(e, query, 10).select(F.col("vec_id").alias("paper_id"), "rank")
+    searches = {"meaning": found, "words": found.filter("rank < 0")}
+    parts = [Q.keyword_fallback(p, hits, "Rethe oning").select(F.lit(name).alias("search"), "paper_id", "source_rank", "pos") for name, hits in searches.items()]
+    return parts[0].unionByName(parts[1])
 
 
 _REPOS = "SELECT p_partkey, CAST(p_retailprice AS INT) % 1500 AS stars, p_name AS name, p_type AS description, [p_brand, p_name] AS topics, CAST(2015 + p_size % 12 AS VARCHAR) AS updated FROM part"

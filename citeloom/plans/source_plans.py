@@ -42,23 +42,25 @@ _GRAPH_NODES = "SELECT src FROM cites UNION SELECT dst FROM cites"
 
 
 @query("read_graph_json", f"""
-SELECT 'node' AS kind, COUNT(*) AS n, (SELECT COUNT(*) FROM ({_GRAPH_NODES}) WHERE src NOT IN (SELECT src FROM cites)) AS ghosts FROM ({_GRAPH_NODES})
-UNION ALL SELECT 'edge', COUNT(*), 0 FROM cites""")
+SELECT 'node' AS kind, CAST(src AS VARCHAR) AS id, CASE WHEN src IN (SELECT src FROM cites) THEN '2020' ELSE '0' END AS other FROM ({_GRAPH_NODES})
+UNION ALL SELECT 'edge', CAST(src AS VARCHAR), CAST(dst AS VARCHAR) FROM cites""")
 def read_graph_json(t):
     path = scratch_dir(t.spark)
-    node = t("cites").groupBy(F.col("src").cast("string").alias("id")).agg(F.collect_set(F.col("dst").cast("string")).alias("r"))  # at most three each
+    node = t("cites").groupBy(F.col("src").cast("string").alias("id")).agg(F.collect_set(F.col("dst").cast("string")).alias("r"))  # the references of one part
     doc = F.concat(F.lit('{"nodes": {"'), F.col("id"), F.lit('": '), F.to_json(F.struct(F.lit("t").alias("title"), F.lit(2020).alias("year"), F.array().cast("array<string>").alias("citations"), F.col("r").alias("references"))), F.lit("}}"))
     node.select(doc.alias("value")).write.text(path)
     nodes, edges = readers.read_graph_json(t.spark, path, multi_line=False)
-    n = nodes.agg(F.count("*").alias("n"), F.count_if(F.col("year") == 0).alias("ghosts")).select(F.lit("node").alias("kind"), "n", "ghosts")
-    return n.unionByName(edges.agg(F.count("*").alias("n")).select(F.lit("edge").alias("kind"), "n", F.lit(0).alias("ghosts")))
+    n = nodes.select(F.lit("node").alias("kind"), F.col("id").cast("string").alias("id"), F.col("year").cast("string").alias("other"))
+    return n.unionByName(edges.select(F.lit("edge").alias("kind"), F.col("src").cast("string").alias("id"), F.col("dst").cast("string").alias("other")))
 
 
-@query("write_graph_json", "SELECT 'node' AS type, COUNT(*) AS n FROM cite_nodes UNION ALL SELECT 'link', COUNT(*) FROM cites")
+@query("write_graph_json", """
+SELECT 'node' AS type, CAST(id AS VARCHAR) AS a, title AS b FROM cite_nodes UNION ALL SELECT 'link', CAST(src AS VARCHAR), CAST(dst AS VARCHAR) FROM cites""")
 def write_graph_json(t):
     path = scratch_dir(t.spark)
     sinks.write_graph_json(t("cite_nodes"), t("cites"), path)
-    return t.spark.read.schema("type string").json(path).groupBy("type").agg(F.count("*").alias("n"))
+    back = t.spark.read.schema("type string, id string, title string, source string, target string").json(path)
+    return back.select("type", F.coalesce("id", "source").alias("a"), F.coalesce("title", "target").alias("b"))
 
 
 @query("read_paper_documents", """
