@@ -182,7 +182,14 @@ def stateful_rate_limiter(t):
     return _machine(t, steps.admission(1, 1, 2), "allowed boolean, reason string")
 
 
-@query("combined_rate_limiter")
+# The burst bucket refills by a token a minute; a rejected burst leaves the windows alone, a rejected window has spent its token.
+@query("combined_rate_limiter", f"""
+WITH RECURSIVE {_RELEASED},
+f AS (SELECT key_id, event_id, n, us, 2e0 - 1 AS tokens, true AS allowed, '' AS reason, [us] AS seen FROM o WHERE n = 1
+  UNION ALL SELECT key_id, event_id, n, us, CASE WHEN k >= 1 THEN k - 1 ELSE k END, v = '', v, CASE WHEN v = '' THEN list_append(w, us) ELSE w END FROM (
+    SELECT *, CASE WHEN k < 1 THEN 'burst' WHEN len([x for x in w if x > us - 60000000]) >= 1 THEN 'minute' WHEN len([x for x in w if x > us - 3600000000]) >= 1 THEN 'hour' ELSE '' END AS v FROM (
+      SELECT o.key_id, o.event_id, o.n, o.us, least(2e0, f.tokens + (o.us - f.us) / 1e6 * (1e0 / 60)) AS k, [x for x in f.seen if x > o.us - 86400000000] AS w FROM f JOIN o ON o.key_id = f.key_id AND o.n = f.n + 1)))
+SELECT key_id AS user_id, event_id, allowed, reason, false AS late FROM f UNION ALL {_LATE}""")
 def combined_rate_limiter(t):
     return _machine(t, steps.combined_limiter(1, 1, 2), "allowed boolean, reason string")
 
