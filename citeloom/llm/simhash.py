@@ -202,9 +202,10 @@ def _prefix(n, part: float):
 
 
 def prefixes(docs: DataFrame, size: int, similarity: float) -> DataFrame:
-    """shingle, node, place, n, small: the first shingles of each text, rarest first, that a text of ``similarity`` must share one of.
+    """shingle, node, packed: the first shingles of each text, rarest first, that a text of ``similarity`` must share one of.
 
-    ``small`` are the fewer that do for a partner with no fewer shingles.
+    ``packed`` holds the number of shingles, the place of this one and, as its last bit, whether it is among the
+    fewer that do for a partner with no fewer shingles.
     """
     sent = docs.sparkSession.sparkContext.broadcast(_frequent(docs, size))  # at most FREQUENT_SHINGLES
 
@@ -224,10 +225,49 @@ def prefixes(docs: DataFrame, size: int, similarity: float) -> DataFrame:
             lengths = np.array([len(x) for x in firsts[1:]], np.int64)
             n = np.repeat(np.array(sizes, np.int64), lengths)
             place = np.arange(len(n)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(firsts).view(np.int64)), pa.array(np.repeat(np.array(nodes, np.int64), lengths)), pa.array(place.astype(np.int32)), pa.array(n.astype(np.int32)),
-                                              pa.array(place < _prefix(n, 2 * similarity / (1 + similarity)))], names=["shingle", "node", "place", "n", "small"])
+            packed = n << 32 | place << 1 | (place < _prefix(n, 2 * similarity / (1 + similarity)))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(firsts).view(np.int64)), pa.array(np.repeat(np.array(nodes, np.int64), lengths)), pa.array(packed)],
+                                             names=["shingle", "node", "packed"])
 
-    return docs.select(F.xxhash64("text").alias("node"), "text").mapInArrow(run, "shingle long, node long, place int, n int, small boolean")
+    return docs.select(F.xxhash64("text").alias("node"), "text").mapInArrow(run, "shingle long, node long, packed long")
+
+
+def _shared(rows: DataFrame) -> DataFrame:
+    """The distinct rows of the shingles that more than one node holds.
+
+    Rows are dealt out once and read in order of (shingle, node); copies of a text give equal rows next to each other,
+    of which the first counts. Only one row waits: the first of a shingle, until another node follows.
+    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, waiting, open_shared = None, None, False  # the row before, the only row of its shingle so far, whether that has several
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            shingle, node = batch.column("shingle").to_numpy(), batch.column("node").to_numpy()
+            goes_on = last is not None and last[0] == shingle[0]
+            fresh = np.concatenate([[not goes_on], shingle[1:] != shingle[:-1]])
+            again = np.concatenate([[goes_on and last[1] == node[0]], (node[1:] == node[:-1]) & ~fresh[1:]])
+            group = np.cumsum(fresh) - (not goes_on)  # 0: the shingle of the batch before, if it goes on
+            several = np.bincount(group, weights=~fresh & ~again, minlength=group[-1] + 1) > 0
+            if goes_on:
+                several[0] |= open_shared
+                if several[0] and waiting is not None:
+                    yield waiting
+                    waiting = None
+            else:
+                waiting = None
+            kept = several[group] & ~again
+            if kept.any():
+                yield batch.take(pa.array(np.flatnonzero(kept)))
+            open_shared = bool(several[-1])
+            alone = np.flatnonzero((group == group[-1]) & fresh)
+            if open_shared:
+                waiting = None
+            elif len(alone):
+                waiting = batch.take(pa.array(alone))
+            last = (shingle[-1], node[-1])
+
+    return rows.repartition("shingle").sortWithinPartitions("shingle", "node").mapInArrow(run, "shingle long, node long, packed long")
 
 
 def _several(rows: DataFrame, key: str, value: str) -> DataFrame:
@@ -236,20 +276,65 @@ def _several(rows: DataFrame, key: str, value: str) -> DataFrame:
     return rows.join(keys, key)
 
 
+#: Partners that are held against one copy of a text's shingles.
+PARTNERS = 1_000
+#: Keys up to this number go to every task; beyond it texts and keys are joined by a shuffle.
+BROADCAST_KEYS = 4_000_000
+#: Bytes of a shingle's hash in the sets that are compared.
+HASH_BYTES = 5
+
+
+def _named(keys: DataFrame) -> DataFrame:
+    """A stored table of keys, sent to every task if it has at most BROADCAST_KEYS rows."""
+    return F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys
+
+
+def _one_row_each(docs: DataFrame) -> DataFrame:
+    """The keys of one row of each distinct text."""
+    return docs.groupBy(F.xxhash64("text").alias("node")).agg(F.min(row_key()).alias("_row"))
+
+
 def _verified(docs: DataFrame, pairs: DataFrame, size: int, similarity: float) -> DataFrame:
-    """The ``pairs`` (a, b) of texts whose shingle sets reach ``similarity``."""
+    """The ``pairs`` (a, b) of texts whose shingle sets reach ``similarity``.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    The sets of all partners b of a text travel to that text's set, once each; a text with many partners has
+    copies of its set, one for PARTNERS of them.
+    """
+    def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small(batches):
-            sets = [np.unique(shingle_hashes(t or b"", size)).view(np.int64) for t in batch.column("text").cast(pa.binary()).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(sets, pa.list_(pa.int64()))], names=["node", "shingles"])
+            sets = [np.unique(shingle_hashes(t or b"", size) >> np.uint64(64 - 8 * HASH_BYTES)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :HASH_BYTES].tobytes()
+                    for t in batch.column("text").cast(pa.binary()).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("a", "part", "b")), pa.array(sets, pa.binary())], names=["a", "part", "b", "shingles"])
 
-    wanted = stored(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct())
-    texts = docs.select(F.xxhash64("text").alias("node"), "text").join(wanted, "node", "left_semi")
-    sets = stored(texts.mapInArrow(run, "node long, shingles array<long>").dropDuplicates(["node"]))
-    met = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa")), "a").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb")), "b")
-    both = F.size(F.array_intersect("sa", "sb"))
-    return met.where(both >= similarity * (F.size("sa") + F.size("sb") - both)).select("a", "b")
+    def unpacked(raw: bytes) -> np.ndarray:
+        out = np.zeros((len(raw) // HASH_BYTES, 8), np.uint8)
+        out[:, :HASH_BYTES] = np.frombuffer(raw, np.uint8).reshape(-1, HASH_BYTES)
+        return out.reshape(-1).view("<u8")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, own = None, np.empty(0, np.uint64)
+        for batch in small(batches):
+            found = []
+            for a, part, b, raw in zip(*(batch.column(c).to_pylist() for c in ("a", "part", "b", "shingles"))):
+                if a == b:  # comes first in its part
+                    held, own = (a, part), unpacked(raw)
+                elif held == (a, part):
+                    other = unpacked(raw)
+                    both = len(np.intersect1d(own, other, assume_unique=True))
+                    if both >= similarity * (len(own) + len(other) - both):
+                        found.append((a, b))
+            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([x for _, x in found], pa.int64())], names=["a", "b"])
+
+    parts = stored(pairs.groupBy("a").agg((F.count("*") / PARTNERS).cast("int").alias("more")), compression="zstd")
+    sent = pairs.join(parts, "a").select("a", F.pmod(F.xxhash64("b"), F.col("more") + 1).cast("int").alias("part"), "b")
+    own = parts.select("a", F.explode(F.sequence(F.lit(0), F.col("more"))).alias("part"), F.col("a").alias("b"))
+    wanted = sent.unionByName(own)
+    rows = _one_row_each(docs).withColumnRenamed("node", "b")
+    wanted = stored(wanted.join(rows, "b"), compression="zstd")
+    texts = docs.select(row_key().alias("_row"), "text").join(_named(wanted), "_row")
+    sets = texts.select("a", "part", "b", "text").mapInArrow(shingles, "a long, part int, b long, shingles binary")
+    met = sets.repartition("a", "part").sortWithinPartitions("a", "part", F.col("a") != F.col("b"), "b").mapInArrow(compare, "a long, b long")
+    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def similar_links(docs: DataFrame, size: int = 5, similarity: float = 0.8) -> DataFrame:
@@ -257,23 +342,25 @@ def similar_links(docs: DataFrame, size: int = 5, similarity: float = 0.8) -> Da
 
     The components of the links are those of all such pairs; of a group not every pair is
     named. Texts of equal sets are linked to one of them. Texts that share a sketch meet the
-    one of them that shares the most sketches with others (the original of its copies) and
-    the one with the smallest key, so a group costs two rows per member. What these links
+    one of them that shares the most sketches with others (the original of its copies), each text the one such
+    head that it shares most sketches with, so a group costs a row per member. What these links
     leave apart meets by an exact prefix filter: similar texts share one of their first
     shingles, rarest first, with enough behind it in both. All pairs that met are verified.
     """
     drawn = sketches(docs, size).distinct()
     shared = drawn.groupBy("sketch", "fp").agg(F.count("*").alias("n")).where("n > 1")
-    drawn = stored(drawn.join(shared, ["sketch", "fp"]))
+    drawn = stored(drawn.join(shared, ["sketch", "fp"]), compression="zstd")
     weights = drawn.groupBy("node").agg(F.sum("n").alias("weight"))
-    heads = drawn.join(weights, "node").groupBy("sketch", "fp").agg(F.array_distinct(F.array(F.max(F.struct("weight", "node"))["node"], F.min("node"))).alias("heads"))
-    met = drawn.join(heads, ["sketch", "fp"]).select("node", F.explode("heads").alias("head")).where("node <> head")
-    pairs = stored(met.select(F.least("node", "head").alias("a"), F.greatest("node", "head").alias("b")).distinct())
-    linked = stored(_verified(docs, pairs, size, similarity))
-
-    roots = stored(connected_components(linked))
-    first = stored(_several(stored(prefixes(docs, size, similarity)), "shingle", "node").distinct())
-    first = stored(_several(first.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "shingle", "root"))
+    heads = drawn.join(weights, "node").groupBy("sketch", "fp").agg(F.max(F.struct("weight", "node"))["node"].alias("head"))
+    met = drawn.join(heads, ["sketch", "fp"]).where("node <> head").groupBy("node", "head").agg(F.count("*").alias("shared"))
+    pairs = stored(met.groupBy("node").agg(F.max(F.struct("shared", "head"))["head"].alias("a")).select("a", F.col("node").alias("b")), compression="zstd")
+    linked = stored(_verified(docs, pairs, size, similarity), compression="zstd")
+
+    roots = stored(connected_components(linked), compression="zstd")
+    first = stored(_shared(prefixes(docs, size, similarity)), compression="zstd")
+    rooted = first.join(roots, "node", "left").select("shingle", "node", "packed", F.coalesce("root", "node").alias("root"))
+    first = stored(_several(rooted, "shingle", "root").select(
+        "shingle", "node", "root", F.shiftright("packed", 32).alias("n"), F.shiftright(F.col("packed").bitwiseAND(0xFFFFFFFF), 1).alias("place"), (F.col("packed").bitwiseAND(1) == 1).alias("small")), compression="zstd")
     x, y = first.where("small").alias("x"), first.alias("y")
     least = F.lit(similarity / (1 + similarity)) * (F.col("x.n") + F.col("y.n")) - 1e-6  # shingles in common
     meet = (
@@ -281,7 +368,7 @@ def similar_links(docs: DataFrame, size: int = 5, similarity: float = 0.8) -> Da
         & ((F.col("x.n") < F.col("y.n")) | ((F.col("x.n") == F.col("y.n")) & (F.col("x.node") < F.col("y.node"))))
         & (F.least(F.col("x.n") - F.col("x.place"), F.col("y.n") - F.col("y.place")) >= least)  # true of the first shingle that a pair shares
     )
-    rest = stored(x.join(y, meet).select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct())
+    rest = stored(x.join(y, meet).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct(), compression="zstd")
     return linked.union(_verified(docs, rest, size, similarity))
 
 
@@ -296,11 +383,15 @@ def keep_one_of_each(docs: DataFrame, words: int = 5, similarity: float = 0.8) -
     words are one group.
     """
     blank = ~F.coalesce("text", F.lit("")).rlike("[^\\x20\\x09-\\x0D]")
-    keyed = stored(docs.select(F.col("doc_id").cast("long"), row_key().alias("row"), F.when(blank, F.lit(0).cast("long")).otherwise(F.xxhash64("text")).alias("node")))
+    keyed = stored(docs.select(F.col("doc_id").cast("long"), row_key().alias("row"), F.when(blank, F.lit(0).cast("long")).otherwise(F.xxhash64("text")).alias("node")), compression="zstd")
     roots = connected_components(similar_links(docs, words, similarity))
     grouped = keyed.join(roots, "node", "left").withColumn("group", F.coalesce("root", "node"))
     first = F.min(F.struct(F.coalesce("doc_id", F.lit((1 << 63) - 1)), "row"))  # smallest doc_id, null last
-    keep = stored(grouped.groupBy("group").agg(first["row"].alias("_row")).select("_row"))
+    kept = grouped.groupBy("group").agg(first["row"].alias("_row")).select("_row")
+    copies = keyed.groupBy(F.col("row").alias("_row")).agg((F.count("*") > 1).alias("_copies"))
+    keep = stored(kept.join(copies, "_row"), compression="zstd")
     rows = docs.withColumn("_row", row_key())
-    # Equal rows share a key; the join has them sorted side by side.
-    return rows.join(keep, "_row", "left_semi").dropDuplicates(["_row"]).select(*docs.columns)
+    single = rows.join(_named(keep.where("NOT _copies").select("_row")), "_row", "left_semi")
+    # Equal rows share a key; only they are gathered by it.
+    equal = rows.join(_named(keep.where("_copies").select("_row")), "_row", "left_semi").dropDuplicates(["_row"])
+    return single.unionByName(equal).select(*docs.columns)

@@ -114,3 +114,19 @@ def test_a_hot_line_joins_no_other_texts(spark, make_docs):
     assert (a ^ b).bit_count() <= 3
     rows += [(2, line * 20 + rows[0][1]), (5, None), (4, " \v\n"), (3, "\u00a0")]
     assert sorted(r.doc_id for r in keep_one_of_each(make_docs(rows)).collect()) == [0, 1, 3, 4]
+
+
+def test_shingles_that_several_texts_hold(spark):
+    from citeloom.llm.simhash import _shared
+
+    rng = random.Random(6)
+    rows = [(rng.randrange(40), rng.randrange(6), 0) for _ in range(120)] + [(100, 1, 0)] * 30 + [(101, k % 2, 0) for k in range(30)]
+    nodes = {}
+    for s, n, _ in rows:
+        nodes.setdefault(s, set()).add(n)
+    want = sorted((s, n, 0) for s, held in nodes.items() if len(held) > 1 for n in held)
+    df = spark.createDataFrame(rows, "shingle long, node long, packed long")
+    for size in ("3", "10000"):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+        assert sorted(map(tuple, _shared(df).collect())) == want
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
