@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from citeloom.operators import aggregates as A, documents as C, extensions as E, graph as G, joins as J, ordered as O, sets as D, vectors as V
 from citeloom.streaming import operators as L, replay as P, steps
-from citeloom.streaming.run import run_append
+from citeloom.streaming.run import run_arrivals
 
 
 def rows(df):
@@ -170,14 +170,21 @@ def test_replay_equals_sequential_fold(spark, machine):
     assert {r["event_id"]: r["allowed"] for r in got.collect()} == want
 
 
-def test_stream_equals_replay(spark, tmp_path):
+def test_stream_equals_replay_whatever_the_order(spark):
+    """Parts that mix all times give the verdicts of the replay once the watermark has passed; events behind it change no state."""
     _, df = usage(spark, 120)
-    df.drop("ok").withColumn("ts", F.col("ts").cast("timestamp_ntz")).write.parquet(str(tmp_path / "in"))
-    schema = "event_id bigint, user_id bigint, sec bigint, ts timestamp_ntz"
-    stream = L.event_stream(spark, str(tmp_path / "in"), schema=schema)
-    out = run_append(L.run_machine(stream, steps.admission(2, 3, 5), "allowed boolean, reason string"))
-    batch = P.replay(df, steps.admission(2, 3, 5), "allowed boolean, reason string", key="user_id")
-    assert rows(out) == rows(batch)
+    machine, verdicts = steps.admission(2, 3, 5), "allowed boolean, reason string"
+    events = df.select("event_id", "user_id", F.col("ts").cast("timestamp_ntz").alias("ts"))
+    end = spark.sql("SELECT 9999L AS event_id, 999L AS user_id, TIMESTAMP_NTZ '2100-01-01 00:00:00' AS ts")
+    year = 366 * 86_400_000_000
+    mixed = run_arrivals([events.filter(F.col("event_id") % 2 == k) for k in (1, 0)] + [end], lambda s: L.run_machine(s, machine, verdicts, delay="366 days", delay_us=year))
+    assert rows(mixed.drop("late")) == rows(P.replay(df, machine, verdicts, key="user_id")) and not mixed.filter("late").count()
+    half = events.agg(F.percentile_approx("ts", 0.5)).first()[0]
+    new, old = events.filter(F.col("ts") >= half), events.filter(F.col("ts") < half)
+    late_first = run_arrivals([new, old, end], lambda s: L.run_machine(s, machine, verdicts, delay="0 seconds", delay_us=1))
+    assert rows(late_first.filter("late").select("event_id")) == rows(old.select("event_id"))
+    kept = df.filter(F.col("ts").cast("timestamp_ntz") >= half)
+    assert rows(late_first.filter("NOT late AND user_id <> 999").drop("late")) == rows(P.replay(kept, machine, verdicts, key="user_id"))
 
 
 def test_diffs(spark):
