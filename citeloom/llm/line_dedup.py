@@ -1,11 +1,13 @@
 """Line deduplication against levelled sorted runs of line hashes.
 
-The index is a set of runs: tables of (high, low, n_docs, last_doc), one row per line
-hash, bucketed by a range of the hash and sorted within. Each batch of documents makes
-one run of level 0. A level that holds ``fanout`` runs is compacted into one run of the
+The index is a set of runs: tables of (high, low, n_docs, last_doc, seen), one row per line
+hash, dealt out by the hash and sorted within. Each batch of documents is merge-joined with the
+runs: hashes that none of them holds are the batch's own, the others are marked ``seen`` and only
+update counts. Both make one run of level 0. A level that holds ``fanout`` runs is compacted into one run of the
 next level, so a hash is looked up in few runs and rewritten a logarithmic number of
 times. Equal hashes of several runs add up: counts are summed, the last document is the
-largest.
+largest. A line is repeated only if a later batch has seen its hash or one batch holds it often enough, so
+all other hashes stay out of the sums.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from citeloom.llm.common import ASCII_SPACE, stored
 from citeloom.session import scratch_dir
 
-RUN_SCHEMA = "high long, low long, n_docs long, last_doc long"
+RUN_SCHEMA = "high long, low long, n_docs long, last_doc long, seen boolean"
 LINE_SCHEMA = "doc_id long, line int, high long, low long"
 _SPACE = ASCII_SPACE.encode()
 
@@ -85,13 +87,22 @@ class LineIndex:
             return self.spark.createDataFrame([], RUN_SCHEMA)
         return _merged(rows)
 
+    def repeated(self, min_docs: int) -> DataFrame:
+        """(high, low, n_docs, last_doc) of the hashes that at least ``min_docs`` documents hold."""
+        rows = self.runs()
+        if rows is None:
+            return self.totals()
+        often = rows.where(F.col("seen") | (F.col("n_docs") >= min_docs)).select("high", "low").distinct()
+        return _merged(rows.join(often, ["high", "low"], "left_semi")).where(F.col("n_docs") >= min_docs)
+
     def add(self, batch: DataFrame, min_chars: int = 40) -> str:
         """Write the run of one batch of documents (doc_id, text), compact full levels, return the run's folder.
 
         The batch is combined per hash before the shuffle, so a line that every document
-        holds costs one row per task.
+        holds costs one row per task, and one row of the runs meets it.
         """
-        run = self._write(_merged(line_hashes(batch, min_chars).select("high", "low", F.lit(1).cast("long").alias("n_docs"), F.col("doc_id").alias("last_doc"))), 0)
+        rows = _merged(line_hashes(batch, min_chars).select("high", "low", F.lit(1).cast("long").alias("n_docs"), F.col("doc_id").alias("last_doc"), F.lit(False).alias("seen")))
+        run = self._write(self._told_apart(rows), 0)
         level = 0
         while level < len(self.levels) and len(self.levels[level]) >= self.fanout:
             self._write(_merged(self.spark.read.schema(RUN_SCHEMA).parquet(*self.levels[level])), level + 1)
@@ -99,6 +110,14 @@ class LineIndex:
             level += 1
         return run
 
+    def _told_apart(self, rows: DataFrame) -> DataFrame:
+        """``rows`` of a batch with ``seen`` set for hashes that a run holds: a merge join with the first row of each hash."""
+        runs = self.runs()
+        if runs is None:
+            return rows
+        held = runs.where(~F.col("seen")).select("high", "low", F.lit(True).alias("held"))
+        return rows.drop("seen").join(held.hint("merge"), ["high", "low"], "left").select("high", "low", "n_docs", "last_doc", F.coalesce("held", F.lit(False)).alias("seen"))
+
     def novel(self, batch: DataFrame, min_chars: int = 40) -> DataFrame:
         """Lines of a batch (doc_id, line, high, low) whose hash no run holds: a merge anti-join on the sorted hash."""
         lines, rows = line_hashes(batch, min_chars), self.runs()
@@ -115,7 +134,7 @@ class LineIndex:
 
 
 def _merged(rows: DataFrame) -> DataFrame:
-    return rows.groupBy("high", "low").agg(F.sum("n_docs").alias("n_docs"), F.max("last_doc").alias("last_doc"))
+    return rows.groupBy("high", "low").agg(F.sum("n_docs").alias("n_docs"), F.max("last_doc").alias("last_doc"), F.min("seen").alias("seen"))
 
 
 def build_index(docs: DataFrame, path: str, batches: int = 5, fanout: int = 4, min_chars: int = 40) -> LineIndex:
@@ -142,7 +161,7 @@ def drop_repeated_lines(docs: DataFrame, index: LineIndex, min_docs: int = 5, mi
     counts and loses its repeated lines; a line that only such rows hold stays. Other columns are ignored.
     """
     # Stored, so that both sides of the join below are plain exchanges, which AQE can split.
-    often = stored(index.totals().where(F.col("n_docs") >= min_docs).where(F.col("last_doc").isNotNull()).select("high", "low", "last_doc"))
+    often = stored(index.repeated(min_docs).where(F.col("last_doc").isNotNull()).select("high", "low", "last_doc"))
     # A hot line meets one row of `often`; AQE splits its partition and only (doc, line) pairs move on.
     hits = (
         line_hashes(docs, min_chars, distinct=False).join(often, ["high", "low"])

@@ -34,6 +34,8 @@ def test_matches_brute_force(spark, make_docs, tmp_path):
     index, got = run(spark, docs, tmp_path, batches=5, fanout=2)
     assert got == brute(rows)
     assert len(index.levels) > 1 and all(len(level) < 2 for level in index.levels)  # compacted
+    firsts = index.runs().where("NOT seen")
+    assert firsts.count() == firsts.select("high", "low").distinct().count() == index.totals().count()
 
 
 def test_batch_against_runs(spark, make_docs, tmp_path):
@@ -41,7 +43,9 @@ def test_batch_against_runs(spark, make_docs, tmp_path):
     index.add(make_docs([(1, LONG)]))
     new = index.novel(make_docs([(2, LONG + "\n" + LONG + " two")]))
     assert [(r.doc_id, r.line) for r in new.collect()] == [(2, 1)]
-    assert index.totals().select("n_docs", "last_doc").first() == (1, 1)
+    index.add(make_docs([(2, LONG + "\n" + LONG + " two")]))
+    assert sorted((r.seen, r.n_docs, r.last_doc) for r in index.runs().collect()) == [(False, 1, 1), (False, 1, 2), (True, 1, 2)]
+    assert [(r.n_docs, r.last_doc) for r in index.repeated(2).collect()] == [(2, 2)]
 
 
 def test_repeated_rows_null_ids_and_empty(spark, make_docs, tmp_path):
