@@ -26,6 +26,8 @@ WINDOW = 5
 COVERED = 0.8
 #: Literal words that a window must hold to be evidence.
 MIN_LITERALS = 2
+#: Items of fewer words mark a document only if they are all of it.
+SHORTEST = 3
 #: Bits of the filter that a document's windows pass before the join. Its size is fixed, a full one only lets more rows through.
 FILTER_BITS = 1 << 22
 #: The number of the exact reading, after three of templates.
@@ -132,43 +134,47 @@ def _readings(t: dict[str, np.ndarray]) -> list[tuple[np.ndarray, np.ndarray]]:
     return out
 
 
-def _windows(t: dict[str, np.ndarray], n_texts: int, size: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """For each reading: first token, length and hash of every window with evidence; a shorter text is one window.
+def _rolled(tokens: np.ndarray, at: np.ndarray, n: int, seed: int) -> np.ndarray:
+    """Hashes of the windows of ``n`` tokens that start at ``at``."""
+    hashes = np.full(len(at), seed, np.uint64)
+    for j in range(n):
+        hashes = _mix(hashes * np.uint64(31) + tokens[at + j])
+    return hashes
 
-    Later readings leave out the windows that are the same in the first. A last, exact one
-    takes numbers and units as they are, for windows that have too few other words even
-    with names as words.
+
+def _windows(t: dict[str, np.ndarray], n_texts: int, size: int, lengths: tuple[int, ...] = ()) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """For each reading: first token, length and hash of every window with evidence.
+
+    Windows have ``size`` tokens. A shorter text is one window, and ``lengths`` below ``size`` are read everywhere. Later readings leave out
+    the windows that are the same in the first. A last, exact one takes numbers and units as they are, for windows
+    that have too few other words even with names as words.
     """
     counts = np.bincount(t["owner"], minlength=n_texts)
-    ends = np.cumsum(counts)
-    short = np.flatnonzero((counts > 0) & (counts < size))
-    full = np.flatnonzero(t["place"] + size <= np.repeat(counts, counts))
-    out, first_tokens = [], None
-    for tokens, slot in _readings(t):
-        hashes, literals, differs = np.zeros(len(full), np.uint64), np.zeros(len(full), np.int64), np.zeros(len(full), bool)
-        for j in range(size):
-            hashes = _mix(hashes * np.uint64(31) + tokens[full + j])
-            literals += ~slot[full + j]
-            if first_tokens is not None:
-                differs |= tokens[full + j] != first_tokens[full + j]
-        good = literals >= MIN_LITERALS if first_tokens is None else (literals >= MIN_LITERALS) & differs
-        starts, lengths, values = [full[good]], [np.full(good.sum(), size)], [hashes[good]]
-        for i in short.tolist():
-            a, b = ends[i] - counts[i], ends[i]
-            if first_tokens is None or (tokens[a:b] != first_tokens[a:b]).any():
-                if (~slot[a:b]).any():
-                    starts.append(np.array([a]))
-                    lengths.append(np.array([b - a]))
-                    values.append(np.array([xxhash.xxh64_intdigest(tokens[a:b].tobytes(), seed=size)], np.uint64))
-        out.append((np.concatenate(starts), np.concatenate(lengths), np.concatenate(values)))
-        first_tokens = tokens if first_tokens is None else first_tokens
-    bare = full[literals < MIN_LITERALS]
-    hashes = np.full(len(bare), size, np.uint64)
-    for j in range(size):
-        hashes = _mix(hashes * np.uint64(31) + t["hash"][bare + j])
-    lone = [i for i in short.tolist() if slot[ends[i] - counts[i]:ends[i]].all()]
-    values = [xxhash.xxh64_intdigest(t["hash"][ends[i] - counts[i]:ends[i]].tobytes(), seed=size + 1) for i in lone]
-    out.append((np.concatenate([bare, (ends - counts)[lone]]).astype(np.int64), np.concatenate([np.full(len(bare), size), counts[lone]]).astype(np.int64), np.concatenate([hashes, np.array(values, np.uint64)])))
+    first = np.cumsum(counts) - counts
+    room = np.repeat(counts, counts) - t["place"]
+    cases = [(np.flatnonzero(room >= n) if n == size or n in lengths else first[counts == n], n) for n in range(1, size + 1)]
+    least = lambda n: MIN_LITERALS if n == size else 1
+    readings = _readings(t)
+    out = []
+    for k, (tokens, slot) in enumerate(readings):
+        starts, sizes, values = [], [], []
+        for at, n in cases:
+            literals, differs = np.zeros(len(at), np.int64), np.full(len(at), k == 0)
+            for j in range(n):
+                literals += ~slot[at + j]
+                differs |= tokens[at + j] != readings[0][0][at + j]
+            good = at[(literals >= least(n)) & differs]
+            starts.append(good)
+            sizes.append(np.full(len(good), n))
+            values.append(_rolled(tokens, good, n, 0 if n == size else n))
+        out.append((np.concatenate(starts), np.concatenate(sizes), np.concatenate(values)))
+    starts, sizes, values = [], [], []
+    for at, n in cases:
+        bare = at[sum((~slot[at + j]).astype(np.int64) for j in range(n)) < least(n)]
+        starts.append(bare)
+        sizes.append(np.full(len(bare), n))
+        values.append(_rolled(t["hash"], bare, n, size + n))
+    out.append((np.concatenate(starts), np.concatenate(sizes), np.concatenate(values)))
     return out
 
 
@@ -198,7 +204,7 @@ ITEM_SCHEMA = "item_id long, class long, reading int, item_place int, window lon
 def item_windows(benchmark: DataFrame, size: int = WINDOW) -> DataFrame:
     """Windows of benchmark items (item_id, text). ``class`` is equal for items of one template and one pattern of equal slots.
 
-    An item without evidence in its templates has windows of the exact reading instead, and
+    Windows without evidence in their templates are in the exact reading. An item that has no other windows
     shares its class only with items of the same tokens.
     """
 
@@ -225,8 +231,6 @@ def item_windows(benchmark: DataFrame, size: int = WINDOW) -> DataFrame:
                 for i in np.flatnonzero(bare).tolist():
                     classes[i] = xxhash.xxh64_intdigest(t["hash"][ends[i] - counts[i]:ends[i]].tobytes(), seed=EXACT)
                 for reading, (starts, lengths, values) in enumerate(read):
-                    if reading == EXACT:
-                        starts, lengths, values = (x[bare[t["owner"][starts]]] for x in (starts, lengths, values))
                     owner = t["owner"][starts]
                     yield pa.RecordBatch.from_arrays([
                         pa.array(batch.column("item_id").slice(low, high - low).take(pa.array(owner))), pa.array(classes[owner].view(np.int64)), pa.array(np.full(len(owner), reading, np.int32)),
@@ -236,7 +240,7 @@ def item_windows(benchmark: DataFrame, size: int = WINDOW) -> DataFrame:
     return benchmark.select(F.col("item_id").cast("long"), "text").mapInArrow(run, ITEM_SCHEMA)
 
 
-def document_windows(docs: DataFrame, passing: np.ndarray, size: int = WINDOW) -> DataFrame:
+def document_windows(docs: DataFrame, passing: np.ndarray, size: int = WINDOW, lengths: tuple[int, ...] = ()) -> DataFrame:
     """doc_id, reading, doc_place, window and doc_slots of the documents' windows whose hash may be an item's."""
     sent = docs.sparkSession.sparkContext.broadcast(np.packbits(passing))  # FILTER_BITS / 8 bytes
 
@@ -246,12 +250,12 @@ def document_windows(docs: DataFrame, passing: np.ndarray, size: int = WINDOW) -
             texts = [t or "" for t in batch.column("text").to_pylist()]
             for low, high in _slices(texts):
                 t = reader.read(texts[low:high])
-                for starts, lengths, values in _windows(t, high - low, size):
+                for starts, sizes, values in _windows(t, high - low, size, lengths):
                     hit = passes[(values & np.uint64(FILTER_BITS - 1)).astype(np.int64)]
-                    starts, lengths, values = starts[hit], lengths[hit], values[hit]
+                    starts, sizes, values = starts[hit], sizes[hit], values[hit]
                     yield pa.RecordBatch.from_arrays([
                         pa.array(batch.column("doc_id").slice(low, high - low).take(pa.array(t["owner"][starts]))), pa.array(t["place"][starts].astype(np.int32)),
-                        pa.array(values.view(np.int64)), _tokens(t["hash"], starts, lengths)], names=["doc_id", "doc_place", "window", "doc_slots"])
+                        pa.array(values.view(np.int64)), _tokens(t["hash"], starts, sizes)], names=["doc_id", "doc_place", "window", "doc_slots"])
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, doc_place int, window long, doc_slots array<long>")
 
@@ -275,9 +279,9 @@ def find_contaminated(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW,
 
     ``coverage`` is the largest share of an item's windows that the document holds on
     consistent alignments, ``item_id`` the smallest such item, ``item_ids`` one (the
-    smallest) of each template found; ``item_templates`` has the items of each. Items and documents of fewer than five words are one
-    window each. Items without evidence in their templates (too few words outside slots) are
-    sought as they are, with their numbers and units. Null texts are empty; rows of one doc_id, and rows without one, count as one document each; an
+    smallest) of each template found; ``item_templates`` has the items of each. All windows of an item count; those without evidence
+    in their templates (too few words outside slots) are sought as they are, with their numbers and units. An item of fewer
+    words than a window is one window, sought in all documents, or, with fewer than SHORTEST words, as a whole document only. Null texts are empty; rows of one doc_id, and rows without one, count as one document each; an
     empty table on either side gives no rows.
     """
     items = stored(item_windows(benchmark, size))
@@ -287,7 +291,8 @@ def find_contaminated(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW,
     bits = windows.select((F.col("window").bitwiseAND(FILTER_BITS - 1)).cast("int").alias("bit")).distinct().toArrow().column("bit")  # at most FILTER_BITS
     passing = np.zeros(FILTER_BITS, bool)
     passing[bits.to_numpy()] = True
-    met = document_windows(docs, passing, size).join(windows, "window").where(F.size("doc_slots") == F.size("item_slots"))
+    lengths = tuple(sorted(r["n"] for r in windows.select(F.size("item_slots").alias("n")).distinct().collect() if SHORTEST <= r["n"] < size))
+    met = document_windows(docs, passing, size, lengths).join(windows, "window").where(F.size("doc_slots") == F.size("item_slots"))
     # One alignment of one item: at most one row per window of the item and reading.
     lines = met.groupBy("doc_id", "class", (F.col("doc_place") - F.col("item_place")).alias("shift")).agg(
         F.collect_set(F.struct("item_place", F.filter(F.arrays_zip("item_slots", "doc_slots"), lambda x: x["item_slots"] >= 0).alias("pairs"))).alias("rows"))

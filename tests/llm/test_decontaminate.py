@@ -1,3 +1,5 @@
+import random
+
 from citeloom.llm.decontaminate import drop_contaminated, find_contaminated, item_templates
 
 ITEM = "Yesterday the shop of Alice sold 12 apples and 5 km of rope, so Alice earned $40 before the evening came."
@@ -40,9 +42,43 @@ def test_templates_shared_by_items_and_ties(spark, make_docs):
 
 def test_short_texts_and_empty_tables(spark, make_docs):
     docs = make_docs([(1, "The Answer here."), (2, "In a text the answer here is part."), (None, ITEM)])
-    items = bench(spark, [(1, "the answer here"), (2, "5 7 9"), (3, ITEM)])
-    assert set(found(docs, items)) == {1, None}
+    items = bench(spark, [(1, "the answer here"), (2, "5 7 9"), (3, ITEM), (4, "the text")])
+    assert set(found(docs, items)) == {1, 2, None}
     assert found(docs.where("false"), items) == {} and found(docs, items.where("false")) == {}
+    longer = make_docs([(1, CLEAN + " Someone asked: Who wrote Hamlet? " + CLEAN), (2, CLEAN + " 5 7 9"), (3, CLEAN + " the text " + CLEAN), (4, "The text."), (5, "5 7 8 is not it")])
+    got = found(longer, bench(spark, [(1, "who wrote Hamlet"), (2, "5 7 9"), (4, "the text")]))
+    assert {d: list(r.item_ids) for d, r in got.items()} == {1: [1], 2: [2], 4: [4]}
+
+
+def test_bare_windows_count(spark, make_docs):
+    """An item made mostly of numbers is not found by its few windows with words."""
+    item = "Compute the sum 12 34 56 78 90 21 43 65 87 98 76 54 32 10"
+    got = found(make_docs([(1, "Compute the sum 1 2 3 and then go home."), (2, CLEAN + " " + item + " " + CLEAN), (3, item.replace("56", "57"))]), bench(spark, [(1, item)]))
+    assert {d: r.coverage for d, r in got.items()} == {2: 1.0}
+
+
+def test_brute_force_on_plain_words(spark, make_docs):
+    """Texts without names and numbers: a document holds an item if it has four fifths of its five-word windows."""
+    rng = random.Random(9)
+    word = lambda: f"{rng.choice('abcdefgh')}{rng.choice('xyz')}w"
+    items = [(i, [word() for _ in range(rng.choice([3, 4, 5, 6, 12, 30]))]) for i in range(25)]
+    docs = []
+    for d in range(120):
+        part = list(rng.choice(items)[1])
+        for _ in range(rng.choice([0, 0, 1, 2])):
+            part[rng.randrange(len(part))] = word()
+        docs.append((d, [word() for _ in range(rng.randrange(30))] + part + [word() for _ in range(rng.randrange(30))]))
+    grams = lambda ws, n: [tuple(ws[i:i + n]) for i in range(len(ws) - n + 1)]
+    want = {}
+    for d, ws in docs:
+        for i, item in items:
+            n = min(5, len(item))
+            held = set(grams(ws, n)) if len(item) >= 3 else set()
+            hit = [g in held for g in grams(item, n)]
+            if sum(hit) >= 0.8 * len(hit):
+                want.setdefault(d, []).append(i)
+    got = found(make_docs([(d, " ".join(ws)) for d, ws in docs]), bench(spark, [(i, " ".join(ws)) for i, ws in items]))
+    assert {d: list(r.item_ids) for d, r in got.items()} == want and 30 < len(want) < 120
 
 
 def test_one_conflict_costs_its_own_windows_only(spark, make_docs):
