@@ -28,9 +28,9 @@ TOP = 2_000
 #: Windows a container takes between two counts, entries at which it bursts, and entries at which a trie lets containers go until half are left.
 PENDING_WINDOWS = 1 << 19
 BURST_ENTRIES = 1 << 19
-TRIE_ENTRIES = 3_000_000
+TRIE_ENTRIES = 1_500_000
 #: Words a trie numbers before it is emptied and numbers anew, and words of text that enter at once. Both together stay below 2^ID_BITS.
-TRIE_WORDS = 1_000_000
+TRIE_WORDS = 600_000
 BLOCK_WORDS = 500_000
 ID_BITS = 21
 #: Bytes of text held as Python objects at a time, one text at least.
