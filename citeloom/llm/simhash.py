@@ -13,6 +13,8 @@ the exact Hamming distance.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
+from operator import add
 
 import numpy as np
 import pyarrow as pa
@@ -147,21 +149,53 @@ SKETCHES = 10
 SKETCH_SHINGLES = 4
 
 
+#: Bits of the shortest parity vector of a set, which travels with its shingles.
+PARITY_BITS = 512
+PARITY_WORDS = [f"e{i}" for i in range(PARITY_BITS // 64)]
+
+
+def parity(hashes: np.ndarray) -> tuple[bytes, np.ndarray]:
+    """Parity vector of a set of at least as many bits as it has hashes, a power of two, and its PARITY_BITS-bit fold in words.
+
+    A bit is set if an odd number of hashes have its number as their low bits. Two vectors of one length differ in at
+    most as many bits as the sets have hashes that are not common, so the distance is a lower bound. The exclusive or
+    of its halves is the vector of half the length.
+    """
+    bits = max(PARITY_BITS, 1 << max(len(hashes) - 1, 1).bit_length())
+    odd = np.bincount((hashes & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    fold = odd.reshape(-1, PARITY_BITS).sum(axis=0) & 1
+    packed = np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+    return packed, np.packbits(fold.astype(np.uint8), bitorder="little").view("<i8")
+
+
+def parity_distance(a: bytes, b: bytes) -> int:
+    """Bits in which two parity vectors differ, the longer one folded to the length of the other."""
+    if len(a) < len(b):
+        a, b = b, a
+    x, size = int.from_bytes(a, "little"), len(a)
+    while size > len(b):
+        size //= 2
+        x = x >> 8 * size ^ x & (1 << 8 * size) - 1
+    return (x ^ int.from_bytes(b, "little")).bit_count()
+
+
 def sketches(docs: DataFrame, size: int = 5) -> DataFrame:
-    """node, sketch number and fingerprint of SKETCHES samples of each distinct text's distinct shingles.
+    """node, sketch number and fingerprint of SKETCHES samples of each text's distinct shingles.
 
-    The last number has the hash of the whole set, equal for equal sets. Sample t is the SKETCH_SHINGLES smallest shingle hashes under the t-th rehash, so
+    The last number has the hash of the whole set, equal for equal sets, the set's size ``n`` and its parity vector.
+    Sample t is the SKETCH_SHINGLES smallest shingle hashes under the t-th rehash, so
     similar texts often have an equal sample and thus fingerprints at distance zero.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         odd = np.random.default_rng(SEED).integers(1, 2**63, SKETCHES).astype(np.uint64) * np.uint64(2) + np.uint64(1)
         for batch in small(batches):
-            nodes, values = [], []
+            nodes, values, last = [], [], []  # last: what the last number alone has
             for node, text in zip(batch.column("node").to_pylist(), batch.column("text").cast(pa.binary()).to_pylist()):
                 hashes = np.unique(shingle_hashes(text or b"", size))
                 if len(hashes):
                     nodes.append(node)
+                    last += [(None, None, None)] * SKETCHES + [(len(hashes), *parity(hashes))]
                     rehashed = hashes[None, :] * odd[:, None]
                     rehashed ^= rehashed >> np.uint64(31)
                     k = min(SKETCH_SHINGLES, len(hashes))
@@ -169,9 +203,11 @@ def sketches(docs: DataFrame, size: int = 5) -> DataFrame:
                     values.extend(map(simhash, least))
                     values.append(xxhash.xxh64_intdigest(hashes.tobytes(), SEED))
             yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.array(nodes, np.int64), SKETCHES + 1)), pa.array(np.tile(np.arange(SKETCHES + 1, dtype=np.int32), len(nodes))),
-                                              pa.array(np.array(values, np.uint64).view(np.int64))], names=["node", "sketch", "fp"])
+                                              pa.array(np.array(values, np.uint64).view(np.int64)), pa.array([x for x, _, _ in last], pa.int64()), pa.array([x for _, x, _ in last], pa.binary()),
+                                              *(pa.array([None if x is None else x[i] for _, _, x in last], pa.int64()) for i in range(len(PARITY_WORDS)))],
+                                             names=["node", "sketch", "fp", "n", "parity", *PARITY_WORDS])
 
-    return docs.select(F.xxhash64("text").alias("node"), "text").mapInArrow(run, "node long, sketch int, fp long")
+    return docs.select(F.xxhash64("text").alias("node"), "text").mapInArrow(run, "node long, sketch int, fp long, n long, parity binary, " + ", ".join(f"{w} long" for w in PARITY_WORDS))
 
 
 #: Rows whose shingles are counted to tell the frequent ones, and how many of these the tasks know. Both only set the order of shingles.
@@ -337,6 +373,20 @@ def _verified(docs: DataFrame, pairs: DataFrame, size: int, similarity: float) -
     return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
+def _possible(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The ``pairs`` (a, b) whose parity vectors do not rule ``similarity`` out."""
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in small(batches, 2000):
+            most = (batch.column("n").to_numpy() * ((1 - similarity) / (1 + similarity)) + 1e-6).tolist()
+            kept = [parity_distance(x, y) <= m for x, y, m in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), most)]
+            yield batch.select(["a", "b"]).filter(pa.array(kept, pa.bool_()))
+
+    own = sets.select(F.col("node").alias("a"), F.col("n").alias("_n"), F.col("parity").alias("x"))
+    other = sets.select(F.col("node").alias("b"), "n", F.col("parity").alias("y"))
+    return pairs.join(own, "a").join(other, "b").select("a", "b", (F.col("_n") + F.col("n")).alias("n"), "x", "y").mapInArrow(near, "a long, b long")
+
+
 def similar_links(docs: DataFrame, size: int = 5, similarity: float = 0.8) -> DataFrame:
     """Links (a, b) of distinct texts whose shingle sets have a Jaccard similarity of at least ``similarity``.
 
@@ -345,9 +395,11 @@ def similar_links(docs: DataFrame, size: int = 5, similarity: float = 0.8) -> Da
     one of them that shares the most sketches with others (the original of its copies), each text the one such
     head that it shares most sketches with, so a group costs a row per member. What these links
     leave apart meets by an exact prefix filter: similar texts share one of their first
-    shingles, rarest first, with enough behind it in both. All pairs that met are verified.
+    shingles, rarest first, with enough behind it in both, and their parity vectors are near
+    enough: the short ones inside the join, the whole ones of the pairs that are left. All pairs that remain are verified.
     """
-    drawn = sketches(docs, size).distinct()
+    every = stored(sketches(docs, size), compression="zstd")
+    drawn = every.select("node", "sketch", "fp").distinct()
     shared = drawn.groupBy("sketch", "fp").agg(F.count("*").alias("n")).where("n > 1")
     drawn = stored(drawn.join(shared, ["sketch", "fp"]), compression="zstd")
     weights = drawn.groupBy("node").agg(F.sum("n").alias("weight"))
@@ -361,14 +413,21 @@ def similar_links(docs: DataFrame, size: int = 5, similarity: float = 0.8) -> Da
     rooted = first.join(roots, "node", "left").select("shingle", "node", "packed", F.coalesce("root", "node").alias("root"))
     first = stored(_several(rooted, "shingle", "root").select(
         "shingle", "node", "root", F.shiftright("packed", 32).alias("n"), F.shiftright(F.col("packed").bitwiseAND(0xFFFFFFFF), 1).alias("place"), (F.col("packed").bitwiseAND(1) == 1).alias("small")), compression="zstd")
+    sets = every.where(F.col("n").isNotNull()).select("node", "n", "parity", *PARITY_WORDS)
+    sets = stored(sets.join(first.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"]), compression="zstd")
+    first = first.join(sets.select("node", *PARITY_WORDS), "node")
     x, y = first.where("small").alias("x"), first.alias("y")
+    apart = reduce(add, (F.bit_count(F.col(f"x.{w}").bitwiseXOR(F.col(f"y.{w}"))) for w in PARITY_WORDS))
+    most = F.lit((1 - similarity) / (1 + similarity)) * (F.col("x.n") + F.col("y.n")) + 1e-6  # shingles not in common
     least = F.lit(similarity / (1 + similarity)) * (F.col("x.n") + F.col("y.n")) - 1e-6  # shingles in common
     meet = (
         (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.root") != F.col("y.root"))
         & ((F.col("x.n") < F.col("y.n")) | ((F.col("x.n") == F.col("y.n")) & (F.col("x.node") < F.col("y.node"))))
         & (F.least(F.col("x.n") - F.col("x.place"), F.col("y.n") - F.col("y.place")) >= least)  # true of the first shingle that a pair shares
+        & (apart <= most)
     )
-    rest = stored(x.join(y, meet).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct(), compression="zstd")
+    met = x.join(y, meet).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
+    rest = stored(_possible(met, sets, similarity), compression="zstd")
     return linked.union(_verified(docs, rest, size, similarity))
 
 

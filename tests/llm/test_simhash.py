@@ -4,7 +4,7 @@ import numpy as np
 import xxhash
 
 from citeloom.operators.components import connected_components
-from citeloom.llm.simhash import keep_one_of_each, near_duplicates, near_links, similar_links, simhash, shingle_hashes
+from citeloom.llm.simhash import keep_one_of_each, near_duplicates, near_links, parity, parity_distance, similar_links, simhash, shingle_hashes
 
 
 def brute_print(text):
@@ -130,3 +130,40 @@ def test_shingles_that_several_texts_hold(spark):
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
         assert sorted(map(tuple, _shared(df).collect())) == want
     spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_parity_distance_is_a_lower_bound():
+    rng = np.random.default_rng(8)
+    for n, m, common in [(1, 1, 1), (1, 0, 0), (300, 320, 290), (511, 514, 480), (512, 513, 512), (1000, 1100, 990), (5000, 900, 0), (3000, 3000, 2900)]:
+        both, x, y = (rng.integers(0, 2**63, k).astype(np.uint64) for k in (common, n - common, m - common))
+        a, b = (parity(np.concatenate([both, own])) for own in (x, y))
+        apart = len(x) + len(y)
+        short = int(np.bitwise_count((a[1] ^ b[1]).view(np.uint64)).sum())
+        assert short <= apart and parity_distance(a[0], b[0]) <= apart and parity_distance(a[0], b[0]) == parity_distance(b[0], a[0])
+        assert (apart - short) % 2 == 0 and (apart > 20 or parity_distance(a[0], b[0]) > 0 or not apart)
+    assert parity_distance(parity(both)[0], parity(both)[0]) == 0
+
+
+def test_pairs_around_the_threshold(spark, make_docs):
+    rng, rows = random.Random(9), []
+    for k, n in enumerate([30, 120, 400, 520, 700, 1100, 2100] * 3):
+        words = [f"g{k}w{i}" for i in range(n)]
+        rows.append((10 * k, " ".join(words)))
+        for copy in range(1, 5):  # several end close to 0.8
+            other = list(words)
+            for i in rng.sample(range(n), max(1, int(n * 0.024 * rng.uniform(0.6, 1.4)))):
+                other[i] = f"g{k}c{copy}x{i}"
+            rows.append((10 * k + copy, " ".join(other)))
+    docs = make_docs(rows)
+    node = {r.doc_id: r.node for r in docs.selectExpr("doc_id", "xxhash64(text) as node").collect()}
+    sets = {node[i]: set(shingle_hashes(t.encode(), 5).tolist()) for i, t in rows}
+
+    def similar(x, y):
+        return len(sets[x] & sets[y]) >= 0.8 * len(sets[x] | sets[y])
+
+    want = {(x, y) for x in sets for y in sets if x < y and similar(x, y)}
+    apart = [(node[10 * k + a], node[10 * k + b]) for k in range(21) for a in range(5) for b in range(a) if not similar(node[10 * k + a], node[10 * k + b])]
+    links = [tuple(sorted(r)) for r in similar_links(docs).collect()]
+    assert set(links) <= want and len(apart) > 20
+    roots = lambda pairs: {tuple(r) for r in connected_components(spark.createDataFrame(sorted(pairs), "a long, b long")).collect()}
+    assert roots(links) == roots(want)
