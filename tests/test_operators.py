@@ -325,3 +325,42 @@ def test_rule_words_end_at_ascii_letters(spark):
     assert rows(R.rule_counts(df, ["k"], "text", {"n": [rule]}).select("k", "n")) == [(1, 1), (2, 0), (3, 1), (4, 1)]
     assert rows(R.rule_findings(df, ["k"], "text", [("r", rule, "error", "m")]).select("k")) == [(1,), (4,)]
     assert R.ascii_edges(r"a\\b") == r"a\\b"
+
+
+def test_cycles_and_paths_against_enumeration(spark):
+    rng = random.Random(11)
+    pairs = sorted({(rng.randrange(14), rng.randrange(14)) for _ in range(60)})
+    follow = {}
+    for a, b in pairs:
+        follow.setdefault(a, []).append(b)
+
+    def walk(path, limit, done):
+        if len(path) == limit:
+            return
+        for b in follow.get(path[-1], []):
+            if b not in path:
+                done.append((*path, b))
+                walk((*path, b), limit, done)
+
+    simple = []
+    for start in range(14):
+        walk((start,), 9, simple)
+    e = spark.createDataFrame(pairs, "src bigint, dst bigint")
+    loops = [(a,) for a, b in pairs if a == b]
+    for length in (2, 3, 4, 5):
+        want = loops + [p for p in simple if len(p) <= length and p[0] == min(p) and p[0] in follow.get(p[-1], [])]
+        assert sorted(tuple(r["cycle"]) for r in G.find_cycles(e, length).collect()) == sorted(want)
+    ends = {p[-1] for p in simple if p[0] == 0} - {0}
+    goal = max(ends)
+
+    def first(path):  # a path ends where it first meets the goal
+        return goal not in path[:-1]
+
+    assert sorted(tuple(r["path"]) for r in G.all_simple_paths(e, 0, goal, 9).collect()) == sorted(p for p in simple if p[0] == 0 and p[-1] == goal and first(p))
+
+
+def test_path_and_cycle_queries_keep_their_length():
+    import __spark_entry__ as entry
+
+    sql = entry.oracle_sql()
+    assert "len(path) <= 9" in sql["all_simple_paths"] and "near.dist < 8" in sql["shortest_path"] and "len(path) <= 5" in sql["find_cycles"]
