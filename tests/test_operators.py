@@ -364,3 +364,13 @@ def test_path_and_cycle_queries_keep_their_length():
 
     sql = entry.oracle_sql()
     assert "len(path) <= 9" in sql["all_simple_paths"] and "near.dist < 8" in sql["shortest_path"] and "len(path) <= 5" in sql["find_cycles"]
+
+
+def test_stream_shards_hold_several_keys_apart(spark):
+    """The verdicts of a key do not depend on the keys that share its shard."""
+    _, df = usage(spark, 80)
+    machine, verdicts = steps.circuit_breaker(2, 60, 2), "allowed boolean, state string"
+    events = df.select("event_id", "user_id", F.col("ts").cast("timestamp_ntz").alias("ts"), "ok")
+    end = spark.sql("SELECT 9999L AS event_id, 999L AS user_id, TIMESTAMP_NTZ '2100-01-01 00:00:00' AS ts, true AS ok")
+    got = run_arrivals([events, end], lambda s: L.run_machine(s, machine, verdicts, ok=F.col("ok"), shards=1))
+    assert events.select("user_id").distinct().count() > 1 and rows(got.drop("late")) == rows(P.replay(df, machine, verdicts, key="user_id", ok="ok"))
