@@ -128,14 +128,21 @@ def _default_encoder() -> Callable[[list[str]], np.ndarray]:
     return encode
 
 
+ENCODED_ROWS = 512
+
+
 def model_embed(text: Column, factory: Callable[[], Callable[[list[str]], np.ndarray]] = _default_encoder) -> Column:
-    """Embed with a pluggable encoder that is built once per Python worker."""
+    """Embed with a pluggable encoder that is built once per Python worker.
+
+    An Arrow batch is encoded and handed on in parts of ENCODED_ROWS texts, so a worker never holds its vectors as a whole.
+    """
 
     @F.pandas_udf("array<double>")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         encode = factory()
         for batch in batches:
-            yield pd.Series(list(encode(batch.tolist())))
+            for start in range(0, len(batch), ENCODED_ROWS):
+                yield pd.Series(list(encode(batch.iloc[start:start + ENCODED_ROWS].tolist())))
 
     return run(text)
 

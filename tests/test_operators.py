@@ -374,3 +374,17 @@ def test_stream_shards_hold_several_keys_apart(spark):
     end = spark.sql("SELECT 9999L AS event_id, 999L AS user_id, TIMESTAMP_NTZ '2100-01-01 00:00:00' AS ts, true AS ok")
     got = run_arrivals([events, end], lambda s: L.run_machine(s, machine, verdicts, ok=F.col("ok"), shards=1))
     assert events.select("user_id").distinct().count() > 1 and rows(got.drop("late")) == rows(P.replay(df, machine, verdicts, key="user_id", ok="ok"))
+
+
+def test_model_embed_encodes_in_bounded_parts(spark):
+    def factory():
+        def encode(texts):
+            return np.full((len(texts), 2), float(len(texts)))  # every vector tells how many were encoded with it
+        return encode
+
+    n = 2 * V.ENCODED_ROWS + 7
+    got = spark.range(n, numPartitions=1).select("id", V.model_embed(F.col("id").cast("string"), factory).alias("v")).collect()
+    assert sorted(r["id"] for r in got) == list(range(n)) and max(r["v"][0] for r in got) == V.ENCODED_ROWS
+    plain = V._default_encoder()
+    words = spark.range(n, numPartitions=1).select("id", V.model_embed(F.col("id").cast("string")).alias("v")).collect()
+    assert all(r["v"] == plain([str(r["id"])])[0].tolist() for r in words)
