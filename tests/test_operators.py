@@ -388,3 +388,36 @@ def test_model_embed_encodes_in_bounded_parts(spark):
     plain = V._default_encoder()
     words = spark.range(n, numPartitions=1).select("id", V.model_embed(F.col("id").cast("string")).alias("v")).collect()
     assert all(r["v"] == plain([str(r["id"])])[0].tolist() for r in words)
+
+
+def test_graded_graphs(spark):
+    """Every edge goes down by one layer: closure, counts and depths equal a walk from every node."""
+    rng = random.Random(31)
+    pairs = [(10 * u + rng.randrange(8), 10 * u - 10 + rng.randrange(5)) for u in range(1, 5) for _ in range(15)]
+    pairs += [(10 * u + k, 10 * u - 10) for u in range(1, 5) for k in range(5)]  # no chain ends early
+    e = G.cut_lineage(spark.createDataFrame(pairs, "src long, dst long").distinct())
+    assert G._graded(G.cut_lineage(e.union(spark.createDataFrame([(41, 3)], e.schema)))) is None  # passes over layers
+    want, up = _reached(pairs), {}
+    for met in want.values():
+        for d in met:
+            up[d] = up.get(d, 0) + 1
+    assert {(r.seed, r.id): r.depth for r in G.closure(e).collect()} == {(s, d): n for s, met in want.items() for d, n in met.items()}
+    assert {r.id: (r.reachable, r.depth) for r in G.closure_sizes(e, depth_limit=2).collect()} == {s: (len(met), min(2, max(met.values()))) for s, met in want.items()}
+    nodes = e.selectExpr("explode(array(src, dst)) AS id").distinct().withColumn("file", F.lit("f"))
+    got = {r.id: (r.dependencies, r.dependents, r.depth) for r in G.node_profile(nodes, e).collect()}
+    assert got == {i: (len(want.get(i, ())), up.get(i, 0), max(want.get(i, {0: 0}).values())) for i in {x for p in pairs for x in p}}
+
+
+def test_node_profile_writes_few_tables(spark, monkeypatch):
+    written, write = [], G.cut_lineage
+    monkeypatch.setattr(G, "cut_lineage", lambda df: written.append(1) or write(df))
+    e = spark.createDataFrame([(f"{u}:{k}", f"{u - 1}:{k % 3}") for u in range(1, 5) for k in range(6)], "src string, dst string")
+    nodes = e.selectExpr("explode(array(src, dst)) AS id").distinct().withColumn("file", F.lit("f"))
+    assert G.node_profile(nodes, e).count() == 27
+    assert len(written) < 25  # over 60 when each direction was layered, folded and walked on its own
+
+
+def test_layers_above_unknown_nodes(spark):
+    e = spark.createDataFrame([("a", "b"), ("b", "c"), ("d", "gone"), ("f", "d"), ("x", "y"), ("y", "x"), ("z", "x"), ("x", "c")], "src string, dst string")
+    nodes = spark.createDataFrame([(i,) for i in "abcdfxyz"], "id string")
+    assert {r.id: r.layer for r in G.topological_layers(nodes, e).collect()} == {"a": 2, "b": 1, "c": 0, "d": None, "f": None, "x": None, "y": None, "z": None}
