@@ -320,6 +320,29 @@ BROADCAST_KEYS = 4_000_000
 HASH_BYTES = 5
 
 
+def _blank():
+    """Whether a text has no words."""
+    return ~F.coalesce("text", F.lit("")).rlike("[^\\x20\\x09-\\x0D]")
+
+
+def fingerprint_pairs(docs: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
+    """Pairs (a, b) of different texts that the operator's links suggest as near-duplicates, at most two for a text.
+
+    Texts of one fingerprint meet the first of them. The first ones of linked fingerprints meet too, each fingerprint
+    the one of its links that has most links itself (the original of its copies), so a group costs a row per member.
+    """
+    texts = stored(fingerprints(docs.where(~_blank())).select("node", "fp").distinct(), compression="zstd")
+    classes = stored(texts.groupBy("fp").agg(F.min("node").alias("first")), compression="zstd")
+    links = stored(near_links(classes, max_bits), compression="zstd")
+    ends = links.union(links.select("b", "a"))
+    weights = ends.groupBy(F.col("a").alias("b")).agg(F.count("*").alias("weight"))
+    heads = ends.join(weights, "b").groupBy("a").agg(F.max(F.struct("weight", "b"))["b"].alias("b"))
+    first = lambda end: classes.select(F.col("fp").alias(end), F.col("first").alias(f"{end}_first"))
+    linked = heads.join(first("a"), "a").join(first("b"), "b").select(F.col("b_first").alias("a"), F.col("a_first").alias("b"))
+    equal = texts.join(classes, "fp").where("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b"))
+    return linked.union(equal)
+
+
 def _named(keys: DataFrame) -> DataFrame:
     """A stored table of keys, sent to every task if it has at most BROADCAST_KEYS rows."""
     return F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys
@@ -387,11 +410,27 @@ def _possible(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame
     return pairs.join(own, "a").join(other, "b").select("a", "b", (F.col("_n") + F.col("n")).alias("n"), "x", "y").mapInArrow(near, "a long, b long")
 
 
+def _meeting(first: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (a, b) of texts of different roots that share a first shingle and may reach ``similarity``, a row per such shingle."""
+    x, y = first.where("small").alias("x"), first.alias("y")
+    apart = reduce(add, (F.bit_count(F.col(f"x.{w}").bitwiseXOR(F.col(f"y.{w}"))) for w in PARITY_WORDS))
+    most = F.lit((1 - similarity) / (1 + similarity)) * (F.col("x.n") + F.col("y.n")) + 1e-6  # shingles not in common
+    least = F.lit(similarity / (1 + similarity)) * (F.col("x.n") + F.col("y.n")) - 1e-6  # shingles in common
+    meet = (
+        (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.root") != F.col("y.root"))
+        & ((F.col("x.n") < F.col("y.n")) | ((F.col("x.n") == F.col("y.n")) & (F.col("x.node") < F.col("y.node"))))
+        & (F.least(F.col("x.n") - F.col("x.place"), F.col("y.n") - F.col("y.place")) >= least)  # true of the first shingle that a pair shares
+        & (apart <= most)
+    )
+    return x.join(y, meet).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
+
+
 def similar_links(docs: DataFrame, size: int = 5, similarity: float = 0.8) -> DataFrame:
     """Links (a, b) of distinct texts whose shingle sets have a Jaccard similarity of at least ``similarity``.
 
     The components of the links are those of all such pairs; of a group not every pair is
-    named. Texts of equal sets are linked to one of them. Texts that share a sketch meet the
+    named. First come the links of operator 5: fingerprints within MAX_BITS bits, found over the grid of half
+    embeddings (``fingerprint_pairs``). Texts of equal sets are linked to one of them. Texts that share a sketch meet the
     one of them that shares the most sketches with others (the original of its copies), each text the one such
     head that it shares most sketches with, so a group costs a row per member. What these links
     leave apart meets by an exact prefix filter: similar texts share one of their first
@@ -405,7 +444,8 @@ def similar_links(docs: DataFrame, size: int = 5, similarity: float = 0.8) -> Da
     weights = drawn.groupBy("node").agg(F.sum("n").alias("weight"))
     heads = drawn.join(weights, "node").groupBy("sketch", "fp").agg(F.max(F.struct("weight", "node"))["node"].alias("head"))
     met = drawn.join(heads, ["sketch", "fp"]).where("node <> head").groupBy("node", "head").agg(F.count("*").alias("shared"))
-    pairs = stored(met.groupBy("node").agg(F.max(F.struct("shared", "head"))["head"].alias("a")).select("a", F.col("node").alias("b")), compression="zstd")
+    sketched = met.groupBy("node").agg(F.max(F.struct("shared", "head"))["head"].alias("a")).select("a", F.col("node").alias("b"))
+    pairs = stored(fingerprint_pairs(docs).union(sketched).distinct(), compression="zstd")
     linked = stored(_verified(docs, pairs, size, similarity), compression="zstd")
 
     roots = stored(connected_components(linked), compression="zstd")
@@ -416,17 +456,7 @@ def similar_links(docs: DataFrame, size: int = 5, similarity: float = 0.8) -> Da
     sets = every.where(F.col("n").isNotNull()).select("node", "n", "parity", *PARITY_WORDS)
     sets = stored(sets.join(first.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"]), compression="zstd")
     first = first.join(sets.select("node", *PARITY_WORDS), "node")
-    x, y = first.where("small").alias("x"), first.alias("y")
-    apart = reduce(add, (F.bit_count(F.col(f"x.{w}").bitwiseXOR(F.col(f"y.{w}"))) for w in PARITY_WORDS))
-    most = F.lit((1 - similarity) / (1 + similarity)) * (F.col("x.n") + F.col("y.n")) + 1e-6  # shingles not in common
-    least = F.lit(similarity / (1 + similarity)) * (F.col("x.n") + F.col("y.n")) - 1e-6  # shingles in common
-    meet = (
-        (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.root") != F.col("y.root"))
-        & ((F.col("x.n") < F.col("y.n")) | ((F.col("x.n") == F.col("y.n")) & (F.col("x.node") < F.col("y.node"))))
-        & (F.least(F.col("x.n") - F.col("x.place"), F.col("y.n") - F.col("y.place")) >= least)  # true of the first shingle that a pair shares
-        & (apart <= most)
-    )
-    met = x.join(y, meet).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
+    met = _meeting(first, similarity).distinct()
     rest = stored(_possible(met, sets, similarity), compression="zstd")
     return linked.union(_verified(docs, rest, size, similarity))
 
@@ -435,14 +465,12 @@ def keep_one_of_each(docs: DataFrame, words: int = 5, similarity: float = 0.8) -
     """``docs`` without the near-duplicates of a document with a smaller doc_id.
 
     Near-duplicates are texts whose ``words``-word shingle sets reach ``similarity``; groups
-    are the components of their links. Fingerprints within three bits alone are none: a
-    line repeated often decides the fingerprint of otherwise different texts, and texts that
-    reach the similarity are all found without them. Of each group the row with the smallest
+    are the components of their links. The fingerprints' links name pairs first, and every pair
+    is verified: a line repeated often decides the fingerprint of otherwise different texts. Of each group the row with the smallest
     doc_id stays (a row without one only if all lack it), of equal rows one. Texts without
     words are one group.
     """
-    blank = ~F.coalesce("text", F.lit("")).rlike("[^\\x20\\x09-\\x0D]")
-    keyed = stored(docs.select(F.col("doc_id").cast("long"), row_key().alias("row"), F.when(blank, F.lit(0).cast("long")).otherwise(F.xxhash64("text")).alias("node")), compression="zstd")
+    keyed = stored(docs.select(F.col("doc_id").cast("long"), row_key().alias("row"), F.when(_blank(), F.lit(0).cast("long")).otherwise(F.xxhash64("text")).alias("node")), compression="zstd")
     roots = connected_components(similar_links(docs, words, similarity))
     grouped = keyed.join(roots, "node", "left").withColumn("group", F.coalesce("root", "node"))
     first = F.min(F.struct(F.coalesce("doc_id", F.lit((1 << 63) - 1)), "row"))  # smallest doc_id, null last

@@ -167,3 +167,26 @@ def test_pairs_around_the_threshold(spark, make_docs):
     assert set(links) <= want and len(apart) > 20
     roots = lambda pairs: {tuple(r) for r in connected_components(spark.createDataFrame(sorted(pairs), "a long, b long")).collect()}
     assert roots(links) == roots(want)
+
+
+def test_the_operators_links_come_first(spark, make_docs, monkeypatch):
+    import citeloom.llm.simhash as module
+
+    rng, rows = random.Random(11), []
+    for k in range(6):
+        words = [f"k{k}w{i}" for i in range(600)]
+        for copy in range(4):
+            other = list(words)
+            if copy:
+                other[rng.randrange(600)] = f"k{k}c{copy}"
+            rows.append((10 * k + copy, " ".join(other)))
+    rows += [(90, None), (91, " \n")]
+    docs = make_docs(rows)
+    prints = {i: brute_print(t) for i, t in rows[:24]}
+    node = {r.doc_id: r.node for r in docs.selectExpr("doc_id", "xxhash64(text) as node").collect()}
+    near = {frozenset((node[x], node[y])) for x in prints for y in prints if x != y and (prints[x] ^ prints[y]).bit_count() <= 3}
+    pairs = [frozenset(r) for r in module.fingerprint_pairs(docs).collect()]
+    assert near and set(pairs) <= near and len(pairs) <= 48 and {n for p in near for n in p} == {n for p in pairs for n in p}
+    asked = []
+    monkeypatch.setattr(module, "near_links", lambda *a: asked.append(a) or near_links(*a))
+    assert sorted(r.doc_id for r in keep_one_of_each(docs).collect()) == [0, 10, 20, 30, 40, 50, 90] and asked
