@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from citeloom.functions import scoring as S, text as X
-from citeloom.session import cut_lineage
+from citeloom.session import cut_lineage, dealt
 
 from .ranking import top_per_group
 
@@ -17,6 +17,8 @@ from .ranking import top_per_group
 BLOCK_BYTES = 64 << 20
 BLOCK_ROWS = 2048
 NORM_FLOOR = 1e-9
+#: Names or lines of code whose vectors are made in one task.
+CODE_ROWS = 50_000
 
 
 # Column forms ---------------------------------------------------------------
@@ -34,10 +36,10 @@ def cosine(a: Column, b: Column) -> Column:
 # Encoders in long form (key, idx, value) --------------------------------------
 
 def _unit(weights: DataFrame, key: str) -> DataFrame:
-    """L2-normalise long-form vectors."""
-    norm = weights.groupBy(key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
+    """L2-normalise long-form vectors; a window holds the entries of one vector."""
+    norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(key)))
     value = F.when(F.col("norm") > NORM_FLOOR, F.col("w") / F.col("norm")).otherwise(F.col("w"))
-    return weights.join(norm, key).select(key, "idx", value.alias("value")).filter("value <> 0")
+    return weights.withColumn("norm", norm).select(key, "idx", value.alias("value")).filter("value <> 0")
 
 
 def dense(vectors: DataFrame, key: str, dim: int) -> DataFrame:
@@ -69,7 +71,7 @@ def hash_embed_signed(counts: DataFrame, key: str, dim: int = 512) -> DataFrame:
 
 def hash_embed_code(df: DataFrame, key: str, tokens: Column, dim: int = 512) -> DataFrame:
     """Eight buckets per code token, earlier tokens weigh more."""
-    rows = df.select(key, F.size(tokens).alias("size"), F.posexplode(tokens).alias("pos", "token"))
+    rows = dealt(df, key, CODE_ROWS).select(key, F.size(tokens).alias("size"), F.posexplode(tokens).alias("pos", "token"))
     digest = rows.withColumn("h", F.sha2("token", 256))
     parts = digest.select(key, ((F.col("size") - F.col("pos")) / F.col("size")).alias("w"), F.explode(F.array(
         *[(_hex(F.substring("h", j * 8 + 1, 8)) % dim).cast("int") for j in range(8)])).alias("idx"))

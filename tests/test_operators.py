@@ -1,5 +1,6 @@
 """Operators against brute force on small random inputs, and their edge cases."""
 
+import hashlib
 import random
 
 import numpy as np
@@ -421,3 +422,22 @@ def test_layers_above_unknown_nodes(spark):
     e = spark.createDataFrame([("a", "b"), ("b", "c"), ("d", "gone"), ("f", "d"), ("x", "y"), ("y", "x"), ("z", "x"), ("x", "c")], "src string, dst string")
     nodes = spark.createDataFrame([(i,) for i in "abcdfxyz"], "id string")
     assert {r.id: r.layer for r in G.topological_layers(nodes, e).collect()} == {"a": 2, "b": 1, "c": 0, "d": None, "f": None, "x": None, "y": None, "z": None}
+
+
+def test_code_vectors_move_names_once(spark):
+    names = [(1, "load data load"), (1, "data"), (2, "load"), (3, "x y z"), (None, "x")]
+    df = spark.createDataFrame(names, "k long, name string")
+    tokens = F.split("name", " ")
+    got = V.hash_embed_code(df, "k", tokens, 64)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "Join" not in plan
+    want = {}
+    for k, name in names:
+        parts = name.split(" ")
+        for pos, token in enumerate(parts):
+            for j in range(8):
+                idx = int(hashlib.sha256(token.encode()).hexdigest()[j * 8:j * 8 + 8], 16) % 64
+                want[k, idx] = want.get((k, idx), 0.0) + (len(parts) - pos) / len(parts)
+    norm = {k: sum(v * v for (o, _), v in want.items() if o == k) ** 0.5 for k, _ in names}
+    rows = {(r.k, r.idx): round(r.value, 9) for r in got.collect()}
+    assert rows == {(k, i): round(v / norm[k], 9) for (k, i), v in want.items()}
