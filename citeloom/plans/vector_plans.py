@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from citeloom.functions import constants as K, scoring as S, text as X
 from citeloom.operators import search as Q, vectors as V
+from citeloom.session import cut_lineage, dealt
 
 from .registry import query
 from .scalar_plans import _in
@@ -124,9 +125,9 @@ def tfidf_embed(t):
 
 @query("tfidf_embed_code")
 def tfidf_embed_code(t):
-    lines = t("code_lines")
-    counts = Q.term_counts(lines, "row_id", X.code_tokens(F.col("content")))
-    idf = Q.document_frequency(counts, lines.count())
+    lines = t("code_lines").select("row_id", "content")
+    counts = Q.term_counts(dealt(lines, "row_id", V.CODE_ROWS), "row_id", X.code_tokens(F.col("content")))
+    idf = cut_lineage(Q.document_frequency(counts, lines.count()))
     return V.tfidf_embed_code(counts, "row_id", idf).withColumn("value", S.rounded(F.col("value"), 6))
 
 
