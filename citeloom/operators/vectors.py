@@ -19,6 +19,8 @@ BLOCK_ROWS = 2048
 NORM_FLOOR = 1e-9
 #: Names or lines of code whose vectors are made in one task.
 CODE_ROWS = 50_000
+#: Texts whose words are counted in one task.
+TEXT_ROWS = 4_000
 
 
 # Column forms ---------------------------------------------------------------
@@ -92,15 +94,13 @@ def hash_embed_text(df: DataFrame, key: str, text: Column, dim: int = 512) -> Da
 
 def tfidf_embed(counts: DataFrame, key: str, n_docs: int, max_features: int = 2048) -> DataFrame:
     """tf/total x smoothed idf over the most frequent terms (df falling, then term), normalised."""
-    from pyspark.sql import Window
-
     df = counts.groupBy("term").agg(F.count("*").alias("df"))
     vocab = df.orderBy(F.desc("df"), "term").limit(max_features)
-    ranked = vocab.withColumn("idx", F.row_number().over(Window.orderBy(F.desc("df"), "term")) - 1).select(
-        "term", "idx", (F.log(F.lit(1.0 + n_docs) / (F.col("df") + 1)) + 1.0).alias("idf"))
-    total = counts.groupBy(key).agg(F.sum("n").alias("total"))
+    ranked = cut_lineage(vocab.withColumn("idx", F.row_number().over(Window.orderBy(F.desc("df"), "term")) - 1).select(
+        "term", "idx", (F.log(F.lit(1.0 + n_docs) / (F.col("df") + 1)) + 1.0).alias("idf")))
+    total = F.sum("n").over(Window.partitionBy(key))
     # The vocabulary holds at most max_features rows.
-    w = counts.join(F.broadcast(ranked), "term").join(total, key)
+    w = counts.withColumn("total", total).join(F.broadcast(ranked), "term")
     return _unit(w.select(key, "idx", (F.col("n") / F.col("total") * F.col("idf")).alias("w")), key)
 
 

@@ -441,3 +441,19 @@ def test_code_vectors_move_names_once(spark):
     norm = {k: sum(v * v for (o, _), v in want.items() if o == k) ** 0.5 for k, _ in names}
     rows = {(r.k, r.idx): round(r.value, 9) for r in got.collect()}
     assert rows == {(k, i): round(v / norm[k], 9) for (k, i), v in want.items()}
+
+
+def test_text_vectors_move_texts_once(spark):
+    from citeloom.operators import search as Q
+    from citeloom.session import dealt
+
+    docs = spark.createDataFrame([(1, "a b a"), (1, "b c"), (2, "c"), (None, "a")], "k long, text string")
+    counts = Q.term_counts(dealt(docs, "k", 2), "k", F.split("text", " "))
+    for got in (V.hash_embed_signed(counts, "k", 64), V.tfidf_embed(counts, "k", 4)):
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange hashpartitioning") == 1 and "SortMergeJoin" not in plan
+    idf = {t: np.log(5 / (d + 1)) + 1 for t, d in (("a", 2), ("b", 1), ("c", 2))}
+    w = {(1, "a"): 2 / 5 * idf["a"], (1, "b"): 2 / 5 * idf["b"], (1, "c"): 1 / 5 * idf["c"], (2, "c"): idf["c"], (None, "a"): idf["a"]}
+    norm = {k: sum(v * v for (o, _), v in w.items() if o == k) ** 0.5 for k in (1, 2, None)}
+    got = {(r.k, "acb"[r.idx]): round(r.value, 9) for r in V.tfidf_embed(counts, "k", 4).collect()}
+    assert got == {(k, t): round(v / norm[k], 9) for (k, t), v in w.items()}
