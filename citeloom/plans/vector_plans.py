@@ -76,7 +76,8 @@ _EMB_TOKENS = f"[w for w in regexp_extract_all(lower(text), '[a-z0-9_]+') if len
 
 
 def _embed_counts(t, drop=True):
-    return Q.term_counts(t("documents"), "doc_id", X.identifier_tokens(F.col("text"), drop))
+    docs = dealt(t("documents").select("doc_id", "text"), "doc_id", V.TEXT_ROWS)
+    return Q.term_counts(docs, "doc_id", X.identifier_tokens(F.col("text"), drop))
 
 
 def _unit_sql(key: str) -> str:
