@@ -457,3 +457,11 @@ def test_text_vectors_move_texts_once(spark):
     norm = {k: sum(v * v for (o, _), v in w.items() if o == k) ** 0.5 for k in (1, 2, None)}
     got = {(r.k, "acb"[r.idx]): round(r.value, 9) for r in V.tfidf_embed(counts, "k", 4).collect()}
     assert got == {(k, t): round(v / norm[k], 9) for (k, t), v in w.items()}
+
+
+def test_failing_modules_look_up_each_candidate_once(spark):
+    logs = spark.createDataFrame([(r, "FAILED tests/test_unit1.py::case - boom") for r in range(5)] + [(9, "1 passed"), (None, 'File "/w/src/pkg/unit2.py", line 3')], "run_id long, text string")
+    modules = spark.createDataFrame([("m1", "src/pkg/unit1.py", "tests/test_unit1.py"), ("m2", "src/pkg/unit2.py", "tests/test_unit2.py")], "module_id string, file_path string, test_path string")
+    got = J.failing_modules(logs, modules)
+    assert sorted(map(tuple, got.collect()), key=str) == sorted([*((r, "m1") for r in range(5)), (None, "m2")], key=str)
+    assert "Aggregate [candidate#" in got._jdf.queryExecution().optimizedPlan().toString()
