@@ -465,3 +465,42 @@ def test_failing_modules_look_up_each_candidate_once(spark):
     got = J.failing_modules(logs, modules)
     assert sorted(map(tuple, got.collect()), key=str) == sorted([*((r, "m1") for r in range(5)), (None, "m2")], key=str)
     assert "Aggregate [candidate#" in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+def _many_tops():
+    pairs = [(f"t{k}", f"m{k % 3}") for k in range(40)] + [("u", "m0"), ("u", "m1")] + [(f"m{k}", f"n{k % 2}") for k in range(3)] + [("n0", "o"), ("n1", "o")]
+    return pairs, _reached(pairs)
+
+
+def _recorded(monkeypatch, column):
+    """Row counts of the tables with that column that are written."""
+    sizes, write = [], G.cut_lineage
+
+    def spy(df):
+        out = write(df)
+        if column in out.columns:
+            sizes.append(out.count())
+        return out
+
+    monkeypatch.setattr(G, "cut_lineage", spy)
+    return sizes
+
+
+def test_lone_tops_need_no_sets(spark, monkeypatch):
+    """Nodes with one edge that nothing points to are counted from the node they point to."""
+    pairs, want = _many_tops()
+    e = spark.createDataFrame(pairs, "src string, dst string")
+    sizes = _recorded(monkeypatch, "bits")
+    assert {r.id: (r.reachable, r.depth) for r in G.closure_sizes(e).collect()} == {s: (len(met), max(met.values())) for s, met in want.items()}
+    assert max(sizes) < 15  # 48 and more when every top had its sets
+    assert {(r.seed, r.id): r.depth for r in G.closure(e).collect()} == {(s, d): n for s, met in want.items() for d, n in met.items()}
+
+
+def test_layer_rounds_leave_out_tops(spark, monkeypatch):
+    pairs, want = _many_tops()
+    e = G.cut_lineage(spark.createDataFrame(pairs, "src string, dst string"))
+    sizes = _recorded(monkeypatch, "id")
+    heights, stuck = G._heights(e)
+    assert stuck is None and {r.id: r.layer for r in heights.collect()} == {s: max(met.values()) for s, met in want.items()}
+    assert max(sizes) == 5  # 46 in the first round before
+    assert {r.id for r in G._heights(G.cut_lineage(e.union(spark.createDataFrame([("o", "n1")], e.schema))))[1].collect()} == set(want) | {"o"}
