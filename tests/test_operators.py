@@ -504,3 +504,19 @@ def test_layer_rounds_leave_out_tops(spark, monkeypatch):
     assert stuck is None and {r.id: r.layer for r in heights.collect()} == {s: max(met.values()) for s, met in want.items()}
     assert max(sizes) == 5  # 46 in the first round before
     assert {r.id for r in G._heights(G.cut_lineage(e.union(spark.createDataFrame([("o", "n1")], e.schema))))[1].collect()} == set(want) | {"o"}
+
+
+def test_pagerank_rounds_leave_out_tops(spark, monkeypatch):
+    pairs, _ = _many_tops()
+    e = spark.createDataFrame(pairs, "src string, dst string")
+    ids = sorted({x for p in pairs for x in p})
+    out = {i: sum(s == i for s, _ in pairs) for i in ids}
+    sizes = _recorded(monkeypatch, "rank")
+    nodes = spark.createDataFrame([(i,) for i in ids], "id string")
+    for rounds in (0, 1, 2, 50):
+        want = {i: 1 / len(ids) for i in ids}
+        for _ in range(rounds):
+            want = {i: 0.15 / len(ids) + 0.85 * sum(want[s] / out[s] for s, d in pairs if d == i) for i in ids}
+        got = {r.id: r["rank"] for r in G.pagerank(nodes, e, iterations=rounds).collect()}
+        assert got == pytest.approx(want, rel=1e-12)
+    assert max(sizes) == 6  # all 47 nodes before
