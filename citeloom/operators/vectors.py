@@ -16,6 +16,8 @@ from .ranking import top_per_group
 #: Bytes of query vectors that go to the tasks at a time.
 BLOCK_BYTES = 64 << 20
 BLOCK_ROWS = 2048
+#: Packs of vectors that larger tables are cut into, as far as four blocks hold them.
+PACKS = 32
 NORM_FLOOR = 1e-9
 #: Names or lines of code whose vectors are made in one task.
 CODE_ROWS = 50_000
@@ -316,27 +318,43 @@ def leaf_pairs(leaves: pd.DataFrame, threshold: float, spark) -> DataFrame:
     return spark.range(len(leaves)).mapInPandas(find, "a bigint, b bigint, n_a bigint, n_b bigint")
 
 
+def _packed(sizes: np.ndarray, rows: int) -> np.ndarray:
+    """Numbers of packs of consecutive leaves of at most ``rows`` rows in all; a larger leaf is a pack of its own."""
+    packs, pack, held = [], 0, 0
+    for n in sizes.tolist():
+        if held and held + n > rows:
+            pack, held = pack + 1, 0
+        packs.append(pack)
+        held += n
+    return np.array(packs, dtype=np.int64)
+
+
 def neighbours(
     vectors: DataFrame, k: int, threshold: float, key: str = "vec_id", vector: str = "embedding", block_rows: int = BLOCK_ROWS
 ) -> DataFrame:
     """Exact (id, other, similarity): up to ``k`` nearest others of each vector with cosine >= threshold.
 
-    Vectors lie in the leaves of a ball tree. Only leaves that can hold a close pair meet, each two of them once, in blocks of
-    bounded size that are compared with one matrix product per task and give at most k rows per vector.
+    Vectors lie in the leaves of a ball tree. Leaves that lie side by side are put together in packs of one to four
+    blocks, so a vector is sent once to each pack it meets and not to each leaf. Only packs with leaves that can hold a close pair
+    meet, each two of them once. A task compares two packs by matrix products of bounded size and gives at most k rows per vector.
     """
     placed, leaves = ball_tree(vectors, key, vector)
     spark, schema = vectors.sparkSession, "id bigint, other bigint, similarity double"
     if not len(leaves):
         return spark.createDataFrame([], schema)
-    met = cut_lineage(leaf_pairs(leaves, threshold, spark))
-    last = lambda n: F.floor((F.col(n) - 1) / block_rows)
+    pack_rows = int(min(4 * block_rows, max(block_rows, leaves["n"].sum() // PACKS)))
+    leaves["pack"] = _packed(leaves["n"].to_numpy(), pack_rows)
+    packs = cut_lineage(spark.createDataFrame(leaves[["leaf", "pack"]].merge(leaves.groupby("pack", as_index=False)["n"].sum(), on="pack")))
+    end = lambda side: packs.select(F.col("leaf").alias(side), F.col("pack").alias(f"p_{side}"), F.col("n").alias(f"n_{side}"))
+    near = leaf_pairs(leaves, threshold, spark).select("a", "b").join(end("a"), "a").join(end("b"), "b")
+    met = cut_lineage(near.select(F.col("p_a").alias("a"), F.col("p_b").alias("b"), "n_a", "n_b").distinct())
+    last = lambda n: F.floor((F.col(n) - 1) / pack_rows)
     pairs = met.select("a", "b", F.explode(F.sequence(F.lit(0).cast("bigint"), last("n_a"))).alias("i"), "n_b")
     pairs = cut_lineage(pairs.select("a", "b", "i", F.explode(F.sequence(F.lit(0).cast("bigint"), last("n_b"))).alias("j")).filter("a < b OR i <= j"))
-    sized = spark.createDataFrame(leaves[["leaf", "n"]])
-    rows = placed.drop("dist").join(sized, "leaf").withColumn("block", F.pmod(F.xxhash64(key), last("n") + 1)).drop("n")
+    rows = placed.drop("dist").join(packs, "leaf").withColumn("block", F.pmod(F.xxhash64(key), last("n") + 1)).drop("n", "leaf")
     group = ["a", "i", "b", "j"]
-    left = rows.withColumnsRenamed({"leaf": "a", "block": "i"}).join(pairs, ["a", "i"])
-    right = rows.withColumnsRenamed({"leaf": "b", "block": "j", key: "r_key", vector: "r_vec"}).join(pairs, ["b", "j"])
+    left = rows.withColumnsRenamed({"pack": "a", "block": "i"}).join(pairs, ["a", "i"])
+    right = rows.withColumnsRenamed({"pack": "b", "block": "j", key: "r_key", vector: "r_vec"}).join(pairs, ["b", "j"])
 
     def best(ids: np.ndarray, others: np.ndarray, sims: np.ndarray) -> pd.DataFrame:
         order = np.lexsort((np.broadcast_to(others, sims.shape), -sims), axis=1)[:, :k]
@@ -347,11 +365,18 @@ def neighbours(
         if a.empty or b.empty:
             return pd.DataFrame({"id": [], "other": [], "similarity": []})
         ka, kb = a[key].to_numpy(), b["r_key"].to_numpy()
-        sims = np.array(a[vector].tolist()) @ np.array(b["r_vec"].tolist()).T
-        if (a["a"].iat[0], a["i"].iat[0]) == (a["b"].iat[0], a["j"].iat[0]):
-            sims[ka[:, None] == kb[None, :]] = -np.inf
-            return best(ka, kb, sims)
-        return pd.concat([best(ka, kb, sims), best(kb, ka, sims.T)])
+        va, vb = np.array(a[vector].tolist()), np.array(b["r_vec"].tolist())
+        own = (a["a"].iat[0], a["i"].iat[0]) == (a["b"].iat[0], a["j"].iat[0])
+        step, parts = max(1, block_rows * block_rows // len(b)), []
+        for start in range(0, len(a), step):
+            ids = ka[start:start + step]
+            sims = va[start:start + step] @ vb.T
+            if own:
+                sims[ids[:, None] == kb[None, :]] = -np.inf
+            parts.append(best(ids, kb, sims))
+            if not own:
+                parts.append(best(kb, ids, sims.T))
+        return pd.concat(parts).sort_values(["similarity", "other"], ascending=[False, True]).groupby("id").head(k)
 
     hits = left.groupBy(*group).cogroup(right.groupBy(*group)).applyInPandas(compare, schema)
     return top_per_group(hits, ["id"], [F.desc("similarity"), F.asc("other")], k)

@@ -520,3 +520,26 @@ def test_pagerank_rounds_leave_out_tops(spark, monkeypatch):
         got = {r.id: r["rank"] for r in G.pagerank(nodes, e, iterations=rounds).collect()}
         assert got == pytest.approx(want, rel=1e-12)
     assert max(sizes) == 6  # all 47 nodes before
+
+
+def test_small_leaves_meet_in_packs(spark, monkeypatch):
+    """Leaves are put together up to a block, so a vector is sent to few blocks; the neighbours are those of all pairs."""
+    assert V._packed(np.array([3, 4, 2, 9, 1, 5]), 7).tolist() == [0, 0, 1, 2, 3, 3]
+    rng = np.random.default_rng(18)
+    m = rng.normal(size=(300, 8))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(m)], "vec_id long, embedding array<double>")
+    tables, write = [], V.cut_lineage
+
+    def spy(frame):
+        out = write(frame)
+        tables.append((set(out.columns), out))
+        return out
+
+    monkeypatch.setattr(V, "cut_lineage", spy)
+    got = {(r["id"], r["other"]) for r in V.neighbours(df, 5, 0.35, block_rows=100).collect()}
+    u = m / np.linalg.norm(m, axis=1, keepdims=True)
+    sims = u @ u.T - 2 * np.eye(300)
+    want = {(i, int(j)) for i in range(300) for j in np.argsort(-sims[i])[:5] if sims[i, j] >= 0.35}
+    assert got == want
+    met = next(t for columns, t in tables if columns == {"a", "i", "b", "j"})
+    assert met.count() <= 15  # each two of the leaves met on their own before
