@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from citeloom.functions import scoring as S, text as X
@@ -16,8 +17,12 @@ from .ranking import top_per_group
 #: Bytes of query vectors that go to the tasks at a time.
 BLOCK_BYTES = 64 << 20
 BLOCK_ROWS = 2048
-#: Packs of vectors that larger tables are cut into, as far as four blocks hold them.
+#: Packs of vectors that larger tables are cut into, as far as PACK_BLOCKS blocks hold them.
 PACKS = 32
+PACK_BLOCKS = 16
+#: Vectors on a side of one product, and pairs whose exact cosine is taken at a time.
+TILE = 512
+HITS = 1 << 16
 NORM_FLOOR = 1e-9
 #: Names or lines of code whose vectors are made in one task.
 CODE_ROWS = 50_000
@@ -154,7 +159,10 @@ def model_embed(text: Column, factory: Callable[[], Callable[[list[str]], np.nda
 # Neighbour search -----------------------------------------------------------
 
 def _matrix(column: pd.Series) -> np.ndarray:
-    m = np.array(column.tolist(), dtype=np.float64)
+    return _unit_rows(np.array(column.tolist(), dtype=np.float64))
+
+
+def _unit_rows(m: np.ndarray) -> np.ndarray:
     norms = np.linalg.norm(m, axis=1, keepdims=True)
     return np.divide(m, norms, out=np.zeros_like(m), where=norms >= NORM_FLOOR)
 
@@ -261,14 +269,14 @@ def _nearest(m: np.ndarray, centre: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 
 
 def ball_tree(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding") -> tuple[DataFrame, pd.DataFrame]:
-    """(key, vector, leaf, dist) of every vector, normalised, and the leaves (leaf, centre, n, radius).
+    """(key, vector, leaf, dist) of every vector, as it was given, and the leaves (leaf, centre, n, radius) of the normalised ones.
 
     Two levels of balls: N^1/4 pivots, and as many again inside each of their cells, so a vector is compared with
     2 N^1/4 pivots and the leaves grow with the square root of N. That many centres reach the driver and the tasks.
     """
     spark = vectors.sparkSession
     width = max(2, int(np.ceil(vectors.count() ** 0.25)))
-    rows = f"{key} bigint, {vector} array<double>"
+    rows = f"{key} bigint, {vector} {vectors.schema[vector].dataType.simpleString()}"
     first = vectors.select(key, vector).orderBy(F.xxhash64(key)).limit(width).toPandas()
     if first.empty:
         return spark.createDataFrame([], f"{rows}, leaf bigint, dist double"), pd.DataFrame({"leaf": [], "centre": [], "n": [], "radius": []})
@@ -276,19 +284,18 @@ def ball_tree(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding"
 
     def into_cells(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            m = _matrix(batch[vector])
-            yield pd.DataFrame({key: batch[key], vector: list(m), "cell": _nearest(m, top.value)[0].astype("int64")})
+            yield pd.DataFrame({key: batch[key], vector: batch[vector], "cell": _nearest(_matrix(batch[vector]), top.value)[0].astype("int64")})
 
     cells = cut_lineage(vectors.select(key, vector).mapInPandas(into_cells, f"{rows}, cell bigint"))
     ranked = cells.withColumn("_r", F.row_number().over(Window.partitionBy("cell").orderBy(F.xxhash64(key)))).filter(F.col("_r") <= width)
     inner = ranked.toPandas()  # at most width squared
-    pivots = {int(c): np.array(part[vector].tolist()) for c, part in inner.groupby("cell")}
+    pivots = {int(c): _matrix(part[vector]) for c, part in inner.groupby("cell")}
     shared = spark.sparkContext.broadcast(pivots)
 
     def into_leaves(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for cell, part in batch.groupby("cell"):
-                near, dist = _nearest(np.array(part[vector].tolist()), shared.value[int(cell)])
+                near, dist = _nearest(_matrix(part[vector]), shared.value[int(cell)])
                 yield pd.DataFrame({key: part[key].to_numpy(), vector: part[vector].to_numpy(), "leaf": int(cell) * width + near, "dist": dist})
 
     placed = cut_lineage(cells.mapInPandas(into_leaves, f"{rows}, leaf bigint, dist double"))
@@ -329,20 +336,67 @@ def _packed(sizes: np.ndarray, rows: int) -> np.ndarray:
     return np.array(packs, dtype=np.int64)
 
 
+def _vectors(column: pa.ChunkedArray) -> np.ndarray:
+    """The normalised vectors of an Arrow column of lists of one length."""
+    values = column.combine_chunks().flatten().to_numpy(zero_copy_only=False)
+    return _unit_rows(values.astype(np.float64).reshape(len(column), -1))
+
+
+def _cosines(va: np.ndarray, vb: np.ndarray, r: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """The exact cosines of the pairs (va[r], vb[c]), HITS at a time; they don't depend on the block that a pair is in."""
+    parts = [np.einsum("ij,ij->i", va[r[at:at + HITS]], vb[c[at:at + HITS]]) for at in range(0, len(r), HITS)]
+    return np.concatenate(parts) if parts else np.empty(0)
+
+
+def _best(k: int, ids: np.ndarray, others: np.ndarray, sims: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The first k rows of each id, the most similar first, then the smaller other."""
+    order = np.lexsort((others, -sims, ids))
+    ids, others, sims = ids[order], others[order], sims[order]
+    starts = np.flatnonzero(np.concatenate([np.ones(min(1, len(ids)), bool), ids[1:] != ids[:-1]]))
+    kept = np.arange(len(ids)) - np.repeat(starts, np.diff(np.append(starts, len(ids)))) < k
+    return ids[kept], others[kept], sims[kept]
+
+
+def _close(ka: np.ndarray, va: np.ndarray, kb: np.ndarray, vb: np.ndarray, k: int, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(r, c) of the pairs (va[r], vb[c]) that may have a cosine of ``threshold`` and be among the k best of either end.
+
+    Products of single precision, less their rounding error, rule the other pairs out. The k best of a product are looked
+    for only if many of its pairs reach the threshold.
+    """
+    a, b = va.astype(np.float32), vb.astype(np.float32)
+    slack = np.float32(1e-6 * (8 + a.shape[1] / 8))  # over twice the rounding error of a product of unit vectors
+    least = np.float32(threshold) - slack
+    room, marks = np.empty(TILE * TILE, np.float32), np.empty(TILE * TILE, bool)
+    for u in range(0, len(a), TILE):
+        for v in range(0, len(b), TILE):
+            x, y = a[u:u + TILE], b[v:v + TILE]
+            size = len(x) * len(y)
+            product, met = room[:size].reshape(len(x), len(y)), marks[:size].reshape(len(x), len(y))
+            np.matmul(x, y.T, out=product)
+            np.greater_equal(product, least, out=met)
+            if np.count_nonzero(met) > 8 * k * TILE:
+                product[ka[u:u + TILE, None] == kb[None, v:v + TILE]] = -np.inf
+                bars = [np.partition(product, n - k, axis=axis).take([n - k], axis=axis) - slack if n > k else least for axis, n in enumerate(product.shape)]
+                met &= (product >= bars[0]) | (product >= bars[1])
+            r, c = np.divmod(np.flatnonzero(met), len(y))
+            yield r + u, c + v
+
+
 def neighbours(
     vectors: DataFrame, k: int, threshold: float, key: str = "vec_id", vector: str = "embedding", block_rows: int = BLOCK_ROWS
 ) -> DataFrame:
     """Exact (id, other, similarity): up to ``k`` nearest others of each vector with cosine >= threshold.
 
-    Vectors lie in the leaves of a ball tree. Leaves that lie side by side are put together in packs of one to four
+    Vectors lie in the leaves of a ball tree. Leaves that lie side by side are put together in packs of up to PACK_BLOCKS
     blocks, so a vector is sent once to each pack it meets and not to each leaf. Only packs with leaves that can hold a close pair
-    meet, each two of them once. A task compares two packs by matrix products of bounded size and gives at most k rows per vector.
+    meet, each two of them once. A task compares two packs by matrix products of bounded size in single precision, takes the exact
+    cosine of the few pairs that these leave and gives at most k rows per vector.
     """
     placed, leaves = ball_tree(vectors, key, vector)
     spark, schema = vectors.sparkSession, "id bigint, other bigint, similarity double"
     if not len(leaves):
         return spark.createDataFrame([], schema)
-    pack_rows = int(min(4 * block_rows, max(block_rows, leaves["n"].sum() // PACKS)))
+    pack_rows = int(min(PACK_BLOCKS * block_rows, max(block_rows, leaves["n"].sum() // PACKS)))
     leaves["pack"] = _packed(leaves["n"].to_numpy(), pack_rows)
     packs = cut_lineage(spark.createDataFrame(leaves[["leaf", "pack"]].merge(leaves.groupby("pack", as_index=False)["n"].sum(), on="pack")))
     end = lambda side: packs.select(F.col("leaf").alias(side), F.col("pack").alias(f"p_{side}"), F.col("n").alias(f"n_{side}"))
@@ -356,29 +410,33 @@ def neighbours(
     left = rows.withColumnsRenamed({"pack": "a", "block": "i"}).join(pairs, ["a", "i"])
     right = rows.withColumnsRenamed({"pack": "b", "block": "j", key: "r_key", vector: "r_vec"}).join(pairs, ["b", "j"])
 
-    def best(ids: np.ndarray, others: np.ndarray, sims: np.ndarray) -> pd.DataFrame:
-        order = np.lexsort((np.broadcast_to(others, sims.shape), -sims), axis=1)[:, :k]
-        out = pd.DataFrame({"id": np.repeat(ids, order.shape[1]), "other": others[order].ravel(), "similarity": np.take_along_axis(sims, order, axis=1).ravel()})
-        return out[out["similarity"] >= threshold]
-
-    def compare(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        if a.empty or b.empty:
-            return pd.DataFrame({"id": [], "other": [], "similarity": []})
-        ka, kb = a[key].to_numpy(), b["r_key"].to_numpy()
-        va, vb = np.array(a[vector].tolist()), np.array(b["r_vec"].tolist())
-        own = (a["a"].iat[0], a["i"].iat[0]) == (a["b"].iat[0], a["j"].iat[0])
-        step, parts = max(1, block_rows * block_rows // len(b)), []
-        for start in range(0, len(a), step):
-            ids = ka[start:start + step]
-            sims = va[start:start + step] @ vb.T
-            if own:
-                sims[ids[:, None] == kb[None, :]] = -np.inf
-            parts.append(best(ids, kb, sims))
-            if not own:
-                parts.append(best(kb, ids, sims.T))
-        return pd.concat(parts).sort_values(["similarity", "other"], ascending=[False, True]).groupby("id").head(k)
-
-    hits = left.groupBy(*group).cogroup(right.groupBy(*group)).applyInPandas(compare, schema)
+    def compare(a: pa.Table, b: pa.Table) -> pa.Table:
+        ka, kb = a.column(key).to_numpy(), b.column("r_key").to_numpy()
+        own = bool(len(ka) and len(kb)) and all(a.column(x)[0] == b.column(y)[0] for x, y in (("a", "b"), ("i", "j")))
+        found, near, held = [(ka[:0], kb[:0], np.empty(0))], [], 0
+
+        def take() -> None:
+            r, c = map(np.concatenate, zip(*near))
+            sims = _cosines(va, vb, r, c)
+            kept = (sims >= threshold) & (ka[r] != kb[c])
+            one, other, sims = ka[r[kept]], kb[c[kept]], sims[kept]
+            found.extend([(one, other, sims)] if own else [(one, other, sims), (other, one, sims)])
+            found[:] = [_best(k, *map(np.concatenate, zip(*found)))]
+            near.clear()
+
+        if len(ka) and len(kb):
+            va, vb = _vectors(a.column(vector)), _vectors(b.column("r_vec"))
+            for r, c in _close(ka, va, kb, vb, k, threshold):
+                near.append((r, c))
+                held += len(r)
+                if held > 8 * HITS:
+                    take()
+                    held = 0
+            take()
+        ids, others, sims = found[0]
+        return pa.table({"id": pa.array(ids, pa.int64()), "other": pa.array(others, pa.int64()), "similarity": pa.array(sims, pa.float64())})
+
+    hits = left.groupBy(*group).cogroup(right.groupBy(*group)).applyInArrow(compare, schema)
     return top_per_group(hits, ["id"], [F.desc("similarity"), F.asc("other")], k)
 
 

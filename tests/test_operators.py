@@ -543,3 +543,20 @@ def test_small_leaves_meet_in_packs(spark, monkeypatch):
     assert got == want
     met = next(t for columns, t in tables if columns == {"a", "i", "b", "j"})
     assert met.count() <= 15  # each two of the leaves met on their own before
+
+
+def test_neighbours_sort_only_what_may_be_near(spark):
+    """Few pairs of a product are looked at again, also in a tight group with copies, and the vectors travel as they are given."""
+    rng = np.random.default_rng(34)
+    m = np.concatenate([rng.normal(size=16) + 0.3 * rng.normal(size=(1100, 16)), rng.normal(size=(100, 16))])
+    m[100:150] = m[100]
+    m = m.astype(np.float32)
+    u = m.astype(float) / np.linalg.norm(m.astype(float), axis=1, keepdims=True)
+    ids = np.arange(len(m))
+    sims = np.round(u @ u.T, 12) - 3 * np.eye(len(m))
+    want = {(i, j) for i in range(len(m)) for j in np.lexsort((ids, -sims[i]))[:5].tolist() if sims[i, j] >= 0.35}
+    assert sum(len(r) for r, _ in V._close(ids, u, ids, u, 5, 0.35)) < len(m) ** 2 / 10 < (sims >= 0.35).sum() / 4
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(m)], "vec_id long, embedding array<float>")
+    assert dict(V.ball_tree(df)[0].dtypes)["embedding"] == "array<float>"
+    assert {(r["id"], r["other"]) for r in V.neighbours(df, 5, 0.35).collect()} == want
+    assert {(r["id"], r["other"]) for r in V.neighbours(df, 5, 0.35, block_rows=100).collect()} == want
