@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass, field
+from functools import reduce
+from operator import add
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from citeloom.functions import constants as K
+from citeloom.session import cut_lineage
 
 from .rules import instant, is_expired
 from .sets import upsert_last_wins
@@ -101,26 +104,58 @@ def _word_set(text: Column) -> Column:
     return F.array_distinct(F.filter(F.split(F.lower(text), r"\s+"), lambda w: w != ""))
 
 
+#: 64-bit words of a text's signature.
+SIGNATURE_WORDS = 8
+
+
+def _signed_sets(texts: DataFrame) -> DataFrame:
+    """(id, n, hashes, s0, s1, ...) of distinct word sets (id, words): hashes of the words and a signature, in which each word sets one bit."""
+    h = texts.select("id", F.size("words").alias("n"), F.transform("words", lambda w: F.xxhash64(w)).alias("hashes"))
+    bit = lambda x: F.call_function("shiftleft", F.lit(1).cast("long"), x.bitwiseAND(F.lit(63)).cast("int"))
+
+    def word(i: int) -> Column:
+        mine = F.filter("hashes", lambda x: F.shiftrightunsigned(x, 6).bitwiseAND(F.lit(SIGNATURE_WORDS - 1)) == i)
+        return F.aggregate(mine, F.lit(0).cast("long"), lambda acc, x: acc.bitwiseOR(bit(x)))
+
+    return h.select("*", *(word(i).alias(f"s{i}") for i in range(SIGNATURE_WORDS)))
+
+
 def consolidation_candidates(memories: DataFrame, threshold: float = 0.8) -> DataFrame:
     """Episodic memories (3 accesses, medium importance) without a similar semantic one.
 
     Similar = the share of the memory's words found in a semantic memory reaches
     the threshold. Such a pair must share one of the memory's rarest
-    ``n - ceil(t n) + 1`` words, so only those are joined before the exact check.
+    ``n - ceil(t n) + 1`` words, so only those are joined. Memories of equal words are one. A bit of the memory's signature
+    that the other's lacks stands for a word that it lacks, so signatures rule most pairs out inside the join, and no texts
+    are sent for them. Of the pairs left, each memory's nearest by signature is checked first, the others only if that is not similar.
     """
-    from pyspark.sql import Window
-
-    ready = memories.filter("memory_type = 'episodic' AND access_count >= 3 AND importance >= 3").select("id", _word_set(F.col("content")).alias("words"))
-    semantic = memories.filter("memory_type = 'semantic'").select(F.col("id").alias("sid"), _word_set(F.col("content")).alias("swords"))
-    index = semantic.select("sid", F.explode("swords").alias("w"))
-    freq = index.groupBy("w").agg(F.count("*").alias("df"))
-    mine = ready.select("id", F.size("words").alias("n"), F.explode("words").alias("w")).join(freq, "w", "left").fillna(0, ["df"])
-    rank = F.row_number().over(Window.partitionBy("id").orderBy("df", "w"))
-    rare = mine.withColumn("rk", rank).filter(F.col("rk") <= F.col("n") - F.ceil(F.lit(threshold) * F.col("n") - 1e-9) + 1)
-    pairs = rare.join(index, "w").select("id", "sid").distinct()
-    checked = pairs.join(ready, "id").join(semantic, "sid").filter(
-        F.size(F.array_intersect("words", "swords")) / F.size("words") >= threshold).select("id").distinct()
-    return ready.select("id").join(checked, "id", "left_anti")
+    words = _word_set(F.col("content"))
+    own = lambda rows: rows.select("id", F.array_sort(words).alias("words")).withColumn("key", F.sha2(F.array_join("words", " "), 256))
+    distinct = lambda rows: cut_lineage(rows.groupBy("key").agg(F.min("id").alias("id"), F.any_value("words").alias("words")))
+    ready = own(memories.filter("memory_type = 'episodic' AND access_count >= 3 AND importance >= 3"))
+    mine, others = distinct(ready), distinct(own(memories.filter("memory_type = 'semantic'")))
+    sets, known = cut_lineage(_signed_sets(mine)), cut_lineage(_signed_sets(others))
+
+    freq = known.select(F.explode("hashes").alias("h")).groupBy("h").agg(F.count("*").alias("df"))
+    each = sets.select("id", "n", F.explode("hashes").alias("h")).join(freq, "h", "left").fillna(0, ["df"])
+    lacking = F.col("n") - F.ceil(F.lit(threshold) * F.col("n") - 1e-9)
+    rare = each.withColumn("rk", F.row_number().over(Window.partitionBy("id").orderBy("df", "h"))).filter((F.col("rk") <= lacking + 1) & (F.col("df") > 0))
+    signature = [f"s{i}" for i in range(SIGNATURE_WORDS)]
+    x = rare.select("id", "h").join(sets.select("id", lacking.alias("most"), *signature), "id").alias("x")
+    y = known.select(F.col("id").alias("sid"), F.explode("hashes").alias("h"), *signature).alias("y")
+    absent = reduce(add, (F.bit_count(F.col(f"x.{s}").bitwiseAND(F.bitwise_not(F.col(f"y.{s}")))) for s in signature))
+    near = x.join(y, (F.col("x.h") == F.col("y.h")) & (absent <= F.col("x.most")))
+    pairs = cut_lineage(near.select("x.id", "y.sid", absent.alias("absent")).distinct())
+
+    def similar(pairs: DataFrame) -> DataFrame:
+        met = pairs.join(mine.select("id", "words"), "id").join(others.select(F.col("id").alias("sid"), F.col("words").alias("swords")), "sid")
+        return cut_lineage(met.filter(F.size(F.array_intersect("words", "swords")) / F.size("words") >= threshold).select("id").distinct())
+
+    nearest = pairs.groupBy("id").agg(F.min(F.struct("absent", "sid"))["sid"].alias("sid"))
+    found = similar(nearest)
+    rest = pairs.select("id", "sid").join(found, "id", "left_anti").join(nearest, ["id", "sid"], "left_anti")
+    found = found.unionByName(similar(rest))
+    return ready.join(mine.join(found, "id").select("key"), "key", "left_anti").select("id")
 
 
 def consolidate(memories: DataFrame, next_id: Column, as_of: str) -> DataFrame:

@@ -560,3 +560,28 @@ def test_neighbours_sort_only_what_may_be_near(spark):
     assert dict(V.ball_tree(df)[0].dtypes)["embedding"] == "array<float>"
     assert {(r["id"], r["other"]) for r in V.neighbours(df, 5, 0.35).collect()} == want
     assert {(r["id"], r["other"]) for r in V.neighbours(df, 5, 0.35, block_rows=100).collect()} == want
+
+
+def test_consolidation_sends_no_texts_of_pairs_ruled_out(spark, monkeypatch):
+    """Pairs that share a rare word, but whose signatures differ by too much, never leave the join; a memory with a similar one needs one pair."""
+    rng = np.random.default_rng(5)
+    text = lambda i: " ".join(["rare"] * (i % 2) + [f"w{x}" for x in rng.choice(4000, 24, replace=False)])
+    rows = [(i, "episodic", 3, 3, text(i)) for i in range(40)] + [(1000 + i, "semantic", 0, 0, text(i)) for i in range(40)]
+    rows += [(2000 + 40 * j + i, "semantic", 0, 0, rows[i][4] + f" more{j}") for i in range(8) for j in range(3)]  # rows 0 to 7 have similar ones
+    rows += [(90, "episodic", 3, 3, rows[9][4]), (91, "episodic", 3, 3, rows[3][4].upper()), (92, "episodic", 3, 3, None), (93, "episodic", 3, 3, " "), (94, "episodic", 2, 3, "low")]
+    df = spark.createDataFrame(rows, "id long, memory_type string, access_count long, importance int, content string")
+    tables, write = [], E.cut_lineage
+
+    def spy(frame):
+        out = write(frame)
+        tables.append((set(out.columns), out))
+        return out
+
+    monkeypatch.setattr(E, "cut_lineage", spy)
+    got = sorted(r["id"] for r in E.consolidation_candidates(df).collect())
+    words = {i: set((t or "").lower().split()) for i, _, _, _, t in rows}
+    near = lambda i: any(i != j and len(words[i] & words[j]) >= 0.8 * len(words[i]) for j, kind, *_ in rows if kind == "semantic")
+    assert got == [i for i, kind, n, *_ in rows if kind == "episodic" and n >= 3 and (not words[i] or not near(i))]
+    assert sorted(set(range(40)) - set(got)) == list(range(8)) and 91 not in got
+    pairs = next(t for columns, t in tables if columns == {"id", "sid", "absent"})
+    assert pairs.count() <= 8 * 3 + 8 * 4 + 4  # 400 and more share the word "rare"
