@@ -210,26 +210,40 @@ def sketches(docs: DataFrame, size: int = 5) -> DataFrame:
     return docs.select(F.xxhash64("text").alias("node"), "text").mapInArrow(run, "node long, sketch int, fp long, n long, parity binary, " + ", ".join(f"{w} long" for w in PARITY_WORDS))
 
 
-#: Rows whose shingles are counted to tell the frequent ones, and how many of these the tasks know. Both only set the order of shingles.
-COUNTED_TEXTS = 4000
-FREQUENT_SHINGLES = 1 << 17
+#: The shingles of all rows are counted in buckets named by so many high bits of their hash, and the buckets summed in
+#: blocks of so many. Counts only set the order of shingles.
+BUCKET_BITS = 22
+BLOCK_BITS = 14
 
 
-def _frequent(docs: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """The hashes, sorted, and counts of the shingles that several of about COUNTED_TEXTS rows hold, the most frequent first."""
+def _levels(docs: DataFrame, size: int) -> np.ndarray:
+    """How many shingles of all rows fall into each bucket, a row's equal ones once, as a byte: eight steps for twice the count.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    A task counts its rows in one table; the tables are summed block by block, so a table of bytes is all that the driver gets.
+    """
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(1 << BUCKET_BITS, np.uint32)
+        for batch in small(batches, 50):
+            for text in batch.column("text").cast(pa.binary()).to_pylist():
+                np.add.at(counts, np.unique(shingle_hashes(text or b"", size)) >> np.uint64(64 - BUCKET_BITS), 1)
+        for block, part in enumerate(counts.reshape(-1, 1 << BLOCK_BITS)):
+            if part.any():
+                yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([part.tobytes()], pa.binary())], names=["block", "counts"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = {}
         for batch in batches:
-            for part in small([batch], 50):
-                sets = [np.unique(shingle_hashes(t or b"", size)) for t in part.column("text").cast(pa.binary()).to_pylist()]
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.empty(0, np.uint64), *sets]).view(np.int64))], names=["shingle"])
+            for block, part in zip(batch.column("block").to_pylist(), batch.column("counts").to_pylist()):
+                sums[block] = sums.get(block, 0) + np.frombuffer(part, np.uint32).astype(np.int64)
+        levels = [np.minimum(np.round(8 * np.log2(1 + n)), 255).astype(np.uint8).tobytes() for n in sums.values()]
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array(levels, pa.binary())], names=["block", "levels"])
 
-    every = max(1, docs.count() // COUNTED_TEXTS)
-    counted = docs.where(F.pmod(row_key(), F.lit(every)) == 0).select("text").mapInArrow(run, "shingle long")
-    top = counted.groupBy("shingle").agg(F.count("*").alias("n")).where("n > 1").orderBy(F.desc("n"), "shingle").limit(FREQUENT_SHINGLES).toArrow()
-    hashes, counts = top.column("shingle").to_numpy().view(np.uint64), top.column("n").to_numpy()
-    order = np.argsort(hashes)
-    return hashes[order], counts[order]
+    counted = docs.select("text").mapInArrow(count, "block int, counts binary")
+    summed = counted.repartition("block").mapInArrow(add, "block int, levels binary").toArrow()
+    out = np.zeros((1 << BUCKET_BITS - BLOCK_BITS, 1 << BLOCK_BITS), np.uint8)
+    for block, levels in zip(summed.column("block").to_pylist(), summed.column("levels").to_pylist()):
+        out[block] = np.frombuffer(levels, np.uint8)
+    return out.reshape(-1)
 
 
 def _prefix(n, part: float):
@@ -243,18 +257,16 @@ def prefixes(docs: DataFrame, size: int, similarity: float) -> DataFrame:
     ``packed`` holds the number of shingles, the place of this one and, as its last bit, whether it is among the
     fewer that do for a partner with no fewer shingles.
     """
-    sent = docs.sparkSession.sparkContext.broadcast(_frequent(docs, size))  # at most FREQUENT_SHINGLES
+    sent = docs.sparkSession.sparkContext.broadcast(_levels(docs, size))  # a byte for each bucket
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, counts = sent.value
+        levels = sent.value
         for batch in small(batches, 100):
             nodes, firsts, sizes = [], [np.empty(0, np.uint64)], []
             for node, text in zip(batch.column("node").to_pylist(), batch.column("text").cast(pa.binary()).to_pylist()):
                 hashes = np.unique(shingle_hashes(text or b"", size))
                 if len(hashes):
-                    if len(known):
-                        at = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
-                        hashes = hashes[np.argsort(np.where(known[at] == hashes, counts[at], 0), kind="stable")]
+                    hashes = hashes[np.argsort(levels[hashes >> np.uint64(64 - BUCKET_BITS)], kind="stable")]
                     nodes.append(node)
                     sizes.append(len(hashes))
                     firsts.append(hashes[:_prefix(np.int64(len(hashes)), similarity)])

@@ -190,3 +190,18 @@ def test_the_operators_links_come_first(spark, make_docs, monkeypatch):
     asked = []
     monkeypatch.setattr(module, "near_links", lambda *a: asked.append(a) or near_links(*a))
     assert sorted(r.doc_id for r in keep_one_of_each(docs).collect()) == [0, 10, 20, 30, 40, 50, 90] and asked
+
+
+def test_shingles_of_all_texts_set_their_order(spark, make_docs):
+    """Shingles that three of 9,000 texts hold come after those of one text, wherever the three are."""
+    from citeloom.llm.simhash import BUCKET_BITS, _levels, prefixes
+
+    rows = [(i, " ".join([f"g{i // 3}w{k}" for k in range(14)] + [f"u{i}w{k}" for k in range(40)])) for i in range(9000)]
+    docs = make_docs(rows)
+    held = {}
+    for i, text in rows:
+        for h in np.unique(shingle_hashes(text.encode(), 5)).tolist():
+            held[h] = held.get(h, 0) + 1
+    buckets = np.bincount(np.repeat(np.array(list(held), np.uint64) >> np.uint64(64 - BUCKET_BITS), list(held.values())).astype(np.int64), minlength=1 << BUCKET_BITS)
+    assert (_levels(docs, 5) == np.round(8 * np.log2(1 + buckets))).all()
+    assert all(held[r.shingle % (1 << 64)] == 1 for r in prefixes(docs, 5, 0.8).select("shingle").collect())
