@@ -585,3 +585,17 @@ def test_consolidation_sends_no_texts_of_pairs_ruled_out(spark, monkeypatch):
     assert sorted(set(range(40)) - set(got)) == list(range(8)) and 91 not in got
     pairs = next(t for columns, t in tables if columns == {"id", "sid", "absent"})
     assert pairs.count() <= 8 * 3 + 8 * 4 + 4  # 400 and more share the word "rare"
+
+
+def test_impact_walks_only_what_is_pointed_to(spark, monkeypatch):
+    walked, walks = [], G._walks
+    monkeypatch.setattr(G, "_walks", lambda e: walked.append(e.count()) or walks(e))
+    rows = [(f"p{i}", f"s{j}") for i in range(60) for j in {i % 4, i % 3}] + [(f"s{j}", f"n{j % 2}") for j in range(4)] + [("n0", "r"), ("n1", "r")]
+    e = spark.createDataFrame(rows, "src string, dst string")
+    got = {r.id: (r.direct, r.transitive, r.impact, r.critical) for r in G.impact_scores(e).collect()}
+    below = {}
+    for s, d in rows:
+        below.setdefault(d, set()).add(s)
+    reach = lambda v: set().union(*({u} | reach(u) for u in below.get(v, ())))
+    assert got == {v: (len(below[v]), len(reach(v)), len(below[v]) + len(reach(v)) / 2, len(below[v]) + len(reach(v)) / 2 >= 5) for v in below}
+    assert walked == [6]  # 109 of the 111 edges when layers were found on the graph turned over
